@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import packing, token_files
+from . import fingerprints, packing, token_files, urls
 
 QUERIES = {
     "op2_token_files": token_files.op2_token_files,
     "op3_packing": packing.op3_packing,
+    "op4_fingerprints": fingerprints.op4_fingerprints,
+    "op5_url_filter": urls.op5_url_filter,
 }
 
 ORACLES: dict[str, str] = {}
