@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import fingerprints, packing, token_files, urls
+from . import fingerprints, packing, quality, token_files, toxicity, urls
 
 QUERIES = {
     "op2_token_files": token_files.op2_token_files,
     "op3_packing": packing.op3_packing,
     "op4_fingerprints": fingerprints.op4_fingerprints,
     "op5_url_filter": urls.op5_url_filter,
+    "op6_quality": quality.op6_quality,
+    "op9_toxicity": toxicity.op9_toxicity,
 }
 
 ORACLES: dict[str, str] = {}
