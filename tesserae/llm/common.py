@@ -52,6 +52,11 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sized(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """A stored frame of narrow rows: broadcast if it was counted to be small, joined by shuffle otherwise."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def drop_stored(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
