@@ -93,8 +93,11 @@ def with_next(docs: DataFrame, carry: list[str]) -> DataFrame:
     names = tops.select("_range", F.lead("_range").over(Window.orderBy(F.desc("_range"))).alias("_after"), F.max("_range").over(Window.partitionBy(F.lit(1))).alias("_first"))
     names = names.select("_range", F.coalesce("_after", "_first").alias("_after"))
     after = names.join(heads.withColumnRenamed("_range", "_after"), "_after").select("_range", "head")
-    lead = F.lead(row).over(Window.partitionBy("_range").orderBy(*order))
-    return dealt.withColumn("next", lead).join(after, "_range", "left").withColumn("next", F.coalesce("next", "head")).drop("_range", "head")
+    w = Window.partitionBy("_range").orderBy(*order)
+    # column by column: a struct would go through the shuffle beside its fields
+    rows = dealt.select("*", *[F.lead(c).over(w).alias(f"_next_{c}") for c in carry], F.lead(F.lit(True)).over(w).alias("_has")).join(after, "_range", "left")
+    following = F.when(F.col("_has"), F.struct(*[F.col(f"_next_{c}").alias(c) for c in carry])).otherwise(F.col("head"))
+    return rows.withColumn("next", following).drop("_range", "head", "_has", *[f"_next_{c}" for c in carry])
 
 
 def compare(docs: DataFrame) -> DataFrame:
@@ -118,11 +121,13 @@ def compare(docs: DataFrame) -> DataFrame:
     # byte comparison, of the rows in buckets of two and more
     every = rows.select("digest").union(rows.select("edited_digest"))
     multi = every.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
-    own = rows.join(multi, "digest", "left_semi").select("doc_id").distinct()
-    by_edit = rows.join(multi.withColumnRenamed("digest", "edited_digest"), "edited_digest", "left_semi").select("doc_id", "next_id").distinct()
+    multi = common.stored(multi, "multi")
+    own = common.sized(common.stored(rows.join(multi, "digest", "left_semi").select("doc_id").distinct(), "own"))
+    by_edit = common.stored(rows.join(multi.withColumnRenamed("digest", "edited_digest"), "edited_digest", "left_semi").select("doc_id", "next_id").distinct(), "by-edit")
     plain = texts.join(own, "doc_id", "left_semi").select(canonical(F.col("text")).alias("form"))
-    following = texts.select(F.col("doc_id").alias("next_id"), F.col("text").alias("following"))
-    changed = texts.join(by_edit, "doc_id").join(following, "next_id").select(canonical(edited(F.col("text"), F.col("following"))).alias("form"))
+    nexts = common.sized(by_edit.select("next_id").distinct())
+    following = texts.select(F.col("doc_id").alias("next_id"), F.col("text").alias("following")).join(nexts, "next_id", "left_semi")
+    changed = texts.join(common.sized(by_edit), "doc_id").join(following, "next_id").select(canonical(edited(F.col("text"), F.col("following"))).alias("form"))
     forms = plain.union(changed).select(digests(F.col("form")).alias("digest"), "form")
     known = common.cut(collisions(forms))
     if known.isEmpty():
