@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import prices
+from . import prices, relational
 
-MODULES = (prices,)
+MODULES = (prices, relational)
 QUERIES = {name: q for m in MODULES for name, q in m.QUERIES.items()}
 ORACLES = {name: q for m in MODULES for name, q in m.ORACLES.items()}
