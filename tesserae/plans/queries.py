@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import prices, relational
+from . import fiscal, prices, relational
 
-MODULES = (prices, relational)
+MODULES = (prices, relational, fiscal)
 QUERIES = {name: q for m in MODULES for name, q in m.QUERIES.items()}
 ORACLES = {name: q for m in MODULES for name, q in m.ORACLES.items()}
