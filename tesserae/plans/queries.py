@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import fiscal, graphs, prices, relational
+from . import feeds, fiscal, graphs, prices, relational
 
-MODULES = (prices, relational, fiscal, graphs)
+MODULES = (prices, relational, fiscal, graphs, feeds)
 QUERIES = {name: q for m in MODULES for name, q in m.QUERIES.items()}
 ORACLES = {name: q for m in MODULES for name, q in m.ORACLES.items()}
