@@ -20,6 +20,7 @@ doc_id come last, so they give way to others.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,7 @@ MIN_CHARS = 32
 #: Rows of a document's line numbers that are broadcast at most.
 ROWS_BROADCAST = 200_000
 
-_LINES = pa.schema([("place", pa.int64()), ("line", pa.int32()), ("one", pa.int64()), ("two", pa.int64()), ("size", pa.int32()), ("bands", pa.list_(pa.int64()))])
+_LINES = pa.schema([("place", pa.int64()), ("line", pa.int32()), ("again", pa.bool_()), ("one", pa.int64()), ("two", pa.int64()), ("bands", pa.list_(pa.int64()))])
 #: The place of rows without a doc_id.
 _LAST = (1 << 63) - 1
 
@@ -49,43 +50,63 @@ def forms(text: str, least: int) -> tuple[list[int], list[str]]:
 
 
 def sketch(docs: DataFrame, least: int = MIN_CHARS, shingle: int = SHINGLE) -> DataFrame:
-    """A row for each line that is compared."""
+    """A row for each line that is compared; again: its form was in an earlier line of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables: dict = {}
         for batch in batches:
-            for s in range(0, batch.num_rows, 512):
-                part = batch.slice(s, 512)
-                places, numbers, lines = [], [], []
+            for s in range(0, batch.num_rows, 256):
+                part = batch.slice(s, 256)
+                places, numbers, lines, again = [], [], [], []
                 for place, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                     at, own = forms(text, least)
                     places += [place] * len(at)
                     numbers += at
                     lines += own
+                    seen: set[str] = set()
+                    again += [x in seen or seen.add(x) is not None for x in own]
                 for a, b in units(lines):
-                    doc, h, one, two = char_shingles(lines[a:b], shingle, tables)
+                    doc, h = char_shingles(lines[a:b], shingle)
                     keys = bands(one_permutation(doc, h, b - a, ROWS * BANDS), ROWS)
-                    size = np.bincount(doc, minlength=b - a).astype(np.int32)
+                    digest = np.frombuffer(b"".join([blake2b(x.encode(), digest_size=16).digest() for x in lines[a:b]]), dtype="<i8").reshape(-1, 2)
                     lists = pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1, dtype=np.int32) * BANDS), pa.array(signed(keys).ravel()))
-                    yield pa.RecordBatch.from_arrays([pa.array(places[a:b], pa.int64()), pa.array(numbers[a:b], pa.int32()), pa.array(signed(one)), pa.array(signed(two)), pa.array(size), lists], schema=_LINES)
+                    yield pa.RecordBatch.from_arrays([pa.array(places[a:b], pa.int64()), pa.array(numbers[a:b], pa.int32()), pa.array(again[a:b], pa.bool_()), pa.array(digest[:, 0]), pa.array(digest[:, 1]), lists], schema=_LINES)
 
     place = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_LAST))
     source = docs.where("text is not null").select(place.alias("place"), "text")
-    return source.mapInArrow(run, "place bigint, line int, one bigint, two bigint, size int, bands array<bigint>")
+    return source.mapInArrow(run, "place bigint, line int, again boolean, one bigint, two bigint, bands array<bigint>")
+
+
+def texts_of(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """wanted (column node, and others) with the text of the line."""
+    rest = [c for c in wanted.columns if c != "node"]
+    at = nodes.join(wanted, "node").groupBy("place").agg(F.collect_list(F.struct("line", "node", *rest)).alias("at"))  # a document's own lines
+    at = common.sized(common.stored(at, "line-places"), ROWS_BROADCAST)
+    place = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_LAST)).alias("place")
+    held = docs.where("text is not null").select(place, "text").join(at, "place")
+    lines = held.select(F.explode("at").alias("at"), F.split("text", "\n").alias("lines")).select("at.node", *[f"at.{c}" for c in rest], F.get("lines", F.col("at.line")).alias("text"))
+    lines = lines.where("text is not null")
+    # should rows repeat, the first text that has the line
+    return lines.groupBy("node", *rest).agg(F.min("text").alias("text")) if _repeats(docs) else lines
+
+
+def elements(shingle: int) -> links.Elements:
+    def of(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        doc, h = char_shingles([" ".join(x.lower().split()) for x in lines], shingle)
+        order = np.lexsort((h, doc))
+        doc, h = doc[order], h[order]
+        first = np.ones(len(doc), dtype=bool)
+        first[1:] = (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])
+        return doc[first], h[first]
+
+    return of
 
 
 def verifier(docs: DataFrame, nodes: DataFrame, least: int, shingle: int, similarity: float) -> links.Verify:
     """nodes: node, place, line.  Pairs of nodes whose shingle sets are alike."""
 
     def verify(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        at = nodes.join(wanted, "node").groupBy("place").agg(F.collect_list(F.struct("line", "node")).alias("at"))  # a document's own lines
-        at = common.sized(common.stored(at, "line-places"), ROWS_BROADCAST)
-        place = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_LAST)).alias("place")
-        held = docs.where("text is not null").select(place, "text").join(at, "place")
-        lines = held.select(F.explode("at").alias("at"), F.split("text", "\n").alias("lines")).select("at.node", F.get("lines", F.col("at.line")).alias("text"))
-        # should rows repeat, the first text that has the line
-        lines = common.stored(lines.where("text is not null").groupBy("node").agg(F.min("text").alias("text")), "lines")
+        wanted = common.stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "wanted")
+        lines = common.stored(texts_of(docs, nodes, wanted), "lines")
         left, right = (lines.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
         both = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
 
@@ -112,18 +133,17 @@ def verifier(docs: DataFrame, nodes: DataFrame, least: int, shingle: int, simila
 def dropped(docs: DataFrame, least: int = MIN_CHARS, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, lines): the numbers of the lines that go, for each document that loses some."""
     lines = common.stored(sketch(docs, least, shingle), "line-sketches")
-    first = F.min(F.struct("place", "line"))
-    groups = lines.groupBy("one", "two").agg(first.alias("first"), F.count("*").alias("n"))
-    groups = groups.select("one", "two", F.col("first.place").alias("place"), F.col("first.line").alias("line"), "n")
+    # equal digests have equal bands; a form is once at most in a document
+    groups = lines.where("not again").groupBy("one", "two", "bands").agg(F.min("place").alias("place"), F.min_by("line", "place").alias("line"), F.count("*").alias("n"))
     # ids are fixed by being written
     nodes = common.stored(groups.withColumn("node", F.monotonically_increasing_id()), "line-nodes")
-    own = lines.select("place", "line", "one", "two", "size", "bands").join(nodes.select("place", "line", "one", "two", "node"), ["place", "line", "one", "two"])
-    items = common.stored(own.select("node", "size", "bands").dropDuplicates(["node"]) if _repeats(docs) else own.select("node", "size", "bands"), "line-items")
-    found = links.classes(items, verifier(docs, nodes, least, shingle, similarity), similarity)
+    found = links.classes(nodes.select("node", "bands"), verifier(docs, nodes, least, shingle, similarity), lambda wanted: texts_of(docs, nodes, wanted), elements(shingle), similarity)
+    nodes = nodes.drop("bands")
     placed = nodes.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     linked = placed.groupBy("root").agg(F.min(F.struct("place", "line")).alias("stays"), F.count("*").alias("nodes"), F.max("n").alias("copies")).where("nodes > 1 or copies > 1").select("root", "stays")
     keep = placed.join(linked, "root").select("one", "two", "stays")
-    gone = lines.select("one", "two", "place", "line").join(keep, ["one", "two"]).where(F.struct("place", "line") != F.col("stays"))
+    gone = lines.where("not again").select("one", "two", "place", "line").join(keep, ["one", "two"]).where(F.struct("place", "line") != F.col("stays"))
+    gone = gone.select("place", "line").union(lines.where("again").select("place", "line"))
     gone = gone.groupBy("place").agg(F.sort_array(F.collect_set("line")).alias("lines"))  # a document's own lines
     return gone.select(F.when(F.col("place") != _LAST, F.col("place")).alias("doc_id"), "lines")
 

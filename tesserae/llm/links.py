@@ -2,9 +2,14 @@
 
 Pairs are not emitted for all of a bucket.  Each member is first compared with
 the bucket's smallest and largest node; verified links join members into
-components.  Then only members of different components that still share a
-bucket are compared, all of them.  So no link between different components is
-lost, while a bucket of thousands of near copies costs two pairs a member.
+components.  Then only the members of different components that still share a
+bucket are compared, by an exact prefix filter: with elements in one order for
+all, the rarest first, two sets of similarity t share an element among the first
+n - ceil(t * n) + 1 of each, and at the first shared one both have as many
+elements left as they must share.  Texts that have just a common passage share
+frequent elements only, too late in that order, and give no pair.  So no link between different
+components is lost, while neither thousands of near copies nor thousands of
+texts around one passage give a quadratic number of pairs.
 
 Buckets are found by partial aggregation (count, smallest, largest).  Hot
 buckets meet in joins, which adaptive execution splits, never in one task.
@@ -12,17 +17,25 @@ buckets meet in joins, which adaptive execution splits, never in one task.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
+from .sketches import signed, units
 
 #: Bucket keys that are broadcast at most (16 MB); more are joined by shuffle.
 BROADCAST_KEYS = 1_000_000
 
+#: Counters of element frequencies (uint32): the order of elements, the same for all, rarest first.
+SLOTS_LOG = 18
+
 Verify = Callable[[DataFrame], DataFrame]
+#: (text number, element) of texts: distinct elements, repeated ones told apart by their number.
+Elements = Callable[[list[str]], tuple[np.ndarray, np.ndarray]]
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -53,13 +66,58 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return state.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots.select(F.col("b").alias("node"), F.col("b").alias("root")))
 
 
-def classes(items: DataFrame, verify: Verify, ratio: float = 0.0) -> DataFrame:
-    """items: node, size, bands (stored, unique nodes).  (node, root) of nodes that are linked.
+def prefix_pairs(texts: DataFrame, elements: Elements, similarity: float) -> DataFrame:
+    """texts: node, root, text.  Pairs (a, b) of nodes with other roots that share an element of their rare prefixes."""
+    shift = np.uint64(64 - SLOTS_LOG)
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(1 << SLOTS_LOG, dtype=np.uint64)
+        for batch in batches:
+            own = batch.column(0).to_pylist()
+            for a, b in units(own):
+                counts += np.bincount((elements(own[a:b])[1] >> shift).astype(np.int64), minlength=len(counts)).astype(np.uint64)
+        yield pa.RecordBatch.from_pydict({"counts": pa.array([counts.tobytes()], pa.binary())})
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << SLOTS_LOG, dtype=np.uint64)
+        for batch in batches:
+            for x in batch.column(0).to_pylist():
+                total += np.frombuffer(x, dtype=np.uint64)
+        yield pa.RecordBatch.from_pydict({"counts": pa.array([total.tobytes()], pa.binary())})
+
+    # a row of fixed size for each task, added up in a few tasks, then here
+    each = texts.select("text").mapInArrow(measure, "counts binary").repartition(8).mapInArrow(add, "counts binary").collect()
+    counts = sum((np.frombuffer(r["counts"], dtype=np.uint64) for r in each), np.zeros(1 << SLOTS_LOG, dtype=np.uint64)).astype(np.uint32)
+    held = texts.sparkSession.sparkContext.broadcast(counts)
+
+    def prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = batch.column(2).to_pylist()
+            for a, b in units(own):
+                doc, e = elements(own[a:b])
+                often = held.value[(e >> shift).astype(np.int64)]
+                order = np.lexsort((e, often, doc))
+                doc, e, often = doc[order], e[order], often[order]
+                n = np.bincount(doc, minlength=b - a)
+                rank = np.arange(len(doc)) - (np.cumsum(n) - n)[doc]
+                keep = (rank < n[doc] - np.ceil(similarity * n[doc] - 1e-9) + 1) & (often > 1)
+                at = pa.array(doc[keep] + a)
+                yield pa.RecordBatch.from_arrays([pa.array(signed(e[keep])), batch.column(0).take(at), batch.column(1).take(at), pa.array(n[doc[keep]]), pa.array((n[doc] - rank)[keep])], names=["e", "node", "root", "n", "left"])
 
-    verify(pairs a, b) returns the pairs that are links.  ratio: sizes of linked
-    nodes differ by this factor at most, as similarity bounds it.
+    rare = common.stored(texts.select("node", "root", "text").mapInArrow(prefix, "e bigint, node bigint, root bigint, n bigint, left bigint"), "prefixes")
+    left, right = (rare.select("e", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "root", "n", "left")]) for s in "ab")
+    shared = F.lit(similarity / (1 + similarity)) * (F.col("n_a") + F.col("n_b")) - 1e-6  # what they must share, which also bounds their sizes
+    near = (F.col("root_a") < F.col("root_b")) & (F.least("left_a", "left_b") >= shared)
+    return left.join(right, "e").where(near).select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
+
+
+def classes(items: DataFrame, verify: Verify, texts_of: Callable[[DataFrame], DataFrame], elements: Elements, similarity: float) -> DataFrame:
+    """items: node, bands (stored, unique nodes).  (node, root) of nodes that are linked.
+
+    verify(pairs a, b) returns the pairs that are links; texts_of(nodes node, root)
+    adds their texts.
     """
-    rows = items.select("node", "size", F.explode("bands").alias("band"))
+    rows = items.select("node", F.explode("bands").alias("band"))
     buckets = rows.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("n")).where("low < high")
     buckets = common.stored(buckets, "buckets")
     pairs = buckets.where("n = 2").select(F.col("low").alias("a"), F.col("high").alias("b"))
@@ -72,12 +130,12 @@ def classes(items: DataFrame, verify: Verify, ratio: float = 0.0) -> DataFrame:
     links = common.stored(verify(tried).select("a", "b"), "links")
     found = components(links)
     # members of one bucket that are still apart
-    placed = members.join(found, "node", "left").select("band", "node", "size", F.coalesce("root", "node").alias("root"))
+    placed = members.join(found, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
     mixed = placed.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("band")
-    rest = common.stored(placed.join(mixed, "band", "left_semi"), "apart")
-    left, right = (rest.select("band", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "size", "root")]) for s in "ab")
-    near = (F.least("size_a", "size_b") >= F.lit(ratio) * F.greatest("size_a", "size_b")) & (F.col("root_a") < F.col("root_b"))
-    again = left.join(right, "band").where(near).select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
+    rest = common.stored(placed.join(mixed, "band", "left_semi").select("node", "root").distinct(), "apart")
+    if rest.isEmpty():
+        return found
+    again = prefix_pairs(common.stored(texts_of(rest), "apart-texts"), elements, similarity)
     again = common.stored(again.join(tried, ["a", "b"], "left_anti"), "pairs-apart")
     if again.isEmpty():
         return found

@@ -61,11 +61,9 @@ def verifier(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILA
     """Pairs of doc_ids whose multisets overlap enough."""
 
     def verify(pairs: DataFrame) -> DataFrame:
-        wanted = common.sized(common.stored(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "wanted"))
-        texts = docs.select("doc_id", common.text_of().alias("text")).join(wanted, "doc_id", "left_semi")
-        # one text for each document, should rows repeat
-        texts = common.stored(texts.groupBy("doc_id").agg(F.min("text").alias("text")), "texts") if _repeats(docs) else common.stored(texts, "texts")
-        left, right = (texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
+        wanted = common.stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "wanted")
+        texts = common.stored(texts_of(docs, wanted), "texts")
+        left, right = (texts.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
         both = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -74,7 +72,7 @@ def verifier(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILA
 
             def multiset(text: str) -> tuple[np.ndarray, np.ndarray]:
                 if text not in kept:
-                    if len(kept) > 256:
+                    if len(kept) > 2048:
                         kept.clear()
                     _, key, count, _, _ = word_shingles([text], shingle, tables)
                     kept[text] = key, count
@@ -90,6 +88,24 @@ def verifier(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILA
     return verify
 
 
+def elements(shingle: int) -> links.Elements:
+    """A text's multiset as a set: its shingles, each with the number of its occurrence."""
+    tables: dict = {}
+
+    def of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        doc, key, count, _, _ = word_shingles(texts, shingle, tables)
+        number = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+        return np.repeat(doc, count), mix(np.repeat(key, count) + mix(number.astype(np.uint64)))
+
+    return of
+
+
+def texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    found = docs.select(F.col("doc_id").alias("node"), common.text_of().alias("text")).join(common.sized(nodes), "node")
+    # one text for each document, should rows repeat
+    return found.groupBy(*nodes.columns).agg(F.min("text").alias("text")) if _repeats(docs) else found
+
+
 def _repeats(docs: DataFrame) -> bool:
     n = docs.where("doc_id is not null").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("d")).head()
     return n["n"] != n["d"]
@@ -103,9 +119,9 @@ def classify(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILA
     # rows with one doc_id and several texts are one document
     known = common.stored(mapped.groupBy("doc_id").agg(F.min("node").alias("node"), F.max("node").alias("other")), "nodes")
     items = sketches.where("bands is not null").join(groups.select("one", "two", F.col("node").alias("doc_id")), ["one", "two", "doc_id"], "left_semi")
-    items = items.select(F.col("doc_id").alias("node"), "size", "bands").dropDuplicates(["node", "bands"])
+    items = items.select(F.col("doc_id").alias("node"), "bands").dropDuplicates(["node"])
     items = common.stored(items, "items")
-    found = links.classes(items, verifier(docs, shingle, similarity), similarity)
+    found = links.classes(items, verifier(docs, shingle, similarity), lambda nodes: texts_of(docs, nodes), elements(shingle), similarity)
     several = known.where("node <> other").select(F.col("node").alias("a"), F.col("other").alias("b"))
     selves = known.where("doc_id <> node").join(known.select(F.col("doc_id").alias("node"), F.col("node").alias("real")), "node").where("node <> real").select(F.col("node").alias("a"), F.col("real").alias("b"))
     extra = several.union(selves)

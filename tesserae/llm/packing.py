@@ -6,8 +6,8 @@ document gives its full pieces of ``width`` tokens, which fill sequences of
 their own, and a rest; the rests go, longest first, each to the first open
 sequence with room, found in O(log n) in a tournament tree of free capacities.
 Then the group's emptiest sequences are taken apart as long as the free space
-of the others can hold their pieces, cut where a gap ends: at most one
-sequence of a group stays part-empty.  A group never leaves its task, so memory
+of the others can hold their pieces, cut where a gap ends: a group's sequences
+have less free space than one sequence.  A group never leaves its task, so memory
 is that of one group.
 
 Rows: a null or empty text is a document of its end id alone; repeated rows are

@@ -10,9 +10,9 @@ import numpy as np
 
 from .wordcache import word_hashes
 
-UNIT = 1 << 20
+UNIT = 1 << 19
 _U = np.uint64
-_BASE, _BASE2 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
+_BASE = 0x9E3779B97F4A7C15
 
 _WORD = np.zeros(256, dtype=bool)
 _WORD[np.frombuffer(b"abcdefghijklmnopqrstuvwxyz0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ", dtype=np.uint8)] = True
@@ -172,18 +172,30 @@ def multiset_overlap(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.n
     return both / (float(a[1].sum()) + float(b[1].sum()) - both)
 
 
-def char_shingles(texts: list[str], k: int, tables: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text number, hash) of each shingle of k characters, and two digests of each text; a shorter text is one shingle."""
-    raw = [t.encode("utf-32-le") for t in texts]
-    data = np.frombuffer(b"".join(raw), dtype="<u4").astype(np.uint64) + _U(1)
-    size = np.array([len(r) // 4 for r in raw])
-    begin = np.cumsum(size) - size
-    n = np.maximum(size - k + 1, np.minimum(size, 1))
-    doc = np.repeat(np.arange(len(texts)), n)
-    starts = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n) + begin[doc]
-    h = mix(word_hashes(data, starts, np.minimum(starts + k, (begin + size)[doc]), _BASE, tables))
-    one, two = (mix(word_hashes(data, begin, begin + size, b, tables) + size.astype(np.uint64)) for b in (_BASE, _BASE2))
-    return doc, h, one, two
+def char_shingles(texts: list[str], k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(text number, hash) of each shingle of k characters; a shorter text is one shingle, filled up with zeros."""
+    fill = "\0" * (k - 1)
+    data = np.frombuffer("".join([t + fill for t in texts]).encode("utf-32-le"), dtype="<u4").astype(np.uint64)
+    # blocks of 1, 2, 4, ... characters, and from them of k
+    n, wide, block = len(data), 1, data
+    h, have = None, 0
+    base = _BASE
+    while True:
+        if k & wide:
+            h = block[: n - k + 1] if h is None else h * _U(base) + block[have : have + n - k + 1]
+            have += wide
+        if 2 * wide > k:
+            break
+        block = block[:-wide] * _U(base) + block[wide:]
+        base = base * base % 2**64 | 1
+        wide *= 2
+    size = np.array([len(t) for t in texts])
+    slots = size + k - 1
+    valid = np.maximum(size - k + 1, np.minimum(size, 1))
+    doc = np.repeat(np.arange(len(texts)), slots)[: len(h)]
+    place = np.arange(len(h)) - (np.cumsum(slots) - slots)[doc]
+    keep = place < valid[doc]
+    return doc[keep], mix(h[keep])
 
 
 def one_permutation(doc: np.ndarray, h: np.ndarray, n: int, m: int) -> np.ndarray:
@@ -195,7 +207,7 @@ def one_permutation(doc: np.ndarray, h: np.ndarray, n: int, m: int) -> np.ndarra
     top = np.iinfo(np.uint64).max
     sig = np.full(n * m, top, dtype=np.uint64)
     slot = doc * m + (((h >> _U(32)) * _U(m)) >> _U(32)).astype(np.int64)
-    np.minimum.at(sig, slot, mix(h ^ _U(0x2545F4914F6CDD1D)))
+    np.minimum.at(sig, slot, (h << _U(32)) | (h >> _U(32)))
     sig = sig.reshape(n, m)
     full = sig != top
     out = sig.copy()
