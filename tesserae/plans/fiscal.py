@@ -18,10 +18,10 @@ def growth(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 GROWTH = f"""WITH {QUARTERS}, n AS (SELECT *, {_N} AS n FROM quarters),
 j AS (SELECT a.*, b.revenue AS r0, b.profit AS p0, c.revenue AS rq FROM n a LEFT JOIN n b ON a.code = b.code AND b.n = a.n - 4 LEFT JOIN n c ON a.code = c.code AND c.n = a.n - 1)
-SELECT code, y, q, CASE WHEN r0 > 0 THEN round((revenue - r0) / r0, 4) END AS revenue_yoy, CASE WHEN rq > 0 THEN round((revenue - rq) / rq, 4) END AS revenue_qoq,
-  CASE WHEN p0 > 0 THEN round((profit - p0) / p0, 4) END AS profit_yoy,
+SELECT code, y, q, CASE WHEN r0 > 0 THEN round((revenue - r0) / r0, 4) + 0.0 END AS revenue_yoy, CASE WHEN rq > 0 THEN round((revenue - rq) / rq, 4) + 0.0 END AS revenue_qoq,
+  CASE WHEN p0 > 0 THEN round((profit - p0) / p0, 4) + 0.0 END AS profit_yoy,
   CASE WHEN p0 IS NULL THEN NULL WHEN profit > 0 AND p0 > 0 THEN 'profit' WHEN profit > 0 THEN 'turnaround' WHEN p0 > 0 THEN 'deficit' ELSE 'loss' END AS status,
-  CASE WHEN r0 > 0 AND revenue > 0 THEN round(profit / revenue - p0 / r0, 4) END AS margin_delta FROM j"""
+  CASE WHEN r0 > 0 AND revenue > 0 THEN round(profit / revenue - p0 / r0, 4) + 0.0 END AS margin_delta FROM j"""
 
 
 def ttm(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,6 +11,7 @@ from tesserae.sources import views
 from tesserae.sources.views import BARS, INDEX, UNIVERSE
 
 W = "WINDOW w AS (PARTITION BY code ORDER BY bar_date)"
+# In the SQL, + 0.0 after round() turns a negative zero into zero, which is what Spark's round() gives.
 
 
 def _round(df: DataFrame, digits: int, *names: str) -> DataFrame:
@@ -33,8 +34,8 @@ SELECT code, bar_date, close, round(ma20, 4) AS ma20, round(ma60, 4) AS ma60, ro
   round(close / top, 4) AS near_high,
   CASE WHEN ma20 IS NOT NULL AND ma60 IS NOT NULL AND ma120 IS NOT NULL THEN close > ma20 AND ma20 > ma60 AND ma60 > ma120 END AS aligned,
   CASE WHEN usual > 0 THEN round(volume / usual, 4) END AS volume_ratio,
-  CASE WHEN c20 > 0 THEN round((close / c20 - 1) * 100, 1) END AS return_20,
-  CASE WHEN c60 > 0 THEN round((close / c60 - 1) * 100, 1) END AS return_60
+  CASE WHEN c20 > 0 THEN round((close / c20 - 1) * 100, 1) + 0.0 END AS return_20,
+  CASE WHEN c60 > 0 THEN round((close / c60 - 1) * 100, 1) + 0.0 END AS return_60
 FROM m"""
 
 
@@ -74,7 +75,7 @@ def mansfield(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 MANSFIELD = f"""WITH {BARS}, {INDEX}, r AS (SELECT code, bar_date, close / level AS ratio FROM bars JOIN idx USING (bar_date) WHERE close > 0 AND level > 0),
 m AS (SELECT *, CASE WHEN count(*) OVER (w ROWS 199 PRECEDING) = 200 THEN avg(ratio) OVER (w ROWS 199 PRECEDING) END AS base FROM r {W})
-SELECT code, bar_date, round(ratio, 4) AS ratio, CASE WHEN base > 0 THEN round((ratio / base - 1) * 100, 4) END AS mansfield FROM m"""
+SELECT code, bar_date, round(ratio, 4) AS ratio, CASE WHEN base > 0 THEN round((ratio / base - 1) * 100, 4) + 0.0 END AS mansfield FROM m"""
 
 
 def beta(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,14 +103,14 @@ d AS (SELECT *, count(lg) OVER f AS n, var_pop(lg) OVER f AS vp, regr_slope(lg,
   max(high) OVER p AS hi, min(low) OVER p AS lo, avg(volume) OVER p AS usual,
   CASE WHEN count(*) OVER (w ROWS 49 PRECEDING) = 50 THEN avg(close) OVER (w ROWS 49 PRECEDING) END AS ma
   FROM c WINDOW w AS (PARTITION BY code ORDER BY bar_date), f AS (PARTITION BY code ORDER BY bar_date ROWS 59 PRECEDING), p AS (PARTITION BY code ORDER BY bar_date ROWS BETWEEN 59 PRECEDING AND 1 PRECEDING))
-SELECT code, bar_date, close, round(ma, 4) AS ma, CASE WHEN n = 60 THEN round(CASE WHEN vp > 0 THEN sl ELSE 0 END, 6) END AS slope,
+SELECT code, bar_date, close, round(ma, 4) AS ma, CASE WHEN n = 60 THEN round(CASE WHEN vp > 0 THEN sl ELSE 0 END, 6) + 0.0 END AS slope,
   CASE WHEN n = 60 THEN round(CASE WHEN vp > 0 THEN rr ELSE 0 END, 4) END AS r2,
   CASE WHEN n = 60 THEN round(CASE WHEN path > 0 THEN net / path ELSE 0 END, 4) END AS efficiency,
   CASE WHEN n = 60 AND down > 0 THEN round(up / down, 4) END AS volume_balance,
   CASE WHEN n = 60 AND atr0 > 0 THEN round(atr1 / atr0, 4) END AS range_ratio,
   CASE WHEN n = 60 AND hi > lo THEN round((close - lo) / (hi - lo) * 100, 4) END AS channel,
   CASE WHEN n = 60 THEN close > hi AND volume >= 1.5 * usual END AS breakout,
-  round((close - ma) / ma, 4) AS position FROM d"""
+  round((close - ma) / ma, 4) + 0.0 AS position FROM d"""
 
 
 def stages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -67,19 +67,23 @@ REPORTS = """reports AS (
 
 
 def quarters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fiscal quarters of each customer nation: code, y, q, revenue, cost, profit."""
+    """Fiscal quarters of each customer nation: code, y, q, revenue, profit, lines.
+
+    Amounts are summed as decimals: a sum of doubles depends on the order of its rows, and so would a rounded tie.
+    """
     o, l, c = (table(spark, sf_dir, t) for t in ("orders", "lineitem", "customer"))
-    lines = l.select("l_orderkey", "l_extendedprice", (F.col("l_extendedprice") * F.col("l_discount")).alias("off"), (F.col("l_extendedprice") * F.col("l_tax")).alias("tax"))
+    price, off, tax = F.col("l_extendedprice").cast("decimal(12,2)"), F.col("l_discount").cast("decimal(4,2)"), F.col("l_tax").cast("decimal(4,2)")
+    lines = l.select("l_orderkey", price.alias("price"), (price * (off - tax)).alias("profit"))
     sold = lines.join(o.select("o_orderkey", "o_custkey", "o_orderdate"), F.col("l_orderkey") == F.col("o_orderkey")).join(c.select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
     return sold.groupBy(F.col("c_nationkey").alias("code"), F.year("o_orderdate").alias("y"), F.quarter("o_orderdate").alias("q")).agg(
-        F.round(F.sum("l_extendedprice"), 2).alias("revenue"), F.round(F.sum("off") - F.sum("tax"), 2).alias("profit"), F.count("*").alias("lines")
+        F.sum("price").cast("double").alias("revenue"), F.round(F.sum("profit"), 2).cast("double").alias("profit"), F.count("*").alias("lines")
     )
 
 
 QUARTERS = """quarters AS (
   SELECT c_nationkey AS code, CAST(year(o_orderdate) AS INTEGER) AS y, CAST(quarter(o_orderdate) AS INTEGER) AS q,
-         round(sum(l_extendedprice), 2) AS revenue,
-         round(sum(l_extendedprice * l_discount) - sum(l_extendedprice * l_tax), 2) AS profit, count(*) AS lines
+         CAST(sum(CAST(l_extendedprice AS DECIMAL(12, 2))) AS DOUBLE) AS revenue,
+         CAST(round(sum(CAST(l_extendedprice AS DECIMAL(12, 2)) * (CAST(l_discount AS DECIMAL(4, 2)) - CAST(l_tax AS DECIMAL(4, 2)))), 2) AS DOUBLE) AS profit, count(*) AS lines
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2, 3)"""
 
 
