@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,6 +59,27 @@ def sized(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Batches that go to Python end at BATCH_BYTES too, not at a number of rows alone, so long texts don't add up; a session's own bound stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.set(name, spark.conf.get(name, str(BATCH_BYTES)))
+
+
+BATCH_BYTES = 4 << 20
+_kept: dict[Any, Any] = {}
+
+
+def worker_cache(key: Any, make: Callable[[], Any]) -> Any:
+    """What an operator keeps in a Python worker between tasks.  Workers outlive stages, so the next operator's cache replaces it."""
+    if key not in _kept:
+        _kept.clear()
+        import pyarrow as pa
+
+        pa.default_memory_pool().release_unused()
+        _kept[key] = make()
+    return _kept[key]
+
+
 def drop_stored(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)

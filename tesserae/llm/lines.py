@@ -52,7 +52,10 @@ def forms(text: str, least: int) -> tuple[list[int], list[str]]:
 def sketch(docs: DataFrame, least: int = MIN_CHARS, shingle: int = SHINGLE) -> DataFrame:
     """A row for each line that is compared; again: its form was in an earlier line of the text."""
 
+    common.bound_batches(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.worker_cache("lines", dict)
         for batch in batches:
             for s in range(0, batch.num_rows, 256):
                 part = batch.slice(s, 256)

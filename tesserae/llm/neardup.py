@@ -34,8 +34,10 @@ _SKETCH = pa.schema([("doc_id", pa.int64()), ("one", pa.int64()), ("two", pa.int
 def sketch(docs: DataFrame, shingle: int = SHINGLE, rows: int = ROWS, n_bands: int = BANDS) -> DataFrame:
     """doc_id, two digests of the words, size of the multiset, band keys (null without words)."""
 
+    common.bound_batches(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables: dict = {}
+        tables: dict = common.worker_cache("near", dict)
         for batch in batches:
             for s in range(0, batch.num_rows, 1024):
                 part = batch.slice(s, 1024)

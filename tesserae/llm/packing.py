@@ -109,6 +109,7 @@ PIECES = "doc_id bigint, start bigint, length bigint, ids binary, doc_tokens big
 def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, width: int = WIDTH, group_tokens: int = GROUP_TOKENS, seed: int = 7) -> DataFrame:
     """Pieces with their ids (little-endian uint32); sequence_id is unique, not dense."""
     spark = docs.sparkSession
+    common.bound_batches(spark)
     order = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text"))
     dealt = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), common.text_of().alias("text"))
     # by number, so no key can gather rows; sorted, so that a task that runs again forms the same groups

@@ -190,6 +190,8 @@ def score(docs: DataFrame, model: Model | None, name: str = "score", column: str
     if model is None:
         return docs.withColumn(name, F.lit(0.5))
 
+    common.bound_batches(docs.sparkSession)
+
     @F.pandas_udf("double")
     def quality(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in texts:

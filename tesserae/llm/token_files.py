@@ -50,13 +50,8 @@ _SKIP = 0x184D2A5E
 
 MANIFEST = T.StructType([T.StructField("path", T.StringType()), T.StructField("first_doc", T.LongType()), T.StructField("last_doc", T.LongType()), T.StructField("docs", T.LongType()), T.StructField("ids", T.LongType())])
 
-_encoders: dict[str, ChunkEncoder] = {}
-
-
 def encoder(path: str) -> ChunkEncoder:
-    if path not in _encoders:
-        _encoders[path] = ChunkEncoder(path)
-    return _encoders[path]
+    return common.worker_cache(("encoder", path), lambda: ChunkEncoder(path))
 
 
 def _fs(uri: str):
@@ -142,6 +137,7 @@ class ShardReader:
 def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int) -> DataFrame:
     """Write shards in ascending doc_id order; returns a manifest row for each shard."""
     spark = docs.sparkSession
+    common.bound_batches(spark)
     ordered = (
         docs.where(F.col("doc_id").isNotNull())
         .select("doc_id", common.text_of().alias("text"))

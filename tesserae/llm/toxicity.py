@@ -49,7 +49,7 @@ class LexiconAutomaton:
     """A lexicon trie times a Levenshtein automaton, determinised lazily."""
 
     #: Transitions kept before the table starts afresh.
-    LIMIT = 200_000
+    LIMIT = 100_000
 
     def __init__(self, terms: list[str], stems: list[str] = ()):  # type: ignore[assignment]
         self.children: list[dict[str, int]] = [{}]
@@ -154,7 +154,7 @@ FEATURES = 6
 class Scorer:
     """Per Python worker: the automaton, and which words are known to be clean."""
 
-    CLEAN = 400_000
+    CLEAN = 150_000
 
     def __init__(self, model: Model):
         self.model = model
@@ -258,11 +258,9 @@ def learn_lexicon(sample: DataFrame) -> tuple[dict[str, float], dict[str, float]
     return {r["word"]: r["odds"] for r in best if not any(r["word"].startswith(s) for s in found)}, found
 
 
-def _scorer(model: Model, kept: dict = {}) -> Scorer:  # noqa: B006  one for each Python worker
-    key = repr(model)
-    if kept.get("key") != key:
-        kept.update(key=key, scorer=Scorer(model))
-    return kept["scorer"]
+def _scorer(model: Model) -> Scorer:
+    """One for each Python worker."""
+    return common.worker_cache(("toxicity", repr(model)), lambda: Scorer(model))
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
@@ -300,6 +298,8 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 50
 def score(docs: DataFrame, model: Model, name: str = "score", column: str = "text") -> DataFrame:
     """docs with a score from 0 to 1."""
 
+    common.bound_batches(docs.sparkSession)
+
     @F.pandas_udf("double")
     def toxicity(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         scorer = _scorer(model)

@@ -15,10 +15,10 @@ import re
 
 import numpy as np
 
-#: Chunks that a worker remembers, about 150 bytes each; then it starts afresh.
-MAX_CHUNKS = 700_000
-#: Bytes of text taken at once.
-UNIT = 2 << 20
+#: Chunks, and words, that a worker remembers, about 200 bytes each; then it starts afresh.
+MAX_CHUNKS = 400_000
+#: Bytes of text taken at once; numpy needs about 80 times as much.
+UNIT = 1 << 19
 
 _RUN = re.compile(r"\s\s")
 _TAIL = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
