@@ -43,7 +43,8 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the packed sequences."""
     import public_tokenizers
 
-    return packing.digest(packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json")))
+    # workers that earlier stages have used leave less room for the encoder's cache
+    return packing.digest(packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), most_chunks=400_000))
 
 
 STAGES = [

@@ -30,8 +30,8 @@ from .sketches import signed, units
 #: Bucket keys that are broadcast at most (16 MB); more are joined by shuffle.
 BROADCAST_KEYS = 1_000_000
 
-#: Counters of element frequencies (uint32): the order of elements, the same for all, rarest first.
-SLOTS_LOG = 18
+#: Counters of element frequencies (uint32, 4 MB): the order of elements, the same for all, rarest first.
+SLOTS_LOG = 20
 
 Verify = Callable[[DataFrame], DataFrame]
 #: (text number, element) of texts: distinct elements, repeated ones told apart by their number.
@@ -70,24 +70,28 @@ def prefix_pairs(texts: DataFrame, elements: Elements, similarity: float) -> Dat
     """texts: node, root, text.  Pairs (a, b) of nodes with other roots that share an element of their rare prefixes."""
     shift = np.uint64(64 - SLOTS_LOG)
 
+    def packed(counts: np.ndarray) -> pa.RecordBatch:
+        # counters stop at their largest value, in whatever order they are added
+        return pa.RecordBatch.from_pydict({"counts": pa.array([np.minimum(counts, 0xFFFFFFFF).astype("<u4").tobytes()], pa.binary())})
+
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << SLOTS_LOG, dtype=np.uint64)
         for batch in batches:
             own = batch.column(0).to_pylist()
             for a, b in units(own):
                 counts += np.bincount((elements(own[a:b])[1] >> shift).astype(np.int64), minlength=len(counts)).astype(np.uint64)
-        yield pa.RecordBatch.from_pydict({"counts": pa.array([counts.tobytes()], pa.binary())})
+        yield packed(counts)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << SLOTS_LOG, dtype=np.uint64)
         for batch in batches:
             for x in batch.column(0).to_pylist():
-                total += np.frombuffer(x, dtype=np.uint64)
-        yield pa.RecordBatch.from_pydict({"counts": pa.array([total.tobytes()], pa.binary())})
+                total += np.frombuffer(x, dtype="<u4")
+        yield packed(total)
 
-    # a row of fixed size for each task, added up in a few tasks, then here
-    each = texts.select("text").mapInArrow(measure, "counts binary").repartition(8).mapInArrow(add, "counts binary").collect()
-    counts = sum((np.frombuffer(r["counts"], dtype=np.uint64) for r in each), np.zeros(1 << SLOTS_LOG, dtype=np.uint64)).astype(np.uint32)
+    # a row of fixed size for each task, added up in a few tasks, then in one
+    each = texts.select("text").mapInArrow(measure, "counts binary").repartition(8).mapInArrow(add, "counts binary")
+    counts = np.frombuffer(each.coalesce(1).mapInArrow(add, "counts binary").head()["counts"], dtype="<u4")
     held = texts.sparkSession.sparkContext.broadcast(counts)
 
     def prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from . import common
 from .token_files import encoder
+from .wordcache import MAX_CHUNKS
 
 WIDTH = 2048
 #: Tokens of a group; a longer document is a group of its own.
@@ -106,8 +107,8 @@ _PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", p
 PIECES = "doc_id bigint, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint"
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, width: int = WIDTH, group_tokens: int = GROUP_TOKENS, seed: int = 7) -> DataFrame:
-    """Pieces with their ids (little-endian uint32); sequence_id is unique, not dense."""
+def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, width: int = WIDTH, group_tokens: int = GROUP_TOKENS, seed: int = 7, most_chunks: int = MAX_CHUNKS) -> DataFrame:
+    """Pieces with their ids (little-endian uint32); sequence_id is unique, not dense.  most_chunks bounds the encoder's memory, not the result."""
     spark = docs.sparkSession
     common.bound_batches(spark)
     order = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text"))
@@ -118,7 +119,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, width: int = WIDTH, g
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        enc, sequence = encoder(tokenizer), TaskContext.get().partitionId() << 36
+        enc, sequence = encoder(tokenizer, most_chunks), TaskContext.get().partitionId() << 36
         held: list[tuple[int | None, np.ndarray]] = []
         size = 0
 

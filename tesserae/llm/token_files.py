@@ -37,7 +37,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window
 
 from . import common
-from .wordcache import ChunkEncoder
+from .wordcache import MAX_CHUNKS, ChunkEncoder
 
 #: Ids in a frame, unless one document alone has more.
 FRAME_IDS = 1 << 18
@@ -50,8 +50,8 @@ _SKIP = 0x184D2A5E
 
 MANIFEST = T.StructType([T.StructField("path", T.StringType()), T.StructField("first_doc", T.LongType()), T.StructField("last_doc", T.LongType()), T.StructField("docs", T.LongType()), T.StructField("ids", T.LongType())])
 
-def encoder(path: str) -> ChunkEncoder:
-    return common.worker_cache(("encoder", path), lambda: ChunkEncoder(path))
+def encoder(path: str, most: int = MAX_CHUNKS) -> ChunkEncoder:
+    return common.worker_cache(("encoder", path, most), lambda: ChunkEncoder(path, most))
 
 
 def _fs(uri: str):

@@ -16,7 +16,7 @@ import re
 import numpy as np
 
 #: Chunks, and words, that a worker remembers, about 200 bytes each; then it starts afresh.
-MAX_CHUNKS = 400_000
+MAX_CHUNKS = 700_000
 #: Bytes of text taken at once; numpy needs about 80 times as much.
 UNIT = 1 << 19
 
@@ -46,7 +46,8 @@ def word_hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: i
 class ChunkEncoder:
     """uint32 ids of whole texts, in bounded memory."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int = MAX_CHUNKS):
+        self.most = most
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -73,7 +74,7 @@ class ChunkEncoder:
 
     def _learn(self, chunks: list[str]) -> list[bytes]:
         """Ids of ' ' + chunk: a word of letters and the punctuation after it never meet in one token."""
-        if len(self.cores) > MAX_CHUNKS:
+        if len(self.cores) > self.most:
             self.cores = {}
         cut = [(c.rstrip(_TAIL)) for c in chunks]
         whole = [core.isalpha() for core in cut]
@@ -95,7 +96,7 @@ class ChunkEncoder:
             return [self._ids(p) for p in parts]
         check = two[first]
         keys = (uniq ^ (check << np.uint64(1))).tolist()
-        if len(self.known) > MAX_CHUNKS:
+        if len(self.known) > self.most:
             self.known = {}
         known = self.known
         missing = [i for i, k in enumerate(keys) if k not in known]
