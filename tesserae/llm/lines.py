@@ -2,15 +2,15 @@
 
 Lines are compared in a normal form (lower case, runs of white space as one
 space).  Equal forms are one node at once (128 bits of digest, partial
-aggregation).  Nodes have a MinHash signature over shingles of eight characters
+aggregation), however short they are.  Nodes have a MinHash signature over shingles of eight characters
 and ``BANDS`` bands of ``ROWS`` registers; candidate pairs are verified by the
 exact Jaccard similarity of their shingle sets (``SIMILARITY``), links are joined
 by union-find on Spark, and of each component the first line by (doc_id, line
 number) stays.  At a similarity of 0.8 a pair shares a band with probability
 0.995.
 
-Lines whose form has fewer than ``MIN_CHARS`` characters (blank lines, single
-words, separators) are left alone.
+Only blank lines are left alone.  A form shorter than a shingle is one shingle, the
+form itself, so nothing but an equal form is alike: it has a digest and no bands.
 
 Rows: a null text stays null and has no lines; repeated rows with one doc_id are
 compared like the lines of one document, by their order of text; lines of a null
@@ -33,7 +33,8 @@ from .sketches import bands, char_shingles, one_permutation, signed, units
 SHINGLE = 8
 SIMILARITY = 0.8
 ROWS, BANDS = 4, 10
-MIN_CHARS = 32
+#: Characters of the shortest form that is compared: all but blank lines.
+MIN_CHARS = 1
 #: Rows of a document's line numbers that are broadcast at most.
 ROWS_BROADCAST = 200_000
 
@@ -68,10 +69,15 @@ def sketch(docs: DataFrame, least: int = MIN_CHARS, shingle: int = SHINGLE) -> D
                     seen: set[str] = set()
                     again += [x in seen or seen.add(x) is not None for x in own]
                 for a, b in units(lines):
-                    doc, h = char_shingles(lines[a:b], shingle)
-                    keys = bands(one_permutation(doc, h, b - a, ROWS * BANDS), ROWS)
                     digest = np.frombuffer(b"".join([blake2b(x.encode(), digest_size=16).digest() for x in lines[a:b]]), dtype="<i8").reshape(-1, 2)
-                    lists = pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1, dtype=np.int32) * BANDS), pa.array(signed(keys).ravel()))
+                    have = np.array([len(x) >= shingle for x in lines[a:b]])
+                    wide = [x for x in lines[a:b] if len(x) >= shingle]
+                    keys = np.zeros((0, BANDS), dtype=np.uint64)
+                    if wide:
+                        doc, h = char_shingles(wide, shingle)
+                        keys = bands(one_permutation(doc, h, len(wide), ROWS * BANDS), ROWS)
+                    offsets = np.concatenate([[0], np.cumsum(have)]).astype(np.int32) * BANDS
+                    lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(signed(keys).ravel()), mask=pa.array(~have))
                     yield pa.RecordBatch.from_arrays([pa.array(places[a:b], pa.int64()), pa.array(numbers[a:b], pa.int32()), pa.array(again[a:b], pa.bool_()), pa.array(digest[:, 0]), pa.array(digest[:, 1]), lists], schema=_LINES)
 
     place = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_LAST))
@@ -140,7 +146,7 @@ def dropped(docs: DataFrame, least: int = MIN_CHARS, shingle: int = SHINGLE, sim
     groups = lines.where("not again").groupBy("one", "two", "bands").agg(F.min("place").alias("place"), F.min_by("line", "place").alias("line"), F.count("*").alias("n"))
     # ids are fixed by being written
     nodes = common.stored(groups.withColumn("node", F.monotonically_increasing_id()), "line-nodes")
-    found = links.classes(nodes.select("node", "bands"), verifier(docs, nodes, least, shingle, similarity), lambda wanted: texts_of(docs, nodes, wanted), elements(shingle), similarity)
+    found = links.classes(nodes.where("bands is not null").select("node", "bands"), verifier(docs, nodes, least, shingle, similarity), lambda wanted: texts_of(docs, nodes, wanted), elements(shingle), similarity)
     nodes = nodes.drop("bands")
     placed = nodes.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     linked = placed.groupBy("root").agg(F.min(F.struct("place", "line")).alias("stays"), F.count("*").alias("nodes"), F.max("n").alias("copies")).where("nodes > 1 or copies > 1").select("root", "stays")

@@ -212,12 +212,11 @@ def one_permutation(doc: np.ndarray, h: np.ndarray, n: int, m: int) -> np.ndarra
     full = sig != top
     out = sig.copy()
     attempt = 0
-    any_full = full.any(axis=1)
-    while True:
-        r, c = np.nonzero((out == top) & any_full[:, None])
-        if not len(r):
-            return out
+    r, c = np.nonzero(~full & full.any(axis=1)[:, None])
+    while len(r):
         attempt += 1
         source = (mix(c.astype(np.uint64) * _U(1_000_003) + _U(attempt)) % _U(m)).astype(np.int64)
         ok = full[r, source]
         out[r[ok], c[ok]] = sig[r[ok], source[ok]] + _U(attempt)
+        r, c = r[~ok], c[~ok]
+    return out

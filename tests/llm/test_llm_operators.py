@@ -372,6 +372,18 @@ def test_line_dedup(docs, texts):
         assert got[i].text == (None if t is None else "\n".join(x for n, x in enumerate(t.split("\n")) if n not in gone[i]))
 
 
+def test_line_dedup_has_no_least_length(spark):
+    """Brute force over all lines with a visible character, without the operator's own forms()."""
+    menus = ["Home", "home ", "ok", "Share on Facebook", "share  on facebook", "Share on Facebook!", "--------", "-------------", "---", "----", "é", "x", "", "  ", "All rights reserved 2024", "All rights reserved 2025", prose(12, 70)]
+    texts = ["\n".join(np.random.default_rng(s).choice(menus, 7)) for s in range(25)]
+    flat = [(i, n, " ".join(x.lower().split())) for i, t in enumerate(texts) for n, x in enumerate(t.split("\n")) if x.strip()]
+    sh = [{f[k : k + 8] for k in range(max(1, len(f) - 7))} for _, _, f in flat]
+    root = brute_classes(range(len(flat)), lambda x, y: len(sh[x] & sh[y]) >= 0.8 * len(sh[x] | sh[y]))
+    gone = {i: {flat[k][1] for k, r in enumerate(root) if r != k and flat[k][0] == i} for i in range(len(texts))}
+    got = {r.doc_id: set(r.dropped) for r in lines.dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == gone
+
+
 def test_line_dedup_repeats_and_nothing(spark, empty):
     t = prose(30, 1) + "\n" + prose(30, 2)
     df = spark.createDataFrame([(1, t), (1, t), (2, prose(30, 2)), (None, prose(30, 1)), (None, None)], "doc_id long, text string")
