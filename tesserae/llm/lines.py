@@ -12,9 +12,10 @@ number) stays.  At a similarity of 0.8 a pair shares a band with probability
 Only blank lines are left alone.  A form shorter than a shingle is one shingle, the
 form itself, so nothing but an equal form is alike: it has a digest and no bands.
 
-Rows: a null text stays null and has no lines; repeated rows with one doc_id are
-compared like the lines of one document, by their order of text; lines of a null
-doc_id come last, so they give way to others.
+Rows: a null text stays null and has no lines.  Each row has a place of its own: its
+doc_id where that is unique, else its number in the order of (doc_id, text), written
+to the shared folder.  So rows with one doc_id are compared like other rows, by their
+order of text; lines of a null doc_id come last, so they give way to others.
 """
 
 from __future__ import annotations
@@ -39,8 +40,6 @@ MIN_CHARS = 1
 ROWS_BROADCAST = 200_000
 
 _LINES = pa.schema([("place", pa.int64()), ("line", pa.int32()), ("again", pa.bool_()), ("one", pa.int64()), ("two", pa.int64()), ("bands", pa.list_(pa.int64()))])
-#: The place of rows without a doc_id.
-_LAST = (1 << 63) - 1
 
 
 def forms(text: str, least: int) -> tuple[list[int], list[str]]:
@@ -50,8 +49,19 @@ def forms(text: str, least: int) -> tuple[list[int], list[str]]:
     return [i for i, _ in found], [f for _, f in found]
 
 
+def placed(docs: DataFrame) -> DataFrame:
+    """docs with _place, one for each row, ascending by doc_id (null last) and text."""
+    n = docs.agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("d")).head()
+    if n["n"] == n["d"]:
+        return docs.withColumn("_place", F.col("doc_id").cast("bigint"))
+    # equal rows are dealt out by their number in the input
+    numbered = docs.withColumn("_tie", F.monotonically_increasing_id())
+    ordered = numbered.orderBy(F.col("doc_id").asc_nulls_last(), F.col("text").asc_nulls_last(), "_tie").drop("_tie")
+    return common.stored(ordered.withColumn("_place", F.monotonically_increasing_id()), "line-rows")
+
+
 def sketch(docs: DataFrame, least: int = MIN_CHARS, shingle: int = SHINGLE) -> DataFrame:
-    """A row for each line that is compared; again: its form was in an earlier line of the text."""
+    """docs: _place, text.  A row for each line that is compared; again: its form was in an earlier line of the text."""
 
     common.bound_batches(docs.sparkSession)
 
@@ -80,8 +90,7 @@ def sketch(docs: DataFrame, least: int = MIN_CHARS, shingle: int = SHINGLE) -> D
                     lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(signed(keys).ravel()), mask=pa.array(~have))
                     yield pa.RecordBatch.from_arrays([pa.array(places[a:b], pa.int64()), pa.array(numbers[a:b], pa.int32()), pa.array(again[a:b], pa.bool_()), pa.array(digest[:, 0]), pa.array(digest[:, 1]), lists], schema=_LINES)
 
-    place = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_LAST))
-    source = docs.where("text is not null").select(place.alias("place"), "text")
+    source = docs.where("text is not null").select(F.col("_place").alias("place"), "text")
     return source.mapInArrow(run, "place bigint, line int, again boolean, one bigint, two bigint, bands array<bigint>")
 
 
@@ -90,12 +99,9 @@ def texts_of(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
     rest = [c for c in wanted.columns if c != "node"]
     at = nodes.join(wanted, "node").groupBy("place").agg(F.collect_list(F.struct("line", "node", *rest)).alias("at"))  # a document's own lines
     at = common.sized(common.stored(at, "line-places"), ROWS_BROADCAST)
-    place = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_LAST)).alias("place")
-    held = docs.where("text is not null").select(place, "text").join(at, "place")
+    held = docs.where("text is not null").select(F.col("_place").alias("place"), "text").join(at, "place")
     lines = held.select(F.explode("at").alias("at"), F.split("text", "\n").alias("lines")).select("at.node", *[f"at.{c}" for c in rest], F.get("lines", F.col("at.line")).alias("text"))
-    lines = lines.where("text is not null")
-    # should rows repeat, the first text that has the line
-    return lines.groupBy("node", *rest).agg(F.min("text").alias("text")) if _repeats(docs) else lines
+    return lines.where("text is not null")
 
 
 def elements(shingle: int) -> links.Elements:
@@ -140,7 +146,7 @@ def verifier(docs: DataFrame, nodes: DataFrame, least: int, shingle: int, simila
 
 
 def dropped(docs: DataFrame, least: int = MIN_CHARS, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """(doc_id, lines): the numbers of the lines that go, for each document that loses some."""
+    """docs: _place, text.  (place, lines): the numbers of the lines that go, for each row that loses some."""
     lines = common.stored(sketch(docs, least, shingle), "line-sketches")
     # equal digests have equal bands; a form is once at most in a document
     groups = lines.where("not again").groupBy("one", "two", "bands").agg(F.min("place").alias("place"), F.min_by("line", "place").alias("line"), F.count("*").alias("n"))
@@ -148,43 +154,23 @@ def dropped(docs: DataFrame, least: int = MIN_CHARS, shingle: int = SHINGLE, sim
     nodes = common.stored(groups.withColumn("node", F.monotonically_increasing_id()), "line-nodes")
     found = links.classes(nodes.where("bands is not null").select("node", "bands"), verifier(docs, nodes, least, shingle, similarity), lambda wanted: texts_of(docs, nodes, wanted), elements(shingle), similarity)
     nodes = nodes.drop("bands")
-    placed = nodes.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    linked = placed.groupBy("root").agg(F.min(F.struct("place", "line")).alias("stays"), F.count("*").alias("nodes"), F.max("n").alias("copies")).where("nodes > 1 or copies > 1").select("root", "stays")
-    keep = placed.join(linked, "root").select("one", "two", "stays")
+    rooted = nodes.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    linked = rooted.groupBy("root").agg(F.min(F.struct("place", "line")).alias("stays"), F.count("*").alias("nodes"), F.max("n").alias("copies")).where("nodes > 1 or copies > 1").select("root", "stays")
+    keep = rooted.join(linked, "root").select("one", "two", "stays")
     gone = lines.where("not again").select("one", "two", "place", "line").join(keep, ["one", "two"]).where(F.struct("place", "line") != F.col("stays"))
     gone = gone.select("place", "line").union(lines.where("again").select("place", "line"))
-    gone = gone.groupBy("place").agg(F.sort_array(F.collect_set("line")).alias("lines"))  # a document's own lines
-    return gone.select(F.when(F.col("place") != _LAST, F.col("place")).alias("doc_id"), "lines")
-
-
-def _repeats(docs: DataFrame) -> bool:
-    n = docs.agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("d")).head()
-    return n["n"] != n["d"]
+    return gone.groupBy("place").agg(F.sort_array(F.collect_set("line")).alias("lines"))  # a document's own lines
 
 
 def dedup(docs: DataFrame, **settings) -> DataFrame:
     """docs with the text that stays, and the columns n_lines and dropped (line numbers from 0)."""
-    gone = common.stored(dropped(docs, **settings), "line-drops").withColumnRenamed("doc_id", "_doc").withColumnRenamed("lines", "dropped")
-    joined = docs.join(common.sized(gone, ROWS_BROADCAST), F.col("doc_id").eqNullSafe(F.col("_doc")), "left").drop("_doc")
+    docs = placed(docs)
+    gone = common.stored(dropped(docs, **settings), "line-drops").select(F.col("place").alias("_place"), F.col("lines").alias("dropped"))
+    joined = docs.join(common.sized(gone, ROWS_BROADCAST), "_place", "left").drop("_place")
     parts = F.split("text", "\n")
     rest = F.filter(parts, lambda x, i: ~F.array_contains("dropped", i))
     out = joined.withColumn("n_lines", F.coalesce(F.size(parts), F.lit(0)))
-    if not _repeats(docs):
-        return out.withColumn("text", F.when(F.col("dropped").isNotNull(), F.array_join(rest, "\n")).otherwise(F.col("text"))).withColumn("dropped", F.coalesce("dropped", F.array().cast("array<int>")))
-    # rows with one doc_id: the first keeps what stays of the document, by order of text; the others lose the lines that it has
-    return _repeated(out, parts)
-
-
-def _repeated(out: DataFrame, parts) -> DataFrame:
-    from pyspark.sql import Window
-
-    number = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last()))
-    later = (number > 1) & F.col("doc_id").isNotNull()
-    long = F.filter(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: F.length(F.get(parts, i)) >= MIN_CHARS)
-    gone = F.when(later, long).otherwise(F.coalesce("dropped", F.array().cast("array<int>")))
-    out = out.withColumn("dropped", F.when(F.col("text").isNotNull(), gone).otherwise(F.array().cast("array<int>")))
-    rest = F.filter(parts, lambda x, i: ~F.array_contains("dropped", i))
-    return out.withColumn("text", F.array_join(rest, "\n"))
+    return out.withColumn("text", F.when(F.col("dropped").isNotNull(), F.array_join(rest, "\n")).otherwise(F.col("text"))).withColumn("dropped", F.coalesce("dropped", F.array().cast("array<int>")))
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

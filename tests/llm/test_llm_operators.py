@@ -392,6 +392,20 @@ def test_line_dedup_repeats_and_nothing(spark, empty):
     assert lines.dedup(empty).count() == 0
 
 
+def test_line_dedup_keeps_unique_text_of_repeated_ids(spark):
+    """Two texts under one doc_id and several under null: a row loses only lines that an earlier row has."""
+    one, two, near = prose(30, 1), prose(30, 2), prose(30, 3)
+    texts = [(1, f"{one}\nshort\n{two}"), (1, f"{prose(30, 4)}\nshort\n{prose(30, 5)}\n  "), (2, prose(30, 6)), (2, prose(30, 6)), (2, "short"), (None, f"{two}\n{prose(30, 7)}\n{near}"), (None, f"{prose(30, 8)}\n{two}\n{edited(near, 1)}"), (None, prose(30, 9)), (None, None)]
+    held = sorted(texts, key=lambda r: (r[0] is None, r[0] or 0, r[1] is None, r[1] or ""))
+    flat = [(i, n, " ".join(x.lower().split())) for i, (_, t) in enumerate(held) for n, x in enumerate((t or "").split("\n")) if x.strip()]
+    sh = [{f[k : k + 8] for k in range(max(1, len(f) - 7))} for _, _, f in flat]
+    root = brute_classes(range(len(flat)), lambda x, y: len(sh[x] & sh[y]) >= 0.8 * len(sh[x] | sh[y]))
+    gone = {flat[k][:2] for k, r in enumerate(root) if r != k}
+    want = [(d, t and "\n".join(x for n, x in enumerate(t.split("\n")) if (i, n) not in gone)) for i, (d, t) in enumerate(held)]
+    got = lines.dedup(spark.createDataFrame(texts, "doc_id long, text string").repartition(3)).collect()
+    assert Counter((r.doc_id, r.text) for r in got) == Counter(want)
+
+
 def test_mixing_meets_its_limits(spark, empty):
     rows_ = [(i, prose(20, i), "big") for i in range(900)] + [(1000 + i, prose(20, i), "mid") for i in range(200)] + [(2000 + i, prose(20, i), None) for i in range(30)] + [(3000, None, "none"), (3001, "", "big")]
     df = spark.createDataFrame(rows_, "doc_id long, text string, source string")
