@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from difflib import SequenceMatcher
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -37,11 +38,11 @@ def neighbours(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return out.unionByName(into)
 
 
-def closure(edges: DataFrame, start: DataFrame, rounds: int = 20) -> DataFrame:
-    """(root, node) of everything that a root depends on, breadth first; each round's frontier is written, not replayed."""
+def closure(edges: DataFrame, start: DataFrame) -> DataFrame:
+    """(root, node) of everything that a root depends on, breadth first, until nothing new is found; each round's frontier is written, not replayed."""
     seen = start.select(F.col("node").alias("root"), "node")
     front = seen
-    for _ in range(rounds):
+    while True:
         step = front.join(edges, front["node"] == edges["src"]).select("root", F.col("dst").alias("node")).distinct()
         front = step.join(seen, ["root", "node"], "left_anti").checkpoint()
         if front.isEmpty():
@@ -90,11 +91,12 @@ def fuzzy_top(names: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= k)
 
 
-def nearest_by_cosine(base: DataFrame, asked: DataFrame, k: int = 5) -> DataFrame:
-    """base: id, v.  asked: q, qv - a stated set that is broadcast after it was counted."""
-    if asked.count() > 10_000:
-        raise ValueError("too many queries for an exact search")
-    scored = base.join(F.broadcast(asked), F.col("id") != F.col("q")).withColumn("score", cosine(F.col("v"), F.col("qv")))
+def nearest_by_cosine(base: DataFrame, asked: DataFrame, k: int = 5, block: int = 10_000) -> DataFrame:
+    """base: id, v.  asked: q, qv - a stated set that is broadcast in blocks of about `block` rows after it was counted."""
+    n = max(1, -(-asked.count() // block))
+    parts = [asked.where(F.pmod(F.xxhash64("q"), F.lit(n)) == i) for i in range(n)] if n > 1 else [asked]
+    joined = reduce(DataFrame.unionByName, [base.join(F.broadcast(part), F.col("id") != F.col("q")) for part in parts])
+    scored = joined.withColumn("score", cosine(F.col("v"), F.col("qv")))
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= k).select("q", "id", "rank", "score")
 
 

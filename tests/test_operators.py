@@ -128,3 +128,19 @@ def test_cells_take_the_last_unit(spark):
 def test_sequence_ratio(spark):
     got = one(spark, graphs.sequence_ratio(F.lit("abcd"), F.lit("bcde")).alias("r"), graphs.name_key(F.lit("ACME (Korea) Co., Ltd.")).alias("k"))
     assert got.r == 0.75 and got.k == "acme"
+
+
+def test_closure_follows_chains_to_their_end(spark):
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
+    e = spark.createDataFrame([(i, i + 1) for i in range(24)] + [(24, 20)], "src long, dst long").coalesce(1).cache()
+    got = graphs.closure(e, spark.createDataFrame([(0,)], "node long").coalesce(1))
+    assert sorted((r.root, r.node) for r in got.collect()) == [(0, i) for i in range(1, 25)]
+
+
+def test_nearest_takes_queries_in_blocks(spark):
+    v = [(i, [float(i % 7) + 1, float(i % 5), float(i % 3)]) for i in range(60)]
+    base = spark.createDataFrame(v, "id long, v array<double>")
+    asked = base.where("id % 2 = 0").select(F.col("id").alias("q"), F.col("v").alias("qv"))
+    rows = lambda block: sorted((r.q, r.id, r["rank"]) for r in graphs.nearest_by_cosine(base, asked, 5, block).collect())
+    assert rows(7) == rows(100) and len(rows(7)) == 150
