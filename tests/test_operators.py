@@ -144,3 +144,18 @@ def test_nearest_takes_queries_in_blocks(spark):
     asked = base.where("id % 2 = 0").select(F.col("id").alias("q"), F.col("v").alias("qv"))
     rows = lambda block: sorted((r.q, r.id, r["rank"]) for r in graphs.nearest_by_cosine(base, asked, 5, block).collect())
     assert rows(7) == rows(100) and len(rows(7)) == 150
+
+
+def test_fuzzy_top_scores_all_names(spark):
+    """Brute force over all names; errors in the first letters share no start and no word."""
+    from difflib import SequenceMatcher
+
+    words = ["Samsung", "Hyundai", "Kia Motors", "LG Chem", "samsong", "Posco", "Naver", "Kakao", "Celltrion", "hyundae", "", "qqq", "Samsung SDI"]
+    names = [(i, w) for i, w in enumerate(words + [f"{w} {i}" for i, w in enumerate(words)] + words)] + [(99, None)]
+    asked = ["amsung", "Hyndai", "xosco", "#", "a"]
+    want = []
+    for q in asked:
+        scored = sorted((-SequenceMatcher(None, q.lower(), w.lower()).ratio(), i) for i, w in names if w is not None)
+        want += [(q, i, n + 1, -s) for n, (s, i) in enumerate([x for x in scored if x[0] < 0][:5])]
+    got = graphs.fuzzy_top(spark.createDataFrame(names, "id long, name string"), spark.createDataFrame([(q,) for q in asked], "q string"), chunk=10, block=2)
+    assert sorted((r.q, r.id, r["rank"], r.score) for r in got.collect()) == sorted(want)
