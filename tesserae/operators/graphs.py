@@ -131,6 +131,8 @@ def fuzzy_top(names: DataFrame, queries: DataFrame, k: int = 5, chunk: int = 200
                 yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], t) for c, t in enumerate((pa.string(), to_arrow_type(id_type), pa.string(), pa.float64()))], names=["q", "id", "name", "score"])
 
     schema = T.StructType([T.StructField("q", T.StringType()), T.StructField("id", id_type), T.StructField("name", T.StringType()), T.StructField("score", T.DoubleType())])
+    # few bytes and much work: the number of tasks is stated, so that it is not made smaller
+    held = held.repartition(int(names.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     scored = held.crossJoin(asked).mapInArrow(run, schema)
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= k)
 
