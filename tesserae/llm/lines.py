@@ -42,9 +42,14 @@ ROWS_BROADCAST = 200_000
 _LINES = pa.schema([("place", pa.int64()), ("line", pa.int32()), ("again", pa.bool_()), ("one", pa.int64()), ("two", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
 
+def form(line: str) -> str:
+    """A lower-case line with runs of white space as one space; a blank is the only white space that is printable."""
+    return line.strip(" ") if line.isprintable() and "  " not in line else " ".join(line.split())
+
+
 def forms(text: str, least: int) -> tuple[list[int], list[str]]:
     """Numbers (from 0) and normal forms of the lines that are compared."""
-    found = [(i, " ".join(line.split())) for i, line in enumerate(text.lower().split("\n")) if len(line) >= least]
+    found = [(i, form(line)) for i, line in enumerate(text.lower().split("\n")) if len(line) >= least]
     found = [(i, f) for i, f in found if len(f) >= least]
     return [i for i, _ in found], [f for _, f in found]
 
@@ -95,54 +100,17 @@ def sketch(docs: DataFrame, least: int = MIN_CHARS, shingle: int = SHINGLE) -> D
 
 
 def texts_of(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
-    """wanted (column node, and others) with the text of the line."""
-    rest = [c for c in wanted.columns if c != "node"]
-    at = nodes.join(wanted, "node").groupBy("place").agg(F.collect_list(F.struct("line", "node", *rest)).alias("at"))  # a document's own lines
+    """wanted: node.  (node, text) of their lines."""
+    at = nodes.join(wanted, "node").groupBy("place").agg(F.map_from_entries(F.collect_list(F.struct("line", "node"))).alias("at"))  # a document's own lines
     at = common.sized(common.stored(at, "line-places"), ROWS_BROADCAST)
     held = docs.where("text is not null").select(F.col("_place").alias("place"), "text").join(at, "place")
-    lines = held.select(F.explode("at").alias("at"), F.split("text", "\n").alias("lines")).select("at.node", *[f"at.{c}" for c in rest], F.get("lines", F.col("at.line")).alias("text"))
-    return lines.where("text is not null")
+    # only wanted lines leave the array, so that no whole text is copied to each of them
+    lines = F.transform(F.split("text", "\n"), lambda x, i: F.struct(F.try_element_at("at", i).alias("node"), x.alias("text")))
+    return held.select(F.inline(F.filter(lines, lambda x: x["node"].isNotNull())))
 
 
 def elements(shingle: int) -> links.Elements:
-    def of(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        doc, h = char_shingles([" ".join(x.lower().split()) for x in lines], shingle)
-        order = np.lexsort((h, doc))
-        doc, h = doc[order], h[order]
-        first = np.ones(len(doc), dtype=bool)
-        first[1:] = (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])
-        return doc[first], h[first]
-
-    return of
-
-
-def verifier(docs: DataFrame, nodes: DataFrame, least: int, shingle: int, similarity: float) -> links.Verify:
-    """nodes: node, place, line.  Pairs of nodes whose shingle sets are alike."""
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        wanted = common.stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "wanted")
-        lines = common.stored(texts_of(docs, nodes, wanted), "lines")
-        left, right = (lines.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
-        both = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            def shingles(line: str) -> set[str]:
-                form = " ".join(line.lower().split())
-                return {form[i : i + shingle] for i in range(max(1, len(form) - shingle + 1))}
-
-            for batch in batches:
-                ok, last, kept = [], None, set()
-                for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                    if y != last:
-                        last, kept = y, shingles(y)
-                    other = shingles(x)
-                    shared = len(other & kept)
-                    ok.append(shared >= similarity * (len(other) + len(kept) - shared))
-                yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-        return both.mapInArrow(run, "a bigint, b bigint")
-
-    return verify
+    return lambda lines: char_shingles([form(x.lower()) for x in lines], shingle)
 
 
 def dropped(docs: DataFrame, least: int = MIN_CHARS, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
@@ -152,11 +120,11 @@ def dropped(docs: DataFrame, least: int = MIN_CHARS, shingle: int = SHINGLE, sim
     groups = lines.where("not again").groupBy("one", "two", "bands").agg(F.min("place").alias("place"), F.min_by("line", "place").alias("line"), F.count("*").alias("n"))
     # ids are fixed by being written
     nodes = common.stored(groups.withColumn("node", F.monotonically_increasing_id()), "line-nodes")
-    found = links.classes(nodes.where("bands is not null").select("node", "bands"), verifier(docs, nodes, least, shingle, similarity), lambda wanted: texts_of(docs, nodes, wanted), elements(shingle), similarity)
-    nodes = nodes.drop("bands")
-    rooted = nodes.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    found = links.classes(nodes.where("bands is not null").select("node", "bands"), lambda wanted: texts_of(docs, nodes, wanted), elements(shingle), similarity)
+    # forms that occur once and have no link stay as they are
+    rooted = nodes.drop("bands").join(common.sized(found), "node", "left").where("root is not null or n > 1").withColumn("root", F.coalesce("root", "node"))
     linked = rooted.groupBy("root").agg(F.min(F.struct("place", "line")).alias("stays"), F.count("*").alias("nodes"), F.max("n").alias("copies")).where("nodes > 1 or copies > 1").select("root", "stays")
-    keep = rooted.join(linked, "root").select("one", "two", "stays")
+    keep = common.sized(common.stored(rooted.join(linked, "root").select("one", "two", "stays"), "line-keeps"), ROWS_BROADCAST)
     gone = lines.where("not again").select("one", "two", "place", "line").join(keep, ["one", "two"]).where(F.struct("place", "line") != F.col("stays"))
     gone = gone.select("place", "line").union(lines.where("again").select("place", "line"))
     return gone.groupBy("place").agg(F.sort_array(F.collect_set("line")).alias("lines"))  # a document's own lines
@@ -167,9 +135,8 @@ def dedup(docs: DataFrame, **settings) -> DataFrame:
     docs = placed(docs)
     gone = common.stored(dropped(docs, **settings), "line-drops").select(F.col("place").alias("_place"), F.col("lines").alias("dropped"))
     joined = docs.join(common.sized(gone, ROWS_BROADCAST), "_place", "left").drop("_place")
-    parts = F.split("text", "\n")
-    rest = F.filter(parts, lambda x, i: ~F.array_contains("dropped", i))
-    out = joined.withColumn("n_lines", F.coalesce(F.size(parts), F.lit(0)))
+    rest = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("dropped", i))
+    out = joined.withColumn("n_lines", F.coalesce(F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"))) + 1, F.lit(0)))
     return out.withColumn("text", F.when(F.col("dropped").isNotNull(), F.array_join(rest, "\n")).otherwise(F.col("text"))).withColumn("dropped", F.coalesce("dropped", F.array().cast("array<int>")))
 
 

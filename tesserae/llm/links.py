@@ -1,15 +1,17 @@
 """From banded signatures to classes: candidate pairs, verification, union-find.
 
 Pairs are not emitted for all of a bucket.  Each member is first compared with
-the bucket's smallest and largest node; verified links join members into
-components.  Then only the members of different components that still share a
-bucket are compared, by an exact prefix filter: with elements in one order for
-all, the rarest first, two sets of similarity t share an element among the first
-n - ceil(t * n) + 1 of each, and at the first shared one both have as many
-elements left as they must share.  Texts that have just a common passage share
-frequent elements only, too late in that order, and give no pair.  So no link between different
-components is lost, while neither thousands of near copies nor thousands of
-texts around one passage give a quadratic number of pairs.
+the bucket's smallest node; verified links join members into components.  What is left are the members outside the largest component of a
+bucket: they meet the bucket's other members in a join whose condition holds an
+exact bound.  Each text has a parity map of its elements (bit i tells whether an
+odd number of them falls on i), and two maps differ in no more bits than the
+sets differ in elements; so a pair whose maps differ in too many bits can't be a
+link, and only near pairs leave the join and are verified.  While that join
+would still make more than ``COMPARISONS`` comparisons for each member, further rounds
+compare the members that are left with ``PIVOTS`` random members of the largest
+component, which costs the number of members.  No link between different
+components is lost, and neither thousands of near copies nor thousands of texts
+around one passage give a quadratic number of pairs.
 
 Buckets are found by partial aggregation (count, smallest, largest).  Hot
 buckets meet in joins, which adaptive execution splits, never in one task.
@@ -21,20 +23,22 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .sketches import signed, units
+from .sketches import units
 
 #: Bucket keys that are broadcast at most (16 MB); more are joined by shuffle.
 BROADCAST_KEYS = 1_000_000
 
-#: Counters of element frequencies (uint32, 4 MB): the order of elements, the same for all, rarest first.
-SLOTS_LOG = 20
+#: 64-bit words of a parity map.
+WORDS = 16
+#: Comparisons for each member row that the last join may make while further rounds still link something.
+COMPARISONS = 256
+PIVOTS = 4
 
-Verify = Callable[[DataFrame], DataFrame]
-#: (text number, element) of texts: distinct elements, repeated ones told apart by their number.
+#: (text number, element) of texts, by ascending text number; an element that repeats in a text counts once.
 Elements = Callable[[list[str]], tuple[np.ndarray, np.ndarray]]
 
 
@@ -66,82 +70,137 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return state.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots.select(F.col("b").alias("node"), F.col("b").alias("root")))
 
 
-def prefix_pairs(texts: DataFrame, elements: Elements, similarity: float) -> DataFrame:
-    """texts: node, root, text.  Pairs (a, b) of nodes with other roots that share an element of their rare prefixes."""
-    shift = np.uint64(64 - SLOTS_LOG)
+def distinct(doc: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text number, element number) without repeats, ascending, and the elements by number."""
+    kinds, number = np.unique(e, return_inverse=True)
+    key = np.sort(doc * len(kinds) + number)
+    doc, number = np.divmod(key[np.diff(key, prepend=-1) > 0], max(1, len(kinds)))
+    return doc, number, kinds
 
-    def packed(counts: np.ndarray) -> pa.RecordBatch:
-        # counters stop at their largest value, in whatever order they are added
-        return pa.RecordBatch.from_pydict({"counts": pa.array([np.minimum(counts, 0xFFFFFFFF).astype("<u4").tobytes()], pa.binary())})
 
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << SLOTS_LOG, dtype=np.uint64)
+def parity_maps(doc: np.ndarray, e: np.ndarray, n: int) -> np.ndarray:
+    """(n, WORDS) int64 for n sets of elements without repeats."""
+    bits = 64 * WORDS
+    odd = np.bincount(doc * bits + ((e >> np.uint64(20)) % np.uint64(bits)).astype(np.int64), minlength=n * bits) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").view("<i8").reshape(n, WORDS)
+
+
+def maps(texts: DataFrame, elements: Elements) -> DataFrame:
+    """texts: node, text.  node, n (its elements), m0, m1, ... (its parity map)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = batch.column(0).to_pylist()
+            own = batch.column(1).to_pylist()
             for a, b in units(own):
-                counts += np.bincount((elements(own[a:b])[1] >> shift).astype(np.int64), minlength=len(counts)).astype(np.uint64)
-        yield packed(counts)
+                doc, number, kinds = distinct(*elements(own[a:b]))
+                m = parity_maps(doc, kinds[number], b - a)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(np.bincount(doc, minlength=b - a)), *[pa.array(np.ascontiguousarray(m[:, i])) for i in range(WORDS)]], names=["node", "n", *_MAP])
+
+    return texts.select("node", "text").mapInArrow(run, "node bigint, n bigint, " + ", ".join(f"{c} bigint" for c in _MAP))
+
+
+_MAP = [f"m{i}" for i in range(WORDS)]
+
+
+def _side(mapped: DataFrame, end: str) -> DataFrame:
+    return mapped.select(*[F.col(c).alias(c if c == "band" else f"{c}_{end}") for c in mapped.columns])
+
+
+def _near(similarity: float) -> Column:
+    """What a link surely meets: sets of similarity t differ in (1 - t) / (1 + t) of their elements at most."""
+    apart = sum((F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in _MAP[1:]), F.bit_count(F.col("m0_a").bitwiseXOR(F.col("m0_b"))))
+    return apart <= F.lit((1 - similarity) / (1 + similarity)) * (F.col("n_a") + F.col("n_b")) + 1e-6
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << SLOTS_LOG, dtype=np.uint64)
-        for batch in batches:
-            for x in batch.column(0).to_pylist():
-                total += np.frombuffer(x, dtype="<u4")
-        yield packed(total)
 
-    # a row of fixed size for each task, added up in a few tasks, then in one
-    each = texts.select("text").mapInArrow(measure, "counts binary").repartition(8).mapInArrow(add, "counts binary")
-    counts = np.frombuffer(each.coalesce(1).mapInArrow(add, "counts binary").head()["counts"], dtype="<u4")
-    held = texts.sparkSession.sparkContext.broadcast(counts)
+def apart_pairs(apart: DataFrame, mapped: DataFrame, similarity: float) -> DataFrame:
+    """apart: band, node, root, main (whether root is the band's largest).  Pairs (a, b) of nodes of one band and other roots that may be links."""
+    rows = apart.join(mapped, "node")
+    meet = (F.col("root_a") != F.col("root_b")) & (F.col("main_b") | (F.col("node_a") < F.col("node_b"))) & _near(similarity)
+    return _side(rows.where("not main"), "a").join(_side(rows, "b"), "band").where(meet).select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
 
-    def prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def pivot_pairs(apart: DataFrame, mapped: DataFrame, similarity: float, seed: int) -> DataFrame:
+    """Pairs of each node outside its band's largest component and random members of that that may be links."""
+    chosen = apart.where("main").groupBy("band").agg(F.array_distinct(F.array(*[F.min_by("node", F.xxhash64(F.lit(seed), F.lit(i), "node")) for i in range(PIVOTS)])).alias("to"))
+    pairs = apart.where("not main").join(chosen, "band").select(F.col("node").alias("node_a"), F.explode("to").alias("node_b")).distinct()
+    near = pairs.join(_side(mapped, "a"), "node_a").join(_side(mapped, "b"), "node_b").where(_near(similarity))
+    return near.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
+
+
+def alike(texts: list[str], a: np.ndarray, b: np.ndarray, elements: Elements, similarity: float) -> np.ndarray:
+    """Whether the sets of texts[a[i]] and texts[b[i]] have that Jaccard similarity."""
+    parts = [(elements(texts[i:j]), i) for i, j in units(texts)]
+    doc, number, kinds = distinct(np.concatenate([d + i for (d, _), i in parts]), np.concatenate([e for (_, e), _ in parts]))
+    size = np.bincount(doc, minlength=len(texts))
+    stop = np.cumsum(size)
+    marked = np.zeros(len(kinds), dtype=bool)
+    ok, last = np.zeros(len(a), dtype=bool), -1
+    for i in np.argsort(b, kind="stable").tolist():
+        x, y = a[i], b[i]
+        if y != last:
+            if last >= 0:
+                marked[number[stop[last] - size[last] : stop[last]]] = False
+            marked[number[stop[y] - size[y] : stop[y]]] = True
+            last = y
+        shared = np.count_nonzero(marked[number[stop[x] - size[x] : stop[x]]])
+        ok[i] = shared >= similarity * (size[x] + size[y] - shared)
+    return ok
+
+
+def verified(pairs: DataFrame, texts: DataFrame, elements: Elements, similarity: float) -> DataFrame:
+    """pairs: a, b; texts: node, text.  The pairs that are links."""
+    left, right = (texts.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
+    both = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = batch.column(2).to_pylist()
-            for a, b in units(own):
-                doc, e = elements(own[a:b])
-                often = held.value[(e >> shift).astype(np.int64)]
-                order = np.lexsort((e, often, doc))
-                doc, e, often = doc[order], e[order], often[order]
-                n = np.bincount(doc, minlength=b - a)
-                rank = np.arange(len(doc)) - (np.cumsum(n) - n)[doc]
-                keep = (rank < n[doc] - np.ceil(similarity * n[doc] - 1e-9) + 1) & (often > 1)
-                at = pa.array(doc[keep] + a)
-                yield pa.RecordBatch.from_arrays([pa.array(signed(e[keep])), batch.column(0).take(at), batch.column(1).take(at), pa.array(n[doc[keep]]), pa.array((n[doc] - rank)[keep])], names=["e", "node", "root", "n", "left"])
-
-    rare = common.stored(texts.select("node", "root", "text").mapInArrow(prefix, "e bigint, node bigint, root bigint, n bigint, left bigint"), "prefixes")
-    left, right = (rare.select("e", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "root", "n", "left")]) for s in "ab")
-    shared = F.lit(similarity / (1 + similarity)) * (F.col("n_a") + F.col("n_b")) - 1e-6  # what they must share, which also bounds their sizes
-    near = (F.col("root_a") < F.col("root_b")) & (F.least("left_a", "left_b") >= shared)
-    return left.join(right, "e").where(near).select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
-
-
-def classes(items: DataFrame, verify: Verify, texts_of: Callable[[DataFrame], DataFrame], elements: Elements, similarity: float) -> DataFrame:
+            n = batch.num_rows
+            if n:
+                _, first, inverse = np.unique(np.concatenate([batch.column(0).to_numpy(), batch.column(1).to_numpy()]), return_index=True, return_inverse=True)
+                held = [batch.column(2)[i].as_py() if i < n else batch.column(3)[i - n].as_py() for i in first.tolist()]
+                yield batch.select(["a", "b"]).filter(pa.array(alike(held, inverse[:n], inverse[n:], elements, similarity)))
+
+    return both.mapInArrow(run, "a bigint, b bigint")
+
+
+def classes(items: DataFrame, texts_of: Callable[[DataFrame], DataFrame], elements: Elements, similarity: float) -> DataFrame:
     """items: node, bands (stored, unique nodes).  (node, root) of nodes that are linked.
 
-    verify(pairs a, b) returns the pairs that are links; texts_of(nodes node, root)
-    adds their texts.
+    texts_of(nodes) adds the texts of nodes.
     """
+    common.bound_batches(items.sparkSession)
     rows = items.select("node", F.explode("bands").alias("band"))
     buckets = rows.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("n")).where("low < high")
     buckets = common.stored(buckets, "buckets")
     pairs = buckets.where("n = 2").select(F.col("low").alias("a"), F.col("high").alias("b"))
-    more = buckets.where("n > 2").select("band", "low", "high")
+    more = buckets.where("n > 2").select("band", "low")
     if 0 < more.count() <= BROADCAST_KEYS:
         more = F.broadcast(more)
     members = common.stored(rows.join(more, "band"), "members")
-    stars = members.select(F.explode(F.array(F.struct(F.col("low").alias("a"), F.col("node").alias("b")), F.struct(F.col("node").alias("a"), F.col("high").alias("b")))).alias("p")).select("p.*").where("a < b")
+    stars = members.select(F.col("low").alias("a"), F.col("node").alias("b")).where("a < b")
     tried = common.stored(pairs.union(stars).distinct(), "pairs")
-    links = common.stored(verify(tried).select("a", "b"), "links")
-    found = components(links)
-    # members of one bucket that are still apart
-    placed = members.join(found, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
-    mixed = placed.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("band")
-    rest = common.stored(placed.join(mixed, "band", "left_semi").select("node", "root").distinct(), "apart")
-    if rest.isEmpty():
-        return found
-    again = prefix_pairs(common.stored(texts_of(rest), "apart-texts"), elements, similarity)
-    again = common.stored(again.join(tried, ["a", "b"], "left_anti"), "pairs-apart")
-    if again.isEmpty():
-        return found
-    late = common.stored(verify(again).select("a", "b"), "links-apart")
-    return found if late.isEmpty() else components(links.union(late))
+    texts = common.stored(texts_of(tried.select(F.explode(F.array("a", "b")).alias("node")).distinct()), "texts")
+    found = components(common.stored(verified(tried, texts, elements, similarity), "links"))
+    members, mapped, seed, stalled = members.select("band", "node"), None, 0, False
+    while True:
+        # members of one bucket that are still apart
+        placed = members.join(found, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
+        sizes = placed.groupBy("band", "root").agg(F.count("*").alias("n")).groupBy("band").agg(F.max_by("root", F.struct("n", "root")).alias("largest"), F.max("n").alias("most"), F.sum("n").alias("n"), F.count("*").alias("roots"))
+        sizes = common.stored(sizes.where("roots > 1").drop("roots"), "mixed")
+        work = sizes.agg(F.sum("n").alias("rows"), F.sum((F.col("n") - F.col("most")) * F.col("n")).alias("comparisons")).head()
+        if not work["rows"]:
+            return found
+        apart = common.stored(placed.join(sizes.select("band", "largest"), "band").select("band", "node", "root", (F.col("root") == F.col("largest")).alias("main")), "apart")
+        if mapped is None:
+            mapped = common.stored(maps(texts.join(apart.select("node").distinct(), "node", "left_semi"), elements), "maps")
+        last = stalled or work["comparisons"] <= COMPARISONS * work["rows"]
+        seed += 1
+        again = apart_pairs(apart, mapped, similarity) if last else pivot_pairs(apart, mapped, similarity, seed)
+        again = common.stored(again.join(tried, ["a", "b"], "left_anti"), "pairs-apart")
+        late = common.stored(verified(again, texts, elements, similarity), "links-apart")
+        stalled = late.isEmpty()
+        if not stalled:
+            found = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")).union(late))
+        if last:
+            return found
+        tried = tried.union(again)

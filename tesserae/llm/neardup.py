@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common, links
-from .sketches import bag_minhash, bands, mix, multiset_overlap, signed, units, word_shingles
+from .sketches import bag_minhash, bands, mix, signed, units, word_shingles
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -59,37 +59,6 @@ def sketch(docs: DataFrame, shingle: int = SHINGLE, rows: int = ROWS, n_bands: i
     return source.mapInArrow(run, "doc_id bigint, one bigint, two bigint, size bigint, bands array<bigint>")
 
 
-def verifier(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> links.Verify:
-    """Pairs of doc_ids whose multisets overlap enough."""
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        wanted = common.stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "wanted")
-        texts = common.stored(texts_of(docs, wanted), "texts")
-        left, right = (texts.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
-        both = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            tables: dict = {}
-            kept: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-
-            def multiset(text: str) -> tuple[np.ndarray, np.ndarray]:
-                if text not in kept:
-                    if len(kept) > 2048:
-                        kept.clear()
-                    _, key, count, _, _ = word_shingles([text], shingle, tables)
-                    kept[text] = key, count
-                return kept[text]
-
-            for batch in batches:
-                a, b = batch.column(2), batch.column(3)
-                ok = np.array([multiset_overlap(multiset(a[i].as_py()), multiset(b[i].as_py())) >= similarity for i in range(batch.num_rows)], dtype=bool)
-                yield batch.select(["a", "b"]).filter(pa.array(ok))
-
-        return both.mapInArrow(run, "a bigint, b bigint")
-
-    return verify
-
-
 def elements(shingle: int) -> links.Elements:
     """A text's multiset as a set: its shingles, each with the number of its occurrence."""
     tables: dict = {}
@@ -123,7 +92,7 @@ def classify(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILA
     items = sketches.where("bands is not null").join(groups.select("one", "two", F.col("node").alias("doc_id")), ["one", "two", "doc_id"], "left_semi")
     items = items.select(F.col("doc_id").alias("node"), "bands").dropDuplicates(["node"])
     items = common.stored(items, "items")
-    found = links.classes(items, verifier(docs, shingle, similarity), lambda nodes: texts_of(docs, nodes), elements(shingle), similarity)
+    found = links.classes(items, lambda nodes: texts_of(docs, nodes), elements(shingle), similarity)
     several = known.where("node <> other").select(F.col("node").alias("a"), F.col("other").alias("b"))
     selves = known.where("doc_id <> node").join(known.select(F.col("doc_id").alias("node"), F.col("node").alias("real")), "node").where("node <> real").select(F.col("node").alias("a"), F.col("real").alias("b"))
     extra = several.union(selves)

@@ -165,13 +165,6 @@ def bands(signature: np.ndarray, rows: int) -> np.ndarray:
     return out
 
 
-def multiset_overlap(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
-    """Weighted Jaccard of (ascending keys, counts)."""
-    _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
-    both = float(np.minimum(a[1][i], b[1][j]).sum())
-    return both / (float(a[1].sum()) + float(b[1].sum()) - both)
-
-
 def char_shingles(texts: list[str], k: int) -> tuple[np.ndarray, np.ndarray]:
     """(text number, hash) of each shingle of k characters; a shorter text is one shingle, filled up with zeros."""
     fill = "\0" * (k - 1)

@@ -317,17 +317,36 @@ def test_near_duplicates_around_a_common_passage(spark):
     assert got == {i: 3 if i == 17 else i for i in range(60)}
 
 
-def test_prefix_pairs_miss_nothing(spark):
+@pytest.mark.parametrize("comparisons", [0, 1 << 20])
+def test_apart_members_miss_no_link(spark, monkeypatch, comparisons):
+    """All texts in one bucket, compared with its ends, then as they are bounded by parity maps, with and without rounds of pivots."""
+    monkeypatch.setattr(links, "COMPARISONS", comparisons)
     base = [prose(80, s) for s in range(12)]
-    t = base + [edited(b, k, 3) for b in base for k in (1, 2, 3, 5)]
-    df = spark.createDataFrame([(i, i, x) for i, x in enumerate(t)], "node long, root long, text string")
-    got = {(r.a, r.b) for r in links.prefix_pairs(df, neardup.elements(5), 0.8).collect()}
-    for i in range(len(t)):
-        for j in range(i + 1, len(t)):
-            x, y = multiset(t[i]), multiset(t[j])
-            both = sum((x & y).values())
-            if both >= 0.8 * (sum(x.values()) + sum(y.values()) - both):
-                assert (i, j) in got
+    t = base + [edited(b, k, 3) for b in base for k in (1, 2, 3, 5, 9)]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(t)], "node long, text string")
+    items = df.select("node", F.array(F.lit(1).cast("long"), F.lit(2).cast("long")).alias("bands"))
+    got = {r.node: r.root for r in links.classes(items, lambda wanted: df.join(wanted, "node"), neardup.elements(5), 0.8).collect()}
+
+    def similar(a, b):
+        x, y = multiset(a), multiset(b)
+        both = sum((x & y).values())
+        return both >= 0.8 * (sum(x.values()) + sum(y.values()) - both)
+
+    assert [got.get(i, i) for i in range(len(t))] == brute_classes(t, similar)
+
+
+def test_parity_maps_bound_the_difference():
+    r = np.random.default_rng(6)
+    doc, e = neardup.elements(5)([prose(60, 1), prose(60, 2), edited(prose(60, 1), 3), ""])
+    m = links.parity_maps(doc, e, 4)
+    sets = [set(e[doc == i].tolist()) for i in range(4)]
+    for i in range(4):
+        for j in range(4):
+            differ = sum(int(x).bit_count() for x in (m[i] ^ m[j]).view("<u8"))
+            assert differ <= len(sets[i] ^ sets[j]) and (len(sets[i] ^ sets[j]) > 60 or differ >= 0.8 * len(sets[i] ^ sets[j]))
+    texts_, a, b = [prose(30, s) for s in range(3)] + [edited(prose(30, 0), 1)], r.integers(0, 4, 50), r.integers(0, 4, 50)
+    want = [len(sets_ & other) >= 0.5 * len(sets_ | other) for sets_, other in ((set(multiset(texts_[x])), set(multiset(texts_[y]))) for x, y in zip(a, b))]
+    assert links.alike(texts_, a, b, neardup.elements(5), 0.5).tolist() == want
 
 
 def test_near_duplicates_repeated_ids_and_nothing(spark, empty):
