@@ -23,11 +23,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .sketches import units
+from .sketches import UNIT, units
 
 #: Bucket keys that are broadcast at most (16 MB); more are joined by shuffle.
 BROADCAST_KEYS = 1_000_000
@@ -35,7 +36,7 @@ BROADCAST_KEYS = 1_000_000
 #: 64-bit words of a parity map.
 WORDS = 16
 #: Comparisons for each member row that the last join may make while further rounds still link something.
-COMPARISONS = 256
+COMPARISONS = 16
 PIVOTS = 4
 
 #: (text number, element) of texts, by ascending text number; an element that repeats in a text counts once.
@@ -102,28 +103,36 @@ def maps(texts: DataFrame, elements: Elements) -> DataFrame:
 _MAP = [f"m{i}" for i in range(WORDS)]
 
 
-def _side(mapped: DataFrame, end: str) -> DataFrame:
-    return mapped.select(*[F.col(c).alias(c if c == "band" else f"{c}_{end}") for c in mapped.columns])
-
-
 def _near(similarity: float) -> Column:
     """What a link surely meets: sets of similarity t differ in (1 - t) / (1 + t) of their elements at most."""
     apart = sum((F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in _MAP[1:]), F.bit_count(F.col("m0_a").bitwiseXOR(F.col("m0_b"))))
     return apart <= F.lit((1 - similarity) / (1 + similarity)) * (F.col("n_a") + F.col("n_b")) + 1e-6
 
 
+def _sides(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return tuple(rows.select(*[F.col(c).alias(c if c == "band" else f"{c}_{end}") for c in rows.columns]) for end in "ab")
+
+
 def apart_pairs(apart: DataFrame, mapped: DataFrame, similarity: float) -> DataFrame:
-    """apart: band, node, root, main (whether root is the band's largest).  Pairs (a, b) of nodes of one band and other roots that may be links."""
-    rows = apart.join(mapped, "node")
-    meet = (F.col("root_a") != F.col("root_b")) & (F.col("main_b") | (F.col("node_a") < F.col("node_b"))) & _near(similarity)
-    return _side(rows.where("not main"), "a").join(_side(rows, "b"), "band").where(meet).select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
+    """apart: band, node, root, largest (the root of most of the band's members).  Pairs (a, b) of nodes of one band and other roots that may be links.
+
+    A pair meets in each band that both are in and leaves the join in the smallest of these.
+    """
+    nodes = apart.groupBy("node", "root").agg(F.collect_list("band").alias("bands"), F.collect_list(F.struct("band", (F.col("root") == F.col("largest")).alias("main"))).alias("at"))  # as many as there are bands
+    rows = nodes.join(mapped, "node").select("node", "root", "bands", "n", *_MAP, F.inline("at"))
+    left, right = _sides(rows)
+    once = F.array_min(F.array_intersect("bands_a", "bands_b")) == F.col("band")
+    meet = (F.col("root_a") != F.col("root_b")) & (F.col("main_b") | (F.col("node_a") < F.col("node_b"))) & _near(similarity) & once
+    both = left.where("not main_a").join(right, "band").where(meet)
+    return both.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
 
 
 def pivot_pairs(apart: DataFrame, mapped: DataFrame, similarity: float, seed: int) -> DataFrame:
-    """Pairs of each node outside its band's largest component and random members of that that may be links."""
-    chosen = apart.where("main").groupBy("band").agg(F.array_distinct(F.array(*[F.min_by("node", F.xxhash64(F.lit(seed), F.lit(i), "node")) for i in range(PIVOTS)])).alias("to"))
-    pairs = apart.where("not main").join(chosen, "band").select(F.col("node").alias("node_a"), F.explode("to").alias("node_b")).distinct()
-    near = pairs.join(_side(mapped, "a"), "node_a").join(_side(mapped, "b"), "node_b").where(_near(similarity))
+    """Pairs of each node outside its bands' largest components and random members of these that may be links."""
+    chosen = apart.where("root = largest").groupBy("largest").agg(F.array_distinct(F.array(*[F.min_by("node", F.xxhash64(F.lit(seed), F.lit(i), "node")) for i in range(PIVOTS)])).alias("to"))
+    pairs = apart.where("root <> largest").select("node", "largest").distinct().join(chosen, "largest").select(F.col("node").alias("node_a"), F.explode("to").alias("node_b"))
+    left, right = _sides(mapped)
+    near = pairs.join(left, "node_a").join(right, "node_b").where(_near(similarity))
     return near.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
 
 
@@ -153,12 +162,15 @@ def verified(pairs: DataFrame, texts: DataFrame, elements: Elements, similarity:
     both = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n = batch.num_rows
-            if n:
-                _, first, inverse = np.unique(np.concatenate([batch.column(0).to_numpy(), batch.column(1).to_numpy()]), return_index=True, return_inverse=True)
-                held = [batch.column(2)[i].as_py() if i < n else batch.column(3)[i - n].as_py() for i in first.tolist()]
-                yield batch.select(["a", "b"]).filter(pa.array(alike(held, inverse[:n], inverse[n:], elements, similarity)))
+        for whole in batches:
+            size = np.cumsum(pc.binary_length(whole.column(2)).to_numpy().astype(np.int64) + pc.binary_length(whole.column(3)).to_numpy())
+            cuts = [0, *(np.flatnonzero(np.diff(size // UNIT)) + 1).tolist(), whole.num_rows]
+            for start, stop in zip(cuts, cuts[1:]):
+                batch, n = whole.slice(start, stop - start), stop - start
+                if n:
+                    _, first, inverse = np.unique(np.concatenate([batch.column(0).to_numpy(), batch.column(1).to_numpy()]), return_index=True, return_inverse=True)
+                    held = [batch.column(2)[i].as_py() if i < n else batch.column(3)[i - n].as_py() for i in first.tolist()]
+                    yield batch.select(["a", "b"]).filter(pa.array(alike(held, inverse[:n], inverse[n:], elements, similarity)))
 
     return both.mapInArrow(run, "a bigint, b bigint")
 
@@ -190,7 +202,7 @@ def classes(items: DataFrame, texts_of: Callable[[DataFrame], DataFrame], elemen
         work = sizes.agg(F.sum("n").alias("rows"), F.sum((F.col("n") - F.col("most")) * F.col("n")).alias("comparisons")).head()
         if not work["rows"]:
             return found
-        apart = common.stored(placed.join(sizes.select("band", "largest"), "band").select("band", "node", "root", (F.col("root") == F.col("largest")).alias("main")), "apart")
+        apart = common.stored(placed.join(sizes.select("band", "largest"), "band"), "apart")
         if mapped is None:
             mapped = common.stored(maps(texts.join(apart.select("node").distinct(), "node", "left_semi"), elements), "maps")
         last = stalled or work["comparisons"] <= COMPARISONS * work["rows"]
