@@ -69,29 +69,27 @@ BATCH_BYTES = 4 << 20
 _kept: dict[Any, Any] = {}
 
 
+def release() -> None:
+    """Memory that numpy and Arrow have freed goes back to the system, so a worker that waits for its next task holds little."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def worker_cache(key: Any, make: Callable[[], Any]) -> Any:
     """What an operator keeps in a Python worker between tasks.  Workers outlive stages, so the next operator's cache replaces it."""
     if key not in _kept:
         _kept.clear()
-        import pyarrow as pa
-
-        pa.default_memory_pool().release_unused()
+        release()
         _kept[key] = make()
     return _kept[key]
 
 
-def drop_stored(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def crc_fold(column: str, modulus: int) -> Column:
     """crc32 of an id as text, modulo a number: the folds that labels are split by."""
     return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(modulus)).cast("int")
-
-
-def session() -> SparkSession:
-    found = SparkSession.getActiveSession()
-    assert found is not None
-    return found

@@ -171,6 +171,7 @@ def verified(pairs: DataFrame, texts: DataFrame, elements: Elements, similarity:
                     _, first, inverse = np.unique(np.concatenate([batch.column(0).to_numpy(), batch.column(1).to_numpy()]), return_index=True, return_inverse=True)
                     held = [batch.column(2)[i].as_py() if i < n else batch.column(3)[i - n].as_py() for i in first.tolist()]
                     yield batch.select(["a", "b"]).filter(pa.array(alike(held, inverse[:n], inverse[n:], elements, similarity)))
+        common.release()
 
     return both.mapInArrow(run, "a bigint, b bigint")
 
