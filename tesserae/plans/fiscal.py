@@ -66,15 +66,189 @@ l AS (SELECT code, count(*) AS n, avg(g) AS m, max(g) FILTER (k = 1) AS g1, max(
 SELECT code, n, round(0.4::DOUBLE * m + 0.3::DOUBLE * g1 + 0.3::DOUBLE * (g1 + (g1 - g2) + 0.5::DOUBLE * (g1 - 2 * g2 + g3)), 6) AS growth FROM l WHERE n >= 3"""
 
 
+def _spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quarters and years as dated spans: every third code reports four quarters, the others three and the year; some quarters twice."""
+    q = views.quarters(spark, sf_dir)
+    one = q.where("q < 4 or code % 3 = 0").select("code", F.make_date("y", F.col("q") * 3 - 2, F.lit(1)).alias("start"), fiscal.quarter_end(F.col("y"), F.col("q")).alias("end"), F.col("lines").cast("double").alias("val"), F.lit(1).alias("ord"))
+    again = one.where("month(end) = 6 and code % 4 = 0").withColumns({"val": F.col("val") + 1, "ord": F.lit(2)})
+    years = q.where("code % 3 <> 0").groupBy("code", "y").agg(F.sum("lines").cast("double").alias("val"), F.count("*").alias("n")).where("n = 4")
+    return one.unionByName(again).unionByName(years.select("code", F.make_date("y", F.lit(1), F.lit(1)).alias("start"), F.make_date("y", F.lit(12), F.lit(31)).alias("end"), "val", F.lit(1).alias("ord")))
+
+
+SPANS = f"""{QUARTERS}, spans AS (
+  SELECT code, make_date(y, q * 3 - 2, 1) AS s, last_day(make_date(y, q * 3, 1)) AS e, lines::DOUBLE + CASE WHEN q = 2 AND code % 4 = 0 THEN 1 ELSE 0 END AS val FROM quarters WHERE q < 4 OR code % 3 = 0
+  UNION ALL SELECT code, make_date(y, 1, 1), make_date(y, 12, 31), sum(lines)::DOUBLE FROM quarters WHERE code % 3 <> 0 GROUP BY code, y HAVING count(*) = 4),
+qs AS (SELECT * FROM spans WHERE e - s BETWEEN 80 AND 100), fy AS (SELECT code, max(e) AS fe, arg_max(val, e) AS fv FROM spans WHERE e - s BETWEEN 350 AND 380 GROUP BY 1),
+aft AS (SELECT q.code, q.val, (SELECT min(o.val) FROM qs o WHERE o.code = q.code AND abs(o.e - (q.e - 365)) <= 20) AS old FROM qs q JOIN fy ON q.code = fy.code WHERE q.e > fe),
+newest AS (SELECT *, row_number() OVER (PARTITION BY code ORDER BY e DESC) AS k FROM qs WHERE code NOT IN (SELECT code FROM fy)),
+span_ttm AS (SELECT code, CASE WHEN count(*) FILTER (p AND old IS NULL) = 0 THEN any_value(fv) + coalesce(sum(val - old), 0) END AS ttm FROM (SELECT fy.code, fv, val, old, aft.code IS NOT NULL AS p FROM fy LEFT JOIN aft ON fy.code = aft.code) GROUP BY 1
+  UNION ALL SELECT code, CASE WHEN count(*) = 4 AND max(e) - min(s) BETWEEN 350 AND 380 THEN sum(val) END FROM newest WHERE k <= 4 GROUP BY 1)"""
+
+
 def span_ttm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quarters and years as dated spans, some of them reported twice."""
-    q = views.quarters(spark, sf_dir).where("y <= 1998")
-    start = F.make_date("y", F.col("q") * 3 - 2, F.lit(1))
-    end = F.when(F.col("q") == 1, F.make_date("y", F.lit(3), F.lit(31))).when(F.col("q") == 2, F.make_date("y", F.lit(6), F.lit(30))).when(F.col("q") == 3, F.make_date("y", F.lit(9), F.lit(30))).otherwise(F.make_date("y", F.lit(12), F.lit(31)))
-    one = q.select("code", start.alias("start"), end.alias("end"), F.col("lines").cast("double").alias("val"), F.lit(1).alias("ord"))
-    again = one.where(F.month("end") == 6).withColumn("val", F.col("val") + 1).withColumn("ord", F.lit(2))
-    years = q.where("y < 1998").groupBy("code", "y").agg(F.sum("lines").cast("double").alias("val")).select("code", F.make_date("y", F.lit(1), F.lit(1)).alias("start"), F.make_date("y", F.lit(12), F.lit(31)).alias("end"), "val", F.lit(1).alias("ord"))
-    return fiscal.spans_ttm(one.unionByName(again).unionByName(years))
+    return fiscal.spans_ttm(_spans(spark, sf_dir))
+
+
+SPAN_TTM = f"WITH {SPANS} SELECT code, ttm FROM span_ttm"
+
+#: Concepts of one quantity in order of preference, and what they are called here.
+REVENUE_CONCEPTS = ["RevenueFromContractWithCustomerExcludingAssessedTax", "Revenues", "SalesRevenueNet"]
+CONCEPTS = {"Revenues": "revenue", "RevenueFromContractWithCustomerExcludingAssessedTax": "revenue", "SalesRevenueNet": "revenue", "StockholdersEquity": "equity", "EntityCommonStockSharesOutstanding": "shares"}
+
+
+def _filings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A JSON document for each code, as a registry serves them: two revenue concepts, one of them out of use for even codes, and values at a day."""
+    spans = _spans(spark, sf_dir)
+    row = F.struct(F.col("start").cast("string").alias("start"), F.col("end").cast("string").alias("end"), "val")
+    listed = lambda test: F.transform(F.sort_array(F.collect_list(F.when(test, F.struct("ord", row.alias("r"))))), lambda x: x["r"])
+    at = F.transform(F.sort_array(F.collect_list(F.when(F.month("end") != 9, F.struct("ord", F.struct(F.lit(None).cast("string").alias("start"), F.col("end").cast("string").alias("end"), (F.col("val") * 3).alias("val")).alias("r"))))), lambda x: x["r"])
+    per = spans.groupBy("code").agg(listed(F.lit(True)).alias("now"), listed(F.year("end") < 1995).alias("old"), at.alias("equity"))
+    concept = lambda label, unit, rows: F.struct(F.lit(label).alias("label"), F.create_map(F.lit(unit), rows).alias("units"))
+    first = F.when(F.col("code") % 2 == 0, F.col("old")).otherwise(F.col("now"))
+    gaap = F.create_map(F.lit("Revenues"), concept("Revenues", "USD", first), F.lit("SalesRevenueNet"), concept(None, "USD", F.col("now")), F.lit("StockholdersEquity"), concept("Equity", "USD", F.col("equity")), F.lit("Unknown"), concept("?", "USD", F.col("old")))
+    dei = F.create_map(F.lit("EntityCommonStockSharesOutstanding"), concept("Shares", "shares", F.slice("equity", 1, 5)))
+    return per.select("code", F.to_json(F.struct(F.create_map(F.lit("us-gaap"), gaap, F.lit("dei"), dei).alias("facts"))).alias("doc"))
+
+
+def company_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From nested documents: which concept is in use, its trailing twelve months, the latest equity, and their ratio."""
+    facts = fiscal.flatten_facts(_filings(spark, sf_dir))
+    chosen = fiscal.newest_concept(facts, REVENUE_CONCEPTS)
+    ttm = fiscal.spans_ttm(facts.join(chosen, ["code", "concept"], "left_semi").select("code", "start", "end", "val", "ord"))
+    out = chosen.join(ttm, "code", "left").join(fiscal.latest_instant(facts, "StockholdersEquity", "equity"), "code", "left")
+    return out.select("code", "concept", "ttm", "equity", F.round(F.try_divide("ttm", F.when(F.col("equity") > 0, F.col("equity"))), 6).alias("turnover"))
+
+
+COMPANY_FACTS = f"""WITH {SPANS}, n AS (SELECT code, max(e) AS e, max(e) FILTER (year(e) < 1995) AS old FROM spans GROUP BY 1),
+q AS (SELECT code, arg_max(val - CASE WHEN month(e) = 6 AND code % 4 = 0 THEN 1 ELSE 0 END, e) * 3 AS equity FROM spans WHERE month(e) <> 9 GROUP BY 1)
+SELECT n.code, CASE WHEN n.code % 2 = 1 OR n.old = n.e THEN 'Revenues' ELSE 'SalesRevenueNet' END AS concept, ttm, equity, round(ttm / CASE WHEN equity > 0 THEN equity END, 6) AS turnover
+FROM n LEFT JOIN span_ttm t ON t.code = n.code LEFT JOIN q ON q.code = n.code"""
+
+
+def known_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts under the names of the ontology: how many of each, and their sum."""
+    names = F.create_map(*[F.lit(x) for kv in CONCEPTS.items() for x in kv])
+    facts = fiscal.flatten_facts(_filings(spark, sf_dir)).withColumn("id", F.try_element_at(names, F.col("concept"))).where("id is not null")
+    return facts.groupBy("code", "id", "namespace", "unit").agg(F.count("*").alias("n"), F.round(F.sum("val"), 2).alias("total"))
+
+
+KNOWN_FACTS = f"""WITH {QUARTERS}, raw AS (
+  SELECT code, 1 AS ord, last_day(make_date(y, q * 3, 1)) AS e, lines::DOUBLE AS val FROM quarters WHERE q < 4 OR code % 3 = 0
+  UNION ALL SELECT code, 2, last_day(make_date(y, 6, 1)), lines + 1 FROM quarters WHERE q = 2 AND code % 4 = 0
+  UNION ALL SELECT code, 1, make_date(y, 12, 31), sum(lines) FROM quarters WHERE code % 3 <> 0 GROUP BY code, y HAVING count(*) = 4),
+k AS (SELECT *, row_number() OVER (PARTITION BY code ORDER BY ord, e, val) AS k FROM raw WHERE month(e) <> 9),
+f AS (SELECT code, 'revenue' AS id, 'us-gaap' AS namespace, 'USD' AS unit, val FROM raw UNION ALL SELECT code, 'revenue', 'us-gaap', 'USD', val FROM raw WHERE code % 2 = 1 OR year(e) < 1995
+  UNION ALL SELECT code, 'equity', 'us-gaap', 'USD', val * 3 FROM k UNION ALL SELECT code, 'shares', 'dei', 'shares', val * 3 FROM k WHERE k <= 5)
+SELECT code, id, namespace, unit, count(*) AS n, round(sum(val), 2) AS total FROM f GROUP BY ALL"""
+
+
+def rolling_and_recent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four-row sums, the mean of the last five quarters, and profit at the margin of the middle of the cycle."""
+    q = views.quarters(spark, sf_dir)
+    last = fiscal.rolling_rows(q, "revenue", "sum4").groupBy("code").agg(F.round(F.max_by("sum4", fiscal.number()), 2).alias("sum4"))
+    norm = fiscal.normalized_profit(q.withColumn("earned", F.abs("profit")), "revenue", "earned", "earned")
+    return last.join(fiscal.recent_mean(q, "profit", 5).withColumnRenamed("n", "quarters"), "code").join(norm, "code").select("code", "sum4", "mean", "quarters", "windows", F.round("normalized", 4).alias("normalized"))
+
+
+ROLLING = f"""WITH {QUARTERS}, n AS (SELECT *, {_N} AS n, row_number() OVER (PARTITION BY code ORDER BY {_N} DESC) AS k FROM quarters),
+w AS (SELECT *, CASE WHEN count(*) OVER f = 4 THEN sum(revenue) OVER f END AS r4, CASE WHEN count(*) OVER f = 4 THEN sum(abs(profit)) OVER f END AS p4 FROM n WINDOW f AS (PARTITION BY code ORDER BY n ROWS BETWEEN 3 PRECEDING AND CURRENT ROW)),
+m AS (SELECT code, list_sort(list(p4 / r4)) AS a, arg_max(p4 / r4, n) AS today, arg_max(abs(profit), n) AS now, count(*) AS windows FROM w WHERE r4 > 0 GROUP BY 1)
+SELECT w.code, round(arg_max(r4, n), 2) AS sum4, round(avg(profit) FILTER (k <= 5), 4) AS mean, count(*) FILTER (k <= 5) AS quarters, any_value(windows) AS windows,
+  round(any_value(CASE WHEN windows >= 6 AND today > 0 AND a[CAST(floor(windows / 2) AS INT) + 1] > 0 THEN now * a[CAST(floor(windows / 2) AS INT) + 1] / today END), 4) AS normalized FROM w JOIN m ON w.code = m.code GROUP BY 1"""
+
+
+def long_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = fiscal.long_growth(views.quarters(spark, sf_dir), "revenue")
+    return got.select("code", *[F.round(c, 6).alias(c) for c in ("cagr", "blended", "sustainable")])
+
+
+LONG_GROWTH = f"""{ENSEMBLE.replace("round(0.4", "(0.4").replace(", 6) AS growth FROM l WHERE n >= 3", ") AS growth FROM l WHERE n >= 3")}"""
+LONG_GROWTH = f"""WITH e AS ({LONG_GROWTH}), {QUARTERS}, c AS (SELECT code, arg_min(revenue, {_N}) AS a, arg_max(revenue, {_N}) AS b, count(*) AS n FROM quarters GROUP BY 1),
+r AS (SELECT code, CASE WHEN n > 4 AND a > 0 AND b > 0 THEN pow(b / a, 4 / (n - 1)) - 1 END AS cagr FROM c)
+SELECT code, round(cagr, 6) AS cagr, round(CASE WHEN cagr IS NOT NULL THEN 0.5 * growth + 0.5 * cagr ELSE growth * 0.5 END, 6) AS blended, round(coalesce(cagr, growth * 0.5), 6) AS sustainable FROM r LEFT JOIN e USING (code)"""
+
+
+def annual(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Status and margin change of each code's last whole year."""
+    y = views.quarters(spark, sf_dir).groupBy("code", "y").agg(F.round(F.sum("profit"), 2).alias("profit"), F.round(F.sum("revenue"), 2).alias("revenue"), F.count("*").alias("n")).where("n = 4")
+    return fiscal.annual_change(y, "profit", "revenue")
+
+
+ANNUAL = f"""WITH {QUARTERS}, y AS (SELECT code, y, round(sum(profit), 2) AS p, round(sum(revenue), 2) AS r FROM quarters GROUP BY 1, 2 HAVING count(*) = 4),
+l AS (SELECT *, lag(y) OVER w AS y0, lag(p) OVER w AS p0, lag(r) OVER w AS r0, row_number() OVER (PARTITION BY code ORDER BY y DESC) AS k FROM y WINDOW w AS (PARTITION BY code ORDER BY y))
+SELECT code, y, CASE WHEN p > 0 AND p0 > 0 THEN 'profit' WHEN p > 0 THEN 'turnaround' WHEN p0 > 0 THEN 'deficit' ELSE 'loss' END AS status, round(CASE WHEN r > 0 THEN p / r END - CASE WHEN r0 > 0 THEN p0 / r0 END, 4) + 0.0 AS margin_delta FROM l WHERE k = 1 AND y - y0 = 1"""
+
+
+def rates_before(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every month with orders of a priority the rate of the last month before that has one, up to a year back."""
+    o = table(spark, sf_dir, "orders").where("o_custkey % 17 = 3")
+    month = (F.year("o_orderdate") * 12 + F.month("o_orderdate")).cast("int")
+    per = o.groupBy(F.col("o_orderpriority").alias("code"), month.alias("month")).agg(F.count("*").alias("rate"))
+    return per.withColumn("before", fiscal.month_before(per, "rate"))
+
+
+RATES_BEFORE = """WITH p AS (SELECT o_orderpriority AS code, CAST(year(o_orderdate) * 12 + month(o_orderdate) AS INT) AS month, count(*) AS rate FROM orders WHERE o_custkey % 17 = 3 GROUP BY 1, 2)
+SELECT *, last_value(rate) OVER (PARTITION BY code ORDER BY month RANGE BETWEEN 12 PRECEDING AND 1 PRECEDING) AS before FROM p"""
+
+
+def history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Multiples of every quarter: the last close up to its end times shares, over trailing revenue and profit, or the year's where quarters lack."""
+    q = fiscal.trailing(fiscal.trailing(views.quarters(spark, sf_dir).withColumn("earned", F.abs("profit")), "revenue", "r"), "earned", "e")
+    from pyspark.sql import Window
+
+    year = Window.partitionBy("code", "y")
+    q = q.withColumn("r", F.coalesce("r", F.when(F.count("*").over(year) == 4, F.sum("revenue").over(year)))).withColumn("quarter_end", fiscal.quarter_end(F.col("y"), F.col("q")))
+    closes = views.bars(spark, sf_dir).select("code", "bar_date", "close")
+    # an as-of join as a union and one window
+    both = q.select("code", F.col("quarter_end").alias("day"), F.lit(1).alias("kind"), F.lit(None).cast("double").alias("close"), "y", "q", "r", "e")
+    both = both.unionByName(closes.join(q.select("code").distinct(), "code", "left_semi").select("code", F.col("bar_date").alias("day"), F.lit(0).alias("kind"), "close"), allowMissingColumns=True)
+    last = F.last("close", ignorenulls=True).over(Window.partitionBy("code").orderBy("day", "kind"))
+    cap = F.col("last") * 1000
+    ratio = lambda c: F.round(F.when(F.col(c) > 0, cap / F.col(c)), 4)
+    return both.withColumn("last", last).where("kind = 1").select("code", "y", "q", ratio("e").alias("per"), ratio("r").alias("psr"))
+
+
+HISTORY = f"""WITH {QUARTERS}, {views.BARS}, n AS (SELECT *, {_N} AS n, last_day(make_date(y, q * 3, 1)) AS d FROM quarters),
+t AS (SELECT code, y, q, d, CASE WHEN count(*) OVER w = 4 THEN sum(revenue) OVER w WHEN count(*) OVER z = 4 THEN sum(revenue) OVER z END AS r, CASE WHEN count(*) OVER w = 4 THEN sum(abs(profit)) OVER w END AS e
+  FROM n WINDOW w AS (PARTITION BY code ORDER BY n RANGE BETWEEN 3 PRECEDING AND CURRENT ROW), z AS (PARTITION BY code, y))
+SELECT t.code, y, q, round(CASE WHEN e > 0 THEN close * 1000 / e END, 4) AS per, round(CASE WHEN r > 0 THEN close * 1000 / r END, 4) AS psr FROM t ASOF LEFT JOIN bars b ON t.code = b.code AND b.bar_date <= t.d"""
+
+
+def flows_and_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Free cash flow, target book multiple and uplift of claims for every part."""
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("code"), F.floor("p_retailprice").cast("double").alias("price"), F.col("p_size").cast("double").alias("size"))
+    tax = F.when(F.col("code") % 9 != 0, F.col("size") / 127)
+    flow = fiscal.free_cash_flow(F.col("price"), tax, F.col("size"), F.col("size") * 2)
+    book = fiscal.target_book_multiple((F.col("size") - 5) / 128, F.lit(0.09), F.when(F.col("code") % 4 != 0, F.lit(0.03)), F.lit(11.0))
+    s = lambda at, *names: F.element_at(F.array(*[F.lit(n) for n in names]), ((F.col("code") + at) % len(names) + 1).cast("int"))
+    claims = p.select("code", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("k"), "size").select("code", (F.col("size") * F.col("k") - 10).alias("value"), s(0, "pct", "absolute", "other").alias("unit"), s(F.col("k"), "segment", "company").alias("scope"), (F.col("k") * 20 - 20).cast("double").alias("share"), s(F.col("k"), "revenue", "profit", "other").alias("metric"), (F.col("k") + F.col("code") % 5 == 5).alias("refuted"))
+    base = p.select("code", F.col("price").alias("revenue"), (F.col("size") * 4 - 8).alias("income"), F.lit(0.25).alias("margin"))
+    up = fiscal.claim_uplift(claims, base)
+    return p.select("code", flow.alias("fcff"), book.alias("book")).join(up, "code", "left").select("code", "fcff", "book", F.round("uplift", 9).alias("uplift"), "claims")
+
+
+FLOWS_AND_TARGETS = """WITH p AS (SELECT p_partkey AS code, floor(p_retailprice) AS price, p_size::DOUBLE AS size FROM part),
+c AS (SELECT code, price, size * 4 - 8 AS income, size * k - 10 AS v, ['pct', 'absolute', 'other'][code % 3 + 1] AS unit, ['segment', 'company'][(code + k) % 2 + 1] AS scope, k * 20 - 20 AS share, ['revenue', 'profit', 'other'][(code + k) % 3 + 1] AS metric FROM p, range(1, 4) t(k) WHERE k + code % 5 <> 5),
+s AS (SELECT *, CASE WHEN unit = 'absolute' THEN v / price WHEN unit = 'pct' AND scope = 'segment' AND share > 0 THEN v / 100 * share / 100 WHEN unit = 'pct' AND scope = 'company' THEN v / 100 END AS sales FROM c WHERE v > 0),
+g AS (SELECT code, CASE WHEN metric = 'revenue' AND income > 0 THEN sales * price * 0.25::DOUBLE / income WHEN metric = 'profit' THEN sales END AS gain FROM s WHERE sales > 0), u AS (SELECT code, sum(gain) AS uplift, count(*) AS claims FROM g WHERE gain > 0 GROUP BY 1),
+b AS (SELECT code, (size - 5) / 128 AS roe FROM p)
+SELECT code, round(price * (1 - CASE WHEN code % 9 <> 0 THEN least(size / 127, 0.35::DOUBLE) END) + size - size * 2, 2) AS fcff,
+  coalesce(CASE WHEN code % 4 <> 0 AND roe > 0 AND (roe - 0.03::DOUBLE) / (0.09::DOUBLE - 0.03::DOUBLE) > 0 THEN round((roe - 0.03::DOUBLE) / (0.09::DOUBLE - 0.03::DOUBLE), 2) END, CASE WHEN roe > 0 THEN round(11::DOUBLE * roe, 2) END) AS book, round(uplift, 9) AS uplift, claims
+FROM p JOIN b USING (code) LEFT JOIN u USING (code)"""
+
+
+def reconciled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two tables of components for each code, in other units, against its balance."""
+    q = views.quarters(spark, sf_dir).where("y = 1995").select("code", F.concat(F.lit("c"), F.col("q").cast("string")).alias("leaf"), F.round("revenue").alias("amount"))
+    one = q.select("code", F.lit("consolidated").alias("tab"), "leaf", F.when((F.col("code") % 4 == 0) & (F.col("leaf") == "c2"), F.col("amount") + 7).otherwise(F.col("amount") * 1000).alias("amount"))
+    two = q.select("code", F.lit("separate").alias("tab"), "leaf", F.when((F.col("code") % 3 == 0) | (F.col("leaf") == "c1"), F.col("amount")).otherwise(F.col("amount") + 3).alias("amount"))
+    return fiscal.reconcile(one.unionByName(two), q, [1.0, 1000.0, 1000000.0], "c1")
+
+
+RECONCILED = f"""WITH {QUARTERS}, q AS (SELECT code, 'c' || q AS leaf, round(revenue) AS amount FROM quarters WHERE y = 1995),
+c AS (SELECT code, 'consolidated' AS tab, leaf, CASE WHEN code % 4 = 0 AND leaf = 'c2' THEN amount + 7 ELSE amount * 1000 END AS a FROM q UNION ALL SELECT code, 'separate', leaf, CASE WHEN code % 3 = 0 OR leaf = 'c1' THEN amount ELSE amount + 3 END FROM q),
+h AS (SELECT code, tab, scale, count(*) AS n, bool_or(leaf = 'c1') AS ok FROM c JOIN q USING (code, leaf), (VALUES (1), (1000), (1000000)) s(scale) WHERE abs(amount * scale - a) < 0.5 GROUP BY 1, 2, 3),
+m AS (SELECT code, tab, max(n) AS matches FROM h GROUP BY 1, 2 HAVING bool_or(ok)) SELECT code, tab, matches FROM (SELECT *, max(matches) OVER (PARTITION BY code) AS most FROM m) WHERE matches = most"""
 
 
 def statement(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,6 +312,15 @@ QUERIES = {
     "a23_incremental_margin": margin,
     "w40_growth_ensemble": ensemble,
     "w35_span_ttm": span_ttm,
+    "s10_g18_company_facts": company_facts,
+    "g17_known_facts": known_facts,
+    "w37_w47_cycle": rolling_and_recent,
+    "w41_w42_long_growth": long_growth,
+    "w44_annual_change": annual,
+    "w45_rates_before": rates_before,
+    "q9_w34_history": history,
+    "f27_f29_targets": flows_and_targets,
+    "j20_reconcile": reconciled,
     "g1_ratio_engine": ratio_engine,
     "f22_f24_valuations": valuations,
     "q17_multi_method": multiples,
@@ -148,6 +331,16 @@ ORACLES = {
     "w33_discrete_quarters": DISCRETE,
     "a23_incremental_margin": MARGIN,
     "w40_growth_ensemble": ENSEMBLE,
+    "w35_span_ttm": SPAN_TTM,
+    "s10_g18_company_facts": COMPANY_FACTS,
+    "g17_known_facts": KNOWN_FACTS,
+    "w37_w47_cycle": ROLLING,
+    "w41_w42_long_growth": LONG_GROWTH,
+    "w44_annual_change": ANNUAL,
+    "w45_rates_before": RATES_BEFORE,
+    "q9_w34_history": HISTORY,
+    "f27_f29_targets": FLOWS_AND_TARGETS,
+    "j20_reconcile": RECONCILED,
     "g1_ratio_engine": RATIO_ENGINE,
     "f22_f24_valuations": VALUATIONS,
 }

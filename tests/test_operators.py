@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -159,3 +160,56 @@ def test_fuzzy_top_scores_all_names(spark):
         want += [(q, i, n + 1, -s) for n, (s, i) in enumerate([x for x in scored if x[0] < 0][:5])]
     got = graphs.fuzzy_top(spark.createDataFrame(names, "id long, name string"), spark.createDataFrame([(q,) for q in asked], "q string"), chunk=10, block=2)
     assert sorted((r.q, r.id, r["rank"], r.score) for r in got.collect()) == sorted(want)
+
+
+def test_text_rules(spark):
+    """Pieces against the plain rule, feeds with odd items, dates, titles and phases."""
+    from tesserae.functions import texts
+
+    def cut(text, most):
+        out, held = [], []
+        for line in text.split("\n"):
+            hard = [line[i : i + most] for i in range(0, max(1, len(line)), most)]
+            if len(hard) > 1:
+                out += (["\n".join(held)] if held else []) + hard[:-1]
+                held = []
+            if held and len("\n".join([*held, hard[-1]])) > most:
+                out.append("\n".join(held))
+                held = []
+            held.append(hard[-1])
+        return out + (["\n".join(held)] if "".join(held) else [])
+
+    r = np.random.default_rng(3)
+    samples = ["\n".join("".join(r.choice(list("ab "), int(n))) or "x" for n in r.integers(1, 45, int(r.integers(1, 12)))) for _ in range(60)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(samples)], "i int, t string")
+    got = {x.i: list(x.p) for x in df.select("i", texts.pieces(F.col("t"), 20).alias("p")).collect()}
+    for i, t in enumerate(samples):
+        assert got[i] == cut(t, 20) and all(len(p) <= 20 for p in got[i])
+    feed = "<rss><channel><title>feed</title><item><title>A &amp; B</title><link> http://x </link><source url='u'>S</source><pubDate>Tue, 02 Jan 2024 03:04:05 +0900</pubDate></item><item><link>no title</link></item><item><title><![CDATA[two]]></title><pubDate>rubbish</pubDate></item></channel></rss>"
+    items = spark.createDataFrame([(feed,), ("not xml <item>",), (None,)], "x string").select(F.inline(texts.rss_items(F.col("x")))).collect()
+    assert [(x.title, x.link, x.source) for x in items] == [("A & B", "http://x", "S"), ("two", "", "")]
+    assert str(items[0].published) == "2024-01-01 18:04:05" and items[1].published is None
+    titles = [("코스피 마감 시황", True), ("미국 주식시장 마감 시황", False), ("뉴욕發 훈풍에 코스피 마감 강세", True), ("장마감코멘트", True), ("오늘의 전략", False), (None, False)]
+    got = spark.createDataFrame(titles, "t string, want boolean").select("want", texts.domestic_closing(F.col("t")).alias("got")).collect()
+    assert all(x.want == x.got for x in got)
+    row = spark.range(1).select(texts.queries(F.lit("N"), ["a", "b", "c"], ["b", "d"], 2).alias("q"), texts.snippet(F.lit("head\n───\n\none\ntwo"), 5).alias("s"), texts.mentions(F.lit("aXaXa"), F.lit("aX")).alias("m")).head()
+    assert (list(row.q), row.s, row.m) == (["N a", "N b", "N d"], "one t…", 2)
+
+
+def test_ledger_of_odd_rows(spark):
+    """Updates of unknown keys, a series of one bar, and a kind that never came."""
+    from tesserae.operators import ledger
+
+    stored = spark.createDataFrame([(1, "a", 1.0), (2, "b", None)], "k int, s string, v double")
+    got = ledger.updated(stored, spark.createDataFrame([(2, None), (9, "z")], "k int, s string"), ["k"]).orderBy("k").collect()
+    assert [tuple(r) for r in got] == [(1, "a", 1.0), (2, None, None)]
+    bars = spark.createDataFrame([("A", "2024-01-01", 1.0), ("B", "2024-01-01", 1.0), ("B", "2024-01-02", 2.0)], "code string, d string, close double").select("code", F.to_date("d").alias("bar_date"), "close")
+    fresh = spark.createDataFrame([("A", "2024-01-01", 5.0), ("B", "2024-01-01", 0.5), ("B", "2024-01-03", 1.0)], "code string, d string, close double").select("code", F.to_date("d").alias("bar_date"), "close")
+    full = fresh.withColumn("close", F.lit(7.0))
+    got = sorted((r.code, str(r.bar_date), r.close) for r in ledger.merged_series(bars, fresh, full).collect())
+    assert got == [("A", "2024-01-01", 5.0), ("B", "2024-01-01", 7.0), ("B", "2024-01-03", 7.0)]
+    plan = {r.code: (r.mode, str(r.since)) for r in ledger.fetch_plan(spark.createDataFrame([("A",), ("B",), ("C",)], "code string"), bars).collect()}
+    assert plan == {"A": ("incremental", "2023-12-29"), "B": ("incremental", "2023-12-29"), "C": ("seed", "None")}
+    q = spark.createDataFrame([("x", "us")], "name string, kind string").withColumn("minute", F.lit("2024-01-01 00:00:00").cast("timestamp"))
+    stale = {r.kind: r.stale for r in ledger.staleness(q, ["us", "kr"], F.lit("2024-01-01 00:01:00").cast("timestamp"), 61).collect()}
+    assert stale == {"us": False, "kr": True}
