@@ -13,9 +13,15 @@ smallest hashes); every row is indexed.  Equal vectors are one entry with the sm
 ``k + 1`` ids, more can't be among anyone's k nearest: exact copies never meet
 in one task (the limit for each vector is taken before the shuffle).  Blocks
 hold vectors of like norm, so that the order of directions is the order of inner
-products.  Queries are a stated set and go to every block.
+products.  Queries are a stated set; they are dealt into blocks too, and each
+block of queries meets each block of rows, so a task holds ``BLOCK`` rows and
+``QUERIES`` queries, whatever the table.
 
-Rows: null or zero vectors and those with null or non-finite components, or
+The share that is reranked decides recall: in vectors of many independent
+dimensions an order of pivots tells little, and wider ones than those measured
+(64) may need a larger ``rerank``; 1.0 makes the search exact.
+
+Rows: components keep their precision (float or double); null or zero vectors and those with null or non-finite components, or
 with another number of components than most rows have, take no part; rows with
 one id and one vector count once; fewer candidates than k give fewer rows.
 """
@@ -36,6 +42,7 @@ PREFIX = 64
 SAMPLE = 2_048
 APART = 0.8
 BLOCK = 4096
+QUERIES = 4096
 RERANK = 0.2
 #: Rows of a block that are always reranked.
 LEAST = 400
@@ -111,10 +118,11 @@ def block_search(ids: list, vectors: np.ndarray, pivots: np.ndarray, query_ids:
     return out
 
 
-def search(base: DataFrame, queries: DataFrame, k: int, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
+def search(base: DataFrame, queries: DataFrame, k: int, id_column: str = "vec_id", vector_column: str = "embedding", rerank: float = RERANK) -> DataFrame:
     """query_id, rank, id, score: for each row of queries its nearest rows of base with other ids."""
     spark = base.sparkSession
-    pick = lambda df: df.select(F.col(id_column).cast("bigint").alias("id"), F.col(vector_column).cast("array<float>").alias("v")).where(F.col("id").isNotNull() & valid(F.col("v")))
+    kind = "array<float>" if dict(base.dtypes)[vector_column] == dict(queries.dtypes)[vector_column] == "array<float>" else "array<double>"
+    pick = lambda df: df.select(F.col(id_column).cast("bigint").alias("id"), F.col(vector_column).cast(kind).alias("v")).where(F.col("id").isNotNull() & valid(F.col("v")))
     rows = pick(base)
     sizes = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
     if not sizes:
@@ -126,20 +134,24 @@ def search(base: DataFrame, queries: DataFrame, k: int, id_column: str = "vec_id
     pivots = choose_pivots(np.array([r["v"] for r in entries.orderBy(F.xxhash64(F.lit(10), "v"), "v").limit(SAMPLE).select("v").collect()], dtype=np.float64))
     # blocks of each band of norms: a band's entries by hash
     plan = entries.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))  # log(largest / smallest norm) / BAND rows
-    blocks = plan.select("band", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
     placed = entries.join(F.broadcast(plan), "band").select("band", F.pmod(F.xxhash64("v"), F.col("blocks")).alias("block"), "v", "ids")
-    asked = pick(queries).where(F.size("v") == sizes[0]["d"]).distinct().select("id", F.col("v").alias("qv"))
-    names = blocks.agg(F.collect_list(F.struct("band", "block")).alias("b"))  # one for each BLOCK vectors
-    sent = asked.select("id", "qv", F.explode(names.scalar()).alias("b")).select("b.band", "b.block", "id", "qv")
+    asked = common.stored(pick(queries).where(F.size("v") == sizes[0]["d"]).distinct().select("id", F.col("v").alias("qv")), "queries")
+    parts = max(1, -(-asked.count() // QUERIES))
+    asked = asked.withColumn("part", F.pmod(F.xxhash64(F.lit(3), "id"), F.lit(parts)).cast("int"))
+    placed = placed.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    bands = plan.agg(F.collect_list(F.struct("band", "blocks")))  # log(largest / smallest norm) / BAND of them
+    sent = asked.select("id", "qv", "part", F.explode(bands.scalar()).alias("b"))
+    sent = sent.select("b.band", F.explode(F.sequence(F.lit(0), F.col("b.blocks") - 1)).alias("block"), "part", "id", "qv")
 
     def run(own: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         if not len(own) or not len(asked):
             return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "found": pd.Series(dtype="object")})
         vectors = np.stack(own["v"].to_numpy()).astype(np.float64)
-        got = block_search(own["ids"].tolist(), vectors, pivots, asked["id"].to_numpy(), np.stack(asked["qv"].to_numpy()).astype(np.float64), k)
+        got = block_search(own["ids"].tolist(), vectors, pivots, asked["id"].to_numpy(), np.stack(asked["qv"].to_numpy()).astype(np.float64), k, rerank)
         return pd.DataFrame({"query_id": asked["id"].to_numpy(), "found": [[{"score": s, "id": i} for s, i in x] for x in got]})
 
-    found = placed.groupBy("band", "block").cogroup(sent.groupBy("band", "block")).applyInPandas(run, "query_id bigint, found array<struct<score: double, id: bigint>>")
+    key = ["band", "block", "part"]
+    found = placed.groupBy(*key).cogroup(sent.groupBy(*key)).applyInPandas(run, "query_id bigint, found array<struct<score: double, id: bigint>>")
     each = found.select("query_id", F.explode("found").alias("f")).select("query_id", "f.id", "f.score")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     return each.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
