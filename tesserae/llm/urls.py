@@ -1,22 +1,25 @@
 """URL filter: exact rules first, then a character language-model ratio.
 
 Two Markov models over URL characters, one of accepted and one of rejected
-URLs, have contexts of variable length: up to three characters, each order
+URLs, have contexts of variable length: up to ``ORDER`` characters, each order
 smoothed into the next shorter one (Witten-Bell: the weight of the shorter
 context is the number of different characters seen after the longer one).  A
 URL's score is log P(rejected) - log P(accepted) per character, and it is
 rejected above a threshold that a held-out quarter of the labelled URLs sets
-(least mean of the two error rates).
+(least mean of the two error rates; scores count as 5 nats at most there).
 
-The labelled URLs are those that a rule decides.  Characters are folded to an
-alphabet of 31 classes, so the model has 31**4 = 923,521 rows of two numbers
-whatever the input, and is broadcast.  Each different URL is scored once.
+The labelled URLs are those that a rule decides.  Characters are the URL's own
+(after ``://``, A-Z lower-cased), so the tables of counts have a row for each different
+run of ``ORDER + 1`` characters and grow with the input.  They are summed before
+any shuffle and joined by shuffle unless counted to be small.  Each different
+URL is scored once.
 
 Everything is DataFrame and SQL functions.
 
 Rows: a null URL or one without ``://`` has an empty host and path; a null or
 empty URL has no score and is allowed; repeated rows are judged alike; without
-labelled URLs of both kinds the method allows everything.
+labelled URLs of both kinds the method allows everything; very long URLs are scored
+whole; columns of the input named host, path, rule, verdict or score give way.
 """
 
 from __future__ import annotations
@@ -32,11 +35,11 @@ from . import common
 #: (verdict, host, path); the longest that fits wins.
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 
-_CLASSES = string.ascii_lowercase + "0/.-~"
-SIZE = len(_CLASSES)
-ORDER = 3
-#: Class of what stands before the first character.
-_PAD = SIZE - 1
+#: Characters of the longest context.
+ORDER = 5
+#: What stands before the first character, and the share of a character that was never seen.
+_PAD = "\u0002"
+_RARE = 1 / 1024
 #: Thresholds tried: hundredths of a nat per character.
 _STEPS = 500
 
@@ -62,62 +65,47 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> Co
     return found
 
 
-def _classes(url: Column) -> Column:
-    """The URL's characters as class numbers."""
-    shown = F.translate(F.lower(F.regexp_replace(url, r"(?s)^.*?://", "")), "123456789", "0" * 9)
-    folded = F.regexp_replace(shown, r"(?s)[^a-z0/.\-]", "~")
-    return F.transform(F.filter(F.split(folded, ""), lambda c: c != ""), lambda c: F.instr(F.lit(_CLASSES), c) - 1)
-
-
 def _grams(urls: DataFrame) -> DataFrame:
-    """urls with a row for each character: its code with the three before it."""
-    c = F.col("_classes")
-
-    def code(x: Column, i: Column) -> Column:
-        before = [F.coalesce(F.get(c, i - k), F.lit(_PAD)) * SIZE**k for k in range(1, ORDER + 1)]
-        return sum(before, x).cast("int")
-
-    return urls.withColumn("_classes", _classes(F.col("url"))).withColumn("code", F.explode(F.transform(c, code))).drop("_classes")
-
-
-def fit(labelled: DataFrame) -> DataFrame:
-    """labelled: url, rejected.  The log ratio of each of the SIZE**(ORDER + 1) codes, seen or not."""
-    spark = labelled.sparkSession
-    seen = (
-        _grams(labelled.where(F.col("url").isNotNull() & F.col("rejected").isNotNull()))
-        .groupBy("code")
-        .agg(F.count_if(F.col("rejected")).alias("n1"), F.count_if(~F.col("rejected")).alias("n0"))
-    )
+    """urls with a row for each character: gram, the character after the ORDER before it."""
+    shown = ascii_lower(F.regexp_replace("url", r"(?s)^.*?://", ""))
+    chars = F.filter(F.split(F.concat(F.lit(_PAD * ORDER), shown), ""), lambda c: c != "")
+    ends = F.when(F.length(shown) > 0, F.sequence(F.lit(1), F.length(shown))).otherwise(F.array().cast("array<int>"))
+    return urls.withColumns({"_chars": chars, "_ends": ends}).withColumn("gram", F.explode(F.transform("_ends", lambda i: F.array_join(F.slice("_chars", i, ORDER + 1), "")))).drop("_chars", "_ends")
+
+
+def fit(labelled: DataFrame, different: DataFrame) -> DataFrame:
+    """labelled: url, rejected; different: url.  gram, ratio: the log ratio of each gram of the different URLs, whether labelled ones have it or not."""
+    known = _grams(labelled.where(F.col("url").isNotNull() & F.col("rejected").isNotNull())).groupBy("gram").agg(F.count_if(F.col("rejected")).alias("n1"), F.count_if(~F.col("rejected")).alias("n0"))
+    asked = _grams(different).groupBy("gram").agg(F.lit(0).cast("long").alias("n1"), F.lit(0).cast("long").alias("n0"))
+    grams = common.cut(known.unionByName(asked).groupBy("gram").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0")))
     lower = None
     for order in range(ORDER + 1):
-        wide = SIZE ** (order + 1)
-        counts = seen.groupBy((F.col("code") % wide).cast("int").alias("code")).agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
-        context = Window.partitionBy("context")
-        level = spark.range(wide).select(F.col("id").cast("int").alias("code")).join(counts, "code", "left").na.fill(0).withColumn("context", F.floor(F.col("code") / SIZE).cast("int"))
-        level = level.select(
-            "code", "n1", "n0",
+        # the gram's last characters, and what stands before the last
+        part = F.right("gram", F.lit(order + 1))
+        counts = grams.groupBy(part.alias("gram")).agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
+        context = Window.partitionBy(F.left("gram", F.lit(order)))
+        level = counts.select(
+            "gram", "n1", "n0",
             *[F.sum(n).over(context).alias(f"all_{n}") for n in ("n1", "n0")],
             *[F.count_if(F.col(n) > 0).over(context).alias(f"kinds_{n}") for n in ("n1", "n0")],
         )
         if lower is None:
-            level = level.withColumns({"low1": F.lit(1 / SIZE), "low0": F.lit(1 / SIZE)})
+            level = level.withColumns({"low1": F.lit(_RARE), "low0": F.lit(_RARE)})
         else:
-            level = level.withColumn("short", (F.col("code") % (wide // SIZE)).cast("int")).join(lower, "short")
+            level = level.withColumn("short", F.right("gram", F.lit(order))).join(lower, "short")
 
         def mixed(k: int) -> Column:
             n, total, kinds, low = F.col(f"n{k}"), F.col(f"all_n{k}"), F.col(f"kinds_n{k}"), F.col(f"low{k}")
             return F.when(total > 0, (n + kinds * low) / (total + kinds)).otherwise(low)
 
-        level = level.select("code", mixed(1).alias("p1"), mixed(0).alias("p0"))
-        lower = level.select(F.col("code").alias("short"), F.col("p1").alias("low1"), F.col("p0").alias("low0"))
-    return level.select("code", (F.log("p1") - F.log("p0")).alias("ratio"))
+        level = level.select("gram", mixed(1).alias("p1"), mixed(0).alias("p0"))
+        lower = level.select(F.col("gram").alias("short"), F.col("p1").alias("low1"), F.col("p0").alias("low0"))
+    return level.select("gram", (F.log("p1") - F.log("p0")).alias("ratio"))
 
 
-def score(urls: DataFrame, model: DataFrame) -> DataFrame:
+def score(different: DataFrame, model: DataFrame) -> DataFrame:
     """url, score of each different URL: log-likelihood difference per character, above zero where rejection is likelier."""
-    different = urls.select("url").where(F.length("url") > 0).distinct()
-    # at most SIZE**(ORDER + 1) rows of two numbers, whatever the input
-    return _grams(different).join(F.broadcast(model), "code").groupBy("url").agg(F.avg("ratio").alias("score"))
+    return _grams(different).join(common.sized(model), "gram").groupBy("url").agg(F.avg("ratio").alias("score"))
 
 
 def threshold(scored: DataFrame) -> DataFrame:
@@ -140,11 +128,12 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], column: str = "ur
     """pages with host, path, rule, verdict and score."""
     url = F.col(column)
     host, path = split_url(url)
-    ruled = pages.withColumns({"host": host, "path": path}).withColumn("_rule", rule_of(F.col("host"), F.col("path"), rules))
+    ruled = pages.drop(*[c for c in ("host", "path", "rule", "verdict", "score") if c != column]).withColumns({"host": host, "path": path}).withColumn("_rule", rule_of(F.col("host"), F.col("path"), rules))
     labelled = ruled.where("_rule is not null").select(url.alias("url"), (F.col("_rule.verdict") == "block").alias("rejected"))
     held = F.pmod(F.xxhash64("url"), F.lit(4)) == 0
-    model = common.cut(fit(labelled.where(~held)))
-    scored = score(pages.select(url.alias("url")), model)
+    different = pages.select(url.alias("url")).where(F.length("url") > 0).distinct()
+    model = common.cut(fit(labelled.where(~held), different))
+    scored = common.cut(score(different, model))
     tuned = threshold(labelled.where(held).join(scored, "url"))
     both = labelled.agg(F.coalesce(F.bool_or("rejected") & F.bool_or(~F.col("rejected")), F.lit(False)).alias("both"))
     by_method = F.when(both.scalar() & (F.col("score") > F.coalesce(tuned.scalar(), F.lit(0.0))), "block").otherwise("allow")
