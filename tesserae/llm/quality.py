@@ -17,7 +17,8 @@ their whole text, in one pass with no shuffle.
 
 Rows: a null text counts as empty, empty texts have a score like others;
 repeated rows have equal scores; without positives or unlabelled rows every
-score is the prior of one half.
+score is the prior of one half; long texts are scored whole; a column named like the
+score gives way.
 """
 
 from __future__ import annotations

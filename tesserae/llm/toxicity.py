@@ -12,12 +12,13 @@
 4. A logistic model over the sums of these hit scores gives the document score.
 
 The labelled rows that are learned from are at most ``LABELLED`` (those with the
-smallest hash of their id); the lexicon has at most ``TERMS`` entries.  All
-documents are scored over their whole text, in one pass with no shuffle.
+smallest hash of their id); words of 3 to 40 characters can be terms, and every
+significant one is.  All documents are scored over their whole text, however long, in
+one pass with no shuffle.
 
 Rows: null and empty texts have no hits and the score of such documents;
 repeated rows have equal scores; without labels the lexicon is empty and all
-scores are equal and below one half.
+scores are equal and below one half; a column named like the score gives way.
 """
 
 from __future__ import annotations
@@ -34,7 +35,6 @@ from pyspark.sql import functions as F
 from . import common
 
 LABELLED = 10_000
-TERMS = 1_000
 WINDOW = 8
 
 _QUOTES = "\"“”„«»‚‘’'"
@@ -251,10 +251,10 @@ def learn_lexicon(sample: DataFrame) -> tuple[dict[str, float], dict[str, float]
     stems = stems.where((F.col("kinds") >= 5) & (F.col("bad") >= 8) & (share >= 0.95)).select("word", gain.alias("gain"), odds.alias("odds")).where(F.col("gain") > 1.5 * least)
     terms = by_word.where(good).select("word", gain.alias("gain"), odds.alias("odds")).where(F.col("gain") > least)
     found: dict[str, float] = {}
-    for r in stems.orderBy(F.desc("gain"), F.desc(F.length("word")), "word").limit(TERMS).collect():
+    for r in stems.orderBy(F.desc("gain"), F.desc(F.length("word")), "word").collect():
         if not any(r["word"].startswith(s) or s.startswith(r["word"]) for s in found):
             found[r["word"]] = r["odds"]
-    best = terms.orderBy(F.desc("gain"), "word").limit(TERMS).collect()
+    best = terms.orderBy(F.desc("gain"), "word").collect()
     return {r["word"]: r["odds"] for r in best if not any(r["word"].startswith(s) for s in found)}, found
 
 

@@ -462,6 +462,32 @@ def test_mixing_meets_its_limits(spark, empty):
     assert mixing.draw(empty).count() == 0
 
 
+def test_mixing_permutes_blocks(spark, monkeypatch):
+    """Each pass has its own order of blocks, the last one stops within one block, and every pass but that is whole."""
+    monkeypatch.setattr(mixing, "BLOCK_DOCS", 20)
+    rows_ = [(i, prose(10, i), "big") for i in range(900)] + [(1000 + i, prose(10 + i % 7, i), "small") for i in range(190)]
+    df = spark.createDataFrame([(*r, 1, 2.0) for r in rows_], "doc_id long, text string, source string, block int, at double")
+    drawn = mixing.draw(df, repeat=2.5).collect()
+    assert set(drawn[0].asDict()) == {"doc_id", "text", "source", "pass_no", "block", "turn", "at"}
+    for source in ("big", "small"):
+        own = sorted((r for r in drawn if r.source == source), key=lambda r: r.at)
+        assert [(r.pass_no, r.turn) for r in own] == sorted((r.pass_no, r.turn) for r in own) and all(0 <= r.at <= 1 for r in own)
+        orders = {p: {r.turn: r.block for r in own if r.pass_no == p} for p in {r.pass_no for r in own}}
+        for p, turns in orders.items():
+            assert len(set(turns.values())) == len(turns) and all(len({r.turn for r in own if r.pass_no == p and r.block == b}) == 1 for b in turns.values())
+    small = [r for r in drawn if r.source == "small"]
+    ids = {p: Counter(r.doc_id for r in small if r.pass_no == p) for p in (1, 2, 3)}
+    assert ids[1] == ids[2] == Counter(range(1000, 1190)) and 0 < len(ids[3]) < 190
+    first, second, last = ({r.turn: r.block for r in small if r.pass_no == p} for p in (1, 2, 3))
+    assert first != second and sorted(first.values()) == sorted(second.values())
+    # the last pass takes whole blocks in its order but for the one it ends in
+    whole = {b: sum(1 for r in small if r.pass_no == 1 and r.block == b) for b in first.values()}
+    part = Counter(r.block for r in small if r.pass_no == 3)
+    cut = [b for b in part if part[b] < whole[b]]
+    assert len(cut) <= 1 and all(last[t] == cut[0] for t in [max(last)] if cut)
+    assert [last[t] for t in sorted(last)] != sorted(last.values())
+
+
 def test_permutation_index_recall_and_odd_vectors(spark):
     r = np.random.default_rng(8)
     centres = r.normal(size=(20, 16))
