@@ -59,6 +59,17 @@ def sized(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def placed(docs: DataFrame) -> DataFrame:
+    """docs with _place, one for each row, ascending by doc_id (null last) and text."""
+    n = docs.agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("d")).head()
+    if n["n"] == n["d"]:
+        return docs.withColumn("_place", F.col("doc_id").cast("bigint"))
+    # equal rows are dealt out by their number in the input
+    numbered = docs.withColumn("_tie", F.monotonically_increasing_id())
+    ordered = numbered.orderBy(F.col("doc_id").asc_nulls_last(), F.col("text").asc_nulls_last(), "_tie").drop("_tie")
+    return stored(ordered.withColumn("_place", F.monotonically_increasing_id()), "rows")
+
+
 def bound_batches(spark: SparkSession) -> None:
     """Batches that go to Python end at BATCH_BYTES too, not at a number of rows alone, so long texts don't add up; a session's own bound stays."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"

@@ -54,17 +54,6 @@ def forms(text: str, least: int) -> tuple[list[int], list[str]]:
     return [i for i, _ in found], [f for _, f in found]
 
 
-def placed(docs: DataFrame) -> DataFrame:
-    """docs with _place, one for each row, ascending by doc_id (null last) and text."""
-    n = docs.agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("d")).head()
-    if n["n"] == n["d"]:
-        return docs.withColumn("_place", F.col("doc_id").cast("bigint"))
-    # equal rows are dealt out by their number in the input
-    numbered = docs.withColumn("_tie", F.monotonically_increasing_id())
-    ordered = numbered.orderBy(F.col("doc_id").asc_nulls_last(), F.col("text").asc_nulls_last(), "_tie").drop("_tie")
-    return common.stored(ordered.withColumn("_place", F.monotonically_increasing_id()), "line-rows")
-
-
 def sketch(docs: DataFrame, least: int = MIN_CHARS, shingle: int = SHINGLE) -> DataFrame:
     """docs: _place, text.  A row for each line that is compared; again: its form was in an earlier line of the text."""
 
@@ -132,7 +121,7 @@ def dropped(docs: DataFrame, least: int = MIN_CHARS, shingle: int = SHINGLE, sim
 
 def dedup(docs: DataFrame, **settings) -> DataFrame:
     """docs with the text that stays, and the columns n_lines and dropped (line numbers from 0)."""
-    docs = placed(docs)
+    docs = common.placed(docs)
     gone = common.stored(dropped(docs, **settings), "line-drops").select(F.col("place").alias("_place"), F.col("lines").alias("dropped"))
     joined = docs.join(common.sized(gone, ROWS_BROADCAST), "_place", "left").drop("_place")
     rest = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("dropped", i))

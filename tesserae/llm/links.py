@@ -9,7 +9,8 @@ sets differ in elements; so a pair whose maps differ in too many bits can't be a
 link, and only near pairs leave the join and are verified.  While that join
 would still make more than ``COMPARISONS`` comparisons for each member, further rounds
 compare the members that are left with ``PIVOTS`` random members of the largest
-component, which costs the number of members.  No link between different
+component, which costs the number of members; they go on as long as each takes
+away half of the comparisons.  No link between different
 components is lost, and neither thousands of near copies nor thousands of texts
 around one passage give a quadratic number of pairs.
 
@@ -19,6 +20,7 @@ buckets meet in joins, which adaptive execution splits, never in one task.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -35,7 +37,7 @@ BROADCAST_KEYS = 1_000_000
 
 #: 64-bit words of a parity map.
 WORDS = 16
-#: Comparisons for each member row that the last join may make while further rounds still link something.
+#: Comparisons for each member row that the last join may make while further rounds still help.
 COMPARISONS = 16
 PIVOTS = 4
 
@@ -194,7 +196,7 @@ def classes(items: DataFrame, texts_of: Callable[[DataFrame], DataFrame], elemen
     tried = common.stored(pairs.union(stars).distinct(), "pairs")
     texts = common.stored(texts_of(tried.select(F.explode(F.array("a", "b")).alias("node")).distinct()), "texts")
     found = components(common.stored(verified(tried, texts, elements, similarity), "links"))
-    members, mapped, seed, stalled = members.select("band", "node"), None, 0, False
+    members, mapped, seed, before = members.select("band", "node"), None, 0, math.inf
     while True:
         # members of one bucket that are still apart
         placed = members.join(found, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
@@ -206,13 +208,12 @@ def classes(items: DataFrame, texts_of: Callable[[DataFrame], DataFrame], elemen
         apart = common.stored(placed.join(sizes.select("band", "largest"), "band"), "apart")
         if mapped is None:
             mapped = common.stored(maps(texts.join(apart.select("node").distinct(), "node", "left_semi"), elements), "maps")
-        last = stalled or work["comparisons"] <= COMPARISONS * work["rows"]
-        seed += 1
+        last = work["comparisons"] <= COMPARISONS * work["rows"] or work["comparisons"] > before / 2
+        before, seed = work["comparisons"], seed + 1
         again = apart_pairs(apart, mapped, similarity) if last else pivot_pairs(apart, mapped, similarity, seed)
         again = common.stored(again.join(tried, ["a", "b"], "left_anti"), "pairs-apart")
         late = common.stored(verified(again, texts, elements, similarity), "links-apart")
-        stalled = late.isEmpty()
-        if not stalled:
+        if not late.isEmpty():
             found = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")).union(late))
         if last:
             return found

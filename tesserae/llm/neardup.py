@@ -102,13 +102,14 @@ def classify(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILA
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs without all but one document of each class; rows with a null doc_id stay."""
-    found = common.stored(classify(docs), "classes")
-    gone = common.sized(found.where("doc_id <> class_id").select(F.col("doc_id").alias("_gone")))
-    kept = docs.where("doc_id is not null").join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
-    if _repeats(docs):
-        kept = kept.dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null"))
+    """docs without all but the first row of each class, by doc_id and text; rows with a null doc_id stay.
+
+    Rows with one doc_id are compared like others, so their texts go only if they are alike.
+    """
+    rows = common.placed(docs.where("doc_id is not null"))
+    found = common.stored(classify(rows.select(F.col("_place").alias("doc_id"), "text")), "classes")
+    gone = common.sized(found.where("doc_id <> class_id").select(F.col("doc_id").alias("_place")))
+    return rows.join(gone, "_place", "left_anti").drop("_place").unionByName(docs.where("doc_id is null"))
 
 
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
