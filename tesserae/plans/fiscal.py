@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -274,6 +276,75 @@ b AS (SELECT c_nationkey AS code, sum(o_totalprice) AS revenue, sum(o_totalprice
 SELECT code, round(revenue / nullif(cash, 0), 6) AS cash_turn, round(ni / revenue, 6) AS margin, round(round_even(ni / shares, 2), 6) AS per_share, round(abs(cash - (revenue - ni)) / revenue, 6) AS spread, NULL::DOUBLE AS "none", NULL::DOUBLE AS zero FROM a JOIN b USING (code)"""
 
 
+_GIVEN = sorted({n for f, _, _ in ratios.RATIOS.values() for n in ratios.names(f)} - set(ratios.RATIOS) | {f"{n}:{state}" for f, _, _ in ratios.RATIOS.values() for n in re.findall(r"avg\((\w+)\)", f) for state in ("opening", "closing")})
+_VALUE_OF = {n: f"CASE WHEN (code + {i}) % 23 <> 0 THEN CAST((code * 37 + {i} * 101) % 997 + 3 AS DOUBLE) / 7 END" for i, n in enumerate(_GIVEN)}
+_STORED = {"per": "CASE WHEN code % 4 = 0 THEN 12.5 END", "roe": "CASE WHEN code % 3 = 0 THEN 8.0 END", "pbr": "0.0"}
+_INDUSTRY = "CASE CAST(code % 5 AS INT) WHEN 0 THEN 'bank' WHEN 1 THEN 'insurance' WHEN 2 THEN 'securities' END"
+
+
+def _statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accounts, stored ratios and the industry of every supplier, made from its id."""
+    codes = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("code"))
+    as_map = lambda of: F.map_filter(F.map_from_arrays(F.array(*[F.lit(n) for n in of]), F.array(*[F.expr(e).cast("double") for e in of.values()])), lambda _, v: v.isNotNull())
+    return codes.select("code", F.expr(_INDUSTRY).alias("industry"), as_map(_VALUE_OF).alias("values"), as_map(_STORED).alias("stored"))
+
+
+def all_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every definition for every company."""
+    return ratios.company_ratios(_statements(spark, sf_dir)).select("code", "ratio", F.round("value", 6).alias("value"), "source")
+
+
+def _ratio_sql(formula: str) -> str:
+    """A formula as SQL over columns that are named like its accounts."""
+    avg = re.sub(r"avg\((\w+)\)", r'coalesce(("\1@opening" + "\1@closing") / 2, "\1@closing", "\1")', formula)
+    return re.sub(r'(?<!["\w@])([A-Za-z_]\w*)((?::[a-z]+)?)(?![\w"(@])', lambda m: f'"{m[1]}{m[2]}"', avg).replace("@", ":")
+
+
+_EXPANDED = ratios.expand({k: f for k, (f, _, _) in ratios.RATIOS.items()})
+_COLUMNS = ", ".join(f'{e} AS "{n}"' for n, e in {**{n: "NULL::DOUBLE" for n in {x for f in _EXPANDED.values() for x in re.findall(r"avg\((\w+)\)", f)} - set(_VALUE_OF)}, **_VALUE_OF}.items())
+_STATEMENTS = f"c AS (SELECT s_suppkey AS code FROM supplier), v AS (SELECT code, {_INDUSTRY} AS industry, {_COLUMNS} FROM c)"
+
+
+def _scaled(name: str) -> str:
+    return f"({_ratio_sql(_EXPANDED[name])}) * {100 if ratios.RATIOS[name][1] == 'percentage' else 1}"
+
+
+ALL_RATIOS = f"WITH {_STATEMENTS} " + " UNION ALL ".join(
+    f"SELECT code, '{name}' AS ratio, round(coalesce({_STORED.get(name, 'NULL::DOUBLE')}, {_scaled(name)}), 6) + 0.0 AS value, CASE WHEN {_STORED.get(name, 'NULL::DOUBLE')} IS NOT NULL THEN 'stored' WHEN {_scaled(name)} IS NOT NULL THEN 'computed' ELSE 'missing' END AS source FROM v WHERE industry IS NULL"
+    + (" OR true" if not tags else "".join(f" OR industry = '{t}'" for t in tags.split()))
+    for name, (_, _, tags) in ratios.RATIOS.items()
+)
+
+
+def ratio_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored ratios against computed ones: a tenth of them off by more than half a percent."""
+    s = _statements(spark, sf_dir).select("code", "values")
+    computed = ratios.ratios(F.col("values"), {k: f for k, (f, _, _) in ratios.RATIOS.items()})
+    kept = {"psr": computed["psr"] * F.when(F.col("code") % 10 == 0, 1.0625).otherwise(1.0), "roa": computed["roa"] * 100, "eps": F.lit(0.0)}
+    stored = F.map_filter(F.map_from_arrays(F.array(*[F.lit(k) for k in kept]), F.array(*kept.values())), lambda _, v: v.isNotNull())
+    return ratios.validated(s.withColumn("stored", stored)).select("code", "ratio", F.round("stored", 6).alias("stored"), "ok")
+
+
+RATIO_VALIDATION = f"""WITH {_STATEMENTS} SELECT code, 'psr' AS ratio, round(({_scaled("psr")}) * CASE WHEN code % 10 = 0 THEN 1.0625 ELSE 1 END, 6) AS stored, code % 10 <> 0 AS ok FROM v WHERE {_scaled("psr")} IS NOT NULL
+UNION ALL SELECT code, 'roa', round({_scaled("roa")}, 6), true FROM v WHERE {_scaled("roa")} IS NOT NULL
+UNION ALL SELECT code, 'eps', 0, coalesce(abs(round(({_scaled("eps")}) * 100, 2)) <= 0.5, false) FROM v"""
+
+DICTIONARY = [("id", "BS_CA_CASH", "BS_CA_CASH"), ("taxonomy", "Cash", "BS_CA_CASH"), ("name", "cash and equivalents", "BS_CA_CASH"), ("alias", "cash", "BS_CA_CASH"), ("name", "sales", "IS_REV_TOTAL"), ("english", "revenue", "IS_REV_TOTAL"), ("alias", "cash and equivalents", "BS_CA_ST_FIN"), ("taxonomy", "sales (net)", "IS_OTHER")]
+TERMS = ["BS_CA_CASH", "Cash", "cash", "cash and  equivalents", "sales (restated)", "sales (net)", "revenue [note 3]", "Cash (x)", "unknown"]
+
+
+def account_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of accounts as they are reported, one for each customer, under the names of the ontology."""
+    c = table(spark, sf_dir, "customer").select("c_custkey", F.element_at(F.array(*[F.lit(t) for t in TERMS]), (F.col("c_custkey") % len(TERMS) + 1).cast("int")).alias("term"))
+    got = ratios.resolve_accounts(c, F.broadcast(spark.createDataFrame(DICTIONARY, "via string, key string, id string")))
+    return got.groupBy("term", "id", "via").agg(F.count("*").alias("n"))
+
+
+ACCOUNT_NAMES = f"""WITH t AS (SELECT {TERMS}[c_custkey % {len(TERMS)} + 1] AS term FROM customer)
+SELECT term, CASE WHEN term IN ('BS_CA_CASH', 'Cash', 'cash', 'cash and  equivalents') THEN 'BS_CA_CASH' WHEN term = 'sales (net)' THEN 'IS_OTHER' WHEN term IN ('sales (restated)', 'revenue [note 3]') THEN 'IS_REV_TOTAL' END AS id,
+  CASE term WHEN 'BS_CA_CASH' THEN 'id' WHEN 'Cash' THEN 'taxonomy' WHEN 'cash' THEN 'alias' WHEN 'cash and  equivalents' THEN 'name' WHEN 'sales (restated)' THEN 'name' WHEN 'sales (net)' THEN 'taxonomy' WHEN 'revenue [note 3]' THEN 'english' END AS via, count(*) AS n FROM t GROUP BY 1"""
+
+
 def valuations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Multiples and the dividend model over parts: price, profit and book from their columns."""
     p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("code"), F.col("p_retailprice").alias("price"), F.col("p_size").cast("double").alias("size"))
@@ -322,6 +393,9 @@ QUERIES = {
     "f27_f29_targets": flows_and_targets,
     "j20_reconcile": reconciled,
     "g1_ratio_engine": ratio_engine,
+    "g3_g8_all_ratios": all_ratios,
+    "g6_ratio_validation": ratio_validation,
+    "g9_account_names": account_names,
     "f22_f24_valuations": valuations,
     "q17_multi_method": multiples,
 }
@@ -342,5 +416,8 @@ ORACLES = {
     "f27_f29_targets": FLOWS_AND_TARGETS,
     "j20_reconcile": RECONCILED,
     "g1_ratio_engine": RATIO_ENGINE,
+    "g3_g8_all_ratios": ALL_RATIOS,
+    "g6_ratio_validation": RATIO_VALIDATION,
+    "g9_account_names": ACCOUNT_NAMES,
     "f22_f24_valuations": VALUATIONS,
 }

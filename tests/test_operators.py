@@ -38,7 +38,7 @@ def test_ratio_formulas(spark):
             ratios.compile_formula(bad, F.col("v"))
     with pytest.raises(ratios.FormulaError):
         ratios.expand({"p": "q + 1", "q": "p"})
-    assert all(ratios.names(f) for f in ratios.RATIOS.values())
+    assert all(ratios.names(f) for f, _, _ in ratios.RATIOS.values()) and len(ratios.RATIOS) == 57
 
 
 def test_valuation_by_hand(spark):
