@@ -103,8 +103,12 @@ def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
+def name_words(x: Column) -> Column:
+    """The different words of a name, brackets counting as white space."""
+    return F.array_distinct(F.filter(F.split(F.trim(F.lower(F.regexp_replace(x, r"[()]", " "))), r"\s+"), lambda w: w != ""))
+
+
 def token_jaccard(a: Column, b: Column) -> Column:
-    """Similarity of two names as sets of words, brackets left out."""
-    words = lambda x: F.array_distinct(F.filter(F.split(F.trim(F.lower(F.regexp_replace(x, r"\([^)]*\)", " "))), r"\s+"), lambda w: w != ""))
-    both = F.size(F.array_intersect(words(a), words(b)))
-    return F.try_divide(both.cast("double"), F.size(F.array_union(words(a), words(b))))
+    """Similarity of two names as sets of words."""
+    both = F.size(F.array_intersect(name_words(a), name_words(b)))
+    return F.try_divide(both.cast("double"), F.size(F.array_union(name_words(a), name_words(b))))

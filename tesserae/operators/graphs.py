@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window
 from pyspark.sql.pandas.types import to_arrow_type
 
-from tesserae.functions.columns import cosine, token_jaccard
+from tesserae.functions.columns import cosine, name_words, token_jaccard
 
 
 def concentration(edges: DataFrame) -> DataFrame:
@@ -61,20 +61,29 @@ def name_key(c: Column) -> Column:
     return F.regexp_replace(bare, r"[^\p{L}\p{N}]", "")
 
 
+def _rare_words(names: DataFrame, key: str, name: str, counts: DataFrame, threshold: float) -> DataFrame:
+    """(key, word): the rarest words of a name, so many that two names of that similarity share one of them."""
+    words = names.select(key, F.explode(name_words(F.col(name))).alias("w")).join(counts, "w", "left")
+    ordered = words.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "w"))).alias("ws"))  # the words of one name
+    kept = F.slice("ws", 1, F.size("ws") - F.ceil(F.size("ws") * threshold - 1e-9).cast("int") + 1)
+    return ordered.select(key, F.explode(kept).alias("x")).select(key, F.col("x.w").alias("w"))
+
+
 def resolve(mentions: DataFrame, canon: DataFrame, threshold: float = 0.9) -> DataFrame:
     """mentions: m_id, name, hint_id.  canon: c_id, c_name.  By id, else equal key, else the most alike set of words, else new.
 
-    Only what a stage leaves goes to the next; the fuzzy stage compares names
-    that share a word.
+    Only what a stage leaves goes to the next; the fuzzy stage compares names that
+    share one of their rarest words, which loses no pair as alike as the threshold
+    and keeps frequent words from pairing a large part of the table.
     """
     by_id = mentions.join(canon.select(F.col("c_id").alias("hint_id"), F.col("c_id").alias("found")), "hint_id").select("m_id", "found", F.lit("id").alias("how"))
     rest = mentions.join(by_id, "m_id", "left_anti")
     keys = canon.withColumn("key", name_key(F.col("c_name"))).where("key <> ''").groupBy("key").agg(F.min("c_id").alias("found"))
     exact = rest.withColumn("key", name_key(F.col("name"))).join(keys, "key").select("m_id", "found", F.lit("exact").alias("how"))
     rest = rest.join(exact, "m_id", "left_anti")
-    words = lambda c: F.explode(F.array_distinct(F.split(F.trim(F.lower(c)), r"\s+")))
-    pairs = rest.select("m_id", "name", words(F.col("name")).alias("w")).join(canon.select("c_id", "c_name", words(F.col("c_name")).alias("w")), "w").select("m_id", "name", "c_id", "c_name").distinct()
-    alike = pairs.withColumn("score", token_jaccard(F.col("name"), F.col("c_name"))).where(F.col("score") >= threshold)
+    counts = canon.select(F.explode(name_words(F.col("c_name"))).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+    pairs = _rare_words(rest, "m_id", "name", counts, threshold).join(_rare_words(canon, "c_id", "c_name", counts, threshold), "w").select("m_id", "c_id").distinct()
+    alike = pairs.join(rest.select("m_id", "name"), "m_id").join(canon.select("c_id", "c_name"), "c_id").withColumn("score", token_jaccard(F.col("name"), F.col("c_name"))).where(F.col("score") >= threshold)
     first = F.row_number().over(Window.partitionBy("m_id").orderBy(F.desc("score"), "c_id"))
     fuzzy = alike.withColumn("rn", first).where("rn = 1").select("m_id", F.col("c_id").alias("found"), F.lit("fuzzy").alias("how"))
     new = rest.join(fuzzy, "m_id", "left_anti").select("m_id", F.lit(None).cast("long").alias("found"), F.lit("new").alias("how"))

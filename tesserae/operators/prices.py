@@ -105,8 +105,9 @@ def stage_features(bars: DataFrame, n: int = 60, ma: int = 50) -> DataFrame:
         F.when(enough, slope(rows(w, -half)) - slope(rows(w, 1 - n, half - n + 1))).alias("curvature"),
         F.when(enough, F.try_divide(up, down)).alias("volume_balance"),
         F.when(enough, F.try_divide(atr_new, atr_old)).alias("range_ratio"),
-        F.when(enough & (high > low), (F.col("close") - low) / (high - low) * 100).alias("channel"),
+        F.when(enough, F.when(high > low, F.least(F.lit(100.0), F.greatest(F.lit(0.0), (F.col("close") - low) / (high - low) * 100))).otherwise(50.0)).alias("channel"),
         F.when(enough, (F.col("close") > high) & (F.col("volume") >= 1.5 * usual)).alias("breakout"),
+        F.when(enough, (F.col("close") < low) & (F.col("volume") >= 1.5 * usual)).alias("breakdown"),
         F.when(enough, F.regr_slope("obv", "i").over(before)).alias("obv_slope"),
         ((F.col("close") - F.col("ma")) / F.col("ma")).alias("position"),
         (F.col("ma") / F.lag("ma", 10).over(w) - 1).alias("ma_change"),
@@ -130,7 +131,7 @@ def classify_stage(f: DataFrame) -> DataFrame:
     contraction, expansion = F.coalesce(F.col("range_ratio") <= 0.80, F.lit(False)), F.coalesce(F.col("range_ratio") >= 1.25, F.lit(False))
     gathering = F.coalesce((F.col("volume_balance") >= 1.15) & (F.col("obv_slope") > 0), F.lit(False))
     selling = F.coalesce((F.col("volume_balance") <= 0.87) & (F.col("obv_slope") < 0), F.lit(False))
-    out, breakdown = F.coalesce(F.col("breakout"), F.lit(False)), F.coalesce(F.col("channel") < 0, F.lit(False))
+    out, breakdown = F.coalesce(F.col("breakout"), F.lit(False)), F.coalesce(F.col("breakdown"), F.lit(False))
     basing = (slope > -STEEP) & (curve > CURVE)
     declining = (slope <= -STEEP) | ((slope < -MILD) & ((curve < -CURVE) | expansion)) | (falling & (slope < -MILD))
     either = lambda a, b: F.when(up, a).otherwise(b)

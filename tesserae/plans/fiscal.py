@@ -182,15 +182,15 @@ SELECT code, y, CASE WHEN p > 0 AND p0 > 0 THEN 'profit' WHEN p > 0 THEN 'turnar
 
 
 def rates_before(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For every month with orders of a priority the rate of the last month before that has one, up to a year back."""
-    o = table(spark, sf_dir, "orders").where("o_custkey % 17 = 3")
+    """For every month with orders of a priority the rate of the last month before that has one, up to a year back; two months of three have none."""
+    o = table(spark, sf_dir, "orders")
     month = (F.year("o_orderdate") * 12 + F.month("o_orderdate")).cast("int")
-    per = o.groupBy(F.col("o_orderpriority").alias("code"), month.alias("month")).agg(F.count("*").alias("rate"))
+    per = o.groupBy(F.col("o_orderpriority").alias("code"), month.alias("month")).agg(F.count("*").alias("rate")).withColumn("rate", F.when(F.col("rate") % 3 == 1, F.col("rate")))
     return per.withColumn("before", fiscal.month_before(per, "rate"))
 
 
-RATES_BEFORE = """WITH p AS (SELECT o_orderpriority AS code, CAST(year(o_orderdate) * 12 + month(o_orderdate) AS INT) AS month, count(*) AS rate FROM orders WHERE o_custkey % 17 = 3 GROUP BY 1, 2)
-SELECT *, last_value(rate) OVER (PARTITION BY code ORDER BY month RANGE BETWEEN 12 PRECEDING AND 1 PRECEDING) AS before FROM p"""
+RATES_BEFORE = """WITH p AS (SELECT o_orderpriority AS code, CAST(year(o_orderdate) * 12 + month(o_orderdate) AS INT) AS month, CASE WHEN count(*) % 3 = 1 THEN count(*) END AS rate FROM orders GROUP BY 1, 2)
+SELECT *, last_value(rate IGNORE NULLS) OVER (PARTITION BY code ORDER BY month RANGE BETWEEN 12 PRECEDING AND 1 PRECEDING) AS before FROM p"""
 
 
 def history(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -91,7 +91,7 @@ FROM r WHERE x IS NOT NULL AND y IS NOT NULL GROUP BY code"""
 
 def stage_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = prices.stage_features(views.bars(spark, sf_dir))
-    return _round(f, 4, "ma", "r2", "efficiency", "volume_balance", "range_ratio", "channel", "position").select("code", "bar_date", "close", "ma", F.round("slope", 6).alias("slope"), "r2", "efficiency", "volume_balance", "range_ratio", "channel", "breakout", "position")
+    return _round(f, 4, "ma", "r2", "efficiency", "volume_balance", "range_ratio", "channel", "position").select("code", "bar_date", "close", "ma", F.round("slope", 6).alias("slope"), "r2", "efficiency", "volume_balance", "range_ratio", "channel", "breakout", "breakdown", "position")
 
 
 STAGE_INPUTS = f"""WITH {BARS}, b AS (SELECT *, row_number() OVER w AS i, lag(close) OVER w AS prev FROM bars {W}),
@@ -108,13 +108,13 @@ SELECT code, bar_date, close, round(ma, 4) AS ma, CASE WHEN n = 60 THEN round(CA
   CASE WHEN n = 60 THEN round(CASE WHEN path > 0 THEN net / path ELSE 0 END, 4) END AS efficiency,
   CASE WHEN n = 60 AND down > 0 THEN round(up / down, 4) END AS volume_balance,
   CASE WHEN n = 60 AND atr0 > 0 THEN round(atr1 / atr0, 4) END AS range_ratio,
-  CASE WHEN n = 60 AND hi > lo THEN round((close - lo) / (hi - lo) * 100, 4) END AS channel,
-  CASE WHEN n = 60 THEN close > hi AND volume >= 1.5 * usual END AS breakout,
+  CASE WHEN n = 60 THEN round(CASE WHEN hi > lo THEN least(100, greatest(0, (close - lo) / (hi - lo) * 100)) ELSE 50 END, 4) END AS channel,
+  CASE WHEN n = 60 THEN close > hi AND volume >= 1.5 * usual END AS breakout, CASE WHEN n = 60 THEN close < lo AND volume >= 1.5 * usual END AS breakdown,
   round((close - ma) / ma, 4) + 0.0 AS position FROM d"""
 
 
 def stages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return prices.classify_stage(prices.stage_features(views.bars(spark, sf_dir))).select("code", "bar_date", "stage")
+    return prices.classify_stage(prices.stage_features(views.bars(spark, sf_dir), 60, 60)).select("code", "bar_date", "stage")
 
 
 def quarter_end_close(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -111,8 +111,8 @@ def top_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents, conversation turns and events of one normal form, the newest 200."""
-    d = table(spark, sf_dir, "documents").select(F.lit("document").alias("kind"), F.col("doc_id").alias("id"), F.date_add(F.to_date(F.lit("2024-01-01")), (F.col("doc_id") % 180).cast("int")).cast("timestamp").alias("at"), F.left("text", F.lit(40)).alias("title"))
-    c = table(spark, sf_dir, "conversations").where("turn = 0").select(F.lit("conversation").alias("kind"), F.col("conv_id").alias("id"), F.date_add(F.to_date(F.lit("2024-02-01")), (F.col("conv_id") % 90).cast("int")).cast("timestamp").alias("at"), F.left("text", F.lit(40)).alias("title"))
+    d = table(spark, sf_dir, "documents").select(F.lit("document").alias("kind"), F.col("doc_id").alias("id"), F.date_add(F.to_date(F.lit("2024-01-01")), (F.col("doc_id") % 180).cast("int")).cast("timestamp").alias("at"), F.regexp_extract("text", r"^[^\n]*", 0).alias("title"))
+    c = table(spark, sf_dir, "conversations").where("turn = 0").select(F.lit("conversation").alias("kind"), F.col("conv_id").alias("id"), F.date_add(F.to_date(F.lit("2024-02-01")), (F.col("conv_id") % 90).cast("int")).cast("timestamp").alias("at"), F.regexp_extract("text", r"^[^\n]*", 0).alias("title"))
     e = table(spark, sf_dir, "events").where("event_type = 'purchase'").select(F.lit("event").alias("kind"), F.col("event_id").alias("id"), F.col("ts").alias("at"), F.col("event_type").alias("title"))
     return d.unionByName(c).unionByName(e).orderBy(F.desc("at"), "kind", "id").limit(200).select("kind", "id", "title")
 
@@ -134,7 +134,7 @@ def keyword_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = table(spark, sf_dir, "documents").select(F.col("source").alias("q"), F.col("doc_id").alias("idx"), F.left("text", F.lit(60)).alias("title"), F.date_add(F.to_date(F.lit("2024-01-01")), (F.col("doc_id") % 30).cast("int")).alias("day"))
+    r = table(spark, sf_dir, "documents").select(F.col("source").alias("q"), F.col("doc_id").alias("idx"), F.regexp_extract("text", r"^[^\n]*", 0).alias("title"), F.date_add(F.to_date(F.lit("2024-01-01")), (F.col("doc_id") % 30).cast("int")).alias("day"))
     return relational.rerank(r, ["the", "and", "on in"]).select("q", "idx", "rel", "score")
 
 
@@ -146,7 +146,7 @@ def row_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events of small sectors for each member supplier."""
     members = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("theme"), F.col("s_suppkey").alias("code"))
-    news = table(spark, sf_dir, "events").where("event_type = 'purchase' and event_id % 7 = 0").select("event_id", (F.col("user_id") % 25).cast("int").alias("theme"))
+    news = table(spark, sf_dir, "events").where("event_type = 'purchase'").select("event_id", (F.col("user_id") % 25).cast("int").alias("theme"))
     return relational.propagate(news, members, 4).select("event_id", "theme", "code")
 
 
@@ -223,7 +223,7 @@ QUERIES = {
     "p9_json_payload": json_payload,
 }
 
-_HITS = "SELECT source AS q, doc_id AS idx, left(text, 60) AS title, CAST(DATE '2024-01-01' + CAST(doc_id % 30 AS INTEGER) AS DATE) AS day FROM documents"
+_HITS = "SELECT source AS q, doc_id AS idx, regexp_extract(text, '^[^\n]*', 0) AS title, CAST(DATE '2024-01-01' + CAST(doc_id % 30 AS INTEGER) AS DATE) AS day FROM documents"
 
 ORACLES = {
     "q1_screener": SCREENER,
@@ -237,12 +237,12 @@ ORACLES = {
     "u3_set_operations": "WITH a AS (SELECT l_partkey FROM lineitem WHERE l_suppkey = 1), b AS (SELECT l_partkey FROM lineitem WHERE l_suppkey = 2) SELECT *, 'both' AS kind FROM (SELECT * FROM a INTERSECT SELECT * FROM b) UNION ALL SELECT *, 'first' FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT *, 'second' FROM (SELECT * FROM b EXCEPT SELECT * FROM a)",
     "a12_group_median": "SELECT o_custkey, round(quantile_cont(o_totalprice, 0.5), 4) AS median FROM orders GROUP BY 1",
     "o5_top_reports": f"WITH {REPORTS}, s AS (SELECT *, coalesce(views::DOUBLE / nullif(max(views) OVER (PARTITION BY industry), 0), 0) + CASE WHEN sentiment = 'BUY' THEN 0.2::DOUBLE ELSE 0 END AS sc FROM reports), k AS (SELECT *, row_number() OVER (PARTITION BY industry ORDER BY sc DESC, doc_id) AS rank FROM s) SELECT industry, doc_id, rank, round(sc, 6) AS score FROM k WHERE rank <= 5",
-    "q11_timeline": "WITH t AS (SELECT 'document' AS kind, doc_id AS id, CAST(DATE '2024-01-01' + CAST(doc_id % 180 AS INTEGER) AS TIMESTAMP) AS moment, left(text, 40) AS title FROM documents UNION ALL SELECT 'conversation', conv_id, CAST(DATE '2024-02-01' + CAST(conv_id % 90 AS INTEGER) AS TIMESTAMP), left(text, 40) FROM conversations WHERE turn = 0 UNION ALL SELECT 'event', event_id, ts, event_type FROM events WHERE event_type = 'purchase') SELECT kind, id, title FROM t ORDER BY moment DESC, kind, id LIMIT 200",
+    "q11_timeline": "WITH t AS (SELECT 'document' AS kind, doc_id AS id, CAST(DATE '2024-01-01' + CAST(doc_id % 180 AS INTEGER) AS TIMESTAMP) AS moment, regexp_extract(text, '^[^\n]*', 0) AS title FROM documents UNION ALL SELECT 'conversation', conv_id, CAST(DATE '2024-02-01' + CAST(conv_id % 90 AS INTEGER) AS TIMESTAMP), regexp_extract(text, '^[^\n]*', 0) FROM conversations WHERE turn = 0 UNION ALL SELECT 'event', event_id, ts, event_type FROM events WHERE event_type = 'purchase') SELECT kind, id, title FROM t ORDER BY moment DESC, kind, id LIMIT 200",
     "o6_search": "WITH r AS (SELECT *, CASE WHEN lower(c_name) = 'customer#00000001' THEN 0 WHEN starts_with(lower(c_name), 'customer#00000001') THEN 1 WHEN contains(lower(c_name), '0001') THEN 2 WHEN c_mktsegment ILIKE '%auto%' THEN 3 END AS relevance FROM customer) SELECT c_custkey, c_name, relevance FROM r WHERE relevance IS NOT NULL ORDER BY relevance, c_acctbal DESC, c_custkey LIMIT 100",
     "j15_keyword_rules": "SELECT p_partkey, CASE " + " ".join(f"WHEN contains(lower(p_name), '{w}') THEN '{n}'" for w, n in RULES) + " END AS class FROM part",
     "m2_rerank": f"WITH h AS ({_HITS}), r AS (SELECT *, contains(b, 'the')::INT + contains(b, 'and')::INT + contains(b, 'onin')::INT AS rel FROM (SELECT *, regexp_replace(lower(title), '\\s+', '', 'g') AS b FROM h)), k AS (SELECT * FROM r WHERE rel > 0 QUALIFY row_number() OVER (PARTITION BY q, regexp_replace(lower(title), '[^\\p{{L}}\\p{{N}}_]', '', 'g') ORDER BY idx) = 1), p AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY idx) - 1 AS pos, count(*) OVER (PARTITION BY q) AS n, dense_rank() OVER (PARTITION BY q ORDER BY day) AS age FROM k), x AS (SELECT *, max(age) OVER (PARTITION BY q) AS ages FROM p) SELECT q, idx, rel, round(0.7::DOUBLE * (1 - pos::DOUBLE / n) + 0.3::DOUBLE * CASE WHEN ages > 1 THEN (age - 1)::DOUBLE / (ages - 1) ELSE 0.5 END + 0.1::DOUBLE * (rel - 1), 6) AS score FROM x",
     "m8_row_fingerprints": "SELECT n_regionkey, left(sha256(string_agg(n_nationkey || '|' || n_name, chr(10) ORDER BY n_nationkey || '|' || n_name)), 16) AS fingerprint FROM nation GROUP BY 1",
-    "t12_propagation": "WITH s AS (SELECT s_nationkey FROM supplier GROUP BY 1 HAVING count(*) <= 4) SELECT event_id, s_nationkey AS theme, s_suppkey AS code FROM (SELECT event_id, CAST(user_id % 25 AS INTEGER) AS theme FROM events WHERE event_type = 'purchase' AND event_id % 7 = 0) JOIN supplier ON theme = s_nationkey WHERE s_nationkey IN (FROM s)",
+    "t12_propagation": "WITH s AS (SELECT s_nationkey FROM supplier GROUP BY 1 HAVING count(*) <= 4) SELECT event_id, s_nationkey AS theme, s_suppkey AS code FROM (SELECT event_id, CAST(user_id % 25 AS INTEGER) AS theme FROM events WHERE event_type = 'purchase') JOIN supplier ON theme = s_nationkey WHERE s_nationkey IN (FROM s)",
     "t11_resume": "SELECT s_suppkey AS code FROM supplier WHERE s_suppkey % 3 <> 0 ORDER BY 1 LIMIT 20",
     "t1_t2_upsert": "SELECT s_suppkey AS code, s_acctbal + CASE WHEN s_suppkey % 4 = 0 THEN 2 WHEN s_suppkey % 2 = 0 THEN 1 ELSE 0 END AS value FROM supplier UNION ALL SELECT s_suppkey + 100000, s_acctbal FROM supplier WHERE s_suppkey % 5 = 0",
     "t4_partial_upsert": "SELECT c_custkey AS code, CASE WHEN c_custkey % 4 = 0 THEN c_acctbal * 2 ELSE c_acctbal END AS a, CASE WHEN c_custkey % 6 = 0 THEN NULL ELSE c_mktsegment END AS b FROM customer",
