@@ -76,7 +76,7 @@ def beta(bars: DataFrame, index: DataFrame, least: int = 60) -> DataFrame:
     return out.select("code", "n", F.when((F.col("n") >= least) & F.col("raw").isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(3.0), F.col("raw")))).alias("beta"))
 
 
-def stage_features(bars: DataFrame, n: int = 60, ma: int = 50) -> DataFrame:
+def stage_features(bars: DataFrame, n: int = 60, ma: int = 50, lookback: int = 10) -> DataFrame:
     """What the stage decision looks at, per bar: trend, fit, efficiency, curvature, volume, range, channel."""
     w = series()
     base = bars.select("*", F.row_number().over(w).alias("i"), F.lag("close").over(w).alias("prev"), sma(F.col("close"), ma, w).alias("ma"))
@@ -110,7 +110,7 @@ def stage_features(bars: DataFrame, n: int = 60, ma: int = 50) -> DataFrame:
         F.when(enough, (F.col("close") < low) & (F.col("volume") >= 1.5 * usual)).alias("breakdown"),
         F.when(enough, F.regr_slope("obv", "i").over(before)).alias("obv_slope"),
         ((F.col("close") - F.col("ma")) / F.col("ma")).alias("position"),
-        (F.col("ma") / F.lag("ma", 10).over(w) - 1).alias("ma_change"),
+        (F.col("ma") / F.lag("ma", lookback).over(w) - 1).alias("ma_change"),
         (F.col("ma") >= F.lag("ma", ma).over(w)).alias("context_up"),
     )
     return out
@@ -154,6 +154,18 @@ def classify_stage(f: DataFrame) -> DataFrame:
     return f.withColumn("stage", stage)
 
 
+#: Bars, average and window, look-back of its slope, least run of a stage.
+FRAMES = {"short": ("day", 50, 10, 20), "mid": ("week", 30, 5, 8), "long": ("week", 40, 8, 8)}
+
+
+def staged(bars: DataFrame, frame: str) -> DataFrame:
+    """Stages of a frame's bars, with side (of the average) and slope (of it) as -1, 0, 1."""
+    unit, n, lookback, _ = FRAMES[frame]
+    f = classify_stage(stage_features(bars if unit == "day" else resample(bars, unit), n, n, lookback))
+    sign = lambda c, band: F.when(F.col(c) > band, 1).when(F.col(c) < -band, -1).otherwise(0)
+    return f.withColumns({"side": sign("position", PRICE_BAND), "slope": sign("ma_change", FLAT)})
+
+
 def as_of_close(bars: DataFrame, dates: DataFrame) -> DataFrame:
     """The last close on or before each date: both go into one ordered series for each code (no range join)."""
     asked = dates.select("code", F.col("as_of").alias("at"), F.lit(1).alias("asks"), F.lit(None).cast("struct<bar_date:date,close:double>").alias("bar"))

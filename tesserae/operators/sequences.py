@@ -7,6 +7,7 @@ hysteresis and look-back, are a pandas kernel, for each code.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -91,51 +92,115 @@ def boxes(pivots: DataFrame, last: int = 6, width: float = 0.03) -> DataFrame:
     return close.groupBy("code").agg(F.avg(F.when(F.col("kind") == "high", F.col("price"))).alias("resistance"), F.avg(F.when(F.col("kind") == "low", F.col("price"))).alias("support"))
 
 
-def segment_series(stage: list, position: list, rising: list, least: int = 20) -> list[tuple[int, int, int]]:
-    """(first, last, stage) runs of one series.
+# How far a run may go against its stage, how far a top may rise, and the least tail.
+AGAINST, ADVANCE, TAIL_BARS, TAIL_SHARE = 0.10, 0.10, 4, 0.25
+Run = tuple[int, int, int]
 
-    A new stage is taken when it has lasted, sooner for a turn between 2 and 4 or
-    one to the other side of the average, and counts from its first bar.
-    """
-    runs: list[list[int]] = []
-    current = candidate = None
-    since = 0
-    for i, s in enumerate(stage):
-        if s is None or s != s:
-            continue
-        s = int(s)
-        if current is None:
-            current, runs = s, [[i, i, s]]
-            candidate = None
+
+def settled_stages(stage: list[int], side: list[int], slope: list[int]) -> list[int]:
+    """Stages 1 and 3 go on while the price is near a flat average."""
+    out: list[int] = []
+    for s, near, flat in zip(stage, side, slope):
+        out.append(out[-1] if out and out[-1] in (1, 3) and near == 0 == flat else s)
+    return out
+
+
+def debounced(stage: list[int], side: list[int], slope: list[int], least: int) -> list[Run]:
+    """Runs (first, last, stage).  A new stage is taken when it has lasted, in half the time for a turn between 2 and 4, a change of sides, or one that price or average confirm; it counts from its first bar."""
+    starts, kept, at, since = [0], [stage[0]], side[0], 0
+    for i in range(1, len(stage)):
+        if stage[i] != stage[i - 1]:
+            since = i
+        now, new = kept[-1], stage[i]
+        if new == now:
             continue
-        if s == current:
-            candidate = None
-        elif s != candidate:
-            candidate, since = s, i
-        if candidate is not None:
-            side = position[i] * position[max(0, runs[-1][1])] < 0
-            strong = {current, candidate} == {2, 4} or side or (candidate == 4 and position[i] < 0) or (candidate == 2 and bool(rising[i]))
-            need = max(2, least // 2) if strong else least
-            if i - since + 1 >= need:
-                runs[-1][1] = since - 1
-                runs.append([since, i, candidate])
-                current, candidate = candidate, None
-                continue
-        if candidate is None:
-            runs[-1][1] = i
-    if runs:
-        runs[-1][1] = len(stage) - 1
-    return [(a, b, s) for a, b, s in runs]
+        sooner = {now, new} == {2, 4} or side[i] * at < 0 or (new == 4 and side[i] < 0) or (new == 2 and slope[i] > 0)
+        if i - since + 1 >= (max(2, least // 2) if sooner else least):
+            starts.append(since)
+            kept.append(new)
+            at = side[i]
+    return [(a, b - 1, s) for a, b, s in zip(starts, [*starts[1:], len(stage)], kept)]
+
+
+def by_direction(run: Run, close: np.ndarray, side: list[int]) -> list[Run]:
+    """A top that rose to its end is an advance; a decline that rose and an advance that fell are split at their extreme."""
+    a, b, s = run
+    if not close[a] or not close[b]:
+        return [run]
+    change, own = close[b] / close[a] - 1, close[a : b + 1]
+    if s == 3 and change > ADVANCE and int(np.argmax(own)) >= 0.7 * len(own):
+        cut = next((k for k in range(a, b + 1) if side[k] > 0), None)
+        return [(a, cut - 1, 1), (cut, b, 2)] if cut is not None and a < cut < b else [(a, b, 2)]
+    if not (s == 4 and change > AGAINST or s == 2 and change < -AGAINST):
+        return [run]
+    turned = 1 if s == 4 else 3
+    pivot = a + int(np.argmin(own) if s == 4 else np.argmax(own))
+    if len(own) < 4 or pivot == a:
+        return [(a, b, turned)]
+    return [run] if pivot == b else [(a, pivot, s), (pivot + 1, b, turned)]
+
+
+def by_tail(run: Run, side: list[int]) -> list[Run]:
+    """The end of a decline that lies above, or of an advance that lies below, is a stage of its own if it is long."""
+    a, b, s = run
+    if s not in (2, 4) or b - a + 1 < 2 * TAIL_BARS:
+        return [run]
+    home, tail = (-1 if s == 4 else 1), 0
+    while tail <= b - a and side[b - tail] != home:
+        tail += 1
+    if tail < TAIL_BARS or tail < TAIL_SHARE * (b - a + 1):
+        return [run]
+    rest = [(b - tail + 1, b, 1 if s == 4 else 3)]
+    return [(a, b - tail, s), *rest] if tail <= b - a else rest
+
+
+def merged(runs: list[Run]) -> list[Run]:
+    out: list[Run] = []
+    for a, b, s in runs:
+        out = [*out[:-1], (out[-1][0], b, s)] if out and out[-1][2] == s else [*out, (a, b, s)]
+    return out
+
+
+def segment_series(stage: list, side: list[int], slope: list[int], close: list[float], least: int = 20) -> list[Run]:
+    """(first, last, stage) runs of one series; bars without a stage are left out before, so numbers count the others.
+
+    side: -1 below, 0 near, 1 above the average; slope: -1, 0, 1 for a falling, flat,
+    rising one.
+    """
+    if not stage:
+        return []
+    prices = np.nan_to_num(np.asarray(close, dtype=np.float64))
+    runs = debounced(settled_stages(stage, side, slope), side, slope, least)
+    return merged([t for r in runs for d in by_direction(r, prices, side) for t in by_tail(d, side)])
 
 
 def segments(stages: DataFrame, least: int = 20) -> DataFrame:
-    """stages: code, bar_date, stage, position, ma_change.  Runs of a settled stage for each code."""
+    """stages: code, bar_date, close, stage, side, slope.  Runs of a settled stage for each code."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("bar_date")
-        known = pdf["position"].fillna(0.0).tolist()
-        found = segment_series([None if pd.isna(s) else s for s in pdf["stage"]], known, (pdf["ma_change"].fillna(0.0) > 0).tolist(), least)
+        pdf = pdf[pdf["stage"].notna()].sort_values("bar_date")
+        found = segment_series(pdf["stage"].astype(int).tolist(), pdf["side"].astype(int).tolist(), pdf["slope"].astype(int).tolist(), pdf["close"].tolist(), least)
         dates = pdf["bar_date"].tolist()
         return pd.DataFrame([(pdf["code"].iloc[0], dates[a], dates[b], s, b - a + 1) for a, b, s in found], columns=["code", "start", "end", "stage", "bars"])
 
     return stages.groupBy("code").applyInPandas(run, "code bigint, start date, end date, stage int, bars int")
+
+
+# Fixed values of the long view, in months, and of what counts as near and flat.
+LONG_LEAST, LONG_MOST, LONG_SLOPE, NEAR, FLAT = 40, 120, 12, 0.03, 0.02
+
+
+def secular(months: DataFrame) -> DataFrame:
+    """months: code, month, close.  Where the last close lies to the longest average of months that there is, and where that is heading."""
+    back = F.row_number().over(Window.partitionBy("code").orderBy(F.desc("month")))
+    n = F.count("*").over(Window.partitionBy("code"))
+    size = F.greatest(F.lit(LONG_LEAST), F.least(F.lit(LONG_MOST), n - LONG_SLOPE)).cast("int")
+    rows = months.select("code", "close", back.alias("k"), n.alias("n"), size.alias("size")).where(F.col("n") >= LONG_LEAST + LONG_SLOPE)
+    got = rows.groupBy("code", "size").agg(
+        F.avg(F.when(F.col("k") <= F.col("size"), F.col("close"))).alias("now"),
+        F.avg(F.when((F.col("k") > LONG_SLOPE) & (F.col("k") <= F.col("size") + LONG_SLOPE), F.col("close"))).alias("before"),
+        F.max(F.when(F.col("k") == 1, F.col("close"))).alias("last"),
+    )
+    ratio, slope = F.col("last") / F.col("now") - 1, F.col("now") / F.col("before") - 1
+    band = lambda x, b, names: F.when(x > b, names[0]).when(x < -b, names[2]).otherwise(names[1])
+    return got.select("code", F.col("size").alias("months"), band(ratio, NEAR, ("above", "near", "below")).alias("position"), band(slope, FLAT, ("rising", "flat", "falling")).alias("heading"), F.round(ratio, 4).alias("ratio"))

@@ -32,8 +32,28 @@ def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    staged = prices.classify_stage(prices.stage_features(views.bars(spark, sf_dir)))
-    return sequences.segments(staged.select("code", "bar_date", "stage", "position", "ma_change"))
+    """Runs of stages in day bars."""
+    return sequences.segments(prices.staged(views.bars(spark, sf_dir), "short").select("code", "bar_date", "close", "stage", "side", "slope"), prices.FRAMES["short"][3])
+
+
+def trend_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage of each code in three frames, its place to the long average and its rating."""
+    bars = views.bars(spark, sf_dir)
+    out = prices.strength_ratings(bars).select("code", "rating")
+    for frame in prices.FRAMES:
+        last = prices.staged(bars, frame).groupBy("code").agg(F.max_by("stage", "bar_date").alias(frame))
+        out = out.join(last, "code", "left")
+    return out.join(secular(spark, sf_dir).select("code", "position", "heading"), "code", "left")
+
+
+def secular(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sequences.secular(prices.resample(views.bars(spark, sf_dir), "month").select("code", F.col("bar_date").alias("month"), "close"))
+
+
+SECULAR = f"""WITH {views.BARS}, m AS (SELECT code, max(bar_date) AS month, last(close ORDER BY bar_date) AS close FROM bars GROUP BY code, date_trunc('month', bar_date)),
+k AS (SELECT *, row_number() OVER (PARTITION BY code ORDER BY month DESC) AS k, greatest(40, least(120, count(*) OVER (PARTITION BY code) - 12)) AS size, count(*) OVER (PARTITION BY code) AS n FROM m),
+g AS (SELECT code, CAST(any_value(size) AS INT) AS months, avg(close) FILTER (k <= size) AS now, avg(close) FILTER (k > 12 AND k <= size + 12) AS before, max(close) FILTER (k = 1) AS last FROM k WHERE n >= 52 GROUP BY 1)
+SELECT code, months, CASE WHEN last / now - 1 > 0.03 THEN 'above' WHEN last / now - 1 < -0.03 THEN 'below' ELSE 'near' END AS position, CASE WHEN now / before - 1 > 0.02 THEN 'rising' WHEN now / before - 1 < -0.02 THEN 'falling' ELSE 'flat' END AS heading, round(last / now - 1, 4) + 0.0 AS ratio FROM g"""
 
 
 def page_list(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,12 +77,15 @@ QUERIES = {
     "w28_swings": swings,
     "w29_boxes": boxes,
     "w21_segments": segments,
+    "w22_secular": secular,
+    "w30_trend_frames": trend_frames,
     "s5_page_list": page_list,
     "t15_stream_bars": stream_bars,
     "t13_stream_latest": stream_latest,
 }
 
 ORACLES = {
+    "w22_secular": SECULAR,
     "s5_page_list": """SELECT page_id, regexp_extract(html, '<html[^>]*\\blang="([a-zA-Z-]+)"', 1) AS lang, CAST(len(regexp_extract_all(html, '<a\\s[^>]*href="([^"]*)"')) AS INTEGER) AS links, CAST(len(regexp_extract_all(html, '(?i)<p[ >]')) AS INTEGER) AS paragraphs FROM pages""",
     "t15_stream_bars": "SELECT event_type, strftime(time_bucket(INTERVAL 30 MINUTE, ts), '%Y-%m-%d %H:%M') AS bucket, first(value ORDER BY ts, event_id) AS open, max(value) AS high, min(value) AS low, last(value ORDER BY ts, event_id) AS close, count(*) AS n FROM events GROUP BY 1, 2",
     "t13_stream_latest": "SELECT user_id, event_id, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1",

@@ -95,10 +95,29 @@ def test_zigzag_and_segments(spark):
     df = spark.createDataFrame([(1, d, x) for d, x in s] + [(2, s[0][0], 1.0)], "code long, bar_date date, close double")
     got = [(r.pivot_date, r.price, r.kind) for r in sequences.zigzag(df).where("code = 1").orderBy("n").collect()]
     assert got == plain_zigzag(s, 0.06) and sequences.zigzag(df).where("code = 2").count() == 0
-    runs = sequences.segment_series([2] * 30 + [3] * 5 + [2] * 10 + [4] * 30, [0.1] * 45 + [-0.1] * 30, [True] * 45 + [False] * 30)
+    close = [100.0 + i for i in range(45)] + [145.0 - i for i in range(30)]
+    runs = sequences.segment_series([2] * 30 + [3] * 5 + [2] * 10 + [4] * 30, [1] * 45 + [-1] * 30, [1] * 45 + [-1] * 30, close)
     assert runs == [(0, 44, 2), (45, 74, 4)]
 
 
+def test_segment_steps():
+    flat = [100.0] * 60
+    # stages 1 and 3 go on near a flat average, others don't
+    assert sequences.settled_stages([1, 2, 2, 4, 2], [0, 0, 1, 0, 0], [0, 0, 0, 0, 0]) == [1, 1, 2, 4, 2]
+    # a short flicker is no run; a turn from 2 to 4 needs half the time
+    assert sequences.debounced([2] * 30 + [1] * 15 + [2] * 15, [0] * 60, [0] * 60, 20) == [(0, 59, 2)]
+    assert sequences.debounced([2] * 30 + [4] * 15 + [2] * 15, [0] * 60, [0] * 60, 20) == [(0, 29, 2), (30, 44, 4), (45, 59, 2)]
+    v = np.array([100.0 - i for i in range(30)] + [71.0 + 2 * i for i in range(30)])
+    assert sequences.by_direction((0, 59, 4), v, [-1] * 60) == [(0, 29, 4), (30, 59, 1)]
+    assert sequences.by_direction((0, 59, 2), 500 - v, [1] * 60) == [(0, 59, 2)]  # fell by less than a tenth
+    assert sequences.by_direction((0, 59, 2), 140 - v, [1] * 60) == [(0, 29, 2), (30, 59, 3)]
+    up = np.array([100.0 + i for i in range(60)])
+    assert sequences.by_direction((0, 59, 3), up, [0] * 20 + [1] * 40) == [(0, 19, 1), (20, 59, 2)]
+    assert sequences.by_direction((0, 59, 3), up, [0] * 60) == [(0, 59, 2)] and sequences.by_direction((0, 59, 4), np.array(flat), [0] * 60) == [(0, 59, 4)]
+    assert sequences.by_tail((0, 59, 4), [-1] * 40 + [0] * 5 + [1] * 15) == [(0, 39, 4), (40, 59, 1)] and sequences.by_tail((0, 59, 2), [1] * 50 + [-1] * 10) == [(0, 59, 2)]
+    assert sequences.merged([(0, 3, 1), (4, 5, 1), (6, 9, 2)]) == [(0, 5, 1), (6, 9, 2)] and sequences.segment_series([], [], [], []) == []
+
+
 def test_filters_refuse_what_they_dont_know(spark):
     with pytest.raises(ValueError):
         relational.filters([{"id": "nope", "op": "gte", "value": 1}], {"a": "a"})
