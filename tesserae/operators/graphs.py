@@ -171,3 +171,39 @@ def mentions(texts: DataFrame, names: DataFrame, confusable: DataFrame | None =
 def holders(stakes: DataFrame) -> DataFrame:
     """stakes: company, holder, day, pct.  First and latest stake of each holder, and its best."""
     return stakes.groupBy("company", "holder").agg(F.min_by("pct", "day").alias("first"), F.max_by("pct", "day").alias("latest"), F.max("pct").alias("best"), F.count("*").alias("reports"))
+
+
+def both_ways(edges: DataFrame) -> DataFrame:
+    """edges: src, dst.  A symmetric relation, each pair once in either direction."""
+    return edges.select("src", "dst").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).where("src <> dst").distinct()
+
+
+def related(edges: DataFrame, kind: str, at: str = "src") -> DataFrame:
+    """edges: src, dst, kind.  (node, other) of one kind, seen from one end: customers from src, suppliers from dst."""
+    other = "dst" if at == "src" else "src"
+    return edges.where(F.col("kind") == kind).select(F.col(at).alias("node"), F.col(other).alias("other")).distinct()
+
+
+def value_chain(edges: DataFrame, stages: DataFrame) -> DataFrame:
+    """edges: src, dst; stages: node, stage.  How many neighbours of each node stand at each stage, and the first of them."""
+    return edges.join(stages, F.col("dst") == F.col("node")).groupBy("src", "stage").agg(F.countDistinct("dst").alias("n"), F.min("dst").alias("first"))
+
+
+def siblings(nodes: DataFrame, asked: DataFrame, digits: int = 6) -> DataFrame:
+    """nodes: node, code.  (node, other) of asked nodes and others whose codes begin alike; the asked side is joined first."""
+    part = lambda df, name: df.select(F.col("node").alias(name), F.left("code", F.lit(digits)).alias("_part"))
+    mine = part(nodes.join(asked.select("node"), "node", "left_semi"), "node")
+    return mine.join(part(nodes, "other"), "_part").where("node <> other").select("node", "other")
+
+
+def review_queue(mentions: DataFrame, canon: DataFrame, rejected: DataFrame, least: int) -> DataFrame:
+    """mentions: name.  Names that are neither known nor rejected, in one form each, with how often they came; rarer ones wait."""
+    keyed = mentions.withColumn("key", name_key(F.col("name"))).where("key <> ''")
+    known = canon.select(name_key(F.col("c_name")).alias("key")).union(rejected.select(name_key(F.col("name")).alias("key"))).distinct()
+    return keyed.join(known, "key", "left_anti").groupBy("key").agg(F.min("name").alias("name"), F.count("*").alias("n")).where(F.col("n") >= least)
+
+
+def edges_of_mentions(mentions: DataFrame, kinds: dict[str, str], otherwise: str) -> DataFrame:
+    """mentions: src, dst, type, day.  One edge for each (src, dst, kind), from the newest mention; a type without a kind has the default."""
+    kind = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in kinds.items() for x in kv]), F.col("type")), F.lit(otherwise))
+    return mentions.where("src <> dst").withColumn("kind", kind).groupBy("src", "dst", "kind").agg(F.max("day").alias("day"), F.count("*").alias("n"))

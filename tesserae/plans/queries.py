@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import feeds, fiscal, graphs, ledger, prices, relational, scores
+from . import feeds, fiscal, graphs, ledger, network, prices, relational, scores
 
-MODULES = (prices, relational, fiscal, graphs, feeds, scores, ledger)
+MODULES = (prices, relational, fiscal, graphs, feeds, scores, ledger, network)
 QUERIES = {name: q for m in MODULES for name, q in m.QUERIES.items()}
 ORACLES = {name: q for m in MODULES for name, q in m.ORACLES.items()}
