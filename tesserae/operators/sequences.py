@@ -77,6 +77,58 @@ def corrections(pivots: DataFrame) -> DataFrame:
     return rows.select("code", "n", F.when(F.col("kind") == "high", "down").otherwise("up").alias("direction"), shape.alias("shape"), score.alias("score"))
 
 
+#: Pivots that a correction may start after an impulse, and how far the next move reaches (price and time alike).
+CORRECTION_WITHIN, RETRACE, EXTEND = 8, (0.382, 0.618), (1.0, 1.618)
+
+
+def greedy_cycles(impulse_at: dict[int, str], correction_at: dict[int, str], pivots: int) -> list[tuple[int, str, str]]:
+    """(first pivot, phase, direction) of blocks from the left: the next impulse, then the first correction against it soon after; what fits neither stays without."""
+    out, at = [], 0
+    for start in sorted(impulse_at):
+        if start < at:
+            continue
+        way = impulse_at[start]
+        out.append((start, "motive", way))
+        at = start + 5
+        against = "down" if way == "up" else "up"
+        follows = next((k for k in range(at, min(at + CORRECTION_WITHIN, pivots - 3)) if correction_at.get(k) == against), None)
+        if follows is not None:
+            out.append((follows, "corrective", against))
+            at = follows + 3
+    return out
+
+
+def cycles(pivots: DataFrame) -> DataFrame:
+    """pivots as zigzag gives them.  The labelled legs: code, n (the pivot where a leg starts), label 1 to 5 or A to C, phase, direction of the block, score."""
+    found = impulses(pivots).select("code", "n", "direction", "score", F.lit("motive").alias("phase")).unionByName(corrections(pivots).select("code", "n", "direction", "score", F.lit("corrective").alias("phase")))
+    sized = found.join(pivots.groupBy("code").agg(F.max("n").alias("last")), "code")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        of = {phase: {int(r.n): (r.direction, r.score) for r in own.itertuples()} for phase, own in pdf.groupby("phase")}
+        blocks = greedy_cycles(*[{n: d for n, (d, _) in of.get(k, {}).items()} for k in ("motive", "corrective")], int(pdf["last"].iloc[0]) + 1)
+        rows = [(pdf["code"].iloc[0], start + k, label, phase, way, round(of[phase][start][1], 2)) for start, phase, way in blocks for k, label in enumerate("12345" if phase == "motive" else "ABC")]
+        return pd.DataFrame(rows, columns=["code", "n", "label", "phase", "direction", "score"])
+
+    return sized.groupBy("code").applyInPandas(run, "code bigint, n int, label string, phase string, direction string, score double")
+
+
+def projections(pivots: DataFrame, legs: DataFrame, bars: DataFrame) -> DataFrame:
+    """The zone and time of the move after each code's last labelled legs of one phase."""
+    index = bars.select("code", F.col("bar_date").alias("pivot_date"), F.row_number().over(Window.partitionBy("code").orderBy("bar_date")).alias("i"))
+    w = Window.partitionBy("code").orderBy("n")
+    ends = pivots.join(index, ["code", "pivot_date"]).select("code", "n", "price", F.lead("price").over(w).alias("to"), (F.lead("i").over(w) - F.col("i")).alias("bars"))
+    rows = legs.join(ends, ["code", "n"]).where("to is not null")
+    turned = rows.withColumn("t", F.when(F.lag("phase").over(w) != F.col("phase"), 1).otherwise(0)).withColumn("set", F.sum("t").over(w))
+    last = turned.groupBy("code", "set").agg(F.max("phase").alias("phase"), F.min_by("price", "n").alias("start"), F.max_by("to", "n").alias("end"), F.max_by(F.col("to") > F.col("price"), "n").alias("rose"), F.sum("bars").alias("bars"), F.max_by("label", "n").alias("label"))
+    last = last.withColumn("k", F.row_number().over(Window.partitionBy("code").orderBy(F.desc("set")))).where("k = 1")
+    motive, span = F.col("phase") == "motive", F.abs(F.col("end") - F.col("start"))
+    low, high = (F.when(motive, RETRACE[i]).otherwise(EXTEND[i]) for i in (0, 1))
+    way = F.when(F.col("rose"), -1.0).otherwise(1.0)  # either way the next move goes against the last leg
+    one, two = F.col("end") + way * span * low, F.col("end") + way * span * high
+    time = lambda r: F.greatest(F.lit(1), F.floor(F.col("bars") * r)).cast("int")
+    return last.where(span > 0).select("code", "label", F.when(motive, "correction").otherwise("advance").alias("next"), F.round(F.least(one, two), 2).alias("low"), F.round(F.greatest(one, two), 2).alias("high"), time(low).alias("bars_low"), time(high).alias("bars_high"))
+
+
 def swings(pivots: DataFrame) -> DataFrame:
     """Each pivot against the one of its kind before it: HH, LH, HL, LL."""
     before = F.lag("price").over(Window.partitionBy("code", "kind").orderBy("n"))

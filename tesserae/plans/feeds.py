@@ -23,6 +23,15 @@ def corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequences.corrections(zigzag(spark, sf_dir))
 
 
+def cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sequences.cycles(zigzag(spark, sf_dir))
+
+
+def projections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pivots = zigzag(spark, sf_dir)
+    return sequences.projections(pivots, sequences.cycles(pivots), views.bars(spark, sf_dir))
+
+
 def swings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequences.swings(zigzag(spark, sf_dir))
 
@@ -74,6 +83,8 @@ QUERIES = {
     "w23_zigzag": zigzag,
     "w24_impulses": impulses,
     "w25_corrections": corrections,
+    "w26_cycles": cycles,
+    "w27_projections": projections,
     "w28_swings": swings,
     "w29_boxes": boxes,
     "w21_segments": segments,

@@ -79,14 +79,14 @@ SELECT key, min(name) AS name, count(*) AS n FROM s WHERE p_brand NOT LIKE '%1'
 
 def sector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sectors by name or any of their aliases, and how many codes each finds; the longer alias wins."""
-    alias = spark.createDataFrame([("ger", "GERMANY"), ("germany", "GERMANY"), ("us", "UNITED STATES"), ("states", "UNITED STATES"), ("an", "JAPAN"), ("japan", "JAPAN")], "word string, found string")
+    alias = spark.createDataFrame([("nation", "OTHER"), ("nation_1", "TEENS"), ("nation_2", "TWENTIES"), ("_3", "THREE"), ("n_1", "ONE"), ("nation_12", "TWELVE")], "word string, found string")
     u = views.universe(spark, sf_dir)
     hits = u.join(F.broadcast(alias), F.contains(F.lower("sector"), F.col("word")))
     best = relational.latest(hits.select("code", "word", "found"), ["code"], [F.desc(F.length("word")), F.col("word")])
     return best.groupBy("found").agg(F.count("*").alias("n"), F.min("code").alias("first"))
 
 
-SECTOR_CODES = f"""WITH {UNIVERSE}, a(word, found) AS (VALUES ('ger', 'GERMANY'), ('germany', 'GERMANY'), ('us', 'UNITED STATES'), ('states', 'UNITED STATES'), ('an', 'JAPAN'), ('japan', 'JAPAN')),
+SECTOR_CODES = f"""WITH {UNIVERSE}, a(word, found) AS (VALUES ('nation', 'OTHER'), ('nation_1', 'TEENS'), ('nation_2', 'TWENTIES'), ('_3', 'THREE'), ('n_1', 'ONE'), ('nation_12', 'TWELVE')),
 h AS (SELECT code, found, row_number() OVER (PARTITION BY code ORDER BY length(word) DESC, word) AS k FROM universe JOIN a ON contains(lower(sector), word)) SELECT found, count(*) AS n, min(code) AS first FROM h WHERE k = 1 GROUP BY 1"""
 
 

@@ -232,3 +232,21 @@ def test_ledger_of_odd_rows(spark):
     q = spark.createDataFrame([("x", "us")], "name string, kind string").withColumn("minute", F.lit("2024-01-01 00:00:00").cast("timestamp"))
     stale = {r.kind: r.stale for r in ledger.staleness(q, ["us", "kr"], F.lit("2024-01-01 00:01:00").cast("timestamp"), 61).collect()}
     assert stale == {"us": False, "kr": True}
+
+
+def test_cycles_and_projection(spark):
+    """Blocks from the left without overlap, and the zone after an impulse and its correction."""
+    assert sequences.greedy_cycles({0: "up", 2: "down", 9: "up"}, {5: "down", 6: "down"}, 20) == [(0, "motive", "up"), (5, "corrective", "down"), (9, "motive", "up")]
+    assert sequences.greedy_cycles({1: "down"}, {6: "down", 8: "up"}, 20) == [(1, "motive", "down"), (8, "corrective", "up")] and sequences.greedy_cycles({}, {3: "up"}, 9) == []
+    prices = [100.0, 110.0, 104.4, 120.6, 114.4, 124.4, 112.0, 119.4, 105.0]
+    day = lambda i: dt.date(2024, 1, 1) + dt.timedelta(days=10 * i)
+    pivots = spark.createDataFrame([(1, i, day(i), p, "low" if i % 2 == 0 else "high", True) for i, p in enumerate(prices)], "code long, n int, pivot_date date, price double, kind string, settled boolean")
+    bars = spark.createDataFrame([(1, dt.date(2024, 1, 1) + dt.timedelta(days=i), 1.0) for i in range(120)], "code long, bar_date date, close double")
+    legs = sequences.cycles(pivots)
+    got = [(r.n, r.label, r.phase) for r in legs.orderBy("n").collect()]
+    assert got == [(0, "1", "motive"), (1, "2", "motive"), (2, "3", "motive"), (3, "4", "motive"), (4, "5", "motive"), (5, "A", "corrective"), (6, "B", "corrective"), (7, "C", "corrective")]
+    r = sequences.projections(pivots, legs, bars).head()
+    span = 124.4 - 105.0
+    assert (r.label, r.next, r.low, r.high, r.bars_low, r.bars_high) == ("C", "advance", round(105 + span, 2), round(105 + 1.618 * span, 2), 30, 48)
+    first = sequences.projections(pivots, legs.where("n < 5"), bars).head()
+    assert (first.next, first.low, first.high, first.bars_low) == ("correction", round(124.4 - 0.618 * 24.4, 2), round(124.4 - 0.382 * 24.4, 2), 19)
