@@ -54,6 +54,22 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables of one computation in the shared folder, deleted together when what was made of them is stored."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.path = spark, new_folder(spark, "scratch")
+
+    def stored(self, df: DataFrame, what: str) -> DataFrame:
+        path = f"{self.path}/{what}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self) -> None:
+        folder = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def sized(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
     """A stored frame of narrow rows: broadcast if it was counted to be small, joined by shuffle otherwise."""
     return F.broadcast(df) if df.count() <= rows else df

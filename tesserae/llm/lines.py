@@ -102,18 +102,18 @@ def elements(shingle: int) -> links.Elements:
     return lambda lines: char_shingles([form(x.lower()) for x in lines], shingle)
 
 
-def dropped(docs: DataFrame, least: int = MIN_CHARS, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+def dropped(docs: DataFrame, scratch: common.Scratch, least: int = MIN_CHARS, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """docs: _place, text.  (place, lines): the numbers of the lines that go, for each row that loses some."""
-    lines = common.stored(sketch(docs, least, shingle), "line-sketches")
+    lines = scratch.stored(sketch(docs, least, shingle), "line-sketches")
     # equal digests have equal bands; a form is once at most in a document
     groups = lines.where("not again").groupBy("one", "two", "bands").agg(F.min("place").alias("place"), F.min_by("line", "place").alias("line"), F.count("*").alias("n"))
     # ids are fixed by being written
-    nodes = common.stored(groups.withColumn("node", F.monotonically_increasing_id()), "line-nodes")
+    nodes = scratch.stored(groups.withColumn("node", F.monotonically_increasing_id()), "line-nodes")
     found = links.classes(nodes.where("bands is not null").select("node", "bands"), lambda wanted: texts_of(docs, nodes, wanted), elements(shingle), similarity)
     # forms that occur once and have no link stay as they are
     rooted = nodes.drop("bands").join(common.sized(found), "node", "left").where("root is not null or n > 1").withColumn("root", F.coalesce("root", "node"))
     linked = rooted.groupBy("root").agg(F.min(F.struct("place", "line")).alias("stays"), F.count("*").alias("nodes"), F.max("n").alias("copies")).where("nodes > 1 or copies > 1").select("root", "stays")
-    keep = common.sized(common.stored(rooted.join(linked, "root").select("one", "two", "stays"), "line-keeps"), ROWS_BROADCAST)
+    keep = common.sized(scratch.stored(rooted.join(linked, "root").select("one", "two", "stays"), "line-keeps"), ROWS_BROADCAST)
     gone = lines.where("not again").select("one", "two", "place", "line").join(keep, ["one", "two"]).where(F.struct("place", "line") != F.col("stays"))
     gone = gone.select("place", "line").union(lines.where("again").select("place", "line"))
     return gone.groupBy("place").agg(F.sort_array(F.collect_set("line")).alias("lines"))  # a document's own lines
@@ -122,7 +122,9 @@ def dropped(docs: DataFrame, least: int = MIN_CHARS, shingle: int = SHINGLE, sim
 def dedup(docs: DataFrame, **settings) -> DataFrame:
     """docs with the text that stays, and the columns n_lines and dropped (line numbers from 0)."""
     docs = common.placed(docs)
-    gone = common.stored(dropped(docs, **settings), "line-drops").select(F.col("place").alias("_place"), F.col("lines").alias("dropped"))
+    scratch = common.Scratch(docs.sparkSession)
+    gone = common.stored(dropped(docs, scratch, **settings), "line-drops").select(F.col("place").alias("_place"), F.col("lines").alias("dropped"))
+    scratch.drop()
     joined = docs.join(common.sized(gone, ROWS_BROADCAST), "_place", "left").drop("_place")
     rest = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("dropped", i))
     out = joined.withColumn("n_lines", F.coalesce(F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"))) + 1, F.lit(0)))

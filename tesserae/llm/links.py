@@ -38,7 +38,7 @@ BROADCAST_KEYS = 1_000_000
 #: 64-bit words of a parity map.
 WORDS = 16
 #: Comparisons for each member row that the last join may make while further rounds still help.
-COMPARISONS = 16
+COMPARISONS = 256
 PIVOTS = 4
 
 #: (text number, element) of texts, by ascending text number; an element that repeats in a text counts once.
@@ -184,35 +184,43 @@ def classes(items: DataFrame, texts_of: Callable[[DataFrame], DataFrame], elemen
     texts_of(nodes) adds the texts of nodes.
     """
     common.bound_batches(items.sparkSession)
+    scratch = common.Scratch(items.sparkSession)
+    try:
+        return _classes(items, texts_of, elements, similarity, scratch)
+    finally:
+        scratch.drop()
+
+
+def _classes(items: DataFrame, texts_of: Callable[[DataFrame], DataFrame], elements: Elements, similarity: float, scratch: common.Scratch) -> DataFrame:
     rows = items.select("node", F.explode("bands").alias("band"))
     buckets = rows.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("n")).where("low < high")
-    buckets = common.stored(buckets, "buckets")
+    buckets = scratch.stored(buckets, "buckets")
     pairs = buckets.where("n = 2").select(F.col("low").alias("a"), F.col("high").alias("b"))
     more = buckets.where("n > 2").select("band", "low")
     if 0 < more.count() <= BROADCAST_KEYS:
         more = F.broadcast(more)
-    members = common.stored(rows.join(more, "band"), "members")
+    members = scratch.stored(rows.join(more, "band"), "members")
     stars = members.select(F.col("low").alias("a"), F.col("node").alias("b")).where("a < b")
-    tried = common.stored(pairs.union(stars).distinct(), "pairs")
-    texts = common.stored(texts_of(tried.select(F.explode(F.array("a", "b")).alias("node")).distinct()), "texts")
-    found = components(common.stored(verified(tried, texts, elements, similarity), "links"))
+    tried = scratch.stored(pairs.union(stars).distinct(), "pairs")
+    texts = scratch.stored(texts_of(tried.select(F.explode(F.array("a", "b")).alias("node")).distinct()), "texts")
+    found = components(scratch.stored(verified(tried, texts, elements, similarity), "links"))
     members, mapped, seed, before = members.select("band", "node"), None, 0, math.inf
     while True:
         # members of one bucket that are still apart
         placed = members.join(found, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
         sizes = placed.groupBy("band", "root").agg(F.count("*").alias("n")).groupBy("band").agg(F.max_by("root", F.struct("n", "root")).alias("largest"), F.max("n").alias("most"), F.sum("n").alias("n"), F.count("*").alias("roots"))
-        sizes = common.stored(sizes.where("roots > 1").drop("roots"), "mixed")
+        sizes = scratch.stored(sizes.where("roots > 1").drop("roots"), "mixed")
         work = sizes.agg(F.sum("n").alias("rows"), F.sum((F.col("n") - F.col("most")) * F.col("n")).alias("comparisons")).head()
         if not work["rows"]:
             return found
-        apart = common.stored(placed.join(sizes.select("band", "largest"), "band"), "apart")
+        apart = scratch.stored(placed.join(sizes.select("band", "largest"), "band"), "apart")
         if mapped is None:
-            mapped = common.stored(maps(texts.join(apart.select("node").distinct(), "node", "left_semi"), elements), "maps")
+            mapped = scratch.stored(maps(texts.join(apart.select("node").distinct(), "node", "left_semi"), elements), "maps")
         last = work["comparisons"] <= COMPARISONS * work["rows"] or work["comparisons"] > before / 2
         before, seed = work["comparisons"], seed + 1
         again = apart_pairs(apart, mapped, similarity) if last else pivot_pairs(apart, mapped, similarity, seed)
-        again = common.stored(again.join(tried, ["a", "b"], "left_anti"), "pairs-apart")
-        late = common.stored(verified(again, texts, elements, similarity), "links-apart")
+        again = scratch.stored(again.join(tried, ["a", "b"], "left_anti"), "pairs-apart")
+        late = scratch.stored(verified(again, texts, elements, similarity), "links-apart")
         if not late.isEmpty():
             found = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")).union(late))
         if last:
