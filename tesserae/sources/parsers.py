@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -57,8 +59,13 @@ def plausible(amount: Column, revenue: Column, most: float = 8.0) -> Column:
 
 def statement_field(items: Column, ids: list[str], names: list[str]) -> Column:
     """The amount of the first item with one of the ids, else with one of the names (ids in order of preference)."""
-    by_id = [F.get(F.filter(items, lambda x, i=i: x["account_id"] == i), F.lit(0))["amount"] for i in ids]
-    by_name = [F.get(F.filter(items, lambda x, n=n: label_key(x["name"]) == label_key(F.lit(n))), F.lit(0))["amount"] for n in names]
+
+    # a lambda with a second parameter would be given the item's place
+    def first(wanted: Column, of: Callable[[Column], Column]) -> Column:
+        return F.get(F.filter(items, lambda x: of(x) == wanted), F.lit(0))["amount"]
+
+    by_id = [first(F.lit(i), lambda x: x["account_id"]) for i in ids]
+    by_name = [first(label_key(F.lit(n)), lambda x: label_key(x["name"])) for n in names]
     return F.coalesce(*by_id, *by_name)
 
 
