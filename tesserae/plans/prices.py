@@ -117,6 +117,28 @@ def stages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prices.classify_stage(prices.stage_features(views.bars(spark, sf_dir), 60, 60)).select("code", "bar_date", "stage")
 
 
+STAGES = f"""WITH {BARS}, b AS (SELECT *, row_number() OVER w AS i, lag(close) OVER w AS prev FROM bars {W}),
+c AS (SELECT *, ln(close) AS lg, abs(close - prev) AS step, greatest(high - low, abs(high - prev), abs(low - prev)) / close AS tr,
+  sum(CASE WHEN close > prev THEN volume WHEN close < prev THEN -volume ELSE 0 END) OVER (PARTITION BY code ORDER BY bar_date ROWS UNBOUNDED PRECEDING) AS obv,
+  CASE WHEN count(*) OVER (PARTITION BY code ORDER BY bar_date ROWS 59 PRECEDING) = 60 THEN avg(close) OVER (PARTITION BY code ORDER BY bar_date ROWS 59 PRECEDING) END AS ma FROM b),
+d AS (SELECT *, count(lg) OVER f AS n, var_pop(lg) OVER f AS vp, regr_slope(lg, i) OVER f AS sl, regr_r2(lg, i) OVER f AS rr, regr_slope(lg, i) OVER (w ROWS 30 PRECEDING) - regr_slope(lg, i) OVER (w ROWS BETWEEN 59 PRECEDING AND 29 PRECEDING) AS curve0,
+  abs(close - lag(close, 59) OVER w) AS net, sum(step) OVER (w ROWS 58 PRECEDING) AS path, sum(CASE WHEN close > prev THEN volume ELSE 0 END) OVER p AS up0, sum(CASE WHEN close < prev THEN volume ELSE 0 END) OVER p AS down0,
+  avg(tr) OVER (w ROWS 29 PRECEDING) AS atr1, avg(tr) OVER (w ROWS BETWEEN 59 PRECEDING AND 30 PRECEDING) AS atr0, max(high) OVER p AS hi, min(low) OVER p AS lo, avg(volume) OVER p AS usual, regr_slope(obv, i) OVER p AS os,
+  (close - ma) / ma AS pos, ma / lag(ma, 10) OVER w - 1 AS moved, coalesce(ma >= lag(ma, 60) OVER w, false) AS up
+  FROM c WINDOW w AS (PARTITION BY code ORDER BY bar_date), f AS (PARTITION BY code ORDER BY bar_date ROWS 59 PRECEDING), p AS (PARTITION BY code ORDER BY bar_date ROWS BETWEEN 59 PRECEDING AND 1 PRECEDING)),
+e AS (SELECT *, CASE WHEN n = 60 THEN CASE WHEN vp > 0 THEN sl ELSE 0 END END AS slope, CASE WHEN n = 60 THEN CASE WHEN vp > 0 THEN rr ELSE 0 END END AS r2, CASE WHEN n = 60 THEN CASE WHEN path > 0 THEN net / path ELSE 0 END END AS er, CASE WHEN n = 60 THEN curve0 END AS curve,
+  CASE WHEN n = 60 AND down0 > 0 THEN up0 / down0 END AS vb, CASE WHEN n = 60 AND atr0 > 0 THEN atr1 / atr0 END AS rg, CASE WHEN n = 60 THEN CASE WHEN hi > lo THEN least(100, greatest(0, (close - lo) / (hi - lo) * 100)) ELSE 50 END END AS ch,
+  coalesce(n = 60 AND close > hi AND volume >= 1.5 * usual, false) AS bo, coalesce(n = 60 AND close < lo AND volume >= 1.5 * usual, false) AS bd, CASE WHEN n = 60 THEN os END AS obs FROM d),
+g AS (SELECT *, pos > 0.03 AS above, pos < -0.03 AS below, coalesce(moved > 0.02, false) AS rising, coalesce(moved < -0.02, false) AS falling, er >= 0.3 AND r2 >= 0.5 AS clean, coalesce(rg <= 0.8, false) AS tight, coalesce(rg >= 1.25, false) AS wide,
+  coalesce(vb >= 1.15 AND obs > 0, false) AS gathering, coalesce(vb <= 0.87 AND obs < 0, false) AS selling, slope > -0.005 AND curve > 5e-4 AS basing FROM e),
+h AS (SELECT *, slope <= -0.005 OR (slope < -0.0015 AND (curve < -5e-4 OR wide)) OR (falling AND slope < -0.0015) AS declining FROM g)
+SELECT code, bar_date, CAST(CASE WHEN slope IS NULL OR pos IS NULL OR curve IS NULL THEN NULL WHEN (clean AND slope > 0 AND NOT below) OR (above AND rising) OR (bo AND NOT below) THEN 2
+  WHEN (clean AND slope < 0 AND NOT above) OR (below AND falling AND NOT basing) OR (bd AND NOT above) THEN 4
+  WHEN below THEN CASE WHEN pos < -0.1 THEN 4 WHEN basing THEN 1 WHEN declining THEN 4 WHEN up THEN 3 ELSE 1 END WHEN above AND pos > 0.07 AND NOT rising AND up THEN 3
+  WHEN ch <= 20 THEN CASE WHEN curve > 5e-4 THEN 1 WHEN up THEN 1 ELSE 4 END WHEN ch >= 80 THEN CASE WHEN up AND curve >= -5e-4 THEN 2 WHEN up THEN 3 ELSE 1 END
+  WHEN curve > 5e-4 THEN 1 WHEN curve < -5e-4 THEN CASE WHEN up THEN 3 ELSE 1 END WHEN tight THEN 1 WHEN wide THEN CASE WHEN up THEN 3 ELSE 4 END WHEN gathering THEN 1 WHEN selling THEN 3 WHEN up THEN 3 ELSE 1 END AS INT) AS stage FROM h"""
+
+
 def quarter_end_close(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The close as of every quarter's end."""
     bars = views.bars(spark, sf_dir)
@@ -188,6 +210,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "w20_stage": STAGES,
     "w1_w5_technicals": TECHNICALS,
     "q6_strength_rating": STRENGTH,
     "a14_resample_week": _resample_sql("week"),
