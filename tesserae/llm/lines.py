@@ -88,10 +88,10 @@ def sketch(docs: DataFrame, least: int = MIN_CHARS, shingle: int = SHINGLE) -> D
     return source.mapInArrow(run, "place bigint, line int, again boolean, one bigint, two bigint, bands array<bigint>")
 
 
-def texts_of(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
+def texts_of(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, scratch: common.Scratch) -> DataFrame:
     """wanted: node.  (node, text) of their lines."""
     at = nodes.join(wanted, "node").groupBy("place").agg(F.map_from_entries(F.collect_list(F.struct("line", "node"))).alias("at"))  # a document's own lines
-    at = common.sized(common.stored(at, "line-places"), ROWS_BROADCAST)
+    at = common.sized(scratch.stored(at, "line-places"), ROWS_BROADCAST)
     held = docs.where("text is not null").select(F.col("_place").alias("place"), "text").join(at, "place")
     # only wanted lines leave the array, so that no whole text is copied to each of them
     lines = F.transform(F.split("text", "\n"), lambda x, i: F.struct(F.try_element_at("at", i).alias("node"), x.alias("text")))
@@ -109,7 +109,7 @@ def dropped(docs: DataFrame, scratch: common.Scratch, least: int = MIN_CHARS, sh
     groups = lines.where("not again").groupBy("one", "two", "bands").agg(F.min("place").alias("place"), F.min_by("line", "place").alias("line"), F.count("*").alias("n"))
     # ids are fixed by being written
     nodes = scratch.stored(groups.withColumn("node", F.monotonically_increasing_id()), "line-nodes")
-    found = links.classes(nodes.where("bands is not null").select("node", "bands"), lambda wanted: texts_of(docs, nodes, wanted), elements(shingle), similarity)
+    found = links.classes(nodes.where("bands is not null").select("node", "bands"), lambda wanted: texts_of(docs, nodes, wanted, scratch), elements(shingle), similarity)
     # forms that occur once and have no link stay as they are
     rooted = nodes.drop("bands").join(common.sized(found), "node", "left").where("root is not null or n > 1").withColumn("root", F.coalesce("root", "node"))
     linked = rooted.groupBy("root").agg(F.min(F.struct("place", "line")).alias("stays"), F.count("*").alias("nodes"), F.max("n").alias("copies")).where("nodes > 1 or copies > 1").select("root", "stays")

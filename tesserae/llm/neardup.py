@@ -84,15 +84,17 @@ def _repeats(docs: DataFrame) -> bool:
 
 def classify(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, class_id) of each document; class_id is the smallest doc_id of the class."""
-    sketches = common.stored(sketch(docs, shingle), "sketches")
+    scratch = common.Scratch(docs.sparkSession)
+    sketches = scratch.stored(sketch(docs, shingle), "sketches")
     groups = sketches.groupBy("one", "two").agg(F.min("doc_id").alias("node"))
     mapped = sketches.select("doc_id", "one", "two").join(groups, ["one", "two"]).select("doc_id", "node")
     # rows with one doc_id and several texts are one document
     known = common.stored(mapped.groupBy("doc_id").agg(F.min("node").alias("node"), F.max("node").alias("other")), "nodes")
     items = sketches.where("bands is not null").join(groups.select("one", "two", F.col("node").alias("doc_id")), ["one", "two", "doc_id"], "left_semi")
     items = items.select(F.col("doc_id").alias("node"), "bands").dropDuplicates(["node"])
-    items = common.stored(items, "items")
+    items = scratch.stored(items, "items")
     found = links.classes(items, lambda nodes: texts_of(docs, nodes), elements(shingle), similarity)
+    scratch.drop()
     several = known.where("node <> other").select(F.col("node").alias("a"), F.col("other").alias("b"))
     selves = known.where("doc_id <> node").join(known.select(F.col("doc_id").alias("node"), F.col("node").alias("real")), "node").where("node <> real").select(F.col("node").alias("a"), F.col("real").alias("b"))
     extra = several.union(selves)
