@@ -136,12 +136,34 @@ def swings(pivots: DataFrame) -> DataFrame:
     return pivots.withColumn("swing", label)
 
 
-def boxes(pivots: DataFrame, last: int = 6, width: float = 0.03) -> DataFrame:
-    """Support and resistance: means of the settled pivots that lie near the newest of their kind."""
-    settled = pivots.where("settled").withColumn("k", F.row_number().over(Window.partitionBy("code").orderBy(F.desc("n")))).where(F.col("k") <= last)
-    newest = settled.groupBy("code", "kind").agg(F.max_by("price", "n").alias("at"))
-    close = settled.join(newest, ["code", "kind"]).where(F.abs(F.col("price") / F.col("at") - 1) <= width)
-    return close.groupBy("code").agg(F.avg(F.when(F.col("kind") == "high", F.col("price"))).alias("resistance"), F.avg(F.when(F.col("kind") == "low", F.col("price"))).alias("support"))
+def structure(pivots: DataFrame) -> DataFrame:
+    """Per code: its last high and low against those before, the trend they make, and whether a turn is being set up; codes with three pivots and more."""
+    labelled = swings(pivots)
+    last = lambda kind: F.max_by(F.when(F.col("kind") == kind, F.col("swing")), F.when(F.col("kind") == kind, F.col("n")))
+    got = labelled.groupBy("code").agg(F.count("*").alias("pivots"), last("high").alias("last_high"), last("low").alias("last_low"), F.max_by("kind", "n").alias("newest")).where("pivots >= 3")
+    high, low = F.coalesce("last_high", F.lit("none")), F.coalesce("last_low", F.lit("none"))
+    trend = F.when((high == "HH") & (low == "HL"), "up").when((high == "LH") & (low == "LL"), "down").when((high == "none") & (low == "none"), "none").otherwise("range")
+    setup = F.when((F.col("newest") == "low") & (low == "HL") & (high != "HH"), "stage 1 to 2").when((F.col("newest") == "high") & (high == "LH") & (low != "LL"), "stage 3 to 4")
+    return got.select("code", "last_high", "last_low", trend.alias("trend"), setup.alias("setup"))
+
+
+#: Pivots of a box, how near to its edge they lie, and the volume that confirms.
+BOX_PIVOTS, BOX_NEAR, BOX_VOLUME = 6, 0.04, 1.5
+
+
+def boxes(pivots: DataFrame, bars: DataFrame) -> DataFrame:
+    """Support and resistance per code, from the settled pivots near the lowest and the highest of the last few, and what the last close does to them."""
+    k = F.row_number().over(Window.partitionBy("code").orderBy(F.desc("n")))
+    recent = pivots.where("settled").withColumn("k", k).where(F.col("k") <= BOX_PIVOTS)
+    edges = recent.groupBy("code").agg(F.max(F.when(F.col("kind") == "high", F.col("price"))).alias("top"), F.min(F.when(F.col("kind") == "low", F.col("price"))).alias("bottom"))
+    near_top = (F.col("kind") == "high") & (F.col("price") >= F.col("top") * (1 - BOX_NEAR))
+    near_bottom = (F.col("kind") == "low") & (F.col("price") <= F.col("bottom") * (1 + BOX_NEAR))
+    levels = recent.join(edges, "code").groupBy("code").agg(F.avg(F.when(near_top, F.col("price"))).alias("resistance"), F.avg(F.when(near_bottom, F.col("price"))).alias("support")).where("resistance > support")
+    w = Window.partitionBy("code").orderBy("bar_date")
+    last = bars.select("code", "close", "volume", F.avg("volume").over(w.rowsBetween(-5, -1)).alias("usual"), F.count("*").over(w).alias("i"), F.lead("bar_date").over(w).alias("next")).where("next is null and i >= 5")
+    event = F.when(F.col("close") > F.col("resistance"), "breakout").when(F.col("close") < F.col("support"), "breakdown").otherwise("inside")
+    sure = (F.col("event") != "inside") & (F.col("i") >= 6) & (F.col("usual") > 0) & (F.col("volume") >= F.col("usual") * BOX_VOLUME)
+    return levels.join(last, "code").withColumn("event", event).select("code", F.round("support", 2).alias("support"), F.round("resistance", 2).alias("resistance"), "event", F.coalesce(sure, F.lit(False)).alias("confirmed"))
 
 
 # How far a run may go against its stage, how far a top may rise, and the least tail.

@@ -37,7 +37,11 @@ def swings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sequences.boxes(zigzag(spark, sf_dir))
+    return sequences.boxes(zigzag(spark, sf_dir), views.bars(spark, sf_dir))
+
+
+def structure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sequences.structure(zigzag(spark, sf_dir))
 
 
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,6 +90,7 @@ QUERIES = {
     "w26_cycles": cycles,
     "w27_projections": projections,
     "w28_swings": swings,
+    "w28_structure": structure,
     "w29_boxes": boxes,
     "w21_segments": segments,
     "w22_secular": secular,

@@ -72,3 +72,10 @@ def spool(spark: SparkSession, folder: str, kinds: tuple[str, ...] = KINDS) -> D
 def dedup_key(kind: str, date: str, body: str):
     """kind|date|first 12 hex digits of the body's digest."""
     return F.concat_ws("|", F.col(kind), F.col(date).cast("string"), F.left(F.sha2(F.col(body), 256), F.lit(12)))
+
+
+def append_json(rows: DataFrame, folder: str, checkpoint: str):
+    """Appends new rows of a stream to a folder of JSON lines, once each; returns when what is there has been written."""
+    query = rows.writeStream.format("json").option("path", folder).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return query

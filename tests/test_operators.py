@@ -250,3 +250,36 @@ def test_cycles_and_projection(spark):
     assert (r.label, r.next, r.low, r.high, r.bars_low, r.bars_high) == ("C", "advance", round(105 + span, 2), round(105 + 1.618 * span, 2), 30, 48)
     first = sequences.projections(pivots, legs.where("n < 5"), bars).head()
     assert (first.next, first.low, first.high, first.bars_low) == ("correction", round(124.4 - 0.618 * 24.4, 2), round(124.4 - 0.382 * 24.4, 2), 19)
+
+
+def test_structure_and_boxes(spark):
+    """Hand-made pivots: a base that turns up, a broken box with and without volume, and a box upside down."""
+    day = lambda i: dt.date(2024, 1, 1) + dt.timedelta(days=i)
+    series = {1: [120.0, 90.0, 110.0, 95.0], 2: [100.0, 120.0, 101.0, 121.0, 99.5, 119.0, 100.5], 3: [100.0, 110.0, 105.0], 4: [100.0, 130.0]}
+    starts = {1: "high", 2: "low", 3: "low", 4: "low"}
+    kind = lambda c, i: starts[c] if i % 2 == 0 else ("low" if starts[c] == "high" else "high")
+    pivots = spark.createDataFrame([(c, i, day(i), p, kind(c, i), i < len(ps) - 1) for c, ps in series.items() for i, p in enumerate(ps)], "code long, n int, pivot_date date, price double, kind string, settled boolean")
+    got = {r.code: (r.last_high, r.last_low, r.trend, r.setup) for r in sequences.structure(pivots).collect()}
+    assert got == {1: ("LH", "HL", "range", "stage 1 to 2"), 2: ("LH", "HL", "range", "stage 1 to 2"), 3: (None, "HL", "range", "stage 1 to 2")}
+    bars = [(2, day(i), 110.0, 10.0) for i in range(9)] + [(2, day(9), 125.0, 15.0)] + [(1, day(i), 100.0, 10.0) for i in range(9)] + [(1, day(9), 80.0, 11.0)] + [(3, day(i), 1.0, 1.0) for i in range(3)]
+    box = {r.code: (r.support, r.resistance, r.event, r.confirmed) for r in sequences.boxes(pivots, spark.createDataFrame(bars, "code long, bar_date date, close double, volume double")).collect()}
+    assert box == {2: (round((100 + 101 + 99.5) / 3, 2), 120.0, "breakout", True), 1: (90.0, 120.0, "breakdown", False)}
+
+
+def test_spool_there_and_back(spark, tmp_path):
+    """Broken lines and unknown kinds are left out, good ones are appended once and come back; repeats by key go within the lateness."""
+    from tesserae.streaming import ticks
+
+    inbox, out = tmp_path / "in", f"file://{tmp_path}/out"
+    inbox.mkdir()
+    row = '{"kind": "%s", "ref_date": "2024-01-0%d", "sent_at": "2024-01-01T00:00:00Z", "title": "t", "body": "%s", "stock_codes": ["1"], "industries": [], "dedup_key": "k"}'
+    (inbox / "a.json").write_text("\n".join([row % ("morning", 1, "x"), "not json", row % ("party", 1, "x"), row % ("closing", 2, "y"), row % ("morning", 1, "x")]))
+    run = lambda: ticks.append_json(ticks.spool(spark, f"file://{inbox}"), out, f"file://{tmp_path}/state")
+    run()
+    run()  # nothing new
+    held = spark.read.schema(ticks.SPOOL).json(out)
+    assert sorted((r.kind, str(r.ref_date), r.body) for r in held.collect()) == [("closing", "2024-01-02", "y"), ("morning", "2024-01-01", "x"), ("morning", "2024-01-01", "x")]
+    keyed = ticks.spool(spark, f"file://{inbox}").withColumn("key", ticks.dedup_key("kind", "ref_date", "body"))
+    once = ticks.first_seen(keyed, "key", "sent_at", "1 hour").writeStream.format("memory").queryName("once").option("checkpointLocation", f"file://{tmp_path}/once").outputMode("append").trigger(availableNow=True).start()
+    once.awaitTermination()
+    assert sorted(r.kind for r in spark.table("once").collect()) == ["closing", "morning"]
