@@ -18,7 +18,7 @@ import numpy as np
 #: Chunks, and words, that a worker remembers, about 200 bytes each; then it starts afresh.
 MAX_CHUNKS = 700_000
 #: Bytes of text taken at once; numpy needs about 80 times as much.
-UNIT = 1 << 19
+UNIT = 1 << 18
 
 _RUN = re.compile(r"\s\s")
 _TAIL = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
