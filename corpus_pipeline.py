@@ -44,7 +44,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     # workers that earlier stages have used leave less room for the encoder's cache
-    return packing.digest(packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), most_chunks=200_000))
+    return packing.digest(packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), most_chunks=100_000))
 
 
 STAGES = [
