@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, fingerprints, lines, mixing, neardup, packing, quality, token_files, toxicity, urls
+from . import ann, conversations, fingerprints, importance, licenses, lines, mixing, neardup, packing, quality, token_files, toxicity, urls
 
 QUERIES = {
     "op1_line_dedup": lines.op1_line_dedup,
@@ -15,7 +15,10 @@ QUERIES = {
     "op8_near_duplicates": neardup.op8_near_duplicates,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_permutation_index": ann.op10_permutation_index,
+    "op11_license_scan": licenses.op11_license_scan,
+    "op12_conversation_repair": conversations.op12_conversation_repair,
+    "op13_importance_resampling": importance.op13_importance_resampling,
 }
 
-#: Signatures, classifiers, tokenizers and Unicode composition are beyond DuckDB's SQL: brute-force tests instead.
-ORACLES: dict[str, str] = {}
+#: Signatures, classifiers, tokenizers, hundreds of rules and Unicode composition are beyond DuckDB's SQL: brute-force tests instead.
+ORACLES: dict[str, str] = {"op12_conversation_repair": conversations.SQL, "op13_importance_resampling": importance.SQL}
