@@ -72,13 +72,14 @@ def standing(df: DataFrame, value: str, within: list[str] | None = None, descend
         same = same & F.col(g).eqNullSafe(F.col(f"_g{i}"))
     inside = Window.partitionBy(*groups, "_part").orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)
     known = values.withColumn("_inside", F.coalesce(F.sum("_n").over(inside), F.lit(0))).join(starts, same)
-    known = known.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], (F.col("_start") + F.col("_inside")).alias(below), ranked)
+    names = fresh(df, *[f"_k{i}" for i in range(len(keys))])
+    known = known.select(*[F.col(k).alias(c) for k, c in zip(keys, names)], (F.col("_start") + F.col("_inside")).alias(below), ranked)
     if values.count() <= BROADCAST_VALUES:
         known = F.broadcast(known)
     on = F.lit(True)
-    for i, k in enumerate(keys):
-        on = on & F.col(k).eqNullSafe(F.col(f"_k{i}"))
-    return df.join(known, on, "left").drop(*[f"_k{i}" for i in range(len(keys))])
+    for k, c in zip(keys, names):
+        on = on & F.col(k).eqNullSafe(F.col(c))
+    return df.join(known, on, "left").drop(*names)
 
 
 def percentile_rank(df: DataFrame, value: str, name: str, within: list[str] | None = None, descending: bool = False) -> DataFrame:
