@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tesserae.operators.shared import new_folder, shared_dir, stored
+
+__all__ = ["new_folder", "shared_dir", "stored"]  # shared with the operators outside
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -23,22 +27,6 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the cluster names none, as in tests."""
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not named:
-        import tempfile
-
-        named = "file://" + tempfile.mkdtemp(prefix="tesserae-")
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(named)
-    return named
-
-
-def new_folder(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
-
 
 def cut(df: DataFrame) -> DataFrame:
     """Lineage ends here: the rows are in the shared folder, so a lost executor costs none of them."""
@@ -46,12 +34,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame, what: str) -> DataFrame:
-    """Like cut(), as Parquet: smaller on disk and read column by column."""
-    spark = df.sparkSession
-    path = new_folder(spark, what)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def apart(df: DataFrame, used: Iterable[str], made: Iterable[str] = ()) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """df with all columns but the used ones under names that no operator uses, and the way back.
+
+    Columns of the input with the name of a made one give way to it.
+    """
+    used, made = list(used), {c.lower() for c in made}
+    kept = df.drop(*[c for c in df.columns if c.lower() in made and c not in used])
+    names = {c: f"__other_{i}" for i, c in enumerate(kept.columns) if c not in used}
+    return kept.withColumnsRenamed(names), lambda out: out.withColumnsRenamed({v: k for k, v in names.items()})
 
 
 class Scratch:

@@ -8,8 +8,8 @@ one row for each different form, so a bucket of copies never meets in a task.
 Should two forms share a digest, all but the first get its number as a suffix:
 equal fingerprints always mean equal forms, and equal forms equal fingerprints.
 
-Everything is DataFrame and SQL functions (the composition is ICU's, called
-through ``java_method``).
+Everything is DataFrame and SQL functions (composition and case folding are those of
+the ICU library that Spark brings along, called through ``java_method``).
 
 Rows: a null text counts as empty, and empty texts have one fingerprint;
 repeated rows have equal fingerprints; rows with one doc_id follow each other
@@ -30,7 +30,9 @@ _SPACE = r"[\s\u0085   -     　]+"
 def canonical(text: Column) -> Column:
     """The form that is compared."""
     composed = F.java_method(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), text, F.lit(True))
-    return F.trim(F.regexp_replace(F.lower(F.upper(composed)), _SPACE, " "))
+    # full folding; of upper() and lower() in a row the optimizer keeps only the last
+    folded = F.java_method(F.lit("com.ibm.icu.lang.UCharacter"), F.lit("foldCase"), composed, F.lit(True))
+    return F.trim(F.regexp_replace(folded, _SPACE, " "))
 
 
 def digests(form: Column) -> Column:
@@ -51,11 +53,12 @@ def collisions(forms: DataFrame) -> DataFrame:
 
 
 def fingerprint(docs: DataFrame) -> DataFrame:
-    """docs with the column fingerprint."""
+    """docs with the column fingerprint, to which a column of this name gives way."""
+    docs, back = common.apart(docs, ("doc_id", "text"), ("fingerprint",))
     hashed = docs.withColumn("_form", canonical(common.text_of())).withColumn("_digest", digests(F.col("_form")))
     multi = hashed.select("_digest").groupBy("_digest").agg(F.count("*").alias("n")).where("n > 1").select("_digest")
     known = common.cut(collisions(hashed.join(multi, "_digest", "left_semi").select(F.col("_digest").alias("digest"), F.col("_form").alias("form"))))
-    return _numbered(hashed, known, "_digest", "_form", "fingerprint").drop("_form", "_digest")
+    return back(_numbered(hashed, known, "_digest", "_form", "fingerprint").drop("_form", "_digest"))
 
 
 def _numbered(df: DataFrame, known: DataFrame, digest: str, form: str, name: str) -> DataFrame:

@@ -120,7 +120,8 @@ def dropped(docs: DataFrame, scratch: common.Scratch, least: int = MIN_CHARS, sh
 
 
 def dedup(docs: DataFrame, **settings) -> DataFrame:
-    """docs with the text that stays, and the columns n_lines and dropped (line numbers from 0)."""
+    """docs with the text that stays, and the columns n_lines and dropped (line numbers from 0), to which columns of these names give way."""
+    docs, back = common.apart(docs, ("doc_id", "text"), ("n_lines", "dropped"))
     docs = common.placed(docs)
     scratch = common.Scratch(docs.sparkSession)
     gone = common.stored(dropped(docs, scratch, **settings), "line-drops").select(F.col("place").alias("_place"), F.col("lines").alias("dropped"))
@@ -128,7 +129,8 @@ def dedup(docs: DataFrame, **settings) -> DataFrame:
     joined = docs.join(common.sized(gone, ROWS_BROADCAST), "_place", "left").drop("_place")
     rest = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("dropped", i))
     out = joined.withColumn("n_lines", F.coalesce(F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"))) + 1, F.lit(0)))
-    return out.withColumn("text", F.when(F.col("dropped").isNotNull(), F.array_join(rest, "\n")).otherwise(F.col("text"))).withColumn("dropped", F.coalesce("dropped", F.array().cast("array<int>")))
+    left = F.when(F.col("dropped").isNotNull(), F.array_join(rest, "\n")).otherwise(F.col("text"))
+    return back(out.withColumn("text", left).withColumn("dropped", F.coalesce("dropped", F.array().cast("array<int>"))))
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -107,7 +107,8 @@ def plan(docs: DataFrame, repeat: float | None = REPEAT, entropy: float | None =
     ends = small.withColumn("sum", F.sum("n").over(upto)).where("sum >= rest").groupBy("source").agg(F.min(F.struct("order", "block", (F.col("rest") - F.col("sum") + F.col("n")).alias("left"))).alias("e")).select(F.col("source").alias("s"), F.col("e.order").alias("stop_order"), F.col("e.block").alias("stop_block"), F.col("e.left").alias("left"))
     ends = common.cut(ends)
     inside = _with_source(docs, sources.select("source", "blocks").join(ends, F.col("source").eqNullSafe(F.col("s"))).drop("s")).where(F.pmod("key", "blocks") == F.col("stop_block"))
-    so_far = F.sum("n").over(Window.partitionBy("source").orderBy("key").rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    inside = inside.groupBy("source", "left", "key").agg(F.sum("n").alias("n"))  # copies of a row are one row
+    so_far = F.sum("n").over(Window.partitionBy("source").orderBy("key").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     stops = inside.withColumn("sum", so_far).where("sum <= left").groupBy("source").agg(F.max("key").alias("stop_key")).withColumnRenamed("source", "s2")
     out = sources.join(ends.drop("left"), F.col("source").eqNullSafe(F.col("s")), "left").join(stops, F.col("source").eqNullSafe(F.col("s2")), "left").drop("s", "s2")
     return common.cut(out)
@@ -136,7 +137,7 @@ def _with_source(docs: DataFrame, sources: DataFrame) -> DataFrame:
 
 def draw(docs: DataFrame, repeat: float | None = REPEAT, entropy: float | None = None, budget: float | None = None, seed: int = 7) -> DataFrame:
     """docs, each row as often as it is drawn, with pass_no (from 1), block, turn (the block's number in the pass) and at (how far the source has come)."""
-    docs = docs.drop(*[c for c in ("pass_no", "block", "turn", "at") if c in docs.columns])
+    docs, back = common.apart(docs, ("doc_id", "source", "text"), ("pass_no", "block", "turn", "at"))
     key = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text"))
     measured = docs.select("source", tokens(F.col("text")).alias("n"), key.alias("key"))
     sources = plan(measured, repeat, entropy, budget, seed).select("source", "passes", "blocks", "stop_order", "stop_block", "stop_key")
@@ -152,7 +153,7 @@ def draw(docs: DataFrame, repeat: float | None = REPEAT, entropy: float | None =
     rows = rows.join(known, F.col("source").eqNullSafe(F.col("_s")) & (F.col("pass_no") == F.col("_p")) & (F.col("block") == F.col("_b"))).drop("_s", "_p", "_b")
     inside = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "pass_no", "_key"), 11) / float(1 << 53)
     at = F.least(F.lit(1.0), (F.col("pass_no") - 1 + (F.col("turn") - 1 + inside) / F.col("_blocks")) / F.greatest("_passes", F.lit(1e-9)))
-    return rows.withColumn("at", at).drop("_key", "_drawn", *names.values())
+    return back(rows.withColumn("at", at).drop("_key", "_drawn", *names.values()))
 
 
 def op7_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

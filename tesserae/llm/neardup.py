@@ -108,10 +108,11 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     Rows with one doc_id are compared like others, so their texts go only if they are alike.
     """
+    docs, back = common.apart(docs, ("doc_id", "text"))
     rows = common.placed(docs.where("doc_id is not null"))
     found = common.stored(classify(rows.select(F.col("_place").alias("doc_id"), "text")), "classes")
     gone = common.sized(found.where("doc_id <> class_id").select(F.col("doc_id").alias("_place")))
-    return rows.join(gone, "_place", "left_anti").drop("_place").unionByName(docs.where("doc_id is null"))
+    return back(rows.join(gone, "_place", "left_anti").drop("_place").unionByName(docs.where("doc_id is null")))
 
 
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -126,9 +126,10 @@ def threshold(scored: DataFrame) -> DataFrame:
 
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]], column: str = "url") -> DataFrame:
     """pages with host, path, rule, verdict and score."""
+    pages, back = common.apart(pages, (column,), ("host", "path", "rule", "verdict", "score"))
     url = F.col(column)
     host, path = split_url(url)
-    ruled = pages.drop(*[c for c in ("host", "path", "rule", "verdict", "score") if c != column]).withColumns({"host": host, "path": path}).withColumn("_rule", rule_of(F.col("host"), F.col("path"), rules))
+    ruled = pages.withColumns({"host": host, "path": path}).withColumn("_rule", rule_of(F.col("host"), F.col("path"), rules))
     labelled = ruled.where("_rule is not null").select(url.alias("url"), (F.col("_rule.verdict") == "block").alias("rejected"))
     held = F.pmod(F.xxhash64("url"), F.lit(4)) == 0
     different = pages.select(url.alias("url")).where(F.length("url") > 0).distinct()
@@ -137,8 +138,8 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], column: str = "ur
     tuned = threshold(labelled.where(held).join(scored, "url"))
     both = labelled.agg(F.coalesce(F.bool_or("rejected") & F.bool_or(~F.col("rejected")), F.lit(False)).alias("both"))
     by_method = F.when(both.scalar() & (F.col("score") > F.coalesce(tuned.scalar(), F.lit(0.0))), "block").otherwise("allow")
-    out = ruled.join(scored.withColumnRenamed("url", "_url"), url == F.col("_url"), "left").drop("_url")
-    return out.withColumns({"rule": F.col("_rule.rule"), "verdict": F.coalesce("_rule.verdict", by_method)}).drop("_rule")
+    out = ruled.join(scored.withColumnRenamed("url", "__scored"), url == F.col("__scored"), "left").drop("__scored")
+    return back(out.withColumns({"rule": F.col("_rule.rule"), "verdict": F.coalesce("_rule.verdict", by_method)}).drop("_rule"))
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

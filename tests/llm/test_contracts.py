@@ -73,7 +73,7 @@ def test_packing(spark, documents):
 def test_quality_and_toxicity(spark, documents):
     for name, n, held, least, label in (("op6_quality", 4, 2, 0.7, "quality"), ("op9_toxicity", 5, 0, 0.5, "toxic")):
         got = run(spark, name, {"doc_id": "bigint", "held_out": "boolean", "score": "double", "predicted": "int"})
-        assert Counter(r.doc_id for r in got) == Counter(documents)
+        assert Counter(r.doc_id for r in got) == Counter(list(documents))
         assert all(r.held_out == (fold(r.doc_id, n) == held) and 0 <= r.score <= 1 and r.predicted == int(r.score >= least) for r in got)
         known = dict(rows(f"SELECT doc_id, {label} FROM '{SF}/labels.parquet'"))
         right = [r.predicted == known[r.doc_id] for r in got if r.held_out and r.doc_id in known]

@@ -138,7 +138,7 @@ def test_first_fit_decreasing_is_the_plain_algorithm():
 
 
 def canon(t):
-    return re.sub(r"\s+", " ", unicodedata.normalize("NFKC", t or "").upper().lower()).strip(" ")
+    return re.sub(r"\s+", " ", unicodedata.normalize("NFKC", t or "").casefold()).strip(" ")
 
 
 def test_fingerprints(docs, texts):
@@ -162,6 +162,16 @@ def test_fingerprints_with_colliding_digests(spark, docs, texts, monkeypatch):
     assert all((got[i] == got[j]) == (canon(texts[i]) == canon(texts[j])) for i, j in pairs)
 
 
+def test_fingerprints_fold_case_in_full(spark):
+    texts = ["straße", "STRASSE", "Straẞe", "ﬁsh FLAG", "Fish ﬂag", "λόγος", "ΛΌΓΟΣ", "λόγοσ", "İstanbul", "i̇stanbul", "istanbul", "ŉ", "ʼN", "ΐ", "ΐ"]
+    df = spark.createDataFrame([(i, t, "f", "d", "x") for i, t in enumerate(texts)], "doc_id long, text string, _form string, _digest string, fingerprint string")
+    got = fingerprints.fingerprint(df)
+    assert got.columns == ["doc_id", "text", "_form", "_digest", "fingerprint"]
+    of = {r.doc_id: r for r in got.collect()}
+    assert all((of[i].fingerprint == of[j].fingerprint) == (canon(a) == canon(b)) for i, a in enumerate(texts) for j, b in enumerate(texts))
+    assert all((r._form, r._digest) == ("f", "d") and r.fingerprint != "x" for r in of.values())
+
+
 def test_fingerprints_of_nothing(empty):
     assert fingerprints.compare(empty).count() == 0
 
