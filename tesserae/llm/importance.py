@@ -178,7 +178,7 @@ def noise(seed: str) -> F.Column:
 
 def resample(docs: DataFrame, target: DataFrame, n: int = 2, buckets: int = BUCKETS, percent: int = PERCENT, least_words: int = LEAST_WORDS, seed: str = SEED) -> DataFrame:
     """doc_id, n_features, weight, score, and the rank of the rows that are drawn: percent of those of least_words words."""
-    weighed = weigh(docs, gains(docs, target, n, buckets), n)
+    weighed = common.stored(weigh(docs, gains(docs, target, n, buckets), n), "weighed")  # ranges are sampled before they are dealt
     scored = weighed.withColumn("score", F.col("weight") + noise(seed)).withColumn("long_enough", F.col("n_words") >= least_words)
     rows = ranks.numbered(scored, [F.desc("long_enough"), F.desc("score"), F.asc_nulls_last("doc_id"), F.asc("n_features")])
     drawn = rows.agg(F.floor(F.count_if("long_enough") * percent / 100).alias("drawn"))
