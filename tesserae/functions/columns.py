@@ -48,24 +48,6 @@ def n_bar_return(x: Column, n: int, w: WindowSpec, digits: int = 1) -> Column:
     return F.when(past > 0, F.round((x / past - 1) * 100, digits))
 
 
-def percentile_rank(x: Column, partition: list[str] | None = None, descending: bool = False) -> Column:
-    """Share of the others below, over rows where x is there; one half for a single row, 0 where x is missing.
-
-    The window covers one cross-section (a day's universe), partitioned by it.
-    """
-    there = x.isNotNull()
-    w = Window.partitionBy(*(partition or []), there)
-    ordered = w.orderBy(x.desc() if descending else x)
-    return F.when(~there, 0.0).when(F.count(x).over(w) <= 1, 0.5).otherwise(F.percent_rank().over(ordered))
-
-
-def rating(x: Column, partition: list[str] | None = None) -> Column:
-    """1 to 99: the cross-section's percentile, missing for fewer than two values."""
-    there = x.isNotNull()
-    w = Window.partitionBy(*(partition or []), there)
-    return F.when(there & (F.count(x).over(w) > 1), (F.bround(F.percent_rank().over(w.orderBy(x)) * 98) + 1).cast("int"))
-
-
 def null_tolerant_least(x: Column, least: float) -> Column:
     """A lower bound that a missing or non-positive value passes."""
     return x.isNull() | (x <= 0) | (x >= least)

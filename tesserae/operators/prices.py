@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from tesserae.functions.columns import full, n_bar_return, rating, rows, series, sma
+from tesserae.functions.columns import full, n_bar_return, rows, series, sma
+from tesserae.operators import ranks
+from tesserae.operators.shared import stored
 
 MAS = (20, 60, 120)
 STRENGTH = ((63, 0.4), (126, 0.2), (189, 0.2), (252, 0.2))
@@ -45,7 +47,7 @@ def strength_ratings(bars: DataFrame) -> DataFrame:
     """The last bar of each code with its strength factor and its rating among all codes."""
     w = series()
     last = bars.select("code", "bar_date", "close", strength_factor(w).alias("strength"), F.lead("bar_date").over(w).alias("_next")).where("_next is null").drop("_next")
-    return last.withColumn("rating", rating(F.col("strength")))  # one row a code: a cross-section
+    return ranks.rating(stored(last, "strength"), "strength")
 
 
 def resample(bars: DataFrame, unit: str) -> DataFrame:

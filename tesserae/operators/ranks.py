@@ -50,45 +50,61 @@ def numbered(df: DataFrame, order: list[Column], name: str = "number") -> DataFr
     return joined.withColumn(name, F.col(before) + F.col(at).bitwiseAND(F.lit(_IN_PART)) + 1).drop(at, part, before)
 
 
-def standing(df: DataFrame, value: str, within: list[str] | None = None, descending: bool = False) -> DataFrame:
-    """df with below (rows of the same group before the row's value) and ranked (rows of the group that have a value).
+def standings(df: DataFrame, values: list[str], within: list[str] | None = None) -> tuple[DataFrame, dict[str, Column]]:
+    """df with where each of these numbers stands, and how to read it: a struct of below, same and ranked for each of them.
 
-    Both are missing where the value is; NaN is the largest number.  A missing group is a group.
+    below, same, ranked: rows of the same group with a smaller value, with this one, and with any.  All are
+    missing where the value is; NaN is the largest number.  A missing group is a group.  All numbers are counted in one go.
     """
-    below, ranked = "below", "ranked"
-    df = df.drop(below, ranked)
     groups = within or []
-    keys = [*groups, value]
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.count("*").alias("_n"))
-    by = [*groups, F.desc(value) if descending else F.asc(value)]
-    values = stored(counts.repartitionByRange(n, *by).withColumn("_part", F.spark_partition_id()), "values")
-    sizes = values.groupBy(*groups, "_part").agg(F.sum("_n").alias("_size"))
-    whole = Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(1))  # rows of a group's ranges
-    earlier = whole.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(groups)], F.col("_part").alias("_p"), F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_start"), F.sum("_size").over(whole).alias(ranked))
-    same = F.col("_part") == F.col("_p")
-    for i, g in enumerate(groups):
-        same = same & F.col(g).eqNullSafe(F.col(f"_g{i}"))
-    inside = Window.partitionBy(*groups, "_part").orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)
-    known = values.withColumn("_inside", F.coalesce(F.sum("_n").over(inside), F.lit(0))).join(starts, same)
-    names = fresh(df, *[f"_k{i}" for i in range(len(keys))])
-    known = known.select(*[F.col(k).alias(c) for k, c in zip(keys, names)], (F.col("_start") + F.col("_inside")).alias(below), ranked)
-    if values.count() <= BROADCAST_VALUES:
-        known = F.broadcast(known)
-    on = F.lit(True)
-    for k, c in zip(keys, names):
-        on = on & F.col(k).eqNullSafe(F.col(c))
-    return df.join(known, on, "left").drop(*names)
-
-
-def percentile_rank(df: DataFrame, value: str, name: str, within: list[str] | None = None, descending: bool = False) -> DataFrame:
-    """Share of the others below, among rows of the group with a value; one half for a single row, 0 where it is missing."""
-    share = F.when(F.col(value).isNull(), 0.0).when(F.col("ranked") <= 1, 0.5).otherwise(F.col("below") / (F.col("ranked") - 1))
-    return standing(df, value, within, descending).withColumn(name, share).drop("below", "ranked")
+    own = [f"g{i}" for i in range(len(groups))]
+    one = F.array(*[F.struct(F.lit(i).alias("which"), F.col(v).cast("double").alias("value")) for i, v in enumerate(values)])
+    long = df.select(*[F.col(g).alias(o) for g, o in zip(groups, own)], F.inline(one)).where("value is not null")
+    counts = long.groupBy(*own, "which", "value").agg(F.count("*").alias("same"))
+    dealt = stored(counts.repartitionByRange(n, *own, "which", "value").withColumn("part", F.spark_partition_id()), "values")
+    sizes = dealt.groupBy(*own, "which", "part").agg(F.sum("same").alias("size"))
+    whole = Window.partitionBy(*own, "which")  # a row for each range
+    earlier = whole.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(*[F.col(o).alias(f"s{o}") for o in own], F.col("which").alias("s_which"), F.col("part").alias("s_part"), F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("start"), F.sum("size").over(whole).alias("ranked"))
+    same = (F.col("part") == F.col("s_part")) & (F.col("which") == F.col("s_which"))
+    for o in own:
+        same = same & F.col(o).eqNullSafe(F.col(f"s{o}"))
+    inside = Window.partitionBy(*own, "which", "part").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+    known = dealt.withColumn("inside", F.coalesce(F.sum("same").over(inside), F.lit(0))).join(starts, same)
+    small = dealt.count() <= BROADCAST_VALUES
+    read, used = {}, []
+    for i, v in enumerate(values):
+        names = fresh(df, *[f"_{i}_{o}" for o in own], f"_{i}_value", f"_{i}_standing")
+        right = known.where(F.col("which") == i).select(
+            *[F.col(o).alias(c) for o, c in zip(own, names)], F.col("value").alias(names[-2]), F.struct((F.col("start") + F.col("inside")).alias("below"), "same", "ranked").alias(names[-1])
+        )
+        on = F.col(v).cast("double") == F.col(names[-2])
+        for g, c in zip(groups, names):
+            on = on & F.col(g).eqNullSafe(F.col(c))
+        df = df.join(F.broadcast(right) if small else right, on, "left").drop(*names[:-1])
+        read[v] = F.col(names[-1])
+        used.append(names[-1])
+    return df, read
+
+
+def percentile_ranks(df: DataFrame, wanted: dict[str, tuple[str, bool]], within: list[str] | None = None) -> DataFrame:
+    """wanted: new column: (value, descending).  Share of the others below (above, if descending) among rows of the group with a value.
+
+    One half for a single row, 0 where the value is missing.
+    """
+    values = list(dict.fromkeys(v for v, _ in wanted.values()))
+    out, standing = standings(df, values, within)
+    for name, (v, descending) in wanted.items():
+        s = standing[v]
+        lower = s["ranked"] - s["below"] - s["same"] if descending else s["below"]
+        out = out.withColumn(name, F.when(s.isNull(), 0.0).when(s["ranked"] <= 1, 0.5).otherwise(lower / (s["ranked"] - 1)))
+    return out.select(*[c for c in df.columns if c not in wanted], *wanted)
 
 
 def rating(df: DataFrame, value: str, name: str = "rating", within: list[str] | None = None) -> DataFrame:
     """1 to 99: the group's percentile, missing for fewer than two values."""
-    share = F.bround(F.col("below") / (F.col("ranked") - 1) * 98) + 1
-    return standing(df, value, within).withColumn(name, F.when(F.col("ranked") > 1, share.cast("int"))).drop("below", "ranked")
+    out, standing = standings(df, [value], within)
+    s = standing[value]
+    share = F.bround(s["below"] / (s["ranked"] - 1) * 98) + 1
+    return out.withColumn(name, F.when(s["ranked"] > 1, share.cast("int"))).select(*[c for c in df.columns if c != name], name)

@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.functions.columns import band, clamp01, percentile_rank, weighted
+from tesserae.functions.columns import band, clamp01, weighted
+from tesserae.operators import ranks
 
 # Results depend on them.
 STATUS = {"turnaround": 1.0, "profit": 0.7, "deficit": 0.3, "loss": 0.0}
@@ -123,28 +124,32 @@ def _or0(x: Column) -> Column:
 def cross_growth(df: DataFrame, partition: list[str]) -> DataFrame:
     """The score among a cross-section: percentiles of growth and momentum; a missing part counts 0."""
     there = F.col("coverage") > 0
+    ranked = _ranked(df, {"revenue_yoy": False, "momentum": False}, partition)
     parts = [
-        0.20 * percentile_rank(F.col("revenue_yoy"), partition), 0.11 * _or0(status_score(F.col("op_status"))), 0.09 * _or0(margin_score(F.col("op_delta"))),
+        0.20 * F.col("_rank_revenue_yoy"), 0.11 * _or0(status_score(F.col("op_status"))), 0.09 * _or0(margin_score(F.col("op_delta"))),
         0.08 * _or0(status_score(F.col("net_status"))), 0.07 * _or0(margin_score(F.col("net_delta"))), 0.06 * _or0(status_score(F.col("ebitda_status"))), 0.05 * _or0(margin_score(F.col("ebitda_delta"))),
-        0.13 * percentile_rank(F.col("momentum"), partition), 0.12 * F.when(there, F.col("buys") / F.col("coverage")).otherwise(0.0), 0.08 * F.when(there, 1.0).otherwise(0.0),
+        0.13 * F.col("_rank_momentum"), 0.12 * F.when(there, F.col("buys") / F.col("coverage")).otherwise(0.0), 0.08 * F.when(there, 1.0).otherwise(0.0),
     ]
-    return df.withColumn("growth", _sum(parts))
+    return ranked.select(*[c for c in df.columns if c != "growth"], _sum(parts).alias("growth"))
 
 
-def cheap_rank(x: Column, partition: list[str]) -> Column:
-    """1 for the smallest positive value; others count 0."""
-    return percentile_rank(F.when(x > 0, x), partition, descending=True)
+def _ranked(df: DataFrame, cheap: dict[str, bool], partition: list[str]) -> DataFrame:
+    """df with _rank_<column>: a percentile; of cheap columns 1 for the smallest positive value, and others count 0."""
+    ready = df.withColumns({f"_positive_{c}": F.when(F.col(c) > 0, F.col(c)) for c, yes in cheap.items() if yes})
+    return ranks.percentile_ranks(ready, {f"_rank_{c}": (f"_positive_{c}" if yes else c, yes) for c, yes in cheap.items()}, partition)
 
 
 def cross_value(df: DataFrame, partition: list[str]) -> DataFrame:
-    parts = [0.35 * cheap_rank(F.col("pbr"), partition), 0.28 * cheap_rank(F.col("per"), partition), 0.17 * cheap_rank(F.col("ev_ebitda"), partition), _or0(clamp01(F.col("roe") / 15.0)) * 0.12, _or0(clamp01(F.col("dividend") / 5.0)) * 0.08]
-    return df.withColumn("value", _sum(parts))
+    ranked = _ranked(df, {"pbr": True, "per": True, "ev_ebitda": True}, partition)
+    parts = [0.35 * F.col("_rank_pbr"), 0.28 * F.col("_rank_per"), 0.17 * F.col("_rank_ev_ebitda"), _or0(clamp01(F.col("roe") / 15.0)) * 0.12, _or0(clamp01(F.col("dividend") / 5.0)) * 0.08]
+    return ranked.select(*[c for c in df.columns if c != "value"], _sum(parts).alias("value"))
 
 
 def cross_screen(df: DataFrame, partition: list[str]) -> DataFrame:
     """Cheap and leading: value percentiles, momentum and nearness to the high."""
-    parts = [0.30 * cheap_rank(F.col("pbr"), partition), 0.25 * cheap_rank(F.col("per"), partition), 0.30 * percentile_rank(F.col("momentum"), partition), 0.15 * _or0(near_high(F.col("near_high")))]
-    return df.withColumn("score", _sum(parts))
+    ranked = _ranked(df, {"pbr": True, "per": True, "momentum": False}, partition)
+    parts = [0.30 * F.col("_rank_pbr"), 0.25 * F.col("_rank_per"), 0.30 * F.col("_rank_momentum"), 0.15 * _or0(near_high(F.col("near_high")))]
+    return ranked.select(*[c for c in df.columns if c != "score"], _sum(parts).alias("score"))
 
 
 def rate(new: Column, old: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.operators import graphs
+from tesserae.operators.shared import shared_dir
 from tesserae.sources import views
 from tesserae.sources.views import EDGES, UNIVERSE, table
 
@@ -73,10 +74,7 @@ def holders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What every part depends on, where each depends on its half and its third."""
-    if not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp())
+    shared_dir(spark)
     p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("src"))
     e = p.where("src > 1").select("src", F.explode(F.array_distinct(F.array(F.floor(F.col("src") / 2), F.floor(F.col("src") / 3)))).alias("dst")).where("dst > 0")
     return graphs.closure(e, p.select(F.col("src").alias("node")))

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.functions.columns import percentile_rank
 from tesserae.operators import prices
+from tesserae.operators.ranks import percentile_ranks
 from tesserae.sources import views
 from tesserae.sources.views import BARS, INDEX, UNIVERSE
 
@@ -182,9 +182,9 @@ SELECT code, bar_date, CASE WHEN code % 10 = 0 THEN abs(close - close / 2) > 0.0
 
 def ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Percentile and cheapness ranks of suppliers within their market."""
-    u = views.universe(spark, sf_dir)
-    positive = F.when(F.col("cap") > 0, F.col("cap"))
-    return u.select("code", "market", F.round(percentile_rank(F.col("cap"), ["market"]), 6).alias("rank"), F.round(percentile_rank(positive, ["market"], descending=True), 6).alias("cheapness"))
+    u = views.universe(spark, sf_dir).withColumn("positive", F.when(F.col("cap") > 0, F.col("cap")))
+    ranked = percentile_ranks(u, {"rank": ("cap", False), "cheapness": ("positive", True)}, ["market"])
+    return _round(ranked.select("code", "market", "rank", "cheapness"), 6, "rank", "cheapness")
 
 
 RANKS = f"""WITH {UNIVERSE}, p AS (SELECT *, CASE WHEN cap > 0 THEN cap END AS pos FROM universe)

@@ -2,19 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared(spark: SparkSession, what: str) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        import tempfile
-
-        base = "file://" + tempfile.mkdtemp(prefix="tesserae-stream-")
-    return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+from tesserae.operators.shared import new_folder
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,7 +27,7 @@ def bars(ticks: DataFrame, width: str = "30 minutes", late: str = "1 hour") -> D
 def run_to_table(stream: DataFrame, key: list[str], what: str) -> DataFrame:
     """Everything that is there now, in update mode; a later version of a key overwrites the earlier ones."""
     spark = stream.sparkSession
-    out, mark = shared(spark, what), shared(spark, f"{what}-mark")
+    out, mark = new_folder(spark, what), new_folder(spark, f"{what}-mark")
     names = stream.columns
 
     def keep(batch: DataFrame, number: int) -> None:
