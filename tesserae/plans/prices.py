@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
+from tesserae.functions.columns import series
 from tesserae.operators import prices
 from tesserae.operators.ranks import percentile_ranks
-from tesserae.sources import views
+from tesserae.sources import barstore, views
 from tesserae.sources.views import BARS, INDEX, UNIVERSE
 
 W = "WINDOW w AS (PARTITION BY code ORDER BY bar_date)"
@@ -193,7 +195,33 @@ SELECT code, market,
   round(CASE WHEN pos IS NULL THEN 0 WHEN count(pos) OVER (PARTITION BY market) <= 1 THEN 0.5 ELSE percent_rank() OVER (PARTITION BY market, pos IS NULL ORDER BY pos DESC) END, 6) AS cheapness
 FROM p"""
 
+def periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All day bars with the bar before, as a chart of any code reads them."""
+    bars = views.bars(spark, sf_dir)
+    change = F.col("close") - F.lag("close").over(series())
+    return _round(bars.select("code", "bar_date", "open", "high", "low", "close", "volume", change.alias("change")), 6, "change")
+
+
+PERIODIC = f"WITH {BARS} SELECT *, round(close - lag(close) OVER (PARTITION BY code ORDER BY bar_date), 6) + 0.0 AS change FROM bars"
+
+
+def intraday(spark: SparkSession, sf_dir: str, days: int = 14) -> DataFrame:
+    """Minute bars of the last days before the newest one, with their number in the code's day."""
+    bars = views.minute_bars(spark, sf_dir)
+    newest = barstore.latest(bars, "minute", "bar_ts")
+    held = bars.limit(0) if newest is None else barstore.last_days(bars, "minute", "bar_ts", days, newest)
+    number = F.row_number().over(Window.partitionBy("code", "day").orderBy("bar_ts"))
+    return held.select("code", F.date_format("bar_ts", "yyyy-MM-dd HH:mm").alias("bar"), "open", "high", "low", "close", "n", number.alias("number"))
+
+
+INTRADAY = """WITH m AS (SELECT user_id AS code, date_trunc('minute', ts) AS b, first(value ORDER BY ts, event_id) AS open, max(value) AS high, min(value) AS low, last(value ORDER BY ts, event_id) AS close, count(*) AS n
+  FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL GROUP BY 1, 2)
+SELECT code, strftime(b, '%Y-%m-%d %H:%M') AS bar, open, high, low, close, n, CAST(row_number() OVER (PARTITION BY code, CAST(b AS DATE) ORDER BY b) AS INTEGER) AS number
+FROM m WHERE b >= (SELECT max(b) FROM m) - INTERVAL 14 DAY"""
+
 QUERIES = {
+    "s2_periodic_bars": periodic,
+    "s3_intraday_bars": intraday,
     "w1_w5_technicals": technicals,
     "q6_strength_rating": strength,
     "a14_resample_week": _resampled("week"),
@@ -210,6 +238,8 @@ QUERIES = {
 }
 
 ORACLES = {
+    "s2_periodic_bars": PERIODIC,
+    "s3_intraday_bars": INTRADAY,
     "w20_stage": STAGES,
     "w1_w5_technicals": TECHNICALS,
     "q6_strength_rating": STRENGTH,

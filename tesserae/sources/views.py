@@ -5,13 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tesserae.sources import barstore
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Day bars of each supplier: code, bar_date, open, high, low, close, volume."""
+    """Day bars of each supplier, from the stored table: code, bar_date, open, high, low, close, volume."""
+    stored = barstore.table_of(derived_bars(spark, sf_dir), "day", "bar_date", barstore.made_from(spark, f"{sf_dir}/lineitem.parquet"))
+    return stored.drop("year")
+
+
+def minute_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Minute bars of each user's events, from the stored table: code, bar_ts, open, high, low, close, n, day."""
+    e = table(spark, sf_dir, "events").where("user_id is not null and ts is not null").select(F.col("user_id").alias("code"), "value", F.date_trunc("minute", F.col("ts").cast("timestamp")).alias("bar_ts"), F.struct("ts", "event_id").alias("o"))
+    made = e.groupBy("code", "bar_ts").agg(F.min_by("value", "o").alias("open"), F.max("value").alias("high"), F.min("value").alias("low"), F.max_by("value", "o").alias("close"), F.count("*").alias("n"))
+    return barstore.table_of(made, "minute", "bar_ts", barstore.made_from(spark, f"{sf_dir}/events.parquet"))
+
+
+def derived_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Day bars out of single trades."""
     order = F.struct("l_orderkey", "l_linenumber", "l_partkey")
     lines = table(spark, sf_dir, "lineitem").select(
         F.col("l_suppkey").alias("code"), F.to_date("l_shipdate").alias("bar_date"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("p"), "l_quantity", order.alias("o")
