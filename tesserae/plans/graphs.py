@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.operators import graphs
+from tesserae.operators import mentions as mentions_
 from tesserae.operators.shared import shared_dir
 from tesserae.sources import views
 from tesserae.sources.views import EDGES, UNIVERSE, table
@@ -66,6 +67,23 @@ def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
 MENTIONS = "WITH w AS (SELECT doc_id, unnest(list_distinct(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'))) AS w FROM documents), n(code, word) AS (VALUES (1, 'the'), (2, 'that'), (3, 'zzz'), (4, 'from')) SELECT CAST(code AS INTEGER) AS code, count(*) AS n FROM w JOIN n ON w = word GROUP BY 1"
 
 
+def mentioned_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of suppliers (the first words of the document with their key: one, two or three) in all documents."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    opening = F.regexp_extract("text", "([A-Za-z]{4,}) ([A-Za-z]+) ([A-Za-z]+)", 0)
+    words = F.slice(F.split(opening, " "), 1, F.col("s_suppkey").cast("int") % 3 + 1)
+    named = table(spark, sf_dir, "supplier").join(d, F.col("s_suppkey") == F.col("doc_id")).select(F.col("s_suppkey").alias("code"), F.array_join(words, " ").alias("name"))
+    return mentions_.mentions(d.withColumnRenamed("doc_id", "t_id"), named)
+
+
+MENTIONED_NAMES = """WITH n AS (SELECT s_suppkey AS code, array_to_string(list_slice(string_split(regexp_extract(text, '([A-Za-z]{4,}) ([A-Za-z]+) ([A-Za-z]+)', 0), ' '), 1, s_suppkey % 3 + 1), ' ') AS name FROM supplier JOIN documents ON s_suppkey = doc_id),
+w AS (SELECT DISTINCT name FROM n WHERE trim(name) <> ''),
+p AS (SELECT a.name, b.name AS other FROM w a JOIN w b ON a.name <> b.name AND contains(b.name, a.name)),
+u AS (SELECT w.name, coalesce(list(other ORDER BY length(other) DESC, other) FILTER (other IS NOT NULL), []) AS others FROM w LEFT JOIN p USING (name) GROUP BY 1 HAVING count(other) < 4)
+SELECT DISTINCT doc_id AS t_id, code FROM documents JOIN u ON contains(text, u.name) JOIN n ON n.name = u.name
+WHERE regexp_matches(list_reduce(list_prepend(text, others), lambda a, b: replace(a, b, ' ')), '(^|[^가-힣A-Za-z0-9])' || u.name || '([^가-힣A-Za-z0-9]|$)')"""
+
+
 def holders(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     s = o.select((F.col("o_custkey") % 20).alias("company"), F.col("o_custkey").alias("holder"), F.struct("o_orderdate", "o_orderkey").alias("day"), F.col("o_totalprice").alias("pct"))
@@ -92,6 +110,7 @@ QUERIES = {
     "o11_fuzzy_names": fuzzy_names,
     "o10_nearest": nearest,
     "j21_mentions": mentions,
+    "j21_p17_p18_named": mentioned_names,
     "m10_holders": holders,
     "g10_closure": closure,
 }
@@ -104,6 +123,7 @@ ORACLES = {
     "g11_resolution": "SELECT p_partkey AS m_id, CASE WHEN p_partkey % 4 <> 3 THEN p_partkey END AS found, CASE p_partkey % 4 WHEN 0 THEN 'id' WHEN 1 THEN 'exact' WHEN 2 THEN 'fuzzy' ELSE 'new' END AS how FROM part",
     "o10_nearest": NEAREST,
     "j21_mentions": MENTIONS,
+    "j21_p17_p18_named": MENTIONED_NAMES,
     "m10_holders": "SELECT o_custkey % 20 AS company, o_custkey AS holder, first(o_totalprice ORDER BY o_orderdate, o_orderkey) AS first, last(o_totalprice ORDER BY o_orderdate, o_orderkey) AS latest, max(o_totalprice) AS best, count(*) AS reports FROM orders GROUP BY 1, 2",
     "g10_closure": CLOSURE,
 }
