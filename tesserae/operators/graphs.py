@@ -2,20 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from difflib import SequenceMatcher
-from functools import reduce
-
-import numpy as np
-import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql import Window
-from pyspark.sql.pandas.types import to_arrow_type
 
-from tesserae.functions.columns import cosine, name_words, token_jaccard
+from tesserae.functions.columns import name_words, token_jaccard
 
 
 def concentration(edges: DataFrame) -> DataFrame:
@@ -90,71 +81,6 @@ def resolve(mentions: DataFrame, canon: DataFrame, threshold: float = 0.9) -> Da
     return by_id.unionByName(exact).unionByName(fuzzy).unionByName(new)
 
 
-@F.pandas_udf(T.DoubleType())
-def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Ratcliff-Obershelp likeness of two strings; no built-in function has it."""
-    return pd.Series([None if x is None or y is None else SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype="float64")
-
-
-def fuzzy_top(names: DataFrame, queries: DataFrame, k: int = 5, chunk: int = 2000, block: int = 100) -> DataFrame:
-    """names: id, name.  queries: q.  The k most alike names of each query among all names, those without a common character left out.
-
-    Blocks of queries meet chunks of names, both of counted size.  Twice the
-    characters that two strings share, over their lengths, bounds the ratio, so a
-    chunk's names are scored in the order of that bound until it falls below the
-    k-th best score.
-    """
-
-    def chunks(df: DataFrame, size: int, *cols: str) -> DataFrame:
-        n = max(1, -(-df.count() // size))
-        return df.groupBy(F.pmod(F.xxhash64(*cols), F.lit(n)).alias("_chunk")).agg(F.collect_list(F.struct(*cols)).alias("rows")).select("rows")
-
-    id_type = names.schema["id"].dataType
-    asked = chunks(queries.select("q").where("q is not null").distinct(), block, "q").select(F.col("rows.q").alias("qs"))
-    held = chunks(names.select("id", "name").where("name is not null").distinct(), chunk, "id", "name").select(F.col("rows.id").alias("ids"), F.col("rows.name").alias("names"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                low = [x.lower() for x in row["names"]]
-                sizes = np.array([len(x) for x in low], dtype=np.int64)
-                letters = {c: np.array([x.count(c) for x in low], dtype=np.int64) for c in {c for q in row["qs"] for c in q.lower()}}
-                out = []
-                for q in row["qs"]:
-                    own, shared = q.lower(), np.zeros(len(low), dtype=np.int64)
-                    for c in set(own):
-                        shared += np.minimum(letters[c], own.count(c))
-                    bound = 2.0 * shared / np.maximum(sizes + len(own), 1)
-                    m, best = SequenceMatcher(None), []
-                    m.set_seq1(own)
-                    for i in np.argsort(-bound, kind="stable"):
-                        if bound[i] <= 0 or (len(best) == k and bound[i] + 1e-9 < best[0][0]):
-                            break
-                        m.set_seq2(low[i])
-                        score = m.ratio()
-                        if score > 0:
-                            # the worst first: the lower score, of equal ones the larger id
-                            best = sorted([*best, (score, row["ids"][i], row["names"][i])], key=lambda x: x[1], reverse=True)
-                            best = sorted(best, key=lambda x: x[0])[-k:]
-                    out += [(q, i, name, score) for score, i, name in best]
-                yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], t) for c, t in enumerate((pa.string(), to_arrow_type(id_type), pa.string(), pa.float64()))], names=["q", "id", "name", "score"])
-
-    schema = T.StructType([T.StructField("q", T.StringType()), T.StructField("id", id_type), T.StructField("name", T.StringType()), T.StructField("score", T.DoubleType())])
-    # few bytes and much work: the number of tasks is stated, so that it is not made smaller
-    held = held.repartition(int(names.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    scored = held.crossJoin(asked).mapInArrow(run, schema)
-    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= k)
-
-
-def nearest_by_cosine(base: DataFrame, asked: DataFrame, k: int = 5, block: int = 10_000) -> DataFrame:
-    """base: id, v.  asked: q, qv - a stated set that is broadcast in blocks of about `block` rows after it was counted."""
-    n = max(1, -(-asked.count() // block))
-    parts = [asked.where(F.pmod(F.xxhash64("q"), F.lit(n)) == i) for i in range(n)] if n > 1 else [asked]
-    joined = reduce(DataFrame.unionByName, [base.join(F.broadcast(part), F.col("id") != F.col("q")) for part in parts])
-    scored = joined.withColumn("score", cosine(F.col("v"), F.col("qv")))
-    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= k).select("q", "id", "rank", "score")
-
-
 def mentions(texts: DataFrame, names: DataFrame, confusable: DataFrame | None = None) -> DataFrame:
     """texts: t_id, text.  names: code, word (one word).  Texts that have the word between word boundaries.
 

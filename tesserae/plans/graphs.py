@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tesserae.operators import graphs
 from tesserae.operators import mentions as mentions_
+from tesserae.operators import nearest as nearest_
 from tesserae.operators.shared import shared_dir
 from tesserae.sources import views
 from tesserae.sources.views import EDGES, UNIVERSE, table
@@ -46,12 +47,12 @@ def resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fuzzy_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
     asked = names.where("id % 50 = 0").select(F.concat(F.col("name"), F.lit("x")).alias("q")).distinct()
-    return graphs.fuzzy_top(names, asked).select("q", "id", "rank", F.round("score", 6).alias("score"))
+    return nearest_.fuzzy_top(names, asked).select("q", "id", "rank", F.round("score", 6).alias("score"))
 
 
 def nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
-    return graphs.nearest_by_cosine(e, e.where("id % 50 = 0").select(F.col("id").alias("q"), F.col("v").alias("qv"))).withColumn("score", F.round("score", 6))
+    return nearest_.nearest_by_cosine(e, e.where("id % 50 = 0").select(F.col("id").alias("q"), F.col("v").alias("qv"))).withColumn("score", F.round("score", 6))
 
 
 NEAREST = """WITH s AS (SELECT q.vec_id AS q, b.vec_id AS id, list_cosine_similarity(b.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS s FROM embeddings b JOIN embeddings q ON q.vec_id % 50 = 0 AND b.vec_id <> q.vec_id)

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tesserae.functions import columns
-from tesserae.operators import graphs, ratios, relational, sequences, valuation
+from tesserae.operators import graphs, nearest, ratios, relational, sequences, valuation
 from tesserae.sources import parsers
 
 
@@ -146,7 +146,7 @@ def test_cells_take_the_last_unit(spark):
 
 
 def test_sequence_ratio(spark):
-    got = one(spark, graphs.sequence_ratio(F.lit("abcd"), F.lit("bcde")).alias("r"), graphs.name_key(F.lit("ACME (Korea) Co., Ltd.")).alias("k"))
+    got = one(spark, nearest.sequence_ratio(F.lit("abcd"), F.lit("bcde")).alias("r"), graphs.name_key(F.lit("ACME (Korea) Co., Ltd.")).alias("k"))
     assert got.r == 0.75 and got.k == "acme"
 
 
@@ -162,7 +162,7 @@ def test_nearest_takes_queries_in_blocks(spark):
     v = [(i, [float(i % 7) + 1, float(i % 5), float(i % 3)]) for i in range(60)]
     base = spark.createDataFrame(v, "id long, v array<double>")
     asked = base.where("id % 2 = 0").select(F.col("id").alias("q"), F.col("v").alias("qv"))
-    rows = lambda block: sorted((r.q, r.id, r["rank"]) for r in graphs.nearest_by_cosine(base, asked, 5, block).collect())
+    rows = lambda block: sorted((r.q, r.id, r["rank"]) for r in nearest.nearest_by_cosine(base, asked, 5, queries=block, rows=13).collect())
     assert rows(7) == rows(100) and len(rows(7)) == 150
 
 
@@ -177,10 +177,47 @@ def test_fuzzy_top_scores_all_names(spark):
     for q in asked:
         scored = sorted((-SequenceMatcher(None, q.lower(), w.lower()).ratio(), i) for i, w in names if w is not None)
         want += [(q, i, n + 1, -s) for n, (s, i) in enumerate([x for x in scored if x[0] < 0][:5])]
-    got = graphs.fuzzy_top(spark.createDataFrame(names, "id long, name string"), spark.createDataFrame([(q,) for q in asked], "q string"), chunk=10, block=2)
+    got = nearest.fuzzy_top(spark.createDataFrame(names, "id long, name string"), spark.createDataFrame([(q,) for q in asked], "q string"))
     assert sorted((r.q, r.id, r["rank"], r.score) for r in got.collect()) == sorted(want)
 
 
+def test_fuzzy_top_goes_down_level_by_level(spark):
+    """Many near names, some with few alike ones; the index compares far fewer than all pairs and loses none."""
+    from difflib import SequenceMatcher
+
+    r = np.random.default_rng(8)
+    roots = ["".join(r.choice(list("abcdefghijklmnopqrst"), int(n))) for n in r.integers(1, 30, 60)]
+
+    def worn(x):
+        x = list(x)
+        for _ in range(int(r.integers(0, 4))):
+            x.insert(int(r.integers(0, len(x) + 1)), str(r.choice(list("xyz "))))
+        return "".join(x)
+
+    names = [(i, worn(roots[i % 60]).title()) for i in range(600)] + [(1000 + i, "One Hot Name Ltd") for i in range(300)]
+    asked = [worn(x) for x in roots[:25]] + ["one hot name", "zzzzzzzz", "A"]
+    want = []
+    for q in dict.fromkeys(asked):
+        scored = sorted((-SequenceMatcher(None, q.lower(), w.lower()).ratio(), i) for i, w in names)
+        want += [(q, i, n + 1, -s) for n, (s, i) in enumerate([x for x in scored if x[0] < 0][:5])]
+    df, queries = spark.createDataFrame(names, "id long, name string"), spark.createDataFrame([(q,) for q in asked], "q string")
+    assert sorted((x.q, x.id, x["rank"], x.score) for x in nearest.fuzzy_top(df, queries).collect()) == sorted(want)
+    low = sorted({w.lower() for _, w in names})
+    lows = spark.createDataFrame([(w,) for w in low], "low string")
+    for t in nearest.LEVELS:
+        got = sorted((x.asked_low, x.low) for x in nearest.alike_names(lows, lows, t).collect())
+        assert got == sorted((a, b) for a in low for b in low if SequenceMatcher(None, a, b).ratio() >= t)
+
+
+def test_nearest_leaves_out_what_has_no_direction(spark):
+    rows = [(1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, None), (4, [1.0, None]), (5, [float("nan"), 1.0]), (6, [2.0, 0.0]), (7, [2.0, 2.0]), (8, [])]
+    base = spark.createDataFrame(rows, "id long, v array<double>")
+    asked = base.select(F.col("id").alias("q"), F.col("v").alias("qv"))
+    got = sorted((r.q, r["rank"], r.id, round(r.score, 6)) for r in nearest.nearest_by_cosine(base, asked, 5).collect())
+    assert got == [(1, 1, 6, 1.0), (1, 2, 7, 0.707107), (6, 1, 1, 1.0), (6, 2, 7, 0.707107), (7, 1, 1, 0.707107), (7, 2, 6, 0.707107)]
+    assert nearest.nearest_by_cosine(base, asked.limit(0), 5).collect() == []
+
+
 def test_text_rules(spark):
     """Pieces against the plain rule, feeds with odd items, dates, titles and phases."""
     from tesserae.functions import texts
