@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import feeds, filings, fiscal, graphs, helpers, ledger, network, prices, relational, scores
+from . import feeds, filings, fiscal, graphs, helpers, ledger, live, network, prices, relational, scores
 
-MODULES = (prices, filings, relational, fiscal, graphs, feeds, scores, ledger, network, helpers)
+MODULES = (prices, filings, live, relational, fiscal, graphs, feeds, scores, ledger, network, helpers)
 QUERIES = {name: q for m in MODULES for name, q in m.QUERIES.items()}
 ORACLES = {name: q for m in MODULES for name, q in m.ORACLES.items()}
