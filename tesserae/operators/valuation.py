@@ -40,6 +40,12 @@ def ddm_target(dps: Column, growth: Column, rate: Column) -> Column:
     return F.when((dps > 0) & (rate > growth), dps * (1 + growth) / (rate - growth))
 
 
+def ggm_dcf_target(fcf: Column, growth: Column, rate: Column, net_debt: Column, shares: Column, unit: float = 1.0) -> Column:
+    """Next year's flow over what the rate is above the growth, for ever; missing unless the rate is above it and equity is left."""
+    equity = fcf * (1 + growth) / (rate - growth) - F.coalesce(net_debt, F.lit(0.0))
+    return F.when((fcf > 0) & (shares > 0) & (rate > growth), F.when(equity > 0, equity * unit / shares))
+
+
 def cost_of_equity(risk_free: Column, beta: Column, premium: Column) -> Column:
     return risk_free + beta * premium
 

@@ -368,13 +368,48 @@ def multiples(spark: SparkSession, sf_dir: str) -> DataFrame:
     years = valuation.cap_years(roe, rate, moat)
     multiple = valuation.forward_multiple(g, roe, rate, F.lit(0.025), years)
     dcf = valuation.dcf_target(F.col("price"), g, F.lit(5), F.lit(0.025), rate, F.lit(0.0), F.lit(10.0), roe, moat)
-    base = p.select("code", "size", "price", multiple.alias("multiple"), dcf.alias("dcf"), (F.col("price") / 10 * multiple).alias("per"), (F.col("price") * 1.1).alias("pbr"), (F.col("price") * 1.3).alias("ev_ebitda"), valuation.ddm_target(F.col("price") / 20, F.lit(0.02), rate).alias("ddm"), (F.col("price") * 0.2).alias("ggm_dcf"))
+    base = p.select("code", "size", "price", multiple.alias("multiple"), dcf.alias("dcf"), (F.col("price") / 10 * multiple).alias("per"), (F.col("price") * 1.1).alias("pbr"), (F.col("price") * 1.3).alias("ev_ebitda"), valuation.ddm_target(F.col("price") / 20, F.lit(0.02), rate).alias("ddm"), valuation.ggm_dcf_target(F.col("price"), g / 5, rate, F.col("size") * 100, F.lit(10.0)).alias("ggm_dcf"))
     kind = F.element_at(F.array(*[F.lit(k) for k in valuation.FIT]), (F.col("code") % 5 + 1).cast("int"))
     fits = valuation.fits(base.select("code", kind.alias("kind"), (F.col("size") / 10).alias("div_yield"), (F.col("code") % 11 == 0).alias("is_loss")))
     long = base.unpivot(["code", "multiple"], list(valuation.METHODS), "method", "target")
-    joined = long.join(fits, ["code", "method"]).withColumns({"confidence": F.when(F.col("method") == "dcf", "low").otherwise("medium"), "is_growth": F.col("code") % 5 == 0})
-    return valuation.blend(joined).join(base.select("code", "multiple", F.round("dcf", 4).alias("dcf")), "code").withColumn("target", F.round("target", 4))
-
+    joined = long.join(fits, ["code", "method"]).withColumns({"confidence": F.when(F.col("method").isin("dcf", "ggm_dcf"), "low").otherwise("medium"), "is_growth": F.col("code") % 5 == 0})
+    return valuation.blend(joined).join(base.select("code", "multiple", F.round("dcf", 4).alias("dcf")), "code").withColumn("target", F.round("target", 7))
+
+
+def _valued_sql() -> str:
+    """The same folds as recursion over years, and the blend as windows."""
+    fit = " UNION ALL ".join(f"SELECT '{k}' AS kind, '{m}' AS method, {f}::DOUBLE AS fit" for k, row in valuation.FIT.items() for m, f in row.items())
+    kinds = str(list(valuation.FIT))
+    return f"""WITH RECURSIVE p AS (SELECT p_partkey AS code, p_retailprice AS price, CAST(p_size AS DOUBLE) AS size, p_size / 200::DOUBLE AS g, CASE WHEN p_size > 30 THEN 10 WHEN p_size > 10 THEN 6 ELSE 3 END::DOUBLE AS base FROM part),
+c AS (SELECT *, 0.15::DOUBLE AS roe, 0.09::DOUBLE AS r, 0.025::DOUBLE AS t FROM p),
+d AS (SELECT *, least(g, roe) AS g0, round(least(12::DOUBLE, base * (0.5::DOUBLE + (roe - r) / (roe - r + r))), 1) AS cap, greatest(r, t + 0.045::DOUBLE) AS rd FROM c),
+e AS (SELECT *, CAST(round_even(cap, 0) AS INTEGER) AS n, greatest(1, CAST(round_even(round(least(12::DOUBLE, base * (0.5::DOUBLE + (roe - rd) / (roe - rd + rd))), 1) / 2, 0) AS INTEGER)) AS half, (g - t) > 0.08::DOUBLE AS three FROM d),
+f AS (SELECT *, CASE WHEN three THEN half ELSE 5 END AS plateau, CASE WHEN three THEN half ELSE 0 END AS fade FROM e),
+fwd(code, k, pv, eps, d) AS (
+  SELECT code, 0, 0::DOUBLE, 1::DOUBLE, 1::DOUBLE FROM f UNION ALL
+  SELECT w.code, w.k + 1, w.pv + CASE WHEN s.rk > 0 THEN greatest(0::DOUBLE, 1 - s.gk / s.rk) ELSE 0 END * (w.eps * (1 + s.gk)) / (w.d * (1 + s.r)), w.eps * (1 + s.gk), w.d * (1 + s.r)
+  FROM fwd w JOIN (SELECT code, r, n, k, g0 + (t - g0) * (greatest(0, k - n) / n::DOUBLE) AS gk, roe + (r - roe) * (greatest(0, k - n) / n::DOUBLE) AS rk FROM f, range(1, 25) y(k)) s ON s.code = w.code AND s.k = w.k + 1 WHERE w.k < 2 * s.n),
+m AS (SELECT f.code, round_even((pv + (1 - t / r) * eps * (1 + t) / (r - t) / d) / (1 + g0), 1) AS multiple FROM f JOIN fwd ON f.code = fwd.code AND fwd.k = 2 * n),
+flow(code, k, pv, f, d) AS (
+  SELECT code, 0, 0::DOUBLE, price, 1::DOUBLE FROM f UNION ALL
+  SELECT w.code, w.k + 1, w.pv + w.f * (1 + s.gk) / (w.d * (1 + s.rd)), w.f * (1 + s.gk), w.d * (1 + s.rd)
+  FROM flow w JOIN (SELECT code, rd, plateau + fade AS years, k, g + (t - g) * CASE WHEN k > plateau THEN (k - plateau) / fade::DOUBLE ELSE 0 END AS gk FROM f, range(1, 25) y(k)) s ON s.code = w.code AND s.k = w.k + 1 WHERE w.k < s.years),
+v AS (SELECT f.code, (pv + flow.f * (1 + t) / (rd - t) / d) / 10 AS dcf FROM f JOIN flow ON f.code = flow.code AND flow.k = plateau + fade),
+base AS (SELECT f.*, multiple, CASE WHEN dcf > 0 THEN dcf END AS dcf, CASE WHEN price * (1 + g / 5) / (r - g / 5) - size * 100 > 0 THEN (price * (1 + g / 5) / (r - g / 5) - size * 100) / 10 END AS ggm, price / 20 * 1.02::DOUBLE / (r - 0.02::DOUBLE) AS ddm FROM f JOIN m USING (code) JOIN v USING (code)),
+long AS (SELECT code, size, unnest(['per', 'pbr', 'ev_ebitda', 'dcf', 'ddm', 'ggm_dcf']) AS method, unnest([price / 10 * multiple, price * 1.1::DOUBLE, price * 1.3::DOUBLE, dcf, ddm, CASE WHEN r > g / 5 THEN ggm END]) AS target FROM base),
+fit AS ({fit}),
+j AS (SELECT code, method, target, CASE WHEN method IN ('dcf', 'ggm_dcf') THEN 1::DOUBLE ELSE 2 END AS c,
+  CASE WHEN method = 'ddm' AND size / 10 < 1.5 THEN 0 WHEN method IN ('per', 'dcf') AND code % 11 = 0 THEN 0 ELSE fit END AS fit, CASE WHEN code % 5 = 0 THEN 1.2::DOUBLE ELSE 0.6::DOUBLE END AS most
+  FROM long JOIN fit USING (method) WHERE kind = {kinds}[code % 5 + 1] AND target > 0),
+a AS (SELECT *, count(*) OVER (PARTITION BY code) AS methods, count(*) FILTER (fit > 0) OVER (PARTITION BY code) AS fitting FROM j),
+b AS (SELECT *, list_sort(list(target) OVER (PARTITION BY code)) AS ts FROM a WHERE fit > 0 OR fitting = 0),
+o AS (SELECT *, (target - ts[len(ts) // 2 + 1]) / ts[len(ts) // 2 + 1] AS dev FROM b),
+k AS (SELECT *, dev <= most AND dev >= -0.6::DOUBLE AS inside, count(*) FILTER (dev <= most AND dev >= -0.6::DOUBLE) OVER (PARTITION BY code) AS n_inside FROM o),
+z AS (SELECT code, max(methods) AS methods, count(*) AS kept, CASE WHEN sum(c * fit) > 0 THEN sum(target * c * fit) / sum(c * fit) ELSE sum(target * c) / sum(c) END AS target FROM k WHERE inside OR n_inside = 0 GROUP BY 1)
+SELECT code, round(target, 7) AS target, methods, kept, multiple, round(dcf, 4) AS dcf FROM z JOIN base USING (code)"""
+
+
+MULTIPLES = _valued_sql()
 
 QUERIES = {
     "w43_growth": growth,
@@ -420,4 +455,5 @@ ORACLES = {
     "g6_ratio_validation": RATIO_VALIDATION,
     "g9_account_names": ACCOUNT_NAMES,
     "f22_f24_valuations": VALUATIONS,
+    "q17_multi_method": MULTIPLES,
 }

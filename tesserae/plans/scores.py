@@ -124,14 +124,19 @@ def _sector_flow(df: DataFrame, by: str) -> DataFrame:
 
 def axes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Growth, value, trend and topdown scores of every company, and their mean."""
-    df = companies(spark, sf_dir)
+    return with_axes(companies(spark, sf_dir)).select("code", "sector", "market", "cap", "growth", "value", "trend", "topdown", "overall")
+
+
+def with_axes(df: DataFrame) -> DataFrame:
+    """Companies with their four axes and the mean of these."""
+    own = df.columns
     sectors = _sector_flow(df, "sector").select("sector", F.col("flow_3m").alias("sector_flow"))
     lead = _sector_flow(df.where("market = 'A'"), "sector").select("sector", F.col("flow_1m").alias("lead_flow"))
     markets = _sector_flow(df, "market").select("market", F.col("flow_3m").alias("index_flow"))
     # a row for each sector and market, by their definition few
     df = df.join(sectors, "sector").join(lead, "sector", "left").join(markets, "market")
     parts = _parts(df) | {"topdown": scores.topdown_parts({"lead_sector": F.col("lead_flow"), "sector": F.col("sector_flow"), "index": F.col("index_flow"), "strength": F.col("strength")})}
-    scored = df.select("code", "sector", "market", "cap", *[scores.score(p).alias(k) for k, p in parts.items()])
+    scored = df.select(*own, *[scores.score(p).alias(k) for k, p in parts.items()])
     return scored.withColumn("overall", scores.overall([F.col(k) for k in parts], digits=4))
 
 
