@@ -1,14 +1,17 @@
 """Sequential kernels: what depends on its own past state, one code at a time.
 
-The zigzag is a fold over a code's sorted bars inside the JVM; patterns on its
-pivots are windows over a few leads.  Only stage segments, with their
+The zigzag is a state machine over batches of sorted bars; patterns on its
+pivots are windows over a few leads.  Stage segments, with their
 hysteresis and look-back, are a pandas kernel, for each code.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -16,33 +19,70 @@ from pyspark.sql import Window
 THRESHOLD = 0.06
 
 
+_PIVOTS = pa.schema([("code", pa.int64()), ("n", pa.int32()), ("pivot_date", pa.date32()), ("price", pa.float64()), ("kind", pa.string()), ("settled", pa.bool_())])
+
+
+class Swing:
+    """One code's search for pivots: the extremes since the last one, and the way prices go.  Its size is the same however long the series is."""
+
+    def __init__(self, code: int, day: object, price: float):
+        self.code, self.way, self.n = code, 0, 0
+        self.high = self.low = (day, price)
+
+    def bar(self, day: object, price: float, up: float, down: float) -> tuple | None:
+        """The pivot that this bar settles, if any."""
+        if self.way >= 0 and price > self.high[1]:
+            self.high = (day, price)
+        if self.way <= 0 and price < self.low[1]:
+            self.low = (day, price)
+        if self.way >= 0 and price <= self.high[1] * down:
+            found, self.way, self.low = (*self.high, "high"), -1, (day, price)
+        elif self.way <= 0 and price >= self.low[1] * up:
+            found, self.way, self.high = (*self.low, "low"), 1, (day, price)
+        else:
+            return None
+        self.n += 1
+        return self.code, self.n - 1, *found, True
+
+    def last(self) -> tuple | None:
+        """The pivot that is still moving."""
+        if not self.way:
+            return None
+        return self.code, self.n, *(self.high if self.way > 0 else self.low), "high" if self.way > 0 else "low", False
+
+
 def zigzag(bars: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """code, n, pivot_date, price, kind, settled: swing points; the last one of a code is provisional."""
-    point = "struct<d:date,p:double>"
-    pivot = "struct<d:date,p:double,kind:string>"
+    """code, n, pivot_date, price, kind, settled: swing points; the last one of a code is provisional.
+
+    A state machine over batches of sorted bars that emits pivots as it goes: time is linear and memory
+    that of one batch, whatever the length of a series.  Stored bars are in buckets of codes already, so they aren't exchanged.
+    Bars without a close or a code are left out.
+    """
     up, down = 1 + threshold, 1 - threshold
-    per = bars.groupBy("code").agg(F.array_sort(F.collect_list(F.struct(F.col("bar_date").alias("d"), F.col("close").alias("p")))).alias("s"))
-
-    def state(way: Column, hi: Column, lo: Column, out: Column) -> Column:
-        return F.struct(way.cast("int").alias("way"), hi.cast(point).alias("hi"), lo.cast(point).alias("lo"), out.cast(f"array<{pivot}>").alias("out"))
-
-    def mark(x: Column, kind: str) -> Column:
-        return F.array(F.struct(x["d"].alias("d"), x["p"].alias("p"), F.lit(kind).alias("kind")))
-
-    def step(a: Column, x: Column) -> Column:
-        hi = F.when((a["way"] >= 0) & (x["p"] > a["hi"]["p"]), x).otherwise(a["hi"])
-        lo = F.when((a["way"] <= 0) & (x["p"] < a["lo"]["p"]), x).otherwise(a["lo"])
-        fell = (a["way"] >= 0) & (x["p"] <= hi["p"] * down)
-        rose = (a["way"] <= 0) & (x["p"] >= lo["p"] * up)
-        return F.when(fell, state(F.lit(-1), hi, x, F.concat(a["out"], mark(hi, "high")))).when(rose, state(F.lit(1), x, lo, F.concat(a["out"], mark(lo, "low")))).otherwise(state(a["way"], hi, lo, a["out"]))
-
-    first = F.get("s", F.lit(0))
-    start = state(F.lit(0), first, first, F.array())
-    end = F.aggregate(F.slice("s", F.lit(2), F.greatest(F.size("s") - 1, F.lit(0))), start, step)
-    with_end = per.select("code", end.alias("e"))
-    last = F.when(F.col("e.way") == 1, mark(F.col("e.hi"), "high")).when(F.col("e.way") == -1, mark(F.col("e.lo"), "low")).otherwise(F.array().cast(f"array<{pivot}>"))
-    each = with_end.select("code", F.size("e.out").alias("settled"), F.posexplode(F.concat("e.out", last)).alias("n", "x"))
-    return each.select("code", "n", F.col("x.d").alias("pivot_date"), F.col("x.p").alias("price"), F.col("x.kind").alias("kind"), (F.col("n") < F.col("settled")).alias("settled"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: Swing | None = None
+        for batch in batches:
+            out = []
+            for code, day, price, number in zip(*(c.to_pylist() for c in batch.columns)):
+                if own is None or number == 1:
+                    if own is not None:
+                        out.append(own.last())
+                    own = Swing(code, day, price)
+                else:
+                    out.append(own.bar(day, price, up, down))
+            yield pivots_of(out)
+        if own is not None:
+            yield pivots_of([own.last()])
+
+    def pivots_of(rows: list[tuple | None]) -> pa.RecordBatch:
+        there = [r for r in rows if r is not None]
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(list(zip(*there)) or [[]] * len(_PIVOTS), _PIVOTS)], schema=_PIVOTS)
+
+    series = bars.where("code is not null and close is not null").select(F.col("code").cast("bigint"), "bar_date", F.col("close").cast("double"))
+    # the window deals and sorts by code; a repartition() would be dropped over a bucketed table, and its scan then be dealt by files
+    numbered = series.withColumn("number", F.row_number().over(Window.partitionBy("code").orderBy("bar_date")))
+    return numbered.mapInArrow(run, "code bigint, n int, pivot_date date, price double, kind string, settled boolean")
 
 
 def near(value: Column, target: float, tolerance: float) -> Column:

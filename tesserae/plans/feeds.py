@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.operators import prices, sequences
+from tesserae.plans import waves
 from tesserae.sources import parsers, views
 from tesserae.sources.views import table
 from tesserae.streaming import ticks
@@ -16,11 +17,11 @@ def zigzag(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def impulses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sequences.impulses(zigzag(spark, sf_dir))
+    return sequences.impulses(zigzag(spark, sf_dir)).withColumn("score", F.round("score", 6))
 
 
 def corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sequences.corrections(zigzag(spark, sf_dir))
+    return sequences.corrections(zigzag(spark, sf_dir)).withColumn("score", F.round("score", 6))
 
 
 def cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,6 +102,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    **waves.ORACLES,
     "w22_secular": SECULAR,
     "s5_page_list": """SELECT page_id, regexp_extract(html, '<html[^>]*\\blang="([a-zA-Z-]+)"', 1) AS lang, CAST(len(regexp_extract_all(html, '<a\\s[^>]*href="([^"]*)"')) AS INTEGER) AS links, CAST(len(regexp_extract_all(html, '(?i)<p[ >]')) AS INTEGER) AS paragraphs FROM pages""",
     "t15_stream_bars": "SELECT event_type, strftime(time_bucket(INTERVAL 30 MINUTE, ts), '%Y-%m-%d %H:%M') AS bucket, first(value ORDER BY ts, event_id) AS open, max(value) AS high, min(value) AS low, last(value ORDER BY ts, event_id) AS close, count(*) AS n FROM events GROUP BY 1, 2",
