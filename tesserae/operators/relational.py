@@ -13,6 +13,10 @@ SENTIMENT = {"BUY": 1.0, "HOLD": 0.0, "SELL": -1.0}
 _OPS = {"gte": operator.ge, "lte": operator.le, "gt": operator.gt, "lt": operator.lt, "eq": operator.eq}
 
 
+#: Parts that a group is ranked in first.
+PARTS = 64
+
+
 def sentiment_value(c: Column) -> Column:
     found = F.lit(None).cast("double")
     for name, v in SENTIMENT.items():
@@ -55,11 +59,16 @@ def filters(spec: list[Mapping], allowed: Mapping[str, str]) -> Column:
 
 
 def top_per_group(df: DataFrame, group: str, value: str, bonus: Column, n: int, tie: str) -> DataFrame:
-    """The n best of each group by value, normalised by the group's largest, plus a bonus."""
-    most = F.max(value).over(Window.partitionBy(group))
-    scored = df.withColumn("score", F.coalesce(F.try_divide(F.col(value).cast("double"), most), F.lit(0.0)) + bonus)
-    rank = F.row_number().over(Window.partitionBy(group).orderBy(F.desc("score"), tie))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= n)
+    """The n best of each group by value, normalised by the group's largest, plus a bonus.
+
+    A group is cut to its n best in parts first, so no task holds a group.
+    """
+    most = df.groupBy(F.col(group).alias("_group")).agg(F.max(value).alias("_most"))
+    scored = df.join(most, F.col(group).eqNullSafe(F.col("_group"))).withColumn("score", F.coalesce(F.try_divide(F.col(value).cast("double"), F.col("_most")), F.lit(0.0)) + bonus).drop("_group", "_most")
+    order = [F.desc("score"), F.col(tie)]
+    part = F.pmod(F.xxhash64(tie), F.lit(PARTS))
+    cut = scored.withColumn("_part", part).withColumn("rank", F.row_number().over(Window.partitionBy(group, "_part").orderBy(*order))).where(F.col("rank") <= n).drop("_part")
+    return cut.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col("rank") <= n)
 
 
 def group_median(df: DataFrame, key: str, value: str) -> DataFrame:

@@ -240,14 +240,14 @@ FROM p JOIN b USING (code) LEFT JOIN u USING (code)"""
 
 
 def reconciled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two tables of components for each code, in other units, against its balance."""
-    q = views.quarters(spark, sf_dir).where("y = 1995").select("code", F.concat(F.lit("c"), F.col("q").cast("string")).alias("leaf"), F.round("revenue").alias("amount"))
+    """Two tables of components for each code and year, in other units, against its balance."""
+    q = views.quarters(spark, sf_dir).select((F.col("code") * 10_000 + F.col("y")).alias("code"), F.concat(F.lit("c"), F.col("q").cast("string")).alias("leaf"), F.round("revenue").alias("amount"))
     one = q.select("code", F.lit("consolidated").alias("tab"), "leaf", F.when((F.col("code") % 4 == 0) & (F.col("leaf") == "c2"), F.col("amount") + 7).otherwise(F.col("amount") * 1000).alias("amount"))
     two = q.select("code", F.lit("separate").alias("tab"), "leaf", F.when((F.col("code") % 3 == 0) | (F.col("leaf") == "c1"), F.col("amount")).otherwise(F.col("amount") + 3).alias("amount"))
     return fiscal.reconcile(one.unionByName(two), q, [1.0, 1000.0, 1000000.0], "c1")
 
 
-RECONCILED = f"""WITH {QUARTERS}, q AS (SELECT code, 'c' || q AS leaf, round(revenue) AS amount FROM quarters WHERE y = 1995),
+RECONCILED = f"""WITH {QUARTERS}, q AS (SELECT code * 10000 + y AS code, 'c' || q AS leaf, round(revenue) AS amount FROM quarters),
 c AS (SELECT code, 'consolidated' AS tab, leaf, CASE WHEN code % 4 = 0 AND leaf = 'c2' THEN amount + 7 ELSE amount * 1000 END AS a FROM q UNION ALL SELECT code, 'separate', leaf, CASE WHEN code % 3 = 0 OR leaf = 'c1' THEN amount ELSE amount + 3 END FROM q),
 h AS (SELECT code, tab, scale, count(*) AS n, bool_or(leaf = 'c1') AS ok FROM c JOIN q USING (code, leaf), (VALUES (1), (1000), (1000000)) s(scale) WHERE abs(amount * scale - a) < 0.5 GROUP BY 1, 2, 3),
 m AS (SELECT code, tab, max(n) AS matches FROM h GROUP BY 1, 2 HAVING bool_or(ok)) SELECT code, tab, matches FROM (SELECT *, max(matches) OVER (PARTITION BY code) AS most FROM m) WHERE matches = most"""

@@ -313,17 +313,6 @@ def previews(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "snippet", F.size("parts").alias("parts"), F.aggregate("parts", F.lit(0), lambda a, x: F.greatest(a, F.length(x))).alias("longest"), "closing")
 
 
-FILTERS = [("cap", "market value", "universe.cap", "gte,lte"), ("per", "price to earnings", "companies.per", "lte,lt"), ("pbr", "price to book", "companies.pbr", "lte,lt"), ("roe", "return on equity", "companies.roe", "gte,gt"), ("dividend", "dividend yield", "companies.dividend", "gte"), ("momentum", "three-month return", "companies.momentum", "gte,lte,gt,lt,eq")]
-
-
-def filter_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The filters a screen knows, a row for each operator."""
-    return spark.createDataFrame(FILTERS, "id string, label string, field string, ops string").select("id", "label", "field", F.explode(F.split("ops", ",")).alias("op"))
-
-
-FILTER_CATALOG = "SELECT id, label, field, unnest(string_split(ops, ',')) AS op FROM (VALUES " + ", ".join(str(f) for f in FILTERS) + ") t(id, label, field, ops)"
-
-
 QUERIES = {
     "t8_repaired": repaired,
     "t9_merged_series": merged,
@@ -347,7 +336,6 @@ QUERIES = {
     "j19_industry_peers": peers_of_industry,
     "w6_calendar_momentum": calendar_momentum,
     "f41_f42_previews": previews,
-    "p20_filter_catalog": filter_catalog,
 }
 ORACLES = {
     "t8_repaired": REPAIRED,
@@ -371,5 +359,4 @@ ORACLES = {
     "u6_g12_entity_groups": ENTITY_GROUPS,
     "j19_industry_peers": PEERS_OF_INDUSTRY,
     "w6_calendar_momentum": CALENDAR_MOMENTUM,
-    "p20_filter_catalog": FILTER_CATALOG,
 }
