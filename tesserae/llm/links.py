@@ -1,8 +1,8 @@
 """From banded signatures to classes: candidate pairs, verification, union-find.
 
 Pairs are not emitted for all of a bucket.  Each member is first compared with
-the smallest node of all its buckets, then with the smallest of each other bucket that
-it is still apart from; verified links join members into components.  What is left are the members outside the largest component of a
+the smallest node of all its buckets, then with the smallest of each other bucket
+unless both are linked to one node already; verified links join members into components.  What is left are the members outside the largest component of a
 bucket: they meet the bucket's other members in a join whose condition holds an
 exact bound.  Each text has a parity map of its elements (bit i tells whether an
 odd number of them falls on i), and two maps differ in no more bits than the
@@ -202,17 +202,16 @@ def _classes(items: DataFrame, texts_of: Callable[[DataFrame], DataFrame], eleme
         more = F.broadcast(more)
     members = scratch.stored(rows.join(more, "band"), "members")
     stars = scratch.stored(members.select(F.col("low").alias("a"), F.col("node").alias("b")).where("a < b").distinct(), "stars")
-    # a node meets the smallest node of all its buckets first; those of its other buckets only if they are still apart
+    # a node meets the smallest node of all its buckets first, and those of its other buckets unless both are linked to the same one
     tried = scratch.stored(pairs.union(stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")).distinct(), "pairs")
     texts = scratch.stored(texts_of(pairs.union(stars).select(F.explode(F.array("a", "b")).alias("node")).distinct()), "texts")
-    found = components(scratch.stored(verified(tried, texts, elements, similarity), "links"))
-    roots = [found.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")) for c in "ab"]
-    still = stars.join(roots[0], "a", "left").join(roots[1], "b", "left").where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b"))
+    linked = scratch.stored(verified(tried, texts, elements, similarity), "links")
+    least = linked.groupBy("b").agg(F.min("a").alias("least"))
+    to = [least.select(F.col("b").alias(c), F.col("least").alias(f"to_{c}")) for c in "ab"]
+    still = stars.join(to[0], "a", "left").join(to[1], "b", "left").where(F.coalesce("to_a", "a") != F.coalesce("to_b", "b"))
     rest = scratch.stored(still.select("a", "b").join(tried, ["a", "b"], "left_anti"), "stars-apart")
-    if not rest.isEmpty():
-        late = scratch.stored(verified(rest, texts, elements, similarity), "links-stars")
-        found = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")).union(late))
-        tried = tried.union(rest)
+    found = components(linked.union(scratch.stored(verified(rest, texts, elements, similarity), "links-stars")))
+    tried = tried.union(rest)
     members, mapped, seed, before = members.select("band", "node"), None, 0, math.inf
     while True:
         # members of one bucket that are still apart
