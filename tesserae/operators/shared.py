@@ -13,7 +13,7 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not named:
-        if not sc.master.startswith("local["):
+        if not (sc.master == "local" or sc.master.startswith("local[")):
             raise RuntimeError("spark.checkpoint.dir names no folder, and one of the driver's own would be out of the executors' sight")
         named = "file://" + tempfile.mkdtemp(prefix="tesserae-")
     if not sc.getCheckpointDir():
