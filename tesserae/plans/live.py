@@ -36,13 +36,13 @@ def tick_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 TICK_FEED = "SELECT CAST(user_id AS VARCHAR) AS code, count(*) AS n, max_by(value, event_id) AS price, max(strftime(ts, '%Y%m%d%H%M%S')) AS time, CAST(sum(event_id % 7) AS DOUBLE) AS change FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL GROUP BY 1"
 
-_KIND = F.element_at(F.array(*[F.lit(k) for k in ticks.KINDS]), (F.col("doc_id") % 4 + 1).cast("int"))
 _SPOOL = "doc_id bigint, kind string, ref_date date, body string"
 
 
 def spooled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as JSON lines in two lots, some twice and a tenth broken off; the second lot's first run fails before its ledger."""
-    d = table(spark, sf_dir, "documents").select("doc_id", _KIND.alias("kind"), F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 30).cast("int")).alias("ref_date"), F.coalesce("text", F.lit("")).alias("body"))
+    kind = F.element_at(F.array(*[F.lit(k) for k in ticks.KINDS]), (F.col("doc_id") % 4 + 1).cast("int"))
+    d = table(spark, sf_dir, "documents").select("doc_id", kind.alias("kind"), F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 30).cast("int")).alias("ref_date"), F.coalesce("text", F.lit("")).alias("body"))
     line = F.to_json(F.struct("doc_id", "kind", "ref_date", "body"))
     line = F.when(F.col("doc_id") % 10 == 7, F.left(line, F.floor(F.length(line) / 2).cast("int"))).otherwise(line)
     folder = new_folder(spark, "spool")
