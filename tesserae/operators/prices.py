@@ -14,6 +14,16 @@ MAS = (20, 60, 120)
 STRENGTH = ((63, 0.4), (126, 0.2), (189, 0.2), (252, 0.2))
 
 
+#: Bars that the features of a code's last bar look back on: a year, and the one before.
+LOOK_BACK = 253
+
+
+def last_bars(bars: DataFrame, n: int = LOOK_BACK) -> DataFrame:
+    """The newest bars of each code: what features of the last bar need, however long the series are."""
+    newest = F.row_number().over(Window.partitionBy("code").orderBy(F.desc("bar_date")))
+    return bars.withColumn("_newest", newest).where(F.col("_newest") <= n).drop("_newest")
+
+
 def technicals(bars: DataFrame) -> DataFrame:
     """Per bar: moving averages, nearness of the year's high, alignment, volume ratio, returns."""
     w = series()
@@ -46,7 +56,7 @@ def strength_factor(w: WindowSpec) -> Column:
 def strength_ratings(bars: DataFrame) -> DataFrame:
     """The last bar of each code with its strength factor and its rating among all codes."""
     w = series()
-    last = bars.select("code", "bar_date", "close", strength_factor(w).alias("strength"), F.lead("bar_date").over(w).alias("_next")).where("_next is null").drop("_next")
+    last = last_bars(bars).select("code", "bar_date", "close", strength_factor(w).alias("strength"), F.lead("bar_date").over(w).alias("_next")).where("_next is null").drop("_next")
     return ranks.rating(stored(last, "strength"), "strength")
 
 

@@ -56,7 +56,8 @@ def companies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row for each company."""
     bars = views.bars(spark, sf_dir)
     w = Window.partitionBy("code").orderBy("bar_date")
-    with_traded = bars.withColumn("traded", F.col("close") * F.col("volume")).withColumn("change", F.lag("close").over(w))
+    with_traded = prices.last_bars(bars, 2).withColumn("traded", F.col("close") * F.col("volume")).withColumn("change", F.lag("close").over(w))
+    bars = prices.last_bars(bars)
     last = prices.technicals(bars).groupBy("code").agg(F.max_by(F.struct("close", "ma120", "near_high", "aligned", "volume_ratio", "return_60"), "bar_date").alias("t")).select("code", "t.*")
     traded = with_traded.groupBy("code").agg(F.max_by("traded", "bar_date").alias("traded"), F.max_by(F.when(F.col("change") > 0, (F.col("close") / F.col("change") - 1) * 100), "bar_date").alias("return_1"))
     parts = {"LAST_OF": last.join(traded, "code"), "RATED_OF": prices.strength_ratings(bars), "FUND_OF": fundamentals(spark, sf_dir), "UNIVERSE_OF": views.universe(spark, sf_dir), "ORDERS_OF": spark.sql(_ORDERS, lineitem=table(spark, sf_dir, "lineitem"), orders=table(spark, sf_dir, "orders"))}

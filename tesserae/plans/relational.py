@@ -17,7 +17,7 @@ def screener(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Universe with filters, coverage and technicals of the last bar; trend score, then pages of 50."""
     u = views.universe(spark, sf_dir)
     kept = u.where(all_of([null_tolerant_least(F.col("cap"), 500.0), F.col("market").isin("ASIA", "EUROPE", "AMERICA"), ~F.col("name").rlike("7$")]))
-    last = relational.latest(prices.technicals(views.bars(spark, sf_dir)), ["code"], [F.desc("bar_date")])
+    last = relational.latest(prices.technicals(prices.last_bars(views.bars(spark, sf_dir))), ["code"], [F.desc("bar_date")])
     orders = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("code")).agg(F.countDistinct("l_orderkey").alias("coverage"))
     trend = weighted([
         (clamp01((F.col("near_high") - 0.7) / 0.3), 0.35),
