@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, WindowSpec
@@ -18,11 +19,20 @@ def band(x: Column, low: float, high: float) -> Column:
     return clamp01((x - low) / (high - low))
 
 
-def weighted(parts: list[tuple[Column, float]], scale: float = 100.0, digits: int = 1) -> Column:
+def decimal_round(x: Column, digits: int) -> Column:
+    """Rounded half up by the eighteen decimals that x has as a DECIMAL(38, 18), which are those of the double x * 10^18.
+
+    round() goes by the shortest digits that tell a double from others: 32.55 is a tie for it, but 32.549999999999995904 here.
+    """
+    steps = F.round((x * 1e18).cast("decimal(38,0)"), digits - 18).cast("double") / 10.0 ** (18 - digits)
+    return F.rint(steps) / 10.0**digits
+
+
+def weighted(parts: list[tuple[Column, float]], scale: float = 100.0, digits: int = 1, rounded: Callable[[Column, int], Column] = F.round) -> Column:
     """Weighted mean of the parts that are there, weights renormalised."""
     there = reduce(lambda a, b: a + b, [F.when(c.isNotNull(), F.lit(w)).otherwise(0.0) for c, w in parts])
     total = reduce(lambda a, b: a + b, [F.coalesce(c * w, F.lit(0.0)) for c, w in parts])
-    return F.round(F.try_divide(total, there) * scale, digits)
+    return rounded(F.try_divide(total, there) * scale, digits)
 
 
 def series(code: str = "code", date: str = "bar_date") -> WindowSpec:

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.functions.columns import band, clamp01, weighted
+from tesserae.functions.columns import band, clamp01, decimal_round, weighted
 from tesserae.operators import ranks
 
 # Results depend on them.
@@ -91,12 +91,12 @@ def topdown_parts(c: dict[str, Column]) -> Parts:
 
 
 def score(parts: Parts) -> Column:
-    return weighted(list(parts.values()))
+    return weighted(list(parts.values()), rounded=decimal_round)
 
 
 def flow_score(change: Column, high: Column, volume: Column, foreign: Column, lookback: str) -> Column:
     weights = FLOW.get(lookback, FLOW["3m"])
-    return weighted(list(zip((band(change, -20, 40), near_high(high), band(volume, 0.5, 2.0), band(foreign, -1.0, 1.0)), weights)))
+    return weighted(list(zip((band(change, -20, 40), near_high(high), band(volume, 0.5, 2.0), band(foreign, -1.0, 1.0)), weights)), rounded=decimal_round)
 
 
 def strength(x: Column) -> Column:
@@ -105,12 +105,12 @@ def strength(x: Column) -> Column:
 
 def overall(axes: list[Column], digits: int = 1) -> Column:
     """Mean of the axes that are there."""
-    return weighted([(a, 1.0) for a in axes], scale=1.0, digits=digits)
+    return weighted([(a, 1.0) for a in axes], scale=1.0, digits=digits, rounded=decimal_round)
 
 
 def breakdown(parts: Parts) -> Column:
     """A score's parts as rows to explode: part, norm, weight."""
-    return F.array(*[F.struct(F.lit(k).alias("part"), F.round(norm, 3).alias("norm"), F.lit(w).alias("weight")) for k, (norm, w) in parts.items()])
+    return F.array(*[F.struct(F.lit(k).alias("part"), decimal_round(norm, 3).alias("norm"), F.lit(w).alias("weight")) for k, (norm, w) in parts.items()])
 
 
 def _sum(parts: list[Column]) -> Column:
