@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from tesserae.functions.columns import decimal_round
 from tesserae.operators import scores, valuation
 from tesserae.sources.views import table
 
@@ -247,7 +248,7 @@ def peers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each company beside its sector: four axes, and by how much the overall score is above the sector's mean."""
     a = axes(spark, sf_dir)
     means = a.groupBy("sector").agg(F.avg("overall").alias("mean"), F.count("*").alias("peers"))
-    return a.join(means, "sector").select("code", "sector", "overall", "peers", F.round(F.col("overall") - F.col("mean"), 8).alias("above"))
+    return a.join(means, "sector").select("code", "sector", "overall", "peers", decimal_round(F.col("overall") - F.col("mean"), 8).alias("above"))
 
 
 PEERS = f"WITH {AXES_CTE}, m AS (SELECT sector, avg(overall) AS mean, count(*) AS peers FROM axes GROUP BY 1) SELECT code, sector, overall, peers, {_round('overall - mean', 8)} AS above FROM axes JOIN m USING (sector)"
