@@ -16,6 +16,8 @@ from tesserae.functions.texts import rfc822
 #: The files of a container that hold the consolidated and the separate statements.
 CONSOLIDATED, SEPARATE = "_00761.xml", "_00760.xml"
 _CODES = ("utf-8", "euc-kr")
+#: Characters after which a batch of files is handed on.
+BATCH_CHARACTERS = 4_000_000
 
 
 def read(spark: SparkSession, folder: str) -> DataFrame:
@@ -40,6 +42,7 @@ def unpack(containers: DataFrame, key: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            out, size = [], 0
             for i, content in enumerate(batch.column(1)):
                 try:
                     held = zipfile.ZipFile(io.BytesIO(content.as_py() or b""))
@@ -51,7 +54,17 @@ def unpack(containers: DataFrame, key: str) -> DataFrame:
                             body = decoded(held.read(name))
                         except (zipfile.BadZipFile, RuntimeError, NotImplementedError):  # damaged, locked or of another method
                             continue
-                        yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), pa.array([name]), pa.array([body])], names=[key, "name", "body"])
+                        out.append((i, name, body))
+                        size += len(body)
+                        if size >= BATCH_CHARACTERS:
+                            yield batch_of(batch.column(0), out)
+                            out, size = [], 0
+            if out:
+                yield batch_of(batch.column(0), out)
+
+    def batch_of(keys: pa.Array, files: list[tuple[int, str, str]]) -> pa.RecordBatch:
+        at, names, bodies = zip(*files)
+        return pa.RecordBatch.from_arrays([keys.take(pa.array(at)), pa.array(names), pa.array(bodies)], names=[key, "name", "body"])
 
     return containers.select(key, "content").mapInArrow(run, f"`{key}` {kind}, name string, body string")
 

@@ -1,8 +1,8 @@
 """Tables of filed documents, laid out on a grid: every cell has its rows and columns, spans included.
 
 Python splits a document into cells, since which column a cell is in depends on the
-spans of all cells before it; all that follows (labels by position, units
-and scope by the words before a table, blocks, numbers) is a plan over the cells.
+spans of all cells before it, and gives each row with its label and the headings of its cells; all that
+follows (units and scope by the words before a table, blocks, numbers) is a plan over the rows.
 """
 
 from __future__ import annotations
@@ -29,7 +29,9 @@ Cell = tuple[int, int, int, int, bool, str]  # row, column, rows, columns, head,
 
 
 def _text(raw: str) -> str:
-    return " ".join(html.unescape(re.sub(r"<[^>]*>", " ", raw)).split())
+    if "<" in raw:
+        raw = re.sub(r"<[^>]*>", " ", raw)
+    return " ".join((html.unescape(raw) if "&" in raw else raw).split())
 
 
 def layout(rows: list[list[tuple[int, int, bool, str]]]) -> list[Cell]:
@@ -91,7 +93,7 @@ def tables(document: str) -> Iterator[tuple[str, list[Cell]]]:
             if not closing:
                 if not t["rows"]:
                     t["rows"].append([])
-                span = {k: int(found[1]) if (found := p.search(attributes)) else 1 for k, p in _SPAN.items()}
+                span = {k: int(found[1]) if attributes and (found := p.search(attributes)) else 1 for k, p in _SPAN.items()}
                 t["cell"], t["text"] = (min(span["row"], MOST_ROWS), min(max(span["col"], 1), MOST_COLUMNS), _CELLS[name]), []
         elif stack and stack[-1]["cell"] is not None:
             stack[-1]["text"].append(" ")
@@ -99,22 +101,47 @@ def tables(document: str) -> Iterator[tuple[str, list[Cell]]]:
             said.append(" ")
 
 
-_GRID = pa.schema([("doc", pa.int64()), ("n", pa.int32()), ("before", pa.string()), ("row", pa.int32()), ("col", pa.int32()), ("rows", pa.int32()), ("cols", pa.int32()), ("head", pa.bool_()), ("text", pa.string())])
-GRID = "doc bigint, n int, before string, row int, col int, rows int, cols int, head boolean, text string"
+_ROWS = pa.schema([("doc", pa.int64()), ("n", pa.int32()), ("before", pa.string()), ("row", pa.int32()), ("label", pa.string()), ("parts", pa.list_(pa.string())), ("texts", pa.list_(pa.string()))])
+ROWS = "doc bigint, n int, before string, row int, label string, parts array<string>, texts array<string>"
+#: Rows and cells of a batch, at most (a row is never cut).
+BATCH_ROWS, BATCH_CELLS = 8192, 65_536
 
 
-def grid(documents: DataFrame) -> DataFrame:
-    """documents: doc, body.  A row for each cell of each table (n, from 0); a null body has none."""
+def labelled(cells: list[Cell]) -> Iterator[tuple[int, str, list[str], list[str]]]:
+    """row, label (its first cell), the heading of each other cell (the lowest one of its columns that says anything) and the cell; cells without a heading are left out."""
+    heads, rows = {}, {}
+    for r, c, _, wide, head, text in cells:  # in the order of rows
+        if not head:
+            rows.setdefault(r, []).append((c, text))
+        elif text:
+            heads.update(dict.fromkeys(range(c, c + wide), text))
+    for r, own in rows.items():
+        if own[0][0] == 0:
+            there = [(heads[c], text) for c, text in own[1:] if c in heads]
+            yield r, own[0][1], [h for h, _ in there], [t for _, t in there]
+
+
+def table_rows(documents: DataFrame) -> DataFrame:
+    """documents: doc, body.  A row for each row that has a label of each table (n, from 0); a null body has none.  A document is read once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            out, held = [], 0
             for doc, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 for n, (before, cells) in enumerate(tables(body or "")):
-                    for a in range(0, len(cells), 8192):
-                        part = [(doc, n, before, *c) for c in cells[a : a + 8192]]
-                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*part), _GRID)], schema=_GRID)
+                    for row in labelled(cells):
+                        out.append((doc, n, before, *row))
+                        held += len(row[-1])
+                        if len(out) >= BATCH_ROWS or held >= BATCH_CELLS:
+                            yield batch_of(out)
+                            out, held = [], 0
+            if out:
+                yield batch_of(out)
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _ROWS)], schema=_ROWS)
 
-    return documents.select(F.col("doc").cast("bigint"), "body").mapInArrow(run, GRID)
+    return documents.select(F.col("doc").cast("bigint"), "body").mapInArrow(run, ROWS)
 
 
 def unit_of(before: Column) -> Column:
@@ -138,23 +165,21 @@ def equity_changes(documents: DataFrame) -> DataFrame:
     heading above it that says anything; a row's label is its first cell.  A period begins at a row
     'YYYY.MM.DD (opening)' and ends at the next closing row, whose date it has; rows outside periods and cells without a number are left out.
     """
-    cells = grid(documents).where(F.contains("before", F.lit(TITLE)))
+    rows = table_rows(documents).where(F.contains("before", F.lit(TITLE)))
     title = F.regexp_extract("before", rf"((?:{CONSOLIDATED}\s*)?{TITLE})(?!.*{TITLE})", 1)
     scope = F.when(title.startswith(CONSOLIDATED), "consolidated").otherwise("separate")
     key = ["doc", "n"]
-    body = cells.where("not head").select(*key, scope.alias("scope"), unit_of(F.col("before")).alias("unit"), "row", "col", "text")
-    covered = F.explode(F.sequence("col", F.col("col") + F.col("cols") - 1)).alias("col")
-    heads = cells.where("head and text <> ''").select(*key, covered, "row", "text").groupBy(*key, "col").agg(F.max_by("text", "row").alias("part"))
-    date = F.regexp_extract("text", rf"(\d{{4}}\.\d{{2}}\.\d{{2}})\s*\(?\s*(?:{OPENING}|{CLOSING})", 1)
-    opens, closes = F.col("text").rlike(rf"\(?\s*{OPENING}\s*\)?$"), F.col("text").rlike(rf"\(?\s*{CLOSING}\s*\)?$")
-    labels = body.where("col = 0").select(*key, "row", F.col("text").alias("label"), date.alias("date"), ((date != "") & opens).alias("opens"), ((date != "") & closes).alias("closes"))
+    date = F.regexp_extract("label", rf"(\d{{4}}\.\d{{2}}\.\d{{2}})\s*\(?\s*(?:{OPENING}|{CLOSING})", 1)
+    opens, closes = F.col("label").rlike(rf"\(?\s*{OPENING}\s*\)?$"), F.col("label").rlike(rf"\(?\s*{CLOSING}\s*\)?$")
+    marked = rows.select(*key, scope.alias("scope"), unit_of(F.col("before")).alias("unit"), "row", "label", "parts", "texts", date.alias("date")).withColumns({"opens": (F.col("date") != "") & opens, "closes": (F.col("date") != "") & closes})
+    # the windows share one exchange by table, of rows and not of cells
     order = Window.partitionBy(*key).orderBy("row")  # the rows of one table
-    numbered = labels.withColumn("period", F.sum(F.col("opens").cast("int")).over(order))
+    numbered = marked.withColumn("period", F.sum(F.col("opens").cast("int")).over(order))
     inside = Window.partitionBy(*key, "period")
     numbered = numbered.where("period > 0").withColumn("end_row", F.min(F.when(F.col("closes"), F.col("row"))).over(inside)).withColumn("ends", F.min_by("date", F.when(F.col("closes"), F.col("row"))).over(inside))
     numbered = numbered.where(F.col("row") <= F.col("end_row")).withColumn("step", F.row_number().over(inside.orderBy("row")) - 1)
     kind = F.when(F.col("opens"), "opening").when(F.col("closes"), "closing").otherwise(F.col("label"))
-    values = body.where("col > 0").join(numbered.select(*key, "row", "ends", "step", kind.alias("label")), [*key, "row"]).join(heads, [*key, "col"])
+    values = numbered.select("doc", "scope", "unit", F.to_date("ends", "yyyy.MM.dd").alias("ends"), "step", kind.alias("label"), F.inline(F.arrays_zip(F.col("parts").alias("part"), F.col("texts").alias("text"))))
     part = F.when(F.col("part").isin(*WHOLE), "whole").otherwise(F.regexp_replace("part", r"\s*합계$", ""))
     amount = parse_number(F.col("text")) * F.col("unit")
-    return values.select("doc", "scope", F.to_date("ends", "yyyy.MM.dd").alias("ends"), "step", "label", part.alias("part"), amount.alias("amount")).where("amount is not null")
+    return values.select("doc", "scope", "ends", "step", "label", part.alias("part"), amount.alias("amount")).where("amount is not null")

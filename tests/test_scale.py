@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
+
 import duckdb
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tesserae.functions.columns import decimal_round
 from tesserae.operators import scores
+from tesserae.sources import containers, grids
 
 TIES = [32.55, 64.85, 32.45, 0.05, 12.35, -32.55, 0.0, 99.95, 100.0, 41.125, 7.25]
 
@@ -22,3 +27,25 @@ def test_scores_round_their_ties_so(spark):
     norms = [(0.0, 0.25), (0.0, 0.15), (0.5189999999999999, 0.15), (1.0, 0.10), (1.0, 0.05)]  # of a company of 1.2 million: 32.55
     one = spark.range(1).select(scores.score({str(i): (F.lit(x), w) for i, (x, w) in enumerate(norms)}).alias("s")).head()
     assert one.s == 32.5
+
+
+def _plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_filed_document_is_read_once_and_its_cells_are_not_dealt(spark):
+    body = "<P>자본변동표</P><TABLE><TR><TH>과목</TH><TH>a</TH></TR><TR><TD>2020.01.01 (기초자본)</TD><TD>1</TD></TR><TR><TD>2020.12.31 (기말자본)</TD><TD>(2)</TD></TR></TABLE>"
+    got = grids.equity_changes(spark.createDataFrame([(1, body)], "doc long, body string"))
+    assert [(r.label, r.part, r.amount) for r in got.orderBy("step").collect()] == [("opening", "a", 1.0), ("closing", "a", -2.0)]
+    plan = _plan(got).split("Initial Plan")[-1]
+    assert plan.count("MapInArrow") == 1 and plan.count("Exchange") == 1
+
+
+def test_files_of_containers_are_handed_on_together(spark):
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w") as z:
+        for i in range(3):
+            z.writestr(f"{i}.xml", "<P/>")
+    got = containers.unpack(spark.createDataFrame([(1, held.getvalue()), (2, b"no zip"), (3, held.getvalue())], "doc long, content binary").coalesce(1), "doc")
+    sizes = got.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in batches), "n long").collect()
+    assert [r.n for r in sizes] == [6]
