@@ -32,17 +32,25 @@ def made_from(spark: SparkSession, *paths: str) -> str:
     return hashlib.sha256("\n".join(sorted(found)).encode()).hexdigest()[:16]
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """rows: code, and more.  Dealt by code into as many parts as a table has buckets: what is grouped by code and time out of them is in its bucket already."""
+    return rows.repartition(_buckets(rows.sparkSession), "code")
+
+
+def _buckets(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def write(bars: DataFrame, name: str, kind: str, time: str, buckets: int) -> None:
-    """bars: code, a time, and more.  One file for each partition and bucket."""
+    """bars: code, a time, and more, made of rows that were ``dealt``.  One file for each partition and bucket."""
     part, of = UNITS[kind]
-    dealt = bars.withColumn(part, of(F.col(time))).repartition(buckets, "code")
-    dealt.write.partitionBy(part).bucketBy(buckets, "code").sortBy("code", time).option("path", new_folder(bars.sparkSession, name)).saveAsTable(name)
+    bars.withColumn(part, of(F.col(time))).write.partitionBy(part).bucketBy(buckets, "code").sortBy("code", time).option("path", new_folder(bars.sparkSession, name)).saveAsTable(name)
 
 
 def table_of(bars: DataFrame, kind: str, time: str, digest: str) -> DataFrame:
-    """The stored table of bars, written if this session hasn't got it."""
+    """The stored table of bars (made of rows that were ``dealt``), written if this session hasn't got it."""
     spark = bars.sparkSession
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = _buckets(spark)
     name = f"{kind}_bars_{digest}_{buckets}"
     if not spark.catalog.tableExists(name):
         write(bars, name, kind, time, buckets)

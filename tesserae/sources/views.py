@@ -21,7 +21,7 @@ def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
 def minute_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Minute bars of each user's events, from the stored table: code, bar_ts, open, high, low, close, n, day."""
     e = table(spark, sf_dir, "events").where("user_id is not null and ts is not null").select(F.col("user_id").alias("code"), "value", F.date_trunc("minute", F.col("ts").cast("timestamp")).alias("bar_ts"), F.struct("ts", "event_id").alias("o"))
-    made = e.groupBy("code", "bar_ts").agg(F.min_by("value", "o").alias("open"), F.max("value").alias("high"), F.min("value").alias("low"), F.max_by("value", "o").alias("close"), F.count("*").alias("n"))
+    made = barstore.dealt(e).groupBy("code", "bar_ts").agg(F.min_by("value", "o").alias("open"), F.max("value").alias("high"), F.min("value").alias("low"), F.max_by("value", "o").alias("close"), F.count("*").alias("n"))
     return barstore.table_of(made, "minute", "bar_ts", barstore.made_from(spark, f"{sf_dir}/events.parquet"))
 
 
@@ -31,7 +31,7 @@ def derived_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").select(
         F.col("l_suppkey").alias("code"), F.to_date("l_shipdate").alias("bar_date"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("p"), "l_quantity", order.alias("o")
     )
-    return lines.groupBy("code", "bar_date").agg(
+    return barstore.dealt(lines).groupBy("code", "bar_date").agg(  # trades of one code and day are few: the only exchange is by code
         F.min_by("p", "o").alias("open"), F.max("p").alias("high"), F.min("p").alias("low"), F.max_by("p", "o").alias("close"), F.sum("l_quantity").alias("volume")
     )
 

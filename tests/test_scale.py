@@ -10,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tesserae.functions.columns import decimal_round
-from tesserae.operators import scores
-from tesserae.sources import containers, grids
+from tesserae.operators import scores, shared
+from tesserae.sources import barstore, containers, grids, views
 
 TIES = [32.55, 64.85, 32.45, 0.05, 12.35, -32.55, 0.0, 99.95, 100.0, 41.125, 7.25]
 
@@ -49,3 +49,15 @@ def test_files_of_containers_are_handed_on_together(spark):
     got = containers.unpack(spark.createDataFrame([(1, held.getvalue()), (2, b"no zip"), (3, held.getvalue())], "doc long, content binary").coalesce(1), "doc")
     sizes = got.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in batches), "n long").collect()
     assert [r.n for r in sizes] == [6]
+
+
+def test_bars_are_dealt_once(spark):
+    lines = spark.createDataFrame([(1, 2, 3, 4, 5.0, 10.0, "1998-01-01 00:00:00")], "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_shipdate string")
+    folder = shared.new_folder(spark, "lines")
+    lines.withColumn("l_shipdate", F.to_timestamp("l_shipdate")).write.parquet(f"{folder}/lineitem.parquet")
+    bars = views.derived_bars(spark, folder)
+    assert _plan(bars).count("REPARTITION_BY_NUM") == _plan(bars).count("Exchange") == 1  # and write() adds none
+    assert bars.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    barstore.write(bars, "dealt_once", "day", "bar_date", bars.rdd.getNumPartitions())
+    stored = spark.table("dealt_once")
+    assert "Exchange" not in _plan(stored.groupBy("code").agg(F.sum("volume"))) and stored.count() == 1
