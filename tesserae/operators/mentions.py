@@ -9,15 +9,16 @@ others is found by the same automaton, run over the names.
 
 The names' characters are counted before they are sent to tasks; beyond
 ``LIMIT`` they are split by a hash into automata of at most about that size, and texts are
-read once for each.
+read once for each.  A name that is no part of others is settled where the automaton finds it.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from tesserae.operators.shared import stored
@@ -47,12 +48,12 @@ def _automaton(words: list[str]):
     return out
 
 
-def _split(words: DataFrame, limit: int) -> list[list[str]]:
-    """words: name, all different.  Lists of at most about limit characters in all."""
+def _split(words: DataFrame, limit: int) -> list[list[Row]]:
+    """words: name, all different, and more.  Lists of rows of at most about limit characters of names in all."""
     total = words.agg(F.coalesce(F.sum(F.length("name")), F.lit(0)).alias("n")).head()["n"]
     parts = max(1, -(-total // limit))
     at = F.pmod(F.xxhash64("name"), F.lit(parts))
-    return [[r.name for r in words.where(at == i).collect()] for i in range(parts)]  # counted above
+    return [words.where(at == i).collect() for i in range(parts)]  # counted above
 
 
 def _found(texts: DataFrame, key: str, text: str, words: list[str]) -> DataFrame:
@@ -83,7 +84,7 @@ def confusables(names: DataFrame, most: int = MOST, limit: int = LIMIT) -> DataF
     longer = words.select(F.col("name").alias("other"))
     pairs = None
     for part in _split(words, limit):
-        got = _found(longer, "other", "other", part)
+        got = _found(longer, "other", "other", [r.name for r in part])
         pairs = got if pairs is None else pairs.unionByName(got)
     rest = F.substring("other", F.length("name") + 1, F.length("other"))
     preferred = F.startswith("other", F.col("name")) & rest.rlike(f"^{PREFERRED}$")
@@ -114,25 +115,50 @@ def mentions(texts: DataFrame, names: DataFrame, most: int = MOST, limit: int =
     """
     usable = stored(confusables(names, most, limit), "names")
     candidates = None
-    for part in _split(usable.select("name"), limit):
-        # a text with the names in it: only such texts go on, once for each
+    for part in _split(usable.select("name", (F.size("others") == 0).alias("free")), limit):
+        # only texts with a name that may be a part of another one go on, once for each
         got = _held(texts, part)
         candidates = got if candidates is None else candidates.unionByName(got)
     small = F.broadcast if usable.count() <= BROADCAST_NAMES else (lambda df: df)
-    checked = candidates.withColumn("name", F.explode("names")).join(small(usable), "name").where(alone(F.col("text"), F.col("name"), F.col("others")))
+    settled = F.col("text").isNull()
+    checked = candidates.withColumn("name", F.explode("names")).join(small(usable), "name").where(settled | alone(F.col("text"), F.col("name"), F.col("others")))
     return checked.select("t_id", "name").distinct().join(small(names.select("code", "name")), "name").select("t_id", "code").distinct()
 
 
-def _held(texts: DataFrame, words: list[str]) -> DataFrame:
-    """texts that have names, with these."""
-    sent = texts.sparkSession.sparkContext.broadcast(words)
+def called(names: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """names: code, name.  Codes with the set of their names (code, called), and the different sets with their names (called, name).
+
+    Codes of equal names have equal mentions, so these are counted once for a set, and not for each of its codes.
+    """
+    codes = names.where(F.length(F.trim("name")) > 0).groupBy("code").agg(F.array_sort(F.collect_set("name")).alias("called"))  # the names of one code
+    return codes, codes.select("called").distinct().select("called", F.explode("called").alias("name"))
+
+
+def _held(texts: DataFrame, words: list[Row]) -> DataFrame:
+    """words: name, free (no part of others).  t_id, text, names: without the text the free names that stand there on their own, and with it all others that it has."""
+    sent = texts.sparkSession.sparkContext.broadcast({r.name: r.free for r in words})
     id_type = texts.schema["t_id"].dataType.simpleString()
+    beside = re.compile(f"[{BESIDE}]")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        search = _automaton(sent.value) if sent.value else None
+        free = sent.value
+        search = _automaton(list(free)) if free else None
         for batch in batches:
-            found = [sorted({name for _, name in search.iter(x)}) if search and x else [] for x in batch.column(1).to_pylist()]
-            at = pa.array([i for i, f in enumerate(found) if f], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array([f for f in found if f], pa.list_(pa.string()))], names=["t_id", "text", "names"])
+            at, out, names = [], [], []
+            for i, x in enumerate(batch.column(1).to_pylist()):
+                settled, open_ = set(), set()
+                for end, name in search.iter(x) if search and x else ():
+                    if not free[name]:
+                        open_.add(name)
+                    elif name not in settled:
+                        start = end - len(name)
+                        if not (start >= 0 and beside.match(x, start)) and not beside.match(x, end + 1):
+                            settled.add(name)
+                for text, got in ((None, settled), (x, open_)):
+                    if got:
+                        at.append(i)
+                        out.append(text)
+                        names.append(sorted(got))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(out, pa.string()), pa.array(names, pa.list_(pa.string()))], names=["t_id", "text", "names"])
 
     return texts.select("t_id", "text").mapInArrow(run, f"t_id {id_type}, text string, names array<string>")

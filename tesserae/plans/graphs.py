@@ -68,13 +68,21 @@ def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
 MENTIONS = "WITH w AS (SELECT doc_id, unnest(list_distinct(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'))) AS w FROM documents), n(code, word) AS (VALUES (1, 'the'), (2, 'that'), (3, 'zzz'), (4, 'from')) SELECT CAST(code AS INTEGER) AS code, count(*) AS n FROM w JOIN n ON w = word GROUP BY 1"
 
 
-def mentioned_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names of suppliers (the first words of the document with their key: one, two or three) in all documents."""
+def supplier_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """code, name: the first words of the document with a supplier's key: one, two or three."""
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
     opening = F.regexp_extract("text", "([A-Za-z]{4,}) ([A-Za-z]+) ([A-Za-z]+)", 0)
     words = F.slice(F.split(opening, " "), 1, F.col("s_suppkey").cast("int") % 3 + 1)
-    named = table(spark, sf_dir, "supplier").join(d, F.col("s_suppkey") == F.col("doc_id")).select(F.col("s_suppkey").alias("code"), F.array_join(words, " ").alias("name"))
-    return mentions_.mentions(d.withColumnRenamed("doc_id", "t_id"), named)
+    return table(spark, sf_dir, "supplier").join(d, F.col("s_suppkey") == F.col("doc_id")).select(F.col("s_suppkey").alias("code"), F.array_join(words, " ").alias("name"))
+
+
+def texts_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("t_id"), "text")
+
+
+def mentioned_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of suppliers in all documents."""
+    return mentions_.mentions(texts_of(spark, sf_dir), supplier_names(spark, sf_dir))
 
 
 MENTIONED_NAMES = """WITH n AS (SELECT s_suppkey AS code, array_to_string(list_slice(string_split(regexp_extract(text, '([A-Za-z]{4,}) ([A-Za-z]+) ([A-Za-z]+)', 0), ' '), 1, s_suppkey % 3 + 1), ' ') AS name FROM supplier JOIN documents ON s_suppkey = doc_id),

@@ -7,10 +7,11 @@ import zipfile
 
 import duckdb
 import pyarrow as pa
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from tesserae.functions.columns import decimal_round
-from tesserae.operators import scores, shared
+from tesserae.operators import mentions, scores, shared
 from tesserae.sources import barstore, containers, grids, views
 
 TIES = [32.55, 64.85, 32.45, 0.05, 12.35, -32.55, 0.0, 99.95, 100.0, 41.125, 7.25]
@@ -61,3 +62,19 @@ def test_bars_are_dealt_once(spark):
     barstore.write(bars, "dealt_once", "day", "bar_date", bars.rdd.getNumPartitions())
     stored = spark.table("dealt_once")
     assert "Exchange" not in _plan(stored.groupBy("code").agg(F.sum("volume"))) and stored.count() == 1
+
+
+def test_names_that_are_no_part_of_others_are_settled_where_they_are_found(spark):
+    texts = spark.createDataFrame([(1, "alpha beta, alphas"), (2, "alphas xalpha 9beta beta9 가beta"), (3, "beta gamma"), (4, None), (5, "beta alpha-beta")], "t_id long, text string")
+    names = spark.createDataFrame([(1, "alpha"), (2, "beta"), (3, "beta gamma"), (4, "alpha"), (5, "")], "code long, name string")
+    got = mentions.mentions(texts, names)
+    assert sorted(map(tuple, got.collect())) == [(1, 1), (1, 2), (1, 4), (3, 3), (5, 1), (5, 2), (5, 4)]
+    held = mentions._held(texts, [Row(name="alpha", free=True), Row(name="beta", free=False)])
+    assert sorted((r.t_id, r.text is None, tuple(r.names)) for r in held.collect()) == [(1, False, ("beta",)), (1, True, ("alpha",)), (2, False, ("beta",)), (3, False, ("beta",)), (5, False, ("beta",)), (5, True, ("alpha",))]
+
+
+def test_codes_of_equal_names_are_counted_once(spark):
+    names = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b"), (3, "a"), (4, " "), (5, None)], "code long, name string")
+    codes, sets = mentions.called(names)
+    assert {r.code: r.called for r in codes.collect()} == {1: ["a"], 2: ["a"], 3: ["a", "b"]}
+    assert sorted((tuple(r.called), r.name) for r in sets.collect()) == [(("a",), "a"), (("a", "b"), "a"), (("a", "b"), "b")]
