@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from tesserae.functions.columns import full, n_bar_return, rows, series, sma
-from tesserae.operators import ranks
+from tesserae.operators import ranks, sliding
 from tesserae.operators.shared import stored
 
 MAS = (20, 60, 120)
@@ -89,43 +89,41 @@ def beta(bars: DataFrame, index: DataFrame, least: int = 60) -> DataFrame:
 
 
 def stage_features(bars: DataFrame, n: int = 60, ma: int = 50, lookback: int = 10) -> DataFrame:
-    """What the stage decision looks at, per bar: trend, fit, efficiency, curvature, volume, range, channel."""
+    """What the stage decision looks at, per bar: trend, fit, efficiency, curvature, volume, range, channel.
+
+    What a bar says of itself and of the one before are columns; frames of many bars are slid over in ``sliding``.
+    """
     w = series()
-    base = bars.select("*", F.row_number().over(w).alias("i"), F.lag("close").over(w).alias("prev"), sma(F.col("close"), ma, w).alias("ma"))
+    close, prev, volume = F.col("close"), F.col("prev"), F.col("volume")
+    base = bars.select("code", "bar_date", "close", "high", "low", "volume", F.row_number().over(w).alias("i"), F.lag("close").over(w).alias("prev"), F.lag("close", n - 1).over(w).alias("past"))
     base = base.withColumns({
-        "ln": F.when(F.col("close") > 0, F.ln("close")),
-        "step": F.abs(F.col("close") - F.col("prev")),
-        "tr": F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - F.col("prev")), F.abs(F.col("low") - F.col("prev"))) / F.col("close"),
-        "signed": F.when(F.col("close") > F.col("prev"), F.col("volume")).when(F.col("close") < F.col("prev"), -F.col("volume")).otherwise(0.0),
+        "ln": F.when(close > 0, F.ln("close")),
+        "step": F.abs(close - prev),
+        "tr": F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - prev), F.abs(F.col("low") - prev)) / close,
+        "up": F.when(close > prev, volume).otherwise(0.0),
+        "down": F.when(close < prev, volume).otherwise(0.0),
+        "obv": F.sum(F.when(close > prev, volume).when(close < prev, -volume).otherwise(0.0)).over(rows(w, Window.unboundedPreceding)),
     })
-    base = base.withColumn("obv", F.sum("signed").over(rows(w, Window.unboundedPreceding)))
-    frame, before, half = rows(w, 1 - n), rows(w, 1 - n, -1), n // 2
-    enough = F.count("ln").over(frame) == n
-    varied = F.var_pop("ln").over(frame) > 0
-    net = F.abs(F.col("close") - F.lag("close", n - 1).over(w))
-    path = F.sum("step").over(rows(w, 2 - n))
-    up, down = (F.sum(F.when(c, F.col("volume")).otherwise(0.0)).over(before) for c in (F.col("close") > F.col("prev"), F.col("close") < F.col("prev")))
-    atr_new, atr_old = F.avg("tr").over(rows(w, 1 - half)), F.avg("tr").over(rows(w, 1 - n, -half))
-    high, low = F.max("high").over(before), F.min("low").over(before)
-    usual = F.avg("volume").over(before)
-    slope = lambda f: F.regr_slope("ln", "i").over(f)
-    out = base.select(
+    f = sliding.stage_frames(base, n, ma, lookback)
+    enough, varied = F.col("enough"), F.col("spread") > 0
+    net = F.abs(close - F.col("past"))
+    high, low, heavy = F.col("top"), F.col("bottom"), volume >= 1.5 * F.col("usual")
+    return f.select(
         "code", "bar_date", "close", "ma",
-        F.when(enough & varied, slope(frame)).when(enough, 0.0).alias("slope"),
-        F.when(enough & varied, F.regr_r2("ln", "i").over(frame)).when(enough, 0.0).alias("r2"),
-        F.when(enough, F.coalesce(F.try_divide(net, path), F.lit(0.0))).alias("efficiency"),
-        F.when(enough, slope(rows(w, -half)) - slope(rows(w, 1 - n, half - n + 1))).alias("curvature"),
-        F.when(enough, F.try_divide(up, down)).alias("volume_balance"),
-        F.when(enough, F.try_divide(atr_new, atr_old)).alias("range_ratio"),
-        F.when(enough, F.when(high > low, F.least(F.lit(100.0), F.greatest(F.lit(0.0), (F.col("close") - low) / (high - low) * 100))).otherwise(50.0)).alias("channel"),
-        F.when(enough, (F.col("close") > high) & (F.col("volume") >= 1.5 * usual)).alias("breakout"),
-        F.when(enough, (F.col("close") < low) & (F.col("volume") >= 1.5 * usual)).alias("breakdown"),
-        F.when(enough, F.regr_slope("obv", "i").over(before)).alias("obv_slope"),
-        ((F.col("close") - F.col("ma")) / F.col("ma")).alias("position"),
-        (F.col("ma") / F.lag("ma", lookback).over(w) - 1).alias("ma_change"),
-        (F.col("ma") >= F.lag("ma", ma).over(w)).alias("context_up"),
+        F.when(enough & varied, F.col("slope")).when(enough, 0.0).alias("slope"),
+        F.when(enough & varied, F.col("r2")).when(enough, 0.0).alias("r2"),
+        F.when(enough, F.coalesce(F.try_divide(net, F.col("path")), F.lit(0.0))).alias("efficiency"),
+        F.when(enough, F.col("slope_late") - F.col("slope_early")).alias("curvature"),
+        F.when(enough, F.try_divide("up_sum", "down_sum")).alias("volume_balance"),
+        F.when(enough, F.try_divide("atr_new", "atr_old")).alias("range_ratio"),
+        F.when(enough, F.when(high > low, F.least(F.lit(100.0), F.greatest(F.lit(0.0), (close - low) / (high - low) * 100))).otherwise(50.0)).alias("channel"),
+        F.when(enough, (close > high) & heavy).alias("breakout"),
+        F.when(enough, (close < low) & heavy).alias("breakdown"),
+        F.when(enough, F.col("obv_slope")).alias("obv_slope"),
+        ((close - F.col("ma")) / F.col("ma")).alias("position"),
+        (F.col("ma") / F.col("ma_back") - 1).alias("ma_change"),
+        (F.col("ma") >= F.col("ma_far")).alias("context_up"),
     )
-    return out
 
 
 # Fixed values of the stage decision.
