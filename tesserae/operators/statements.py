@@ -6,8 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from tesserae.operators.shared import stored
+
 #: Accounts that are broadcast at most: a chart of accounts, not facts.
 BROADCAST_ACCOUNTS = 100_000
+#: Summed facts that a task takes, on average.
+PART_FACTS = 100_000
 
 
 def outline(accounts: DataFrame) -> DataFrame:
@@ -32,34 +36,44 @@ def roll_up(facts: DataFrame, accounts: DataFrame, tolerance: float = 0.005) ->
     total; ok says whether both agree, by the tolerance as a share of the reported one (missing where only one is there); prior is the amount of the year before.
     Several facts of one account add up; null amounts and accounts outside the tree are left out.
 
-    Facts are dealt by entity once: levels are added from the deepest up, each row
-    handing its amount to its parent, and neither they nor the year before need another exchange.
+    Facts are summed, stored and counted, and dealt by entity once, into so many parts that a task's share doesn't grow with
+    them: levels are added from the deepest up, each row handing its amount to its parent, and neither they nor the year before need another exchange.
     """
+    rows, place = _levels(facts, accounts)
+    year = Window.partitionBy("entity", "account").orderBy("period")
+    before = F.when(F.lag("period").over(year) == F.col("period") - 1, F.lag("amount").over(year))
+    agree = F.abs(F.col("reported") - F.col("total")) <= F.abs(F.col("reported")) * F.lit(tolerance).cast("decimal(10,6)")
+    dated = rows.withColumn("amount", F.coalesce("reported", "total")).withColumn("prior", before)  # before paths, which are wide, are there to be sorted
+    return dated.join(place, "account").select("entity", "period", "account", "parent", "level", "path", "amount", "reported", "total", "children", agree.alias("ok"), "prior")
+
+
+def by_period(facts: DataFrame, accounts: DataFrame, periods: list[int]) -> DataFrame:
+    """facts as in ``roll_up``.  A row for each entity and account with an amount, a column y<period> for each stated period; nothing is dealt but the facts."""
+    rows, place = _levels(facts, accounts)
+    amount = F.coalesce("reported", "total")
+    wide = rows.groupBy("entity", "account").agg(*[F.max(F.when(F.col("period") == p, amount)).alias(f"y{p}") for p in periods])
+    return wide.join(place, "account").select("entity", "account", "level", "path", *[f"y{p}" for p in periods])
+
+
+def _levels(facts: DataFrame, accounts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """entity, period, account, reported, total, children, all of an entity in one part; the outline of the accounts."""
     tree = outline(accounts)
     n, depth = tree.agg(F.count("*"), F.coalesce(F.max("level"), F.lit(0))).head()
     place = F.broadcast(tree) if n <= BROADCAST_ACCOUNTS else tree
     money = "decimal(38,6)"
-    summed = facts.where("amount is not null").groupBy("entity", "period", "account").agg(F.sum("amount").cast(money).alias("reported"))
-    rows = summed.repartition("entity").select("entity", "period", "account", "reported", F.lit(None).cast(money).alias("total"), F.lit(0).cast("bigint").alias("children"))
+    summed = stored(facts.where("amount is not null").groupBy("entity", "period", "account").agg(F.sum("amount").cast(money).alias("reported")), "facts")
+    parts = max(int(summed.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-summed.count() // PART_FACTS))
+    rows = summed.repartition(parts, "entity").select("entity", "period", "account", "reported", F.lit(None).cast(money).alias("total"), F.lit(0).cast("bigint").alias("children"))
     amount = F.coalesce("reported", "total")
     for level in range(depth, 0, -1):
         own = F.struct("account", "reported", "total", "children")
         given = F.struct(F.col("parent").alias("account"), F.lit(None).cast(money).alias("reported"), amount.alias("total"), F.lit(1).cast("bigint").alias("children"))
         both = rows.join(place, "account").select("entity", "period", F.inline(F.when(F.col("level") == level, F.array(own, given)).otherwise(F.array(own))))
         rows = both.groupBy("entity", "period", "account").agg(F.max("reported").alias("reported"), F.sum("total").cast(money).alias("total"), F.sum("children").alias("children"))
-    year = Window.partitionBy("entity", "account").orderBy("period")
-    before = F.when(F.lag("period").over(year) == F.col("period") - 1, F.lag("amount").over(year))
-    agree = F.abs(F.col("reported") - F.col("total")) <= F.abs(F.col("reported")) * F.lit(tolerance).cast("decimal(10,6)")
-    out = rows.join(place, "account").withColumn("amount", amount)
-    return out.select("entity", "period", "account", "parent", "level", "path", "amount", "reported", "total", "children", agree.alias("ok"), before.alias("prior"))
+    # accounts that no root leads to have no place
+    return rows, place
 
 
 def change(new: Column, old: Column) -> Column:
     """Growth in percent, where the old amount is positive."""
     return F.when(old > 0, F.round((new - old).cast("double") / old.cast("double") * 100, 1))
-
-
-def pivot(rolled: DataFrame, periods: list[int]) -> DataFrame:
-    """A row for each entity and account in printed order, a column y<period> for each stated period."""
-    wide = rolled.groupBy("entity", "account", "level", "path").pivot("period", periods).agg(F.max("amount"))
-    return wide.withColumnsRenamed({str(p): f"y{p}" for p in periods})

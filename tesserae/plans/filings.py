@@ -21,15 +21,16 @@ UNION ALL SELECT e, y, concat(f, '.', s), CAST(sum(p) + CASE WHEN e % 5 = 0 THEN
 UNION ALL SELECT e, y, f, CAST(sum(p) AS DECIMAL(30, 2)) FROM l WHERE (e + y) % 4 = 0 GROUP BY e, y, f"""
 
 
-def rolled(spark: SparkSession, sf_dir: str) -> DataFrame:
+def reported(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Facts, and the tree of their accounts."""
     lines = table(spark, sf_dir, "lineitem")
-    return statements.roll_up(spark.sql(_FACTS, lineitem=lines), spark.sql(_TREE, lineitem=lines))
+    return spark.sql(_FACTS, lineitem=lines), spark.sql(_TREE, lineitem=lines)
 
 
 def hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statements of all suppliers and years, rolled up and checked, with the year before."""
     d = lambda c: F.col(c).cast("double").alias(c)
-    return rolled(spark, sf_dir).select("entity", "period", "account", "level", F.array_join(F.transform("path", lambda p: p["account"]), "/").alias("path"), d("amount"), d("total"), "children", "ok", d("prior"), statements.change(F.col("amount"), F.col("prior")).alias("change"))
+    return statements.roll_up(*reported(spark, sf_dir)).select("entity", "period", "account", "level", F.array_join(F.transform("path", lambda p: p["account"]), "/").alias("path"), d("amount"), d("total"), "children", "ok", d("prior"), statements.change(F.col("amount"), F.col("prior")).alias("change"))
 
 
 _TREE_SQL = _TREE.replace("{lineitem}", "lineitem").replace("STRING", "VARCHAR")
@@ -56,7 +57,7 @@ YEARS = list(range(1995, 2002))
 
 def years(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same statements with a column for each year."""
-    wide = statements.pivot(rolled(spark, sf_dir), YEARS)
+    wide = statements.by_period(*reported(spark, sf_dir), YEARS)
     return wide.select("entity", "account", "level", *[F.col(f"y{y}").cast("double").alias(f"y{y}") for y in YEARS])
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from tesserae.functions.columns import decimal_round
-from tesserae.operators import mentions, prices, scores, shared
+from tesserae.operators import mentions, prices, scores, shared, statements
 from tesserae.sources import barstore, containers, grids, views
 
 TIES = [32.55, 64.85, 32.45, 0.05, 12.35, -32.55, 0.0, 99.95, 100.0, 41.125, 7.25]
@@ -101,3 +101,16 @@ def test_frames_of_stages_slide_and_are_not_added_up_for_each_bar(spark):
         assert np.allclose([r.slope, r.r2, r.curvature, r.ma, r.efficiency, r.volume_balance], [np.polyfit(np.arange(20), ln, 1)[0], np.corrcoef(np.arange(20), ln)[0, 1] ** 2, half, x[-10:].mean(), abs(x[-1] - x[-20]) / np.abs(np.diff(x[-20:])).sum(), rise / fall])
         assert r.breakout == (x[-1] > x[-20:-1].max() + 1 and v[-1] >= 1.5 * v[-20:-1].mean()) and r.context_up == (x[-10:].mean() >= x[-20:-10].mean())
     assert found[1, 18].slope is None and found[2, 18].slope is None and found[2, 8].ma is None and found[2, 9].ma is not None and found[2, 13].ma_change is None
+
+
+def test_statements_are_dealt_by_their_number_and_years_need_no_exchange(spark, monkeypatch):
+    monkeypatch.setattr(statements, "PART_FACTS", 10)
+    tree = spark.createDataFrame([("all", None, 0), ("a", "all", 1), ("b", "all", 2)], "account string, parent string, position int")
+    facts = spark.createDataFrame([(e, y, a, 10 * e + y % 7) for e in range(40) for y in (2000, 2001) for a in ("a", "b", "none")], "entity int, period int, account string, amount int").withColumn("amount", F.col("amount").cast("decimal(20,2)"))
+    rows, _ = statements._levels(facts, tree)
+    assert rows.rdd.getNumPartitions() == 24  # 240 facts
+    got = statements.by_period(facts, tree, [2000, 2001, 2002])
+    assert _plan(got).count("Exchange hashpartitioning") == 1
+    assert sorted((r.entity, r.account, r.level, r.y2000, r.y2001, r.y2002) for r in got.collect()) == sorted(
+        (e, a, level, k * (10 * e + 2000 % 7), k * (10 * e + 2001 % 7), None) for e in range(40) for a, level, k in (("all", 0, 2), ("a", 1, 1), ("b", 1, 1))
+    )
