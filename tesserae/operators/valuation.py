@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 # Fixed values.
 CAP_YEARS = {"strong": 10.0, "medium": 6.0, "weak": 3.0}
@@ -67,24 +68,36 @@ def cap_years(roe: Column, rate: Column, moat: Column) -> Column:
     return F.round(F.least(F.lit(MAX_CAP), base * (0.5 + lasting)), 1)
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value worked out once however often use has it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def forward_multiple(growth: Column, roe: Column, rate: Column, terminal: Column, years: Column) -> Column:
     """Price over next year's profit of a three-stage dividend model where growth and payout hang together."""
     n = F.bround(years).cast("int")
-    g0 = F.least(growth, roe)
+    given = F.struct(n.alias("n"), F.least(growth, roe).alias("g0"), roe.alias("roe"), rate.alias("rate"), terminal.alias("terminal"))
     start = F.struct(F.lit(0.0).alias("pv"), F.lit(1.0).alias("eps"), F.lit(1.0).alias("d"))
 
-    def step(a: Column, k: Column) -> Column:
-        fade = F.greatest(F.lit(0), k - n) / n
-        g, r = g0 + (terminal - g0) * fade, roe + (rate - roe) * fade
-        eps, d = a["eps"] * (1 + g), a["d"] * (1 + rate)
-        paid = F.when(r > 0, F.greatest(F.lit(0.0), 1 - g / r)).otherwise(0.0)
-        return F.struct((a["pv"] + paid * eps / d).alias("pv"), eps.alias("eps"), d.alias("d"))
+    def folded(x: Column) -> Column:
+        def step(a: Column, k: Column) -> Column:
+            return _once(F.greatest(F.lit(0), k - x["n"]) / x["n"], lambda fade: year(a, x["g0"] + (x["terminal"] - x["g0"]) * fade, x["roe"] + (x["rate"] - x["roe"]) * fade))
+
+        def year(a: Column, g: Column, r: Column) -> Column:
+            def grown(y: Column) -> Column:
+                paid = F.when(y["r"] > 0, F.greatest(F.lit(0.0), 1 - y["g"] / y["r"])).otherwise(0.0)
+                return F.struct((a["pv"] + paid * y["eps"] / y["d"]).alias("pv"), y["eps"].alias("eps"), y["d"].alias("d"))
+
+            return _once(F.struct(g.alias("g"), r.alias("r"), (a["eps"] * (1 + g)).alias("eps"), (a["d"] * (1 + x["rate"])).alias("d")), grown)
+
+        def multiple(end: Column) -> Column:
+            value = end["pv"] + (1 - x["terminal"] / x["rate"]) * end["eps"] * (1 + x["terminal"]) / (x["rate"] - x["terminal"]) / end["d"]
+            return _once(value / (1 + x["g0"]), lambda out: F.when(out > 0, F.bround(out, 1)))
+
+        return F.aggregate(F.sequence(F.lit(1), 2 * x["n"]), start, step, multiple)
 
-    end = F.aggregate(F.sequence(F.lit(1), 2 * n), start, step)
-    value = end["pv"] + (1 - terminal / rate) * end["eps"] * (1 + terminal) / (rate - terminal) / end["d"]
-    out = value / (1 + g0)
     valid = (roe > 0) & (rate > 0) & (years > 0) & (n > 0) & (terminal < rate) & growth.isNotNull()
-    return F.when(valid, F.when(out > 0, F.bround(out, 1)))
+    return F.when(valid, _once(given, folded))
 
 
 def dcf_target(fcf: Column, growth: Column, years: Column, terminal: Column, rate: Column, net_debt: Column, shares: Column, roe: Column, moat: Column, unit: float = 1.0) -> Column:
@@ -94,43 +107,76 @@ def dcf_target(fcf: Column, growth: Column, years: Column, terminal: Column, rat
     three = ((growth - terminal) > STAGE_GAP) & roe.isNotNull()
     plateau = F.when(three, half).otherwise(F.greatest(F.lit(1), F.least(years.cast("int"), F.lit(15))))
     fade = F.when(three, half).otherwise(0)
+    given = F.struct(r.alias("r"), plateau.alias("plateau"), fade.alias("fade"), growth.alias("growth"), terminal.alias("terminal"))
     start = F.struct(F.lit(0.0).alias("pv"), fcf.cast("double").alias("f"), F.lit(1.0).alias("d"))
 
-    def step(a: Column, k: Column) -> Column:
-        share = F.when(k > plateau, F.try_divide((k - plateau).cast("double"), fade)).otherwise(0.0)
-        f, d = a["f"] * (1 + growth + (terminal - growth) * share), a["d"] * (1 + r)
-        return F.struct((a["pv"] + f / d).alias("pv"), f.alias("f"), d.alias("d"))
+    def folded(x: Column) -> Column:
+        def step(a: Column, k: Column) -> Column:
+            share = F.when(k > x["plateau"], F.try_divide((k - x["plateau"]).cast("double"), x["fade"])).otherwise(0.0)
+            grown = F.struct((a["f"] * (1 + x["growth"] + (x["terminal"] - x["growth"]) * share)).alias("f"), (a["d"] * (1 + x["r"])).alias("d"))
+            return _once(grown, lambda y: F.struct((a["pv"] + y["f"] / y["d"]).alias("pv"), y["f"].alias("f"), y["d"].alias("d")))
 
-    end = F.aggregate(F.sequence(F.lit(1), plateau + fade), start, step)
-    equity = end["pv"] + end["f"] * (1 + terminal) / (r - terminal) / end["d"] - F.coalesce(net_debt, F.lit(0.0))
-    return F.when((fcf > 0) & (shares > 0) & (rate > terminal), F.when(equity > 0, equity * unit / shares))
+        def target(end: Column) -> Column:
+            equity = end["pv"] + end["f"] * (1 + x["terminal"]) / (x["r"] - x["terminal"]) / end["d"] - F.coalesce(net_debt, F.lit(0.0))
+            return _once(equity, lambda e: F.when(e > 0, e * unit / shares))
+
+        return F.aggregate(F.sequence(F.lit(1), x["plateau"] + x["fade"]), start, step, target)
+
+    return F.when((fcf > 0) & (shares > 0) & (rate > terminal), _once(given, folded))
+
+
+def fit_of(method: str, kind: Column, div_yield: Column, is_loss: Column) -> Column:
+    """How far a method fits a kind of company; none for dividends without a yield and for profits of a loss."""
+    fit = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for k, row in FIT.items() for x in (k, row[method])]), kind), F.lit(FIT["other"][method]))
+    if method == "ddm":
+        return F.when(F.coalesce(div_yield, F.lit(0.0)) < LEAST_YIELD, 0.0).otherwise(fit)
+    return F.when(is_loss, 0.0).otherwise(fit) if method in ("per", "dcf") else fit
 
 
 def fits(kinds: DataFrame) -> DataFrame:
     """kinds: code, kind, div_yield, is_loss.  (code, method, fit)."""
-    table = F.create_map(*[x for k, m in FIT.items() for x in (F.lit(k), F.create_map(*[y for n, f in m.items() for y in (F.lit(n), F.lit(f))]))])
-    row = F.coalesce(F.try_element_at(table, F.col("kind")), F.element_at(table, "other"))
-    each = kinds.select("code", "div_yield", "is_loss", F.explode(row).alias("method", "fit"))
-    gated = F.when((F.col("method") == "ddm") & (F.coalesce("div_yield", F.lit(0.0)) < LEAST_YIELD), 0.0).when(F.col("method").isin("per", "dcf") & F.col("is_loss"), 0.0).otherwise(F.col("fit"))
-    return each.select("code", "method", gated.alias("fit"))
+    each = [F.struct(F.lit(m).alias("method"), fit_of(m, F.col("kind"), F.col("div_yield"), F.col("is_loss")).alias("fit")) for m in METHODS]
+    return kinds.select("code", F.inline(F.array(*each)))
 
 
-def blend(targets: DataFrame) -> DataFrame:
-    """targets: code, method, target, confidence, fit, is_growth.  (code, target, methods, kept)."""
-    per = Window.partitionBy("code")
-    t = targets.where("target > 0").withColumn("methods", F.count("*").over(per)).withColumn("fitting", F.count_if(F.col("fit") > 0).over(per))
-    t = t.where("fit > 0 or fitting = 0")
-    mid = F.sort_array(F.collect_list("target").over(per))
-    t = t.withColumn("mid", F.get(mid, F.floor(F.size(mid) / 2).cast("int")))
-    dev = (F.col("target") - F.col("mid")) / F.col("mid")
-    t = t.withColumn("in", (dev <= F.when(F.col("is_growth"), 1.2).otherwise(0.6)) & (dev >= -0.6)).withColumn("any", F.count_if("in").over(per))
-    t = t.where("in or any = 0")
+def target_row(target: Column, confidence: Column, fit: Column, is_growth: Column) -> Column:
+    """What ``blended`` reads of one method."""
     conf = F.lit(2.0)
     for name, w in CONFIDENCE.items():
-        conf = F.when(F.col("confidence") == name, w).otherwise(conf)
-    t = t.withColumn("c", conf).withColumn("w", F.col("c") * F.col("fit"))
-    total = F.when(F.sum("w") > 0, F.try_divide(F.sum(F.col("target") * F.col("w")), F.sum("w"))).otherwise(F.sum(F.col("target") * F.col("c")) / F.sum("c"))
-    return t.groupBy("code").agg(total.alias("target"), F.max("methods").alias("methods"), F.count("*").alias("kept"))
+        conf = F.when(confidence == name, w).otherwise(conf)
+    return F.struct(target.cast("double").alias("target"), conf.alias("c"), fit.cast("double").alias("fit"), F.when(is_growth, 1.2).otherwise(0.6).alias("most"))
+
+
+def blended(rows: Column) -> Column:
+    """rows: an array of ``target_row``, of one code's methods.  (target, methods, kept): means without what fits not or lies far off the middle, unless nothing else is left."""
+
+    def some(t: Column, of: Callable[[Column], Column]) -> Column:
+        return _once(F.filter(t, of), lambda x: F.when(F.size(x) > 0, x).otherwise(t))
+
+    def inside(t: Column) -> Column:
+        mid = F.get(F.sort_array(F.transform(t, lambda x: x["target"])), F.floor(F.size(t) / 2).cast("int"))
+        dev = lambda x, m: (x["target"] - m) / m
+        return _once(mid, lambda m: some(t, lambda x: (dev(x, m) <= x["most"]) & (dev(x, m) >= -0.6)))
+
+    def add(t: Column, of: Callable[[Column], Column]) -> Column:
+        return F.aggregate(t, F.lit(0.0), lambda a, x: a + F.coalesce(of(x), F.lit(0.0)))
+
+    def mean(t: Column) -> Column:
+        by_fit = add(t, lambda x: x["c"] * x["fit"])
+        return F.when(by_fit > 0, F.try_divide(add(t, lambda x: x["target"] * (x["c"] * x["fit"])), by_fit)).otherwise(add(t, lambda x: x["target"] * x["c"]) / add(t, lambda x: x["c"]))
+
+    def told(t: Column) -> Column:
+        kept = _once(some(t, lambda x: x["fit"] > 0), inside)
+        return _once(kept, lambda k: F.struct(mean(k).alias("target"), F.size(t).cast("long").alias("methods"), F.size(k).cast("long").alias("kept")))
+
+    return _once(F.filter(rows, lambda x: x["target"] > 0), lambda t: F.when(F.size(t) > 0, told(t)))
+
+
+def blend(targets: DataFrame) -> DataFrame:
+    """targets: code, method, target, confidence, fit, is_growth.  (code, target, methods, kept)."""
+    row = F.struct("method", target_row(F.col("target"), F.col("confidence"), F.col("fit"), F.col("is_growth")).alias("row"))
+    per = targets.where("target > 0").groupBy("code").agg(F.sort_array(F.collect_list(row)).alias("rows"))  # the methods of one code
+    return per.select("code", blended(F.col("rows.row")).alias("b")).select("code", "b.target", "b.methods", "b.kept")
 
 
 def judgment(axes: list[Column]) -> tuple[Column, Column]:

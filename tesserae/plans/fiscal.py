@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.operators import fiscal, ratios, valuation
-from tesserae.sources import views
+from tesserae.sources import barstore, views
 from tesserae.sources.views import QUARTERS, table
 
 _N = "y * 4 + q - 1"
@@ -362,18 +362,23 @@ VALUATIONS = """SELECT p_partkey AS code, CASE WHEN p_retailprice / 12 - 80 > 0
 
 def multiples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Forward multiple, discounted flows and the blend of six methods for every part."""
-    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("code"), F.col("p_retailprice").alias("price"), F.col("p_size").cast("double").alias("size"))
+    p = table(spark, sf_dir, "part").where("p_partkey is not null").select(F.col("p_partkey").alias("code"), F.col("p_retailprice").alias("price"), F.col("p_size").cast("double").alias("size"))
+    p = barstore.dealt(p.where("price > 0"))  # without a price no method has a target; rows are narrow and their work is not: a few splits of a small file would hold it all
     g, roe, rate = F.col("size") / 200, F.lit(0.15), F.lit(0.09)
     moat = F.when(F.col("size") > 30, "strong").when(F.col("size") > 10, "medium").otherwise("weak")
     years = valuation.cap_years(roe, rate, moat)
     multiple = valuation.forward_multiple(g, roe, rate, F.lit(0.025), years)
     dcf = valuation.dcf_target(F.col("price"), g, F.lit(5), F.lit(0.025), rate, F.lit(0.0), F.lit(10.0), roe, moat)
-    base = p.select("code", "size", "price", multiple.alias("multiple"), dcf.alias("dcf"), (F.col("price") / 10 * multiple).alias("per"), (F.col("price") * 1.1).alias("pbr"), (F.col("price") * 1.3).alias("ev_ebitda"), valuation.ddm_target(F.col("price") / 20, F.lit(0.02), rate).alias("ddm"), valuation.ggm_dcf_target(F.col("price"), g / 5, rate, F.col("size") * 100, F.lit(10.0)).alias("ggm_dcf"))
+    base = p.select("code", "size", "price", multiple.alias("multiple"), dcf.alias("dcf"))
+    targets = {
+        "per": F.col("price") / 10 * F.col("multiple"), "pbr": F.col("price") * 1.1, "ev_ebitda": F.col("price") * 1.3, "dcf": F.col("dcf"),
+        "ddm": valuation.ddm_target(F.col("price") / 20, F.lit(0.02), rate), "ggm_dcf": valuation.ggm_dcf_target(F.col("price"), g / 5, rate, F.col("size") * 100, F.lit(10.0)),
+    }
     kind = F.element_at(F.array(*[F.lit(k) for k in valuation.FIT]), (F.col("code") % 5 + 1).cast("int"))
-    fits = valuation.fits(base.select("code", kind.alias("kind"), (F.col("size") / 10).alias("div_yield"), (F.col("code") % 11 == 0).alias("is_loss")))
-    long = base.unpivot(["code", "multiple"], list(valuation.METHODS), "method", "target")
-    joined = long.join(fits, ["code", "method"]).withColumns({"confidence": F.when(F.col("method").isin("dcf", "ggm_dcf"), "low").otherwise("medium"), "is_growth": F.col("code") % 5 == 0})
-    return valuation.blend(joined).join(base.select("code", "multiple", F.round("dcf", 4).alias("dcf")), "code").withColumn("target", F.round("target", 7))
+    fit = lambda m: valuation.fit_of(m, kind, F.col("size") / 10, F.col("code") % 11 == 0)
+    rows = [valuation.target_row(t, F.lit("low" if m in ("dcf", "ggm_dcf") else "medium"), fit(m), F.col("code") % 5 == 0) for m, t in targets.items()]
+    out = base.select("code", "multiple", "dcf", valuation.blended(F.array(*rows)).alias("b"))
+    return out.select("code", F.round("b.target", 7).alias("target"), "b.methods", "b.kept", "multiple", F.round("dcf", 4).alias("dcf"))
 
 
 def _valued_sql() -> str:

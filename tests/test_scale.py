@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tesserae.functions.columns import decimal_round
 from tesserae.operators import mentions, prices, scores, shared, statements
+from tesserae.plans import fiscal as fiscal_plans
 from tesserae.sources import barstore, containers, grids, views
 
 TIES = [32.55, 64.85, 32.45, 0.05, 12.35, -32.55, 0.0, 99.95, 100.0, 41.125, 7.25]
@@ -114,3 +115,17 @@ def test_statements_are_dealt_by_their_number_and_years_need_no_exchange(spark,
     assert sorted((r.entity, r.account, r.level, r.y2000, r.y2001, r.y2002) for r in got.collect()) == sorted(
         (e, a, level, k * (10 * e + 2000 % 7), k * (10 * e + 2001 % 7), None) for e in range(40) for a, level, k in (("all", 0, 2), ("a", 1, 1), ("b", 1, 1))
     )
+
+
+def test_valuation_folds_once_and_blends_in_the_row(spark):
+    rows = [(0, 900.0, 1), (1, 900.1, 50), (11, 1000.0, 40), (4, 0.0, 7), (None, 5.0, 7)]
+    folder = shared.new_folder(spark, "parts")
+    spark.createDataFrame(rows, "p_partkey long, p_retailprice double, p_size int").write.parquet(f"{folder}/part.parquet")
+    got = fiscal_plans.multiples(spark, folder)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Window" not in plan
+    with duckdb.connect() as c:
+        c.execute("CREATE TABLE part (p_partkey BIGINT, p_retailprice DOUBLE, p_size INTEGER)")
+        c.executemany("INSERT INTO part VALUES (?, ?, ?)", rows)
+        want = c.execute(f"SELECT code, target, methods, kept, multiple, dcf FROM ({fiscal_plans.MULTIPLES})").fetchall()
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want) and len(want) == 3
