@@ -2,7 +2,7 @@
 
 The zigzag is a state machine over batches of sorted bars; patterns on its
 pivots are windows over a few leads.  Stage segments, with their
-hysteresis and look-back, are a pandas kernel, for each code.
+hysteresis and look-back, are a kernel over the bars of one code after the other.
 """
 
 from __future__ import annotations
@@ -288,16 +288,48 @@ def segment_series(stage: list, side: list[int], slope: list[int], close: list[f
     return merged([t for r in runs for d in by_direction(r, prices, side) for t in by_tail(d, side)])
 
 
-def segments(stages: DataFrame, least: int = 20) -> DataFrame:
-    """stages: code, bar_date, close, stage, side, slope.  Runs of a settled stage for each code."""
+_SEGMENTS = pa.schema([("code", pa.int64()), ("start", pa.date32()), ("end", pa.date32()), ("stage", pa.int32()), ("bars", pa.int32())])
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf[pdf["stage"].notna()].sort_values("bar_date")
-        found = segment_series(pdf["stage"].astype(int).tolist(), pdf["side"].astype(int).tolist(), pdf["slope"].astype(int).tolist(), pdf["close"].tolist(), least)
-        dates = pdf["bar_date"].tolist()
-        return pd.DataFrame([(pdf["code"].iloc[0], dates[a], dates[b], s, b - a + 1) for a, b, s in found], columns=["code", "start", "end", "stage", "bars"])
 
-    return stages.groupBy("code").applyInPandas(run, "code bigint, start date, end date, stage int, bars int")
+def segments(stages: DataFrame, least: int = 20, in_order: bool = False) -> DataFrame:
+    """stages: code, bar_date, close, stage, side, slope.  Runs of a settled stage for each code.
+
+    in_order: the bars of a code lie together and by date, as ``prices.staged`` leaves them, and aren't dealt again.
+    A task holds a batch and the bars of one code.
+    """
+
+    def found(rows: pa.Table) -> pa.RecordBatch:
+        """Runs of whole codes."""
+        key = rows["code"].fill_null(np.iinfo(np.int64).min).to_numpy()
+        cuts = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
+        stage, side, slope = (rows[c].to_pylist() for c in ("stage", "side", "slope"))
+        close = rows["close"].to_numpy()
+        runs = [(a + first, a + last, s) for a, b in zip(cuts, cuts[1:]) for first, last, s in segment_series(stage[a:b], side[a:b], slope[a:b], close[a:b], least)]
+        first, last, of = (np.array(x, np.int64) for x in (zip(*runs) if runs else ([], [], [])))
+        made = [rows["code"].take(first), rows["bar_date"].take(first), rows["bar_date"].take(last), pa.array(of, pa.int32()), pa.array(last - first + 1, pa.int32())]
+        return pa.RecordBatch.from_arrays([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in made], schema=_SEGMENTS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_: list[pa.RecordBatch] = []  # of the code that goes on
+        for batch in batches:
+            batch = batch.filter(batch.column("stage").is_valid())
+            if not batch.num_rows:
+                continue
+            last = batch.column("code")[batch.num_rows - 1]
+            if all(x.column("code")[0] == last for x in (*open_[:1], batch)):  # nothing has ended
+                open_.append(batch)
+                continue
+            code = batch.column("code").to_pylist()
+            ended = next((i + 1 for i in range(len(code) - 1, -1, -1) if code[i] != code[-1]), 0)
+            yield found(pa.Table.from_batches([*open_, batch.slice(0, ended)]))
+            open_ = [batch.slice(ended)]
+        if open_:
+            yield found(pa.Table.from_batches(open_))
+
+    rows = stages.select(F.col("code").cast("bigint"), "bar_date", F.col("close").cast("double"), *[F.col(c).cast("int") for c in ("stage", "side", "slope")])
+    if not in_order:  # the window deals and sorts, as for the zigzag
+        rows = rows.withColumn("number", F.row_number().over(Window.partitionBy("code").orderBy("bar_date")))
+    return rows.mapInArrow(run, "code bigint, start date, end date, stage int, bars int")
 
 
 # Fixed values of the long view, in months, and of what counts as near and flat.

@@ -47,7 +47,7 @@ def structure(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of stages in day bars."""
-    return sequences.segments(prices.staged(views.bars(spark, sf_dir), "short").select("code", "bar_date", "close", "stage", "side", "slope"), prices.FRAMES["short"][3])
+    return sequences.segments(prices.staged(views.bars(spark, sf_dir), "short").select("code", "bar_date", "close", "stage", "side", "slope"), prices.FRAMES["short"][3], in_order=True)
 
 
 def trend_frames(spark: SparkSession, sf_dir: str) -> DataFrame:

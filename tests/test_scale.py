@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import io
 import zipfile
 
@@ -12,7 +13,7 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from tesserae.functions.columns import decimal_round
-from tesserae.operators import mentions, prices, scores, shared, statements
+from tesserae.operators import mentions, prices, scores, sequences, shared, statements
 from tesserae.plans import fiscal as fiscal_plans
 from tesserae.sources import barstore, containers, grids, views
 
@@ -129,3 +130,23 @@ def test_valuation_folds_once_and_blends_in_the_row(spark):
         c.executemany("INSERT INTO part VALUES (?, ?, ?)", rows)
         want = c.execute(f"SELECT code, target, methods, kept, multiple, dcf FROM ({fiscal_plans.MULTIPLES})").fetchall()
     assert sorted(tuple(r) for r in got.collect()) == sorted(want) and len(want) == 3
+
+
+def test_segments_of_ordered_bars_are_not_dealt_again(spark):
+    day = dt.date(2020, 1, 1)
+    series = {c: [((k // 7 + c) % 4 + 1 if k > 3 else None, (k // 5) % 3 - 1, (k // 9) % 3 - 1, 10.0 + (k * 7 + c) % 13 if k % 11 else None) for k in range(40 + 30 * c)] for c in range(4)}
+    want = set()
+    for c, bars in series.items():
+        there = [(k, *b) for k, b in enumerate(bars) if b[0]]
+        runs = sequences.segment_series(*([b[i] for b in there] for i in (1, 2, 3)), [float("nan") if b[4] is None else b[4] for b in there], 5)
+        want |= {(c, day + dt.timedelta(there[a][0]), day + dt.timedelta(there[b][0]), s, b - a + 1) for a, b, s in runs}
+    rows = [(c, day + dt.timedelta(k), b[3], *b[:3]) for c, bars in series.items() for k, b in enumerate(bars)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")  # batches end within codes, and codes within batches
+    try:
+        schema = "code long, bar_date date, close double, stage int, side int, slope int"
+        ordered = sequences.segments(spark.createDataFrame(rows, schema).coalesce(1), 5, in_order=True)
+        assert "Exchange" not in _plan(ordered)
+        assert {tuple(r) for r in ordered.collect()} == want
+        assert {tuple(r) for r in sequences.segments(spark.createDataFrame(rows[::-1], schema), 5).collect()} == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
