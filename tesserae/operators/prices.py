@@ -93,9 +93,14 @@ def stage_features(bars: DataFrame, n: int = 60, ma: int = 50, lookback: int = 1
 
     What a bar says of itself and of the one before are columns; frames of many bars are slid over in ``sliding``.
     """
+    return _frame_features(bars, {"": (n, ma, lookback)}).drop("frame")
+
+
+def _frame_features(bars: DataFrame, frames: dict[str, tuple[int, int, int]], last: bool = False) -> DataFrame:
+    """``stage_features`` of several frames (column frame) of the same bars; last: those of each code's newest bar alone, from the bars that it looks back on."""
     w = series()
     close, prev, volume = F.col("close"), F.col("prev"), F.col("volume")
-    base = bars.select("code", "bar_date", "close", "high", "low", "volume", F.row_number().over(w).alias("i"), F.lag("close").over(w).alias("prev"), F.lag("close", n - 1).over(w).alias("past"))
+    base = bars.select("code", "bar_date", "close", "high", "low", "volume", F.row_number().over(w).alias("i"), F.lag("close").over(w).alias("prev"))
     base = base.withColumns({
         "ln": F.when(close > 0, F.ln("close")),
         "step": F.abs(close - prev),
@@ -104,12 +109,15 @@ def stage_features(bars: DataFrame, n: int = 60, ma: int = 50, lookback: int = 1
         "down": F.when(close < prev, volume).otherwise(0.0),
         "obv": F.sum(F.when(close > prev, volume).when(close < prev, -volume).otherwise(0.0)).over(rows(w, Window.unboundedPreceding)),
     })
-    f = sliding.stage_frames(base, n, ma, lookback)
+    if last:  # sums that begin with the series are columns by now
+        ahead = F.count("*").over(Window.partitionBy("code")) - F.col("i")
+        base = base.withColumn("ahead", ahead).where(F.col("ahead") < max(sliding.held(*f) for f in frames.values()))
+    f = sliding.stage_frames(base, frames, last)
     enough, varied = F.col("enough"), F.col("spread") > 0
     net = F.abs(close - F.col("past"))
     high, low, heavy = F.col("top"), F.col("bottom"), volume >= 1.5 * F.col("usual")
     return f.select(
-        "code", "bar_date", "close", "ma",
+        "frame", "code", "bar_date", "close", "ma",
         F.when(enough & varied, F.col("slope")).when(enough, 0.0).alias("slope"),
         F.when(enough & varied, F.col("r2")).when(enough, 0.0).alias("r2"),
         F.when(enough, F.coalesce(F.try_divide(net, F.col("path")), F.lit(0.0))).alias("efficiency"),
@@ -176,6 +184,16 @@ def staged(bars: DataFrame, frame: str) -> DataFrame:
     return f.withColumns({"side": sign("position", PRICE_BAND), "slope": sign("ma_change", FLAT)})
 
 
+def last_stages(bars: DataFrame) -> DataFrame:
+    """code, and the stage of its newest bar in each of FRAMES.  Frames of the same bars are slid over together."""
+    out = None
+    for unit in dict.fromkeys(f[0] for f in FRAMES.values()):
+        frames = {name: (n, n, lookback) for name, (u, n, lookback, _) in FRAMES.items() if u == unit}
+        f = classify_stage(_frame_features(bars if unit == "day" else resample(bars, unit), frames, last=True)).select("code", "frame", "stage")
+        out = f if out is None else out.unionByName(f)
+    return out.groupBy("code").agg(*[F.max(F.when(F.col("frame") == name, F.col("stage"))).alias(name) for name in FRAMES])
+
+
 def as_of_close(bars: DataFrame, dates: DataFrame) -> DataFrame:
     """The last close on or before each date: both go into one ordered series for each code (no range join)."""
     asked = dates.select("code", F.col("as_of").alias("at"), F.lit(1).alias("asks"), F.lit(None).cast("struct<bar_date:date,close:double>").alias("bar"))

@@ -70,25 +70,31 @@ def trend(y: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 _READ = ("i", "close", "ln", "step", "tr", "obv", "volume", "up", "down", "high", "low")
-_MADE = ("ma", "ma_back", "ma_far", "slope", "r2", "spread", "slope_late", "slope_early", "path", "up_sum", "down_sum", "atr_new", "atr_old", "top", "bottom", "usual", "obv_slope")
-_KEPT = ("code", "bar_date", "close", "volume", "past")
+_MADE = ("past", "ma", "ma_back", "ma_far", "slope", "r2", "spread", "slope_late", "slope_early", "path", "up_sum", "down_sum", "atr_new", "atr_old", "top", "bottom", "usual", "obv_slope")
+_KEPT = ("code", "bar_date", "close", "volume")
 
 
-def stage_frames(bars: DataFrame, n: int, ma: int, lookback: int) -> DataFrame:
-    """bars: code, bar_date, past and what _READ names, in order of code and i, the bar's number.  The frames of each bar.
+def held(n: int, ma: int, lookback: int) -> int:
+    """So many bars the frames of a bar look back on, itself among them."""
+    return max(n, ma + max(ma, lookback))
+
+
+def stage_frames(bars: DataFrame, frames: dict[str, tuple[int, int, int]], last: bool = False) -> DataFrame:
+    """bars: code, bar_date and what _READ names, in order of code and i, the bar's number.  The frames of each bar, for each window, average and look-back that frames names (column frame).
 
     enough: all n logarithms are there.  Frames but the average are missing without it.  A task holds a batch and the rows that its frames look back on.
+    last: of bars with ahead, how many follow of the same code, only those that none follows are given.
     """
-    half, held = n // 2, max(n, ma + max(ma, lookback))
+    most = max(held(*f) for f in frames.values())
 
-    def frames(x: dict[str, Frame]) -> dict[str, Frame]:
-        i = x["i"][0]
+    def made_of(x: dict[str, Frame], n: int, ma: int, lookback: int) -> dict[str, Frame]:
+        i, half = x["i"][0], n // 2
         average, there = mean(x["close"], ma)
         full = (there == ma) & (i >= ma)
         enough = (count(x["ln"][1], n) == n) & (i >= n)
         slope, r2, spread = trend(x["ln"][0], n)
         part = trend(x["ln"][0], half + 1)[0]
-        made: dict[str, Frame] = {"ma": (average, full), "enough": (enough, np.ones(len(i), bool))}
+        made: dict[str, Frame] = {"ma": (average, full), "enough": (enough, np.ones(len(i), bool)), "past": (_behind(x["close"][0], n - 1), _behind(x["close"][1], n - 1) & (i >= n))}
         for name, back in (("ma_back", lookback), ("ma_far", ma)):
             made[name] = _behind(average, back), _behind(full, back) & (i > back)
         always = np.ones(len(i), np.int64)
@@ -103,21 +109,23 @@ def stage_frames(bars: DataFrame, n: int, ma: int, lookback: int) -> DataFrame:
         return made
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before = {c: (np.zeros(held), np.zeros(held, bool)) for c in _READ}
+        before = {c: (np.zeros(most), np.zeros(most, bool)) for c in _READ}
         for batch in batches:
             x = {}
             for c in _READ:
                 column = batch.column(c)
                 value, there = column.fill_null(0).to_numpy(zero_copy_only=False).astype(np.float64), column.is_valid().to_numpy(zero_copy_only=False)
                 x[c] = np.concatenate([before[c][0], value]), np.concatenate([before[c][1], there])
-            before = {c: (v[-held:], t[-held:]) for c, (v, t) in x.items()}
-            with np.errstate(all="ignore"):  # rows whose frames aren't full are masked
-                made = frames(x)
-            arrays = [batch.column(c) for c in _KEPT] + [pa.array(made[c][0][held:], mask=~made[c][1][held:]) for c in (*_MADE, "enough")]
-            yield pa.RecordBatch.from_arrays(arrays, names=[*_KEPT, *_MADE, "enough"])
+            before = {c: (v[-most:], t[-most:]) for c, (v, t) in x.items()}
+            for frame, (n, ma, lookback) in frames.items():
+                with np.errstate(all="ignore"):  # rows whose frames aren't full are masked
+                    made = made_of(x, n, ma, lookback)
+                arrays = [pa.array([frame] * batch.num_rows, pa.string())] + [batch.column(c) for c in _KEPT] + [pa.array(made[c][0][most:], mask=~made[c][1][most:]) for c in (*_MADE, "enough")]
+                out = pa.RecordBatch.from_arrays(arrays, names=["frame", *_KEPT, *_MADE, "enough"])
+                yield out.filter(pa.array(batch.column("ahead").to_numpy() == 0)) if last else out
 
     double = [F.col(c).cast("double").alias(c) for c in dict.fromkeys((*_READ, *_KEPT)) if c not in ("code", "bar_date")]
-    read = bars.select("code", "bar_date", *double)
+    read = bars.select("code", "bar_date", *double, *(["ahead"] if last else []))
     code, day = (read.schema[c].dataType.simpleString() for c in ("code", "bar_date"))
-    kinds = [f"code {code}", f"bar_date {day}", *[f"{c} double" for c in (*_KEPT[2:], *_MADE)], "enough boolean"]
+    kinds = ["frame string", f"code {code}", f"bar_date {day}", *[f"{c} double" for c in (*_KEPT[2:], *_MADE)], "enough boolean"]
     return read.mapInArrow(run, ", ".join(kinds))

@@ -53,10 +53,7 @@ def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 def trend_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage of each code in three frames, its place to the long average and its rating."""
     bars = views.bars(spark, sf_dir)
-    out = prices.strength_ratings(bars).select("code", "rating")
-    for frame in prices.FRAMES:
-        last = prices.staged(bars, frame).groupBy("code").agg(F.max_by("stage", "bar_date").alias(frame))
-        out = out.join(last, "code", "left")
+    out = prices.strength_ratings(bars).select("code", "rating").join(prices.last_stages(bars), "code", "left")
     return out.join(secular(spark, sf_dir).select("code", "position", "heading"), "code", "left")
 
 

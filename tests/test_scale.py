@@ -150,3 +150,15 @@ def test_segments_of_ordered_bars_are_not_dealt_again(spark):
         assert {tuple(r) for r in sequences.segments(spark.createDataFrame(rows[::-1], schema), 5).collect()} == want
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_last_stages_are_those_of_all_bars_and_frames_of_weeks_share_them(spark):
+    rows = [(c, i, float(60 + 12 * np.sin(i / (31.0 + 9 * c)) + (i * 7 + c) % 5), float(5 + (i * 5) % 9)) for c in (1, 2, 3) for i in range(700 if c == 1 else 120 * c - 200)]
+    bars = spark.createDataFrame(rows, "code long, i int, close double, volume double").selectExpr("code", "date_add(DATE'2020-01-01', i) AS bar_date", "close AS open", "close + 1 AS high", "close - 1 AS low", "close", "volume")
+    got = prices.last_stages(bars)
+    assert _plan(got).split("Initial Plan")[-1].count("MapInArrow") == 2
+    want = {c: [] for c in (1, 2, 3)}
+    for frame in prices.FRAMES:
+        for r in prices.staged(bars, frame).groupBy("code").agg(F.max_by("stage", "bar_date").alias("s")).collect():
+            want[r.code].append(r.s)
+    assert {r[0]: list(r[1:]) for r in got.collect()} == want and None in want[2] and None not in want[1]
