@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from tesserae.functions.columns import name_words, token_jaccard
+from tesserae.operators.shared import stored
 
 
 def concentration(edges: DataFrame) -> DataFrame:
@@ -65,19 +66,20 @@ def resolve(mentions: DataFrame, canon: DataFrame, threshold: float = 0.9) -> Da
 
     Only what a stage leaves goes to the next; the fuzzy stage compares names that
     share one of their rarest words, which loses no pair as alike as the threshold
-    and keeps frequent words from pairing a large part of the table.
+    and keeps frequent words from pairing a large part of the table.  What a stage finds and leaves is
+    stored: no stage is run again for the next, and no task holds the joins of them all.
     """
-    by_id = mentions.join(canon.select(F.col("c_id").alias("hint_id"), F.col("c_id").alias("found")), "hint_id").select("m_id", "found", F.lit("id").alias("how"))
-    rest = mentions.join(by_id, "m_id", "left_anti")
+    by_id = stored(mentions.join(canon.select(F.col("c_id").alias("hint_id"), F.col("c_id").alias("found")), "hint_id").select("m_id", "found", F.lit("id").alias("how")), "by-id")
+    rest = stored(mentions.select("m_id", "name").join(by_id, "m_id", "left_anti"), "rest")
     keys = canon.withColumn("key", name_key(F.col("c_name"))).where("key <> ''").groupBy("key").agg(F.min("c_id").alias("found"))
-    exact = rest.withColumn("key", name_key(F.col("name"))).join(keys, "key").select("m_id", "found", F.lit("exact").alias("how"))
-    rest = rest.join(exact, "m_id", "left_anti")
+    exact = stored(rest.withColumn("key", name_key(F.col("name"))).join(keys, "key").select("m_id", "found", F.lit("exact").alias("how")), "exact")
+    rest = stored(rest.join(exact, "m_id", "left_anti"), "rest")
     counts = canon.select(F.explode(name_words(F.col("c_name"))).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
-    pairs = _rare_words(rest, "m_id", "name", counts, threshold).join(_rare_words(canon, "c_id", "c_name", counts, threshold), "w").select("m_id", "c_id").distinct()
-    alike = pairs.join(rest.select("m_id", "name"), "m_id").join(canon.select("c_id", "c_name"), "c_id").withColumn("score", token_jaccard(F.col("name"), F.col("c_name"))).where(F.col("score") >= threshold)
+    pairs = stored(_rare_words(rest, "m_id", "name", counts, threshold).join(_rare_words(canon, "c_id", "c_name", counts, threshold), "w").select("m_id", "c_id").distinct(), "pairs")
+    alike = pairs.join(rest, "m_id").join(canon.select("c_id", "c_name"), "c_id").withColumn("score", token_jaccard(F.col("name"), F.col("c_name"))).where(F.col("score") >= threshold)
     first = F.row_number().over(Window.partitionBy("m_id").orderBy(F.desc("score"), "c_id"))
-    fuzzy = alike.withColumn("rn", first).where("rn = 1").select("m_id", F.col("c_id").alias("found"), F.lit("fuzzy").alias("how"))
-    new = rest.join(fuzzy, "m_id", "left_anti").select("m_id", F.lit(None).cast("long").alias("found"), F.lit("new").alias("how"))
+    fuzzy = stored(alike.withColumn("rn", first).where("rn = 1").select("m_id", F.col("c_id").alias("found"), F.lit("fuzzy").alias("how")), "fuzzy")
+    new = stored(rest.join(fuzzy, "m_id", "left_anti").select("m_id", F.lit(None).cast("long").alias("found"), F.lit("new").alias("how")), "new")
     return by_id.unionByName(exact).unionByName(fuzzy).unionByName(new)
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from tesserae.functions.columns import decimal_round
-from tesserae.operators import mentions, prices, scores, sequences, shared, statements
+from tesserae.operators import graphs, mentions, prices, registers, scores, sequences, shared, statements
 from tesserae.plans import fiscal as fiscal_plans
 from tesserae.sources import barstore, containers, grids, views
 
@@ -162,3 +162,13 @@ def test_last_stages_are_those_of_all_bars_and_frames_of_weeks_share_them(spark)
         for r in prices.staged(bars, frame).groupBy("code").agg(F.max_by("stage", "bar_date").alias("s")).collect():
             want[r.code].append(r.s)
     assert {r[0]: list(r[1:]) for r in got.collect()} == want and None in want[2] and None not in want[1]
+
+
+def test_reviewed_names_are_joined_once_after_the_stages_of_resolution(spark):
+    canon = spark.createDataFrame([(i, f"red bolt n{i}") for i in range(9)], "c_id long, c_name string")
+    named = spark.createDataFrame([(0, "x", 4), (1, "RED BOLT N1 Inc.", None), (2, "n2 bolt red", None), (3, "zz3", None), (6, "zz6", None), (7, "zz7", None), (21, "zz21", None)], "m_id long, name string, hint_id long")
+    rejected, promoted = spark.createDataFrame([(3,), (3,), (21,), (0,)], "m_id long"), spark.createDataFrame([(7, 70), (7, 71), (21, 210), (2, 5)], "m_id long, found long")
+    got = registers.review_states(graphs.resolve(named, canon), rejected, promoted)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+    want = {(0, 4, "id", "canonical"), (1, 1, "exact", "canonical"), (2, 2, "fuzzy", "canonical"), (3, None, "new", "rejected"), (6, None, "new", "pending"), (7, 71, "review", "canonical"), (21, 210, "review", "canonical")}
+    assert {tuple(r) for r in got.collect()} == want and got.count() == 7
