@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from tesserae.functions.columns import name_words, token_jaccard
-from tesserae.operators.shared import stored
+from tesserae.operators.shared import new_folder, stored
 
 
 def concentration(edges: DataFrame) -> DataFrame:
@@ -34,17 +37,43 @@ def neighbours(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return out.unionByName(into)
 
 
+#: So many nodes a row of the closure names at most: beyond, what a node depends on lies in several rows.
+ROW_NODES = 1_000_000
+
+
 def closure(edges: DataFrame, start: DataFrame) -> DataFrame:
-    """(root, node) of everything that a root depends on, breadth first, until nothing new is found; each round's frontier is written, not replayed."""
-    seen = start.select(F.col("node").alias("root"), "node")
-    front = seen
-    while True:
-        step = front.join(edges, front["node"] == edges["src"]).select("root", F.col("dst").alias("node")).distinct()
-        front = step.join(seen, ["root", "node"], "left_anti").checkpoint()
-        if front.isEmpty():
-            break
-        seen = seen.union(front)
-    return seen.join(start.select(F.col("node").alias("root")), ["root"], "left_semi").where("root <> node")
+    """(root, node) of everything that a root depends on, breadth first, until nothing new is found.
+
+    What each node depends on goes up to those that depend on it, as arrays: the news of a round is joined with the edges where it lies,
+    in buckets by node, and dealt once, by the node that it is news for; each round's news is written, not replayed.
+    A node's array is split by its members' remainders, into as many rows as keep it bounded.
+    All nodes' sets are worked out, whatever the roots are: for a few roots, cut the edges first.
+    """
+    spark = edges.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"closure_{uuid.uuid4().hex}"
+
+    def keep(df: DataFrame, what: str, by: str, *part: str) -> DataFrame:
+        table = f"{name}_{what}"
+        out = df.write.bucketBy(buckets, by).sortBy(by)
+        out = out.partitionBy(*part) if part else out
+        (out.mode("append") if spark.catalog.tableExists(table) else out.option("path", new_folder(spark, what))).saveAsTable(table)
+        return spark.table(table)
+
+    pairs = edges.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst")).where("src is not null and dst is not null")
+    known = keep(pairs.repartition(buckets, "dst"), "edges", "dst")
+    slices = known.select("dst").distinct().count() // ROW_NODES + 1
+    first = known.repartition(buckets, "src").groupBy(F.col("src").alias("at"), F.pmod("dst", F.lit(slices)).cast("int").alias("slice")).agg(F.sort_array(F.collect_set("dst")).alias("nodes"))
+    held, n = keep(first.withColumn("round", F.lit(0)), "news", "at", "round"), 0
+    while not (news := held.where(F.col("round") == n)).isEmpty():
+        came = known.join(news, known["dst"] == news["at"]).select(known["src"], "slice", "nodes").repartition(buckets, "src")
+        came = came.groupBy(F.col("src").alias("at"), "slice").agg(F.array_distinct(F.flatten(F.collect_list("nodes"))).alias("came"))
+        seen = held.groupBy("at", "slice").agg(F.flatten(F.collect_list("nodes")).alias("seen"))
+        new = came.join(seen, ["at", "slice"], "left").select("at", "slice", F.sort_array(F.array_except("came", F.coalesce("seen", F.array().cast("array<bigint>")))).alias("nodes"))
+        n += 1
+        held = keep(new.where(F.size("nodes") > 0).withColumn("round", F.lit(n)), "news", "at", "round")
+    of = start.select(F.col("node").cast("long").alias("at"))
+    return held.join(of, "at", "left_semi").select(F.col("at").alias("root"), F.explode("nodes").alias("node")).where("root <> node")
 
 
 def name_key(c: Column) -> Column:

@@ -172,3 +172,19 @@ def test_reviewed_names_are_joined_once_after_the_stages_of_resolution(spark):
     assert got._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
     want = {(0, 4, "id", "canonical"), (1, 1, "exact", "canonical"), (2, 2, "fuzzy", "canonical"), (3, None, "new", "rejected"), (6, None, "new", "pending"), (7, 71, "review", "canonical"), (21, 210, "review", "canonical")}
     assert {tuple(r) for r in got.collect()} == want and got.count() == 7
+
+
+def test_closure_splits_what_a_node_depends_on_and_leaves_no_cycle_out(spark, monkeypatch):
+    monkeypatch.setattr(graphs, "ROW_NODES", 3)
+    pairs = [(i, i // 2) for i in range(2, 30)] + [(i, i // 3) for i in range(3, 30)] + [(1, 5), (40, 41), (41, 40), (41, 42), (7, 3), (7, 3), (50, 50), (8, None)]
+    got = graphs.closure(spark.createDataFrame(pairs, "src long, dst long"), spark.createDataFrame([(i,) for i in (1, 7, 29, 40, 42, 50, 99)], "node long"))
+    below = {}
+    for a, b in pairs:
+        below.setdefault(a, set()).add(b)
+    want = set()
+    for root in (1, 7, 29, 40, 42, 50, 99):
+        seen, front = {root}, {root}
+        while front := {b for a in front for b in below.get(a, ()) if b is not None} - seen:
+            seen |= front
+        want |= {(root, n) for n in seen - {root}}
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want)
