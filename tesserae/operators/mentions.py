@@ -7,18 +7,22 @@ is an abbreviation that isn't searched at all.  What is left of a text must have
 its own: no Korean or Latin letter and no digit beside it.  Which names are parts of
 others is found by the same automaton, run over the names.
 
-The names' characters are counted before they are sent to tasks; beyond
+The names' characters, and those of what they are part of, are counted before they are sent to tasks; beyond
 ``LIMIT`` they are split by a hash into automata of at most about that size, and texts are
-read once for each.  A name that is no part of others is settled where the automaton finds it.
+read once for each.  A name is settled in the task that finds it, so no text is handed on.
+
+Codes of equal names have equal mentions, so these are found once for a group of such codes.  Pairs of
+texts and codes, which grow with both, are made last, by a join that deals none of them.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from tesserae.operators.shared import stored
@@ -27,7 +31,7 @@ from tesserae.operators.shared import stored
 MOST = 4
 #: Characters of the names of one automaton, about.
 LIMIT = 20_000_000
-#: Different names that are broadcast at most.
+#: Names, or codes with their group, that are broadcast at most.
 BROADCAST_NAMES = 500_000
 #: A letter or digit beside a name; marks of products that are named after a company without being another one.
 BESIDE = "가-힣A-Za-z0-9"
@@ -49,8 +53,9 @@ def _automaton(words: list[str]):
 
 
 def _split(words: DataFrame, limit: int) -> list[list[Row]]:
-    """words: name, all different, and more.  Lists of rows of at most about limit characters of names in all."""
-    total = words.agg(F.coalesce(F.sum(F.length("name")), F.lit(0)).alias("n")).head()["n"]
+    """words: name, all different, and perhaps others, and more.  Lists of rows of at most about limit characters of names and others in all."""
+    size = F.length("name") + (F.aggregate("others", F.lit(0), lambda n, o: n + F.length(o)) if "others" in words.columns else F.lit(0))
+    total = words.agg(F.coalesce(F.sum(size), F.lit(0)).alias("n")).head()["n"]
     parts = max(1, -(-total // limit))
     at = F.pmod(F.xxhash64("name"), F.lit(parts))
     return [words.where(at == i).collect() for i in range(parts)]  # counted above
@@ -97,32 +102,35 @@ def confusables(names: DataFrame, most: int = MOST, limit: int = LIMIT) -> DataF
     return words.join(off, "name", "left_anti").join(kept, "name", "left").select("name", F.coalesce(ordered, empty).alias("others"))
 
 
-def alone(text: Column, name: Column, others: Column) -> Column:
-    """Whether a name stands on its own in a text without the others."""
-    left = F.aggregate(others, text, lambda t, o: F.replace(t, o, F.lit(" ")))
-    return F.regexp_like(left, F.concat(F.lit(f"(?<![{BESIDE}])"), quoted(name), F.lit(f"(?![{BESIDE}])")))
-
-
-def quoted(x: Column) -> Column:
-    """A text as a pattern that matches it alone."""
-    return F.regexp_replace(x, r"([\\\[\]{}()*+?.^$|])", r"\\$1")
-
-
 def mentions(texts: DataFrame, names: DataFrame, most: int = MOST, limit: int = LIMIT) -> DataFrame:
     """texts: t_id, text.  names: code, name.  (t_id, code) of each name that a text has on its own.
 
     Null texts and names mention nothing; equal names belong to all their codes; repeated texts of one t_id count as one.
     """
+    codes, found = grouped(texts, names, most, limit)
+    # each pair is made where its text lies: a name of many codes in many texts has no task to itself, and as pairs are different they need no exchange
+    parts = max(1, -(-codes.count() // BROADCAST_NAMES))
+    if parts > 1:
+        found = stored(found, "mentions")
+    at = F.pmod(F.xxhash64("code"), F.lit(parts))
+    pairs = [found.join(F.broadcast(codes.where(at == i)), "group").select("t_id", "code") for i in range(parts)]  # counted
+    return reduce(DataFrame.unionByName, pairs)
+
+
+def grouped(texts: DataFrame, names: DataFrame, most: int = MOST, limit: int = LIMIT) -> tuple[DataFrame, DataFrame]:
+    """As ``mentions``, but counted once for a group of codes with equal names: (code, group) and (t_id, group), all different."""
+    names = stored(names.select("code", "name"), "named")  # it may take all texts to make them
+    codes, sets = called(names)
+    groups = stored(sets.select("called").distinct().select(F.monotonically_increasing_id().alias("group"), "called"), "groups")
+    codes = stored(codes.join(groups, "called").select("code", "group"), "codes")
+    members = groups.select("group", F.explode("called").alias("name"))
     usable = stored(confusables(names, most, limit), "names")
-    candidates = None
-    for part in _split(usable.select("name", (F.size("others") == 0).alias("free")), limit):
-        # only texts with a name that may be a part of another one go on, once for each
-        got = _held(texts, part)
-        candidates = got if candidates is None else candidates.unionByName(got)
-    small = F.broadcast if usable.count() <= BROADCAST_NAMES else (lambda df: df)
-    settled = F.col("text").isNull()
-    checked = candidates.withColumn("name", F.explode("names")).join(small(usable), "name").where(settled | alone(F.col("text"), F.col("name"), F.col("others")))
-    return checked.select("t_id", "name").distinct().join(small(names.select("code", "name")), "name").select("t_id", "code").distinct()
+    # a row for each text with the names that it has
+    held = [_held(texts, part) for part in _split(usable.select("name", (F.size("others") == 0).alias("free"), "others"), limit)]
+    small = F.broadcast if members.count() <= BROADCAST_NAMES else (lambda df: df)
+    found = reduce(DataFrame.unionByName, held).select("t_id", F.explode("names").alias("name")).join(small(members), "name")
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # named: few bytes here may be many pairs later
+    return codes, found.select("t_id", "group").repartition(parts, "t_id", "group").distinct()
 
 
 def called(names: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -134,26 +142,47 @@ def called(names: DataFrame) -> tuple[DataFrame, DataFrame]:
     return codes, codes.select("called").distinct().select("called", F.explode("called").alias("name"))
 
 
+def _stands(text: str, name: str, beside: re.Pattern[str]) -> bool:
+    """Whether a name stands in a text on its own."""
+    at = text.find(name)
+    while at >= 0:
+        if not (at and beside.match(text, at - 1)) and not beside.match(text, at + len(name)):
+            return True
+        at = text.find(name, at + 1)
+    return False
+
+
 def _held(texts: DataFrame, words: list[Row]) -> DataFrame:
-    """words: name, free (no part of others).  t_id, text, names: without the text the free names that stand there on their own, and with it all others that it has."""
-    sent = texts.sparkSession.sparkContext.broadcast({r.name: r.free for r in words})
+    """words: name, free (no part of others), and the others, the longest first.  t_id, text, names: without the text the names that stand there on their own, once the others are taken out.
+
+    Names that are not free and come without their others can't be settled: the text goes on with those that it has.
+    """
+    sent = texts.sparkSession.sparkContext.broadcast({r.name: () if r.free else tuple(r.others) if "others" in r else None for r in words})
     id_type = texts.schema["t_id"].dataType.simpleString()
     beside = re.compile(f"[{BESIDE}]")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        free = sent.value
-        search = _automaton(list(free)) if free else None
+        longer = sent.value
+        search = _automaton(list({*longer, *(o for others in longer.values() for o in others or ())})) if longer else None
         for batch in batches:
             at, out, names = [], [], []
             for i, x in enumerate(batch.column(1).to_pylist()):
-                settled, open_ = set(), set()
+                seen, single, settled, open_ = set(), set(), set(), set()
                 for end, name in search.iter(x) if search and x else ():
-                    if not free[name]:
-                        open_.add(name)
-                    elif name not in settled:
+                    seen.add(name)
+                    if name not in single:
                         start = end - len(name)
                         if not (start >= 0 and beside.match(x, start)) and not beside.match(x, end + 1):
+                            single.add(name)
+                for name in seen:
+                    others = longer.get(name, ())
+                    if others is None:
+                        open_.add(name)
+                    elif seen.isdisjoint(others):  # nothing to take out
+                        if name in single and name in longer:
                             settled.add(name)
+                    elif _stands(reduce(lambda left, other: left.replace(other, " "), others, x), name, beside):
+                        settled.add(name)
                 for text, got in ((None, settled), (x, open_)):
                     if got:
                         at.append(i)

@@ -76,6 +76,35 @@ def test_names_that_are_no_part_of_others_are_settled_where_they_are_found(spark
     assert sorted((r.t_id, r.text is None, tuple(r.names)) for r in held.collect()) == [(1, False, ("beta",)), (1, True, ("alpha",)), (2, False, ("beta",)), (3, False, ("beta",)), (5, False, ("beta",)), (5, True, ("alpha",))]
 
 
+def test_names_with_confusables_are_settled_in_the_row_too(spark):
+    words = [Row(name="sea", free=False, others=["north sea oil", "north sea"]), Row(name="north sea", free=False, others=["north sea oil"]), Row(name="ado", free=False, others=["boado"]), Row(name="north sea oil", free=True, others=[])]
+    rows = ["north sea oil", "north sea oil, sea", "north sea", "seaside sea", "boadoado", "boado", "xado", "north sea oils", None, "xnorth sea oilsea"]
+    held = mentions._held(spark.createDataFrame(list(enumerate(rows)), "t_id int, text string"), words)
+    assert {(r.t_id, r.text, tuple(r.names)) for r in held.collect()} == {(0, None, ("north sea oil",)), (1, None, ("north sea oil", "sea")), (2, None, ("north sea",)), (3, None, ("sea",)), (4, None, ("ado",)), (9, None, ("sea",))}
+
+
+def test_pairs_of_texts_and_codes_are_not_dealt_and_names_are_made_once(spark, monkeypatch):
+    made = spark.sparkContext.accumulator(0)
+
+    def name_of(x):
+        made.add(1)
+        return x
+
+    raw = [(1, "alpha"), (2, "alpha"), (3, "beta"), (3, "alpha"), (4, "alpha beta"), (5, "no"), (None, "beta"), (1, "alpha")]
+    names = spark.createDataFrame(raw, "code long, raw string").select("code", F.udf(name_of, "string")("raw").alias("name"))
+    texts = spark.createDataFrame([(1, "alpha"), (1, "alpha"), (2, "beta, alpha"), (3, "alpha beta"), (4, "alphabet"), (None, "beta")], "t_id long, text string")
+    want = {(1, 1), (1, 2), (1, 3), (2, 1), (2, 2), (2, 3), (2, None), (3, 4), (None, 3), (None, None)}
+    for most in (mentions.BROADCAST_NAMES, 2):
+        monkeypatch.setattr(mentions, "BROADCAST_NAMES", most)
+        made.value = 0
+        got = mentions.mentions(texts, names)
+        rows = [tuple(r) for r in got.collect()]
+        assert set(rows) == want and len(rows) == len(want)
+        assert made.value == len(raw)
+        above = _plan(got).split("Initial Plan")[-1].split("BroadcastHashJoin")[0]
+        assert "Exchange" not in above and "HashAggregate" not in above
+
+
 def test_codes_of_equal_names_are_counted_once(spark):
     names = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b"), (3, "a"), (4, " "), (5, None)], "code long, name string")
     codes, sets = mentions.called(names)
