@@ -17,18 +17,17 @@ _SENTIMENT = "CASE sentiment WHEN 'BUY' THEN 1 WHEN 'SELL' THEN -1 ELSE 0 END"
 
 
 def covered(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """code, called (its names); and called with the reports that name it, so that what codes of equal names have in common is counted once."""
-    codes, sets = mentions.called(supplier_names(spark, sf_dir))
-    found = mentions.mentions(texts_of(spark, sf_dir), sets.withColumnRenamed("called", "code"))
-    return codes, found.withColumnsRenamed({"t_id": "doc_id", "code": "called"}).join(views.reports(spark, sf_dir), "doc_id")
+    """code, group (of codes with equal names); and group with the reports that name it, so that what its codes have in common is counted once."""
+    codes, found = mentions.grouped(texts_of(spark, sf_dir), supplier_names(spark, sf_dir))
+    return codes, found.withColumnRenamed("t_id", "doc_id").join(views.reports(spark, sf_dir), "doc_id")
 
 
 def coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reports that name each company since a day, those that say buy, the newest of them and its industry; companies without any count none."""
     companies, named = covered(spark, sf_dir)
-    got = named.where(F.col("day") >= F.lit(SINCE).cast("date")).groupBy("called").agg(F.count("*").alias("n"), F.count_if(F.col("sentiment") == "BUY").alias("buys"), F.max_by(F.struct("doc_id", "industry"), F.struct("day", "doc_id")).alias("top"))
+    got = named.where(F.col("day") >= F.lit(SINCE).cast("date")).groupBy("group").agg(F.count("*").alias("n"), F.count_if(F.col("sentiment") == "BUY").alias("buys"), F.max_by(F.struct("doc_id", "industry"), F.struct("day", "doc_id")).alias("top"))
     codes = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("code"))
-    return codes.join(companies.join(got, "called"), "code", "left").select("code", F.coalesce("n", F.lit(0)).alias("reports"), F.coalesce("buys", F.lit(0)).alias("buys"), F.col("top.doc_id").alias("newest"), F.col("top.industry").alias("industry"))
+    return codes.join(companies.join(got, "group"), "code", "left").select("code", F.coalesce("n", F.lit(0)).alias("reports"), F.coalesce("buys", F.lit(0)).alias("buys"), F.col("top.doc_id").alias("newest"), F.col("top.industry").alias("industry"))
 
 
 _NAMED = MENTIONED_NAMES.replace("WITH n AS", "n AS", 1)
@@ -52,7 +51,7 @@ def industry_companies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The companies that an industry's reports name: in how many, and how they are seen there beside the industry's mean."""
     every = views.reports(spark, sf_dir).groupBy("industry").agg(F.avg(sentiment_value(F.col("sentiment"))).alias("whole"))
     companies, named = covered(spark, sf_dir)
-    each = named.groupBy("industry", "called").agg(F.count("*").alias("n"), F.avg(sentiment_value(F.col("sentiment"))).alias("mean")).join(companies, "called")
+    each = named.groupBy("industry", "group").agg(F.count("*").alias("n"), F.avg(sentiment_value(F.col("sentiment"))).alias("mean")).join(companies, "group")
     return each.join(F.broadcast(every), "industry").select("industry", "code", "n", F.round(F.col("mean") - F.col("whole"), 6).alias("above"))  # a row for each industry
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tesserae.functions.columns import decimal_round
 from tesserae.operators import graphs, mentions, prices, registers, scores, sequences, shared, statements
+from tesserae.plans import coverage as coverage_plans
 from tesserae.plans import fiscal as fiscal_plans
 from tesserae.sources import barstore, containers, grids, views
 
@@ -105,6 +106,18 @@ def test_pairs_of_texts_and_codes_are_not_dealt_and_names_are_made_once(spark, m
         assert "Exchange" not in above and "HashAggregate" not in above
 
 
+def test_reports_of_an_industry_are_met_by_number_and_texts_are_read_once(spark):
+    got = coverage_plans.industry_companies(spark, "/root/testdata/sf0.001")
+    plan = got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert plan.count("ReadSchema: struct<doc_id:bigint,text:string>") == 1
+    assert not [line for line in plan.splitlines() if "called" in line and ("Exchange hash" in line or "Join" in line)]  # no list of names is dealt or joined
+    with duckdb.connect() as c:
+        for t in ("documents", "labels", "supplier"):
+            c.execute(f"CREATE VIEW {t} AS SELECT * FROM '/root/testdata/sf0.001/{t}.parquet'")
+        want = c.execute(f"SELECT industry, code, n, above FROM ({coverage_plans.INDUSTRY_COMPANIES})").fetchall()
+    assert sorted(map(tuple, got.collect())) == sorted(want) and want
+
+
 def test_codes_of_equal_names_are_counted_once(spark):
     names = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b"), (3, "a"), (4, " "), (5, None)], "code long, name string")
     codes, sets = mentions.called(names)
